@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pairscope.llm import quality
+from pairscope.llm import quality, simhash
 
 QUERIES = {
     "op5_quality_rules": quality.op5,
+    "op7_simhash_near_dedup": simhash.op7,
 }
 
 ORACLES: dict[str, str] = {}
