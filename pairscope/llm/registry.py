@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pairscope.llm import quality, simhash, substrings
+from pairscope.llm import packing, quality, simhash, substrings
 
 QUERIES = {
     "op5_quality_rules": quality.op5,
     "op7_simhash_near_dedup": simhash.op7,
+    "op8_hierarchical_packing": packing.op8,
     "op10_phrase_automata": substrings.op10,
 }
 
