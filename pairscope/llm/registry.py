@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pairscope.llm import packing, quality, simhash, substrings
+from pairscope.llm import decontaminate, packing, quality, simhash, substrings
 
 QUERIES = {
+    "op2_benchmark_decontamination": decontaminate.op2,
     "op5_quality_rules": quality.op5,
     "op7_simhash_near_dedup": simhash.op7,
     "op8_hierarchical_packing": packing.op8,
     "op10_phrase_automata": substrings.op10,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_benchmark_decontamination": decontaminate.OP2_SQL,
+}
