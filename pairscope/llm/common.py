@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 #: White space that ends a word: space and the characters 0x09 to 0x0D. bytes.split() ends words at the same six.
@@ -39,16 +39,37 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def row_id() -> F.Column:
-    return F.monotonically_increasing_id()
-
-
-def fold(text: str) -> str:
-    return text.translate(_LOWER)
-
-
-_LOWER = {i: i + 32 for i in range(ord("A"), ord("Z") + 1)}
-#: The same for bytes: A-Z to a-z, all else as it is.
+def bounded_sample(rows: DataFrame, by: str, order: Column, columns: list[str], most: int) -> tuple[list[Row], dict]:
+    """At most `most` rows of each value of `by`, and the number of rows of each value in all.
+
+    The rows taken have the least hashes `order` (a uniform long), so the choice does not depend on how rows are dealt.
+    One pass counts the values without reading `columns`; a second reads the rows under each value's threshold.
+    """
+    counts = {r[by]: r["n"] for r in rows.groupBy(by).agg(F.count("*").alias("n")).orderBy(F.desc("n"), by).limit(1000).collect()}
+    if not counts:
+        return [], {}
+    under = F.lit(False)
+    for value, n in counts.items():
+        share = min(1.0, 1.5 * most / n + 50 / n)
+        bar = 2**63 - 1 if share == 1.0 else int(-(2**63) + share * 2**64)
+        under = under | ((F.col(by) == value) & (F.col("__order") <= bar))
+    drawn = rows.select(*columns, by, order.alias("__order")).filter(under).limit(3 * (most + 50) * len(counts)).collect()
+    drawn.sort(key=lambda r: (r["__order"], *(str(r[c]) for c in columns)))
+    taken: dict = {value: 0 for value in counts}
+    out = []
+    for r in drawn:
+        taken[r[by]] += 1
+        if taken[r[by]] <= most:
+            out.append(r)
+    return out, counts
+
+
+def held_out(key: str, of: int, value: int) -> Column:
+    """Whether crc32 of the id's text leaves this remainder (a null id has the empty text)."""
+    return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(of)) == value
+
+
+#: A-Z to a-z for bytes, all else as it is.
 LOWER_BYTES = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 
 
