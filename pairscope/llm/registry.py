@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pairscope.llm import decontaminate, packing, quality, simhash, substrings
+from pairscope.llm import decontaminate, langid, packing, quality, simhash, substrings, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1,
     "op2_benchmark_decontamination": decontaminate.op2,
     "op5_quality_rules": quality.op5,
     "op7_simhash_near_dedup": simhash.op7,
     "op8_hierarchical_packing": packing.op8,
+    "op9_language_codes": langid.op9,
     "op10_phrase_automata": substrings.op10,
 }
 
