@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pairscope.llm import decontaminate, langid, packing, pii, quality, simhash, substrings, toxicity
+from pairscope.llm import decontaminate, langid, lmscore, packing, pii, quality, simhash, substrings, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
     "op2_benchmark_decontamination": decontaminate.op2,
     "op3_contextual_pii": pii.op3,
     "op5_quality_rules": quality.op5,
+    "op6_cross_entropy_difference": lmscore.op6,
     "op7_simhash_near_dedup": simhash.op7,
     "op8_hierarchical_packing": packing.op8,
     "op9_language_codes": langid.op9,
