@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pairscope.llm import decontaminate, langid, lmscore, packing, pii, quality, simhash, substrings, toxicity
+from pairscope.llm import decontaminate, langid, lmscore, packing, pii, quality, quotes, simhash, substrings, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
     "op2_benchmark_decontamination": decontaminate.op2,
     "op3_contextual_pii": pii.op3,
+    "op4_quotation_linking": quotes.op4,
     "op5_quality_rules": quality.op5,
     "op6_cross_entropy_difference": lmscore.op6,
     "op7_simhash_near_dedup": simhash.op7,
@@ -18,4 +19,5 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op2_benchmark_decontamination": decontaminate.OP2_SQL,
+    "op4_quotation_linking": quotes.OP4_SQL,
 }
