@@ -18,7 +18,7 @@ STOP_WORDS = {
 #: (measure, least, most): a text fails if a measure lies outside; None: open.
 RULES: list[tuple[str, float | None, float | None]] = [
     ("mean_word_length", 1.5, 25.0),
-    ("symbol_ratio", None, 0.20),
+    ("symbol_ratio", None, 0.10),
     ("dup_line_ratio", None, 0.50),
     ("stop_word_ratio", 0.005, None),
     ("longest_word", None, 1000.0),
