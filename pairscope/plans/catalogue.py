@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pairscope.plans import behavioral
+
 FLAGSHIP = "A06_transition_summary"
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+BOOKS = [behavioral.book]
+QUERIES = {name: query for book in BOOKS for name, query in book.queries.items()}
+ORACLES = {name: sql for book in BOOKS for name, sql in book.oracles.items()}
