@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pairscope.plans import behavioral
+from pairscope.plans import behavioral, panel
 
 FLAGSHIP = "A06_transition_summary"
-BOOKS = [behavioral.book]
+BOOKS = [behavioral.book, panel.book]
 QUERIES = {name: query for book in BOOKS for name, query in book.queries.items()}
 ORACLES = {name: sql for book in BOOKS for name, sql in book.oracles.items()}
