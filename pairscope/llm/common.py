@@ -115,3 +115,26 @@ def rolling(hashes: np.ndarray, k: int) -> np.ndarray:
             out *= np.uint64(0x9E3779B97F4A7C15)
             out += hashes[i : i + n]
     return spread_hash(out)
+
+
+def bitmap(keys: DataFrame, column: str, least: int = 20, most: int = 29) -> np.ndarray:
+    """Which places of a table of bits the longs of a column fall on: a filter that lets through all of them.
+
+    The table has eight places a key, but 2**most (64 MB) at most, so it can be broadcast whatever the input; other keys
+    that it lets through by chance cost work only.
+    """
+    n = keys.count()
+    bits = int(min(most, max(least, np.ceil(np.log2(8 * max(1, n))))))
+    words = keys.select(F.shiftrightunsigned(F.col(column), 64 - bits).alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b"))
+    out = np.zeros(1 << (bits - 6), np.int64)
+    held = settle(words)
+    parts = 8
+    for k in range(parts):
+        table = held.filter(F.pmod(F.col("w"), F.lit(parts)) == k).toArrow()
+        out[table.column("w").to_numpy()] = table.column("b").to_numpy()
+    return out.view(np.uint64)
+
+
+def in_bitmap(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    place = keys.view(np.uint64) >> np.uint64(64 - (6 + len(table).bit_length() - 1))
+    return (table[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1

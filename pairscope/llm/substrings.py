@@ -1,14 +1,17 @@
 """Repeated-phrase automata: words inside a 20-word window that also starts earlier are removed.
 
-1. Scan: a document's windows are dealt to their least 5-gram (the leftmost of equal hashes), the seed; consecutive
-   windows with one seed make a stretch. Equal windows have equal seeds, so all occurrences of a window meet at its seed.
-   Documents with the same word sequence are represented by the least id; the others lose all their words.
-2. Seeds found once cannot hold a repeated window. The stretches of the others are cut from the texts and dealt to shards
-   by seed; a seed with very many stretches is dealt to several parts.
-3. A shard confirms recurring passages (whole stretches found twice, windows shared by stretches), compiles them into an
-   Aho-Corasick automaton over word numbers, and streams its stretches through it to locate every occurrence. Parts of
-   one hot seed also report where each window starts first; the least of these is settled by an aggregate.
-4. The located ranges are gathered by document and taken out of its words.
+1. A scan deals a document's windows to their least 8-gram (the leftmost of equal hashes), the seed; consecutive windows
+   with one seed make a stretch. Equal windows have equal seeds, so all occurrences of a window meet at its seed. Only
+   hashes are dealt out, and of stretches that repeat within a batch of documents only the first.
+2. By seed, equal stretches are confirmed as recurring passages: all but the first go. Where a seed has several different
+   stretches, they may still share windows: their first occurrences are asked for.
+3. A second scan cuts the stretches asked for out of the texts and deals them to shards by seed (a seed with very many to
+   several parts). A shard compiles the recurring windows into an Aho-Corasick automaton over word numbers and streams
+   its stretches through it to locate every occurrence. Parts of one hot seed also report where each window starts first;
+   the least of these is settled by an aggregate.
+4. The ranges are gathered by document and taken out of its words.
+
+Stretches are told apart by two 64-bit hashes, of the seed and of the whole; windows inside a shard by their words.
 """
 
 from __future__ import annotations
@@ -22,73 +25,178 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairscope.llm.common import WordHashes, read, rolling, settle
+from pairscope.llm.common import WordHashes, bitmap, in_bitmap, read, rolling, settle, spread_hash
 
 WINDOW = 20
-GRAM = 5
+GRAM = 8
 #: Stretches of one seed in one part; words of stretches that one automaton is built for.
 PART = 5_000
 SHARD_WORDS = 150_000
-EMPTY = hashlib.sha256(b"").hexdigest()
 NO_ID = 2**63 - 1
 
 
-def stretches(words: list[bytes], hashes: WordHashes, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(seed hash, first window, windows) of each stretch of one document."""
+def stretches(words: list[bytes], hashes: WordHashes, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(seed hash, hash of the whole, first window, windows) of each stretch of one document."""
     if len(words) < window:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-    grams = rolling(hashes.of(words), gram)
+        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    coded = hashes.of(words)
+    grams = rolling(coded, gram)
     n = len(words) - window + 1
     span = window - gram + 1
     place = np.empty(n, np.int64)
-    for at in range(0, n, 65_536):
-        part = grams[at : min(at + 65_536, n) + span - 1]
-        place[at : at + 65_536] = np.lib.stride_tricks.sliding_window_view(part, span).argmin(axis=1) + np.arange(at, min(at + 65_536, n))
+    low = np.uint64((1 << 20) - 1)
+    for at in range(0, n, 500_000):
+        part = grams[at : min(at + 500_000, n) + span - 1]
+        least = (part & ~low) | np.arange(len(part), dtype=np.uint64)  # of equal hashes the leftmost
+        reach = 1
+        while 2 * reach <= span:
+            least = np.minimum(least[:-reach], least[reach:])
+            reach *= 2
+        if reach < span:
+            least = np.minimum(least[: -(span - reach)], least[span - reach :])
+        place[at : at + 500_000] = (least & low).astype(np.int64) + at
     first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-    return grams[place[first]], first, np.diff(np.r_[first, n])
+    count = np.diff(np.r_[first, n])
+    # the whole, by sums of powers: the hash of words a..b is (S[b] - S[a]) / base**a, here kept exact modulo 2**64
+    with np.errstate(over="ignore"):
+        powers = np.cumprod(np.full(len(words), _BASE, np.uint64))
+        sums = np.r_[np.uint64(0), np.cumsum(spread_hash(coded) * powers)]
+        inverse = np.cumprod(np.r_[np.uint64(1), np.full(len(words), _INVERSE, np.uint64)])
+        whole = spread_hash((sums[first + count + window - 1] - sums[first]) * inverse[first] + count.astype(np.uint64))
+    return grams[place[first]], whole, first, count
+
+
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+
+def asked(doc: np.ndarray | int, start: np.ndarray) -> np.ndarray:
+    """A hash of an occurrence, for the bitmap of those asked for."""
+    with np.errstate(over="ignore"):
+        return spread_hash(np.asarray(doc, np.int64).view(np.uint64) * _BASE + np.asarray(start).astype(np.uint64)).view(np.int64)
+
+
+def packed(start: np.ndarray, count: np.ndarray, mark: np.ndarray | int) -> np.ndarray:
+    """start, windows and 28 bits of the text's hash in one long that sorts by start."""
+    return (start.astype(np.int64) << 33) | (count.astype(np.int64) << 28) | mark
+
+
+MARK = (1 << 28) - 1
 
 
 def _scan(docs: DataFrame, window: int, gram: int) -> DataFrame:
+    """(seed, whole, doc, at, again): each stretch; again: it repeats one before it of the same batch of documents."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                n_words, sha, seeds, starts, counts = [], [], [], [], []
-                for text in batch.column(2).cast(pa.binary()):
-                    words = (text.as_py() or b"").split()
-                    n_words.append(len(words))
-                    sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
-                    s, a, c = stretches(words, hashes, window, gram)
-                    seeds.append(s.view(np.int64))
-                    starts.append(a.astype(np.int32))
-                    counts.append(c.astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(sha), *(pa.array(x, pa.list_(t)) for x, t in ((seeds, pa.int64()), (starts, pa.int32()), (counts, pa.int32())))],
-                    ["doc", "print", "n_words", "sha", "seeds", "starts", "counts"],
-                )
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            seed, whole, doc, at = (np.concatenate([h[i] for h in held]) for i in range(4))
+            order = np.lexsort((at, doc, whole, seed))
+            seed, whole, doc, at = seed[order], whole[order], doc[order], at[order]
+            again = np.r_[False, (seed[1:] == seed[:-1]) & (whole[1:] == whole[:-1])]
+            # a repeat of the very place of the first (a repeated row) is no repeat
+            first = np.maximum.accumulate(np.where(again, 0, np.arange(len(seed))))
+            again &= (doc != doc[first]) | (at >> 33 != at[first] >> 33)
+            seed = np.where(again, asked(doc, at), seed.view(np.int64))  # goes with no seed
+            return pa.RecordBatch.from_arrays([pa.array(seed), pa.array(whole.view(np.int64)), pa.array(doc), pa.array(at), pa.array(again)], ["seed", "whole", "doc", "at", "again"])
+
+        for batch in batches:
+            for doc, mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), strict=True):
+                seed, whole, first, count = stretches((text.as_py() or b"").split(), hashes, window, gram)
+                if len(seed):
+                    held.append((seed, whole, np.full(len(seed), doc, np.int64), packed(first, count, mark)))
+                    size += len(seed)
+                if size >= 400_000:
+                    yield out()
+                    held.clear()
+                    size = 0
+        if held:
+            yield out()
 
-    return docs.mapInArrow(run, "doc bigint, print bigint, n_words bigint, sha string, seeds array<bigint>, starts array<int>, counts array<int>")
+    return docs.mapInArrow(run, "seed bigint, whole bigint, doc bigint, at bigint, again boolean")
 
 
-def _cut(held: DataFrame, window: int) -> DataFrame:
-    """(seed, part, parts, doc, print, start, text): the stretches of documents, cut from their texts."""
+def _confirm(found: DataFrame) -> DataFrame:
+    """(kind, seed, doc, at, key): kind 0 a range to remove, kind 2 a stretch to ask for, key its hash for the bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first: tuple[int, int, int, int] | None = None  # seed, whole, doc, start of the last different stretch
+        waiting: list[np.ndarray] | None = None  # the seed's only stretch so far, not yet asked for
+
+        for batch in batches:
+            seed, whole, doc, at, again = (batch.column(i).to_numpy(zero_copy_only=i < 4) for i in range(5))
+            n = len(seed)
+            if not n:
+                continue
+            new = np.r_[first is None or again[0] or (seed[0], whole[0]) != first[:2], (seed[1:] != seed[:-1]) | (whole[1:] != whole[:-1]) | again[1:] | again[:-1]]
+            head = np.maximum.accumulate(np.where(new, np.arange(n), -1))
+            start = at >> 33
+            d0 = np.where(head >= 0, doc[head], first[2] if first else 0)
+            s0 = np.where(head >= 0, start[head], first[3] if first else 0)
+            gone = again | ~((doc == d0) & (start == s0))
+            lead = np.flatnonzero(~gone & ~again)  # first occurrences (and repeated rows of them)
+            same_seed = np.zeros(len(lead), bool)  # another stretch of the seed stands before or after
+            if len(lead):
+                s, w = seed[lead], whole[lead]
+                apart = (s[1:] == s[:-1]) & (w[1:] != w[:-1])
+                same_seed[1:] |= apart
+                same_seed[:-1] |= apart
+                # repeated rows stand beside their like: spread over them
+                for i in np.flatnonzero((s[1:] == s[:-1]) & (w[1:] == w[:-1])):
+                    same_seed[i + 1] |= same_seed[i]
+                for i in np.flatnonzero((s[1:] == s[:-1]) & (w[1:] == w[:-1]))[::-1]:
+                    same_seed[i] |= same_seed[i + 1]
+            rows = [(0, seed[gone], doc[gone], at[gone])]
+            if waiting is not None and len(lead):
+                if seed[lead[0]] == waiting[0][0]:
+                    rows.append((2, *waiting))
+                    edge = (seed[lead] == seed[lead[0]])
+                    same_seed |= edge & (whole[lead] != first[1])
+                waiting = None
+            elif waiting is None and first is not None and len(lead) and seed[lead[0]] == first[0]:
+                same_seed |= seed[lead] == first[0]
+            ask = lead[same_seed]
+            rows.append((2, seed[ask], doc[ask], at[ask]))
+            if len(lead):
+                k = lead[-1]
+                first = (int(seed[k]), int(whole[k]), int(doc[k]), int(start[k]))
+                waiting = None if same_seed[-1] else [seed[k : k + 1], doc[k : k + 1], at[k : k + 1]]
+            for kind, s, d, a in rows:
+                if len(s):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), kind, np.int32)), pa.array(s), pa.array(d), pa.array(a), pa.array(asked(d, a >> 33))], ["kind", "seed", "doc", "at", "key"])
+
+    ordered = found.repartition("seed").sortWithinPartitions("seed", "whole", "doc", "at")
+    return ordered.mapInArrow(run, "kind int, seed bigint, doc bigint, at bigint, key bigint")
+
+
+def _cut(docs: DataFrame, wanted: np.ndarray, window: int, gram: int) -> DataFrame:
+    """(seed, doc, mark, start, words): the stretches that the bitmap lets through, cut from the texts."""
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        hashes = WordHashes()
+        names = ["seed", "doc", "mark", "start", "words"]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         for whole in batches:
             for at in range(0, whole.num_rows, 200):
                 batch = whole.slice(at, 200)
-                out: list[list] = [[] for _ in range(7)]
-                for doc, mark, text, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                    words = (text or b"").split()
-                    for x in found:
-                        start, parts = x["start"], x["parts"]
-                        passage = b" ".join(words[start : start + x["n"] + window - 1])
-                        for column, value in zip(out, (x["seed"], doc % parts, parts, doc, mark, start, passage), strict=True):
+                out: list[list] = [[] for _ in names]
+                for doc, mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), strict=True):
+                    words = (text.as_py() or b"").split()
+                    seeds, _, first, n = stretches(words, hashes, window, gram)
+                    if not len(seeds):
+                        continue
+                    chosen = np.flatnonzero(in_bitmap(table, asked(np.full(len(first), doc, np.int64), first)))
+                    for seed, a, k in zip(seeds[chosen].view(np.int64).tolist(), first[chosen].tolist(), n[chosen].tolist(), strict=True):
+                        for column, value in zip(out, (seed, doc, mark, a, b" ".join(words[a : a + k + window - 1])), strict=True):
                             column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["seed", "part", "parts", "doc", "print", "start", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
 
-    return held.mapInArrow(run, "seed bigint, part bigint, parts bigint, doc bigint, print bigint, start int, words binary")
+    return docs.mapInArrow(run, "seed bigint, doc bigint, mark bigint, start int, words binary")
 
 
 class Shard:
@@ -107,7 +215,7 @@ class Shard:
         found.append((doc, start, mark))
 
     def located(self) -> Iterator[tuple[int, int, int, int, int, bytes | None]]:
-        """(kind, doc, print, start, windows, digest): kind 0 is a range to remove, kind 1 a first start in its part of a hot seed."""
+        """(kind, doc, mark, start, windows, digest): kind 0 is a range to remove, kind 1 a first start in its part of a hot seed."""
         import ahocorasick
 
         numbers, window = self.numbers, self.window
@@ -179,7 +287,7 @@ def _locate(cut: DataFrame, window: int) -> DataFrame:
             yield pack(rows)
 
         def pack(rows):
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["kind", "doc", "print", "start", "n", "digest"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["kind", "doc", "mark", "start", "n", "digest"])
 
         shard, last = Shard(window), None
         for batch in batches:
@@ -192,66 +300,61 @@ def _locate(cut: DataFrame, window: int) -> DataFrame:
                 shard.add(*row)
         yield from out(shard)
 
-    ordered = cut.repartition("seed", "part").sortWithinPartitions("seed", "part")
-    return ordered.mapInArrow(run, "kind int, doc bigint, print bigint, start int, n int, digest binary")
+    ordered = cut.select("seed", "part", "parts", "doc", "mark", "start", "words").repartition("seed", "part").sortWithinPartitions("seed", "part")
+    return ordered.mapInArrow(run, "kind int, doc bigint, mark bigint, start int, n int, digest binary")
 
 
 def _removed(held: DataFrame, window: int) -> DataFrame:
-    """(doc, print, n_removed, kept, n_kept ...) of documents that lose some words."""
+    """(doc, n_words, n_removed, kept): ranges taken out of every document; kept where some words went."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 200):
                 batch = whole.slice(at, 200)
-                n_removed, kept = [], []
-                for text, ranges in zip(batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                    words = (text or b"").split()
-                    change = np.zeros(len(words) + 1, np.int64)
-                    for x in ranges:
-                        change[x["start"]] += 1
-                        change[x["start"] + x["n"] + window - 1] -= 1
-                    gone = np.cumsum(change[:-1]) > 0
-                    n_removed.append(int(gone.sum()))
-                    kept.append(b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary())], ["doc", "print", "n_removed", "kept"])
+                n_words, n_removed, kept, sha = [], [], [], []
+                for text, ranges in zip(batch.column(1).cast(pa.binary()), batch.column(2), strict=True):
+                    words = (text.as_py() or b"").split()
+                    left = words
+                    if ranges.is_valid:
+                        places = ranges.values.to_numpy()
+                        change = np.zeros(len(words) + 1, np.int64)
+                        np.add.at(change, places >> 33, 1)
+                        np.add.at(change, (places >> 33) + (places >> 28 & 31) + window - 1, -1)
+                        gone = np.cumsum(change[:-1]) > 0
+                        left = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
+                    body = b" ".join(left)
+                    n_words.append(len(words))
+                    n_removed.append(len(words) - len(left))
+                    kept.append(body if len(left) < len(words) else None)
+                    sha.append(hashlib.sha256(body).hexdigest())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()), pa.array(sha)], ["doc", "n_words", "n_removed", "kept", "sha"])
 
-    return held.mapInArrow(run, "doc bigint, print bigint, n_removed bigint, kept binary")
+    return held.mapInArrow(run, "doc bigint, n_words bigint, n_removed bigint, kept binary, sha string")
 
 
 def dedup_passages(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW, gram: int = GRAM, part: int = PART) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept, kept_sha256): kept is the words left, joined by spaces, where some but not all
-    went, else null.
+    """(doc_id, n_words, n_removed, kept, kept_sha256): kept is the words left, joined by spaces, where some went, else null.
 
     A null text has no words. Repeated rows (same id and text) have the same result, as no window starts before itself.
     A null id counts as the largest. Texts under `window` words keep all. Empty in, empty out. Extra columns are not read.
     """
-    base = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(NO_ID)).alias("doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("print"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    scanned = settle(_scan(base, window, gram))
-    whole = scanned.filter(F.col("n_words") >= window).groupBy("sha").agg(F.min("doc").alias("stands"), F.count("*").alias("copies"))
-    named = scanned.join(whole.filter("copies > 1").select("sha", "stands"), "sha", "left").withColumn("copy", F.coalesce(F.col("stands") < F.col("doc"), F.lit(False)))
-    found = (
-        named.filter((~F.col("copy")) & (F.size("seeds") > 0))
-        .select("doc", "print", F.explode(F.arrays_zip("seeds", "starts", "counts")).alias("x"))
-        .select("doc", "print", F.col("x.seeds").alias("seed"), F.col("x.starts").alias("start"), F.col("x.counts").alias("n"))
-    )
-    often = found.groupBy("seed").agg(F.count("*").alias("times")).filter("times > 1").select("seed", F.ceil(F.col("times") / part).alias("parts"))
-    listed = found.join(often, "seed").groupBy("doc", "print").agg(F.collect_list(F.struct("seed", "start", "n", "parts")).alias("found"))
-    held = base.join(listed.withColumnRenamed("doc", "doc_").withColumnRenamed("print", "print_"), (F.col("doc") == F.col("doc_")) & (F.col("print") == F.col("print_"))).select("doc", "print", "text", "found")
-    located = settle(_locate(_cut(held, window), window))
+    if not 0 < window - gram + 1 < 32:
+        raise ValueError("window - gram must be under 31")
+    body = F.coalesce(F.col(text), F.lit(""))
+    base = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(NO_ID)).alias("doc"), F.xxhash64(body).bitwiseAND(F.lit(MARK)).alias("mark"), body.alias("text"))
+    confirmed = settle(_confirm(_scan(base, window, gram)))
+    wanted = confirmed.filter("kind = 2")
+    hot = wanted.groupBy("seed").agg(F.count("*").alias("times")).filter(F.col("times") > part).select("seed", F.ceil(F.col("times") / part).alias("parts"))
+    cut = _cut(base, bitmap(wanted, "key"), window, gram).join(hot, "seed", "left")
+    cut = cut.withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")))
+    located = settle(_locate(cut, window))
+    at = F.shiftleft(F.col("start").cast("bigint"), 33).bitwiseOR(F.shiftleft(F.col("n").cast("bigint"), 28)).bitwiseOR(F.col("mark")).alias("at")
     firsts = located.filter("kind = 1").groupBy("digest").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("times")).filter("times > 1")
-    late = located.filter("kind = 1").join(firsts, "digest").filter((F.col("doc") != F.col("first.doc")) | (F.col("start") != F.col("first.start"))).select("doc", "print", "start", "n")
-    ranges = located.filter("kind = 0").select("doc", "print", "start", "n").unionByName(late).groupBy("doc", "print").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
-    cut = base.join(ranges.withColumnRenamed("doc", "doc_").withColumnRenamed("print", "print_"), (F.col("doc") == F.col("doc_")) & (F.col("print") == F.col("print_"))).select("doc", "print", "text", "ranges")
-    part_gone = _removed(cut, window).dropDuplicates(["doc", "print"])
-    joined = named.select("doc", "print", "n_words", "sha", "copy").join(part_gone, ["doc", "print"], "left")
-    gone = F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0)))
-    return joined.select(
-        F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"),
-        "n_words",
-        gone.cast("bigint").alias("n_removed"),
-        F.when(~F.col("copy"), F.col("kept")).alias("kept"),
-        F.when(F.col("copy"), F.lit(EMPTY)).when(F.col("kept").isNotNull(), F.sha2("kept", 256)).otherwise(F.col("sha")).alias("kept_sha256"),
-    )
+    late = located.filter("kind = 1").join(firsts, "digest").filter((F.col("doc") != F.col("first.doc")) | (F.col("start") != F.col("first.start")))
+    gone = confirmed.filter("kind = 0").select("doc", "at").unionByName(located.filter("kind = 0").select("doc", at)).unionByName(late.select("doc", at))
+    ranges = gone.groupBy("doc", F.col("at").bitwiseAND(F.lit(MARK)).alias("mark")).agg(F.collect_list("at").alias("ranges"))
+    done = _removed(base.join(ranges, ["doc", "mark"], "left").select("doc", "text", "ranges"), window)
+    return done.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "n_words", "n_removed", "kept", F.col("sha").alias("kept_sha256"))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
