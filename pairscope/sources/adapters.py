@@ -60,7 +60,7 @@ ADAPTERS: dict[str, tuple[list[str], str]] = {
         ["documents", "labels"],
         """
         SELECT d.doc_id AS claim_id, d.lang, d.source, coalesce(l.quality, -1) AS quality, coalesce(l.toxic, -1) AS toxic, d.text,
-          substring(d.text, 1, 120) AS claim, substring(d.text, 121, 600) AS evidence
+          split_part(d.text, '.', 1) AS claim, substring(d.text, length(split_part(d.text, '.', 1)) + 2) AS evidence
         FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
         """,
     ),
