@@ -125,3 +125,30 @@ def filter_quality(docs: DataFrame, text: str = "text", rules=RULES) -> DataFram
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = assess(read(spark, sf_dir, "documents", "doc_id", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_stop_words", "n_lines", "longest_word")
+
+
+def op5_sql(rules: list[tuple[str, float | None, float | None]] = RULES) -> str:
+    """The rows of op5 in SQL, over the same threshold table."""
+    value = {
+        "mean_word_length": "coalesce(word_chars / nullif(n_words, 0), 0)",
+        "symbol_ratio": "coalesce(n_symbols / nullif(word_chars, 0), 0)",
+        "dup_line_ratio": "coalesce(n_dup_lines / nullif(n_lines, 0), 0)",
+        "stop_word_ratio": "coalesce(n_stop_words / nullif(n_words, 0), 0)",
+        "longest_word": "longest_word",
+        "n_words": "n_words",
+    }
+    bounds = [f"{value[n]} >= {lo}" for n, lo, _ in rules if lo is not None] + [f"{value[n]} <= {hi}" for n, _, hi in rules if hi is not None]
+    stop = ", ".join(f"'{w}'" for w in sorted({w for ws in STOP_WORDS.values() for w in ws}))
+    return rf"""
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0b\f\r]+'), lambda x: x <> '') AS ws,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ \t\n\x0b\f\r]')) AS ls FROM documents
+), g AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3] || ' ' || ws[i + 4] AS win FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 4)) AS i FROM w) x
+), r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS c FROM g) y, (SELECT unnest(generate_series(0, 4)) AS k) z WHERE c > 1 GROUP BY doc_id
+), m AS (
+  SELECT doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::bigint AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+    coalesce(r.n, 0) AS n_repeat_words, len(list_filter(ws, lambda x: lower(x) IN ({stop}))) AS n_stop_words, len(ls) AS n_lines, coalesce(list_max(list_transform(ws, lambda x: length(x))), 0) AS longest_word
+  FROM w LEFT JOIN r USING (doc_id)
+), b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+SELECT *, NOT base_failed AND {" AND ".join(bounds)} AS kept FROM b
+"""

@@ -20,4 +20,5 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op2_benchmark_decontamination": decontaminate.OP2_SQL,
     "op4_quotation_linking": quotes.OP4_SQL,
+    "op5_quality_rules": quality.op5_sql(),
 }
