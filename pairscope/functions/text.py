@@ -9,16 +9,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Function words left out of content tokens.
-STOP = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "to", "was", "were", "with"]
-#: Counted patterns, in lower-case ASCII text.
+STOP = [
+    "a", "an", "the", "is", "was", "are", "were", "be", "been", "of", "in", "on", "at", "to", "for", "with", "by", "from", "as", "that", "this", "it", "its", "he", "she", "they", "his", "her", "their", "and", "or", "but", "if",
+    "then", "than", "so", "such", "not", "no", "nor", "do", "does", "did", "has", "have", "had", "will", "would", "can", "could", "may", "might", "must", "should",
+]
+#: Counted patterns.
 PATTERNS = {
-    "negation": r"\b(not|no|never|none|nor|cannot|without)\b",
-    "comparative": r"\b(more|less|most|least|\w+er than|\w+est)\b",
-    "number": r"\b\d+(\.\d+)?\b",
-    "date": r"\b(1[0-9]{3}|20[0-9]{2})\b",
-    "pronoun": r"\b(he|she|it|they|him|her|them|his|their|its)\b",
-    "modal": r"\b(may|might|can|could|should|would|must|will|shall)\b",
-    "conjunction": r"\b(and|or|but|because|although|while)\b",
+    "negation": r"(?i)\b(not|no|never|n't|neither|nor|without)\b",
+    "comparative": r"(?i)\b(more|less|fewer|most|least|\w+er than|\w+est)\b",
+    "number": r"\d+(?:[.,]\d+)*",
+    "date": r"\b(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,4}\b|\b\d{4}\b|\b(?:19|20)\d{2}s?\b",
+    "pronoun": r"(?i)\b(he|she|it|they|him|her|his|hers|its|their|them|this|that|these|those)\b",
+    "modal": r"(?i)\b(can|could|may|might|must|shall|should|will|would)\b",
+    "conjunction": r"(?i)\b(and|but|or|so|because|while|whereas|however|although)\b",
 }
 TOKEN = r"[A-Za-z0-9']+"
 
@@ -29,8 +32,8 @@ def normalized(c: Column) -> Column:
 
 
 def plain(c: Column) -> Column:
-    """Lower case with every character beyond ASCII as a space, so that word ends are the same for any regex engine."""
-    return F.regexp_replace(F.lower(c), r"[^\x00-\x7F]", " ")
+    """The text with every character beyond ASCII as a space, so that word ends are the same for any regex engine."""
+    return F.regexp_replace(c, r"[^\x00-\x7F]", " ")
 
 
 def tokens(c: Column) -> Column:
@@ -43,7 +46,7 @@ def content(c: Column) -> Column:
 
 
 def numbers(c: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(c, F.lit(r"\d+"), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(c, F.lit(PATTERNS["number"]), F.lit(0)))
 
 
 def overlap(claim: Column, evidence: Column) -> dict[str, Column]:
@@ -55,7 +58,7 @@ def overlap(claim: Column, evidence: Column) -> dict[str, Column]:
         "jaccard": F.size(F.array_intersect(a, b)) / F.greatest(F.lit(1), F.size(F.array_union(a, b))),
         "numeric_overlap": F.when(F.size(na) == 0, 1.0).otherwise(F.size(F.array_intersect(na, nb)) / F.greatest(F.lit(1), F.size(na))),
         "length_ratio": F.size(tokens(claim)) / F.greatest(F.lit(1), F.size(tokens(evidence))),
-        "date_missing": claim.rlike(PATTERNS["date"]) & ~evidence.rlike(PATTERNS["date"]),
+        "date_missing": plain(claim).rlike(PATTERNS["date"]) & ~plain(evidence).rlike(PATTERNS["date"]),
     }
 
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: The prefix of a set's id and the codes of what is missing.
+SET_PREFIX = "fever_set_"
+NO_PAGE, NO_SENTENCE = "missing_wiki_page:", "missing_sentence:"
 
 def sentence(lines: Column, index: Column) -> Column:
     """Field 1 of the first line whose field 0 is the index, without a trailing CR; null if missing or empty."""
@@ -24,16 +27,16 @@ def parsed_sets(raw: DataFrame, key: str, column: str) -> DataFrame:
 
 
 def set_id(set_index: Column, pointers: Column) -> Column:
-    """fever_set_ and twelve hex digits of the SHA-1 of the set's compact JSON."""
+    """SET_PREFIX and twelve hex digits of the SHA-1 of the set's compact JSON."""
     body = F.to_json(F.struct(set_index.cast("int").alias("set_index"), pointers.alias("pointers")))
-    return F.concat(F.lit("fever_set_"), F.substring(F.sha1(body), 1, 12))
+    return F.concat(F.lit(SET_PREFIX), F.substring(F.sha1(body), 1, 12))
 
 
 def resolved(pointers: DataFrame, sentences: DataFrame, key: str) -> DataFrame:
     """pointers joined with sentences(page, sent_idx, sentence): the sentence or why there is none."""
     pages = sentences.select("page").distinct().withColumn("known", F.lit(True))
     out = pointers.join(sentences, ["page", "sent_idx"], "left").join(pages, "page", "left")
-    reason = F.when(F.col("page").isNull() | F.col("sent_idx").isNull(), "bad_pointer").when(F.col("known").isNull(), F.concat(F.lit("missing_wiki_page:"), "page")).when(F.col("sentence").isNull(), F.concat(F.lit("missing_sentence:"), "page", F.lit(":"), F.col("sent_idx").cast("string")))
+    reason = F.when(F.col("page").isNull() | F.col("sent_idx").isNull(), "bad_pointer").when(F.col("known").isNull(), F.concat(F.lit(NO_PAGE), "page")).when(F.col("sentence").isNull(), F.concat(F.lit(NO_SENTENCE), "page", F.lit(":"), F.col("sent_idx").cast("string")))
     return out.withColumn("failure", reason).drop("known")
 
 

@@ -13,14 +13,15 @@ def filled(*columns: Column) -> Column:
 
 
 def usability(rows: DataFrame, key: str, position: str, text: str, label: str, evidence: str, labels: list[str]) -> DataFrame:
-    """rows with reason: the first of missing_id, duplicate_id, missing_text, invalid_label, missing_evidence; null if usable.
+    """rows with reason: the first of missing_claim_id, duplicate_claim_id, missing_claim_text,
+    invalid_true_label:<label>, missing_gold_evidence; null if usable.
 
     A row that fails does not claim its id, so a later sound row with that id is usable; a repeat after it is a duplicate.
     """
-    own = F.when(filled(F.col(text)).isNull(), "missing_text").when(~F.coalesce(F.col(label).isin(labels), F.lit(False)), "invalid_label").when(filled(F.col(evidence)).isNull(), "missing_evidence")
+    own = F.when(filled(F.col(text)).isNull(), "missing_claim_text").when(~F.coalesce(F.col(label).isin(labels), F.lit(False)), F.concat(F.lit("invalid_true_label:"), F.coalesce(F.col(label), F.lit("")))).when(filled(F.col(evidence)).isNull(), "missing_gold_evidence")
     marked = rows.withColumn("__id", filled(F.col(key).cast("string"))).withColumn("__own", own)
     first = F.min(F.when(F.col("__own").isNull(), F.col(position))).over(W.partitionBy("__id"))
-    return marked.withColumn("reason", F.when(F.col("__id").isNull(), "missing_id").when(F.col(position) > first, "duplicate_id").otherwise(F.col("__own"))).drop("__id", "__own")
+    return marked.withColumn("reason", F.when(F.col("__id").isNull(), "missing_claim_id").when(F.col(position) > first, "duplicate_claim_id").otherwise(F.col("__own"))).drop("__id", "__own")
 
 
 def remaining(runs: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 LABELS = ["Supported", "Refuted"]
 TRANSITIONS = ["robust", "rescue", "resistant", "regression"]
+#: The classes' names as paths of correctness.
+PATHS = {"robust": "correct_to_correct", "rescue": "wrong_to_correct", "resistant": "wrong_to_wrong", "regression": "correct_to_wrong"}
 
 
 def share(part: Column, whole: Column) -> Column:
@@ -25,12 +27,13 @@ def normalized_output(raw: Column) -> Column:
 
 
 def judged(predictions: DataFrame, output: str = "model_output", gold: str = "gold") -> DataFrame:
-    """predictions with prediction (null if invalid), correct (null if invalid) and error_type."""
+    """predictions with prediction and correct (both null if the output is invalid), error_type and notes."""
     prediction = normalized_output(F.col(output))
     return (
         predictions.withColumn("prediction", prediction)
         .withColumn("correct", F.col("prediction") == F.col(gold))
-        .withColumn("error_type", F.when(F.col("prediction").isNull(), F.concat(F.lit("invalid_model_output:"), F.col(output))).when(~F.col("correct"), F.concat_ws("_", F.lower("prediction"), F.lit("instead_of"), F.lower(gold))).otherwise(F.lit("")))
+        .withColumn("error_type", F.when(F.col("prediction").isNull(), "invalid_model_output").when(~F.col("correct"), F.concat_ws("_", F.lower(gold), F.lit("to"), F.lower("prediction"))).otherwise(F.lit("")))
+        .withColumn("notes", F.when(F.col("prediction").isNull(), F.concat(F.lit("invalid_model_output:"), F.col(output))).otherwise(F.lit("")))
     )
 
 
@@ -86,8 +89,10 @@ def metrics_long(rows: DataFrame) -> DataFrame:
 
 
 def error_counts(rows: DataFrame) -> DataFrame:
-    taxonomy = F.when(F.col("error_type").startswith("invalid_model_output"), "invalid_output").when(F.col("error_type") == "", "none").otherwise(F.col("error_type"))
-    return rows.groupBy("model", taxonomy.alias("taxonomy")).agg(F.count("*").alias("n"))
+    """Errors by model and kind: the recorded kind, else one worked out from output and gold; right rows are left out."""
+    worked = F.when(F.col("prediction").isNull(), "invalid_or_missing_output").when(~F.col("correct"), F.concat_ws("_", F.lower("gold"), F.lit("to"), F.lower("prediction")))
+    taxonomy = F.coalesce(F.nullif(F.trim("error_type"), F.lit("")), worked)
+    return rows.select("model", taxonomy.alias("taxonomy")).filter("taxonomy is not null").groupBy("model", "taxonomy").agg(F.count("*").alias("n"))
 
 
 def label_rollup(rows: DataFrame, value: str, labels: list[str]) -> DataFrame:
@@ -112,6 +117,11 @@ def transition(before: Column, after: Column) -> Column:
     return F.when(before & after, "robust").when(~before & after, "rescue").when(~before & ~after, "resistant").when(before & ~after, "regression")
 
 
+def path(transition: Column) -> Column:
+    """A transition class as the path of correctness it stands for."""
+    return F.create_map(*(F.lit(x) for pair in PATHS.items() for x in pair))[transition]
+
+
 def paired(rows: DataFrame, models: list[str] = ["large", "small"]) -> DataFrame:  # noqa: B006
     """pivoted() with a transition a model and agreement of the first two; an invalid output counts as not correct."""
     wide = pivoted(rows, models)

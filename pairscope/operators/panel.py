@@ -7,10 +7,26 @@ from pyspark.sql import functions as F
 
 from pairscope.operators.paired import n_if, share
 
-#: Verdicts, sufficiency from least to most, ratings that count as weak.
+#: Verdicts, sufficiency from most to least (the last three count as weak), current and legacy categories.
 VERDICTS = ["Supported", "Refuted", "Ambiguous"]
-SUFFICIENCY = ["insufficient", "probably_insufficient", "unclear", "probably_sufficient", "sufficient"]
-WEAK = ["insufficient", "probably_insufficient", "unclear"]
+SUFFICIENCY = ["clearly_sufficient", "probably_sufficient", "partial_or_ambiguous", "probably_insufficient", "clearly_insufficient"]
+WEAK = SUFFICIENCY[2:]
+CATEGORIES = [
+    "sentence_only_gold_agreeing",
+    "title_disclosure_gold_agreeing",
+    "structured_disclosure_gold_agreeing",
+    "additional_evidence_gold_agreeing",
+    "nonmonotonic_judge_path",
+    "decisive_judge_fever_disagreement",
+    "final_nondecisive",
+]
+LEGACY = [
+    "silver_partial_or_ambiguous_warrant",
+    "silver_structured_evidence_sensitive",
+    "silver_title_context_sensitive",
+    "silver_clear_evidence_utilization_failure",
+    "silver_unresolved",
+]
 DECISIVE = ["Supported", "Refuted"]
 
 
@@ -91,34 +107,41 @@ def flags(wide: DataFrame) -> DataFrame:
     )
 
 
-def taxonomy(gold: Column, a: Column, b: Column, c: Column) -> Column:
-    """The seven current categories: what the last stage says against the reference label, and when it came to say it."""
-    bad = ~a.isin([*DECISIVE, "Ambiguous", "Unresolved"]) | ~gold.isin(DECISIVE)
+def taxonomy(gold: Column, a: Column, b: Column, c: Column, adds_text: Column | None = None) -> Column:
+    """The current category of an item: open at the end, against the reference, by a path that turned back, or by the
+    stage whose disclosure settled it. adds_text: whether the last stage showed sentences the others did not."""
+    bad = ~a.isin([*DECISIVE, "Ambiguous", "Unresolved"]) | ~b.isin([*DECISIVE, "Ambiguous", "Unresolved"]) | ~c.isin([*DECISIVE, "Ambiguous", "Unresolved"]) | ~gold.isin(DECISIVE)
+    turned = lambda x, y: decisive(x) & (x != y)  # noqa: E731  reversed, or decisive no more
+    last = F.when(adds_text, CATEGORIES[3]).otherwise(CATEGORIES[2]) if adds_text is not None else F.lit(CATEGORIES[2])
     return (
         F.when(bad, F.raise_error(F.lit("unknown label")))
-        .when(~decisive(c), F.when(decisive(a) | decisive(b), "decisiveness_lost").otherwise("persistently_nondecisive"))
-        .when(c != gold, "panel_disagrees_with_reference")
-        .when(a == gold, "sufficient_from_the_start")
-        .when(decisive(a), "reversed_to_reference")
-        .when(decisive(b), "resolved_by_titles")
-        .otherwise("resolved_by_structure")
+        .when(~decisive(c), CATEGORIES[6])
+        .when(c != gold, CATEGORIES[5])
+        .when(turned(a, b) | turned(b, c), CATEGORIES[4])
+        .when(a == gold, CATEGORIES[0])
+        .when(~decisive(a) & decisive(b), CATEGORIES[1])
+        .otherwise(last)
     )
 
 
-def taxonomy_legacy(gold: Column, a: Column, b: Column, c: Column) -> Column:
-    """The withdrawn five classes, kept for comparison; its second rule takes in what titles resolved."""
+def taxonomy_legacy(a: Column, b: Column, c: Column, cohort: Column) -> Column:
+    """The withdrawn classes, kept for comparison; the second takes in what titles resolved."""
     return (
-        F.when(~decisive(c), "persistent_ambiguity")
-        .when(~decisive(a) & decisive(c), "representation_dependent")
-        .when(decisive(a) & (a != c), "reversal")
-        .when(c == gold, "utilization_failure")
-        .otherwise("reference_disagreement")
+        F.when(~decisive(c), LEGACY[0])
+        .when(~decisive(a) | (decisive(a) & (a != c)), LEGACY[1])
+        .when(decisive(b) & (a != b), LEGACY[2])
+        .when(cohort.isin("regression", "resistant"), LEGACY[3])
+        .otherwise(LEGACY[4])
     )
 
 
-def taxonomy_residual(gold: Column, first: Column, second: Column) -> Column:
-    """A second panel on what the first left open; agreement with the reference is null where nothing was decided."""
-    return F.when(decisive(first), "not_residual").when(~decisive(second), "shared_nondecisive").when(second == gold, "resolved_as_reference").otherwise("resolved_against_reference")
+def taxonomy_residual(first: Column, second: Column, second_rule: Column) -> Column:
+    """What a second panel says of an item the first left open."""
+    return (
+        F.when(~decisive(second) & ~decisive(first), "cross_family_persistent_ambiguity")
+        .when(decisive(second) & (second_rule == "high_consensus"), "first_panel_only_ambiguity")
+        .otherwise("second_panel_internal_disagreement")
+    )
 
 
 def judge_behavior(judgments: DataFrame) -> DataFrame:
@@ -140,7 +163,7 @@ def aligned(judgments: DataFrame) -> DataFrame:
     cell = lambda c, s: F.min(F.when(F.col("stage") == s, F.col(c)))
     place = lambda c: F.array_position(F.array(*(F.lit(s) for s in SUFFICIENCY)), c)
     held = judgments.groupBy("item_id", "judge_no").agg(*(cell("verdict", s).alias(f"v_{s.lower()}") for s in "ABC"), *(cell("sufficiency", s).alias(f"s_{s.lower()}") for s in "ABC"))
-    return held.withColumn("improved_ab", place(F.col("s_b")) > place(F.col("s_a"))).withColumn("improved_bc", place(F.col("s_c")) > place(F.col("s_b")))
+    return held.withColumn("improved_ab", place(F.col("s_b")) < place(F.col("s_a"))).withColumn("improved_bc", place(F.col("s_c")) < place(F.col("s_b")))
 
 
 def change_rates(rows: DataFrame) -> DataFrame:

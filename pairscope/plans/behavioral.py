@@ -30,7 +30,7 @@ add(
     UNION ALL SELECT model, 'evidence_gain_pp', 'both', (b / m - a / n) * 100, NULL, NULL FROM w UNION ALL SELECT model, 'failure_rate', 'with_evidence', 1 - b / m, m - b, m FROM w""",
     views="judged",
 )
-add("A04_error_counts", "predictions", lambda p: P.error_counts(P.judged(p)), "SELECT model, CASE WHEN error_type LIKE 'invalid_model_output%' THEN 'invalid_output' WHEN error_type = '' THEN 'none' ELSE error_type END AS taxonomy, count(*) AS n FROM judged GROUP BY ALL", views="judged")
+add("A04_error_counts", "predictions", lambda p: P.error_counts(P.judged(p)), "SELECT model, error_type AS taxonomy, count(*) AS n FROM judged WHERE error_type <> '' GROUP BY ALL", views="judged")
 add(
     "A05_label_rollup",
     "predictions",
@@ -68,14 +68,14 @@ add(
 )
 add("A15_size_crosstab", "predictions", lambda p: p.groupBy("n_sets").pivot("gold", P.LABELS).count().na.fill(0), "SELECT n_sets, count(*) FILTER (gold = 'Supported') AS \"Supported\", count(*) FILTER (gold = 'Refuted') AS \"Refuted\" FROM predictions GROUP BY n_sets")
 add("A24_set_size_rates", "predictions", lambda p: long(p).filter("n_sets <= 3").groupBy("model", "n_sets").agg(*(P.share(F.count_if(F.col("transition") == t), F.count("*")).alias(t) for t in P.TRANSITIONS)), f"SELECT model, n_sets, {', '.join(f'''count(*) FILTER (transition = '{t}') / count(*) AS {t}''' for t in P.TRANSITIONS)} FROM transitions WHERE n_sets <= 3 GROUP BY ALL", views="transitions")
-add("P12_transition_class", "predictions", lambda p: P.paired(P.judged(p)).select("claim_id", "gold", "large_transition", "small_transition", "agree_co", "agree_ev", "agree_transition"), "SELECT claim_id, gold, large_transition, small_transition, agree_co, agree_ev, agree_transition FROM paired", views="paired")
+add("P12_transition_class", "predictions", lambda p: P.paired(P.judged(p)).select("claim_id", "gold", "large_transition", "small_transition", P.path(F.col("large_transition")).alias("large_path"), "agree_co", "agree_ev", "agree_transition"), "SELECT claim_id, gold, large_transition, small_transition, CASE large_transition WHEN 'robust' THEN 'correct_to_correct' WHEN 'rescue' THEN 'wrong_to_correct' WHEN 'resistant' THEN 'wrong_to_wrong' ELSE 'correct_to_wrong' END AS large_path, agree_co, agree_ev, agree_transition FROM paired", views="paired")
 add("P07_output_normalization", "predictions", lambda p: p.select("claim_id", "model", "cond", P.normalized_output(F.concat(F.lit("the claim is **"), F.upper("model_output"), F.lit("**."))).alias("prediction")), "SELECT claim_id, model, cond, prediction FROM judged", views="judged")
-add("P08_error_type", "predictions", lambda p: P.judged(p).select("claim_id", "model", "cond", F.when(F.col("correct"), "Yes").otherwise("No").alias("correct"), "error_type"), "SELECT claim_id, model, cond, CASE WHEN correct THEN 'Yes' ELSE 'No' END AS correct, error_type FROM judged", views="judged")
+add("P08_error_type", "predictions", lambda p: P.judged(p).select("claim_id", "model", "cond", F.when(F.col("correct"), "Yes").otherwise("No").alias("correct"), "error_type", "notes"), "SELECT claim_id, model, cond, CASE WHEN correct THEN 'Yes' ELSE 'No' END AS correct, error_type, notes FROM judged", views="judged")
 add(
     "P10_raw_output_coalesce",
     "predictions",
-    lambda p: P.judged(p).select("claim_id", "model", "cond", I.filled(F.when(F.col("claim_id") % 2 == 0, "  "), F.when(F.col("claim_id") % 3 == 0, F.concat(F.lit(" "), "model_output")), F.regexp_replace("error_type", "^invalid_model_output:", "")).alias("raw")),
-    "SELECT claim_id, model, cond, coalesce(nullif(trim(CASE WHEN claim_id % 3 = 0 THEN model_output END), ''), nullif(trim(regexp_replace(error_type, '^invalid_model_output:', '')), '')) AS raw FROM judged",
+    lambda p: P.judged(p).select("claim_id", "model", "cond", I.filled(F.when(F.col("claim_id") % 2 == 0, "  "), F.when(F.col("claim_id") % 3 == 0, F.concat(F.lit(" "), "model_output")), F.regexp_replace("notes", "^invalid_model_output:", "")).alias("raw")),
+    "SELECT claim_id, model, cond, coalesce(nullif(trim(CASE WHEN claim_id % 3 = 0 THEN model_output END), ''), nullif(trim(regexp_replace(notes, '^invalid_model_output:', '')), '')) AS raw FROM judged",
     views="judged",
 )
 
@@ -96,10 +96,10 @@ def _tracker(p):
     )
 
 
-_TRACKER = """WITH t AS (SELECT CASE WHEN d % 11 = 0 THEN NULL ELSE claim_id END AS id, position, CASE WHEN d % 5 = 0 THEN 'missing_text' WHEN d % 7 = 0 THEN 'invalid_label' WHEN d % 3 = 0 THEN 'missing_evidence' END AS own, claim_id
+_TRACKER = """WITH t AS (SELECT CASE WHEN d % 11 = 0 THEN NULL ELSE claim_id END AS id, position, CASE WHEN d % 5 = 0 THEN 'missing_claim_text' WHEN d % 7 = 0 THEN 'invalid_true_label:Unsure' WHEN d % 3 = 0 THEN 'missing_gold_evidence' END AS own, claim_id
   FROM (SELECT claim_id, CASE WHEN model = 'large' THEN 0 ELSE 2 END + CASE WHEN cond = 'claim_only' THEN 0 ELSE 1 END AS position, @H[cast(claim_id AS varchar) || model || cond] AS d FROM predictions) x),
   f AS (SELECT id, min(position) AS first FROM t WHERE own IS NULL AND id IS NOT NULL GROUP BY id)
-  SELECT t.claim_id, t.position, CASE WHEN t.id IS NULL THEN 'missing_id' WHEN t.position > f.first THEN 'duplicate_id' ELSE own END AS reason FROM t LEFT JOIN f ON t.id = f.id"""
+  SELECT t.claim_id, t.position, CASE WHEN t.id IS NULL THEN 'missing_claim_id' WHEN t.position > f.first THEN 'duplicate_claim_id' ELSE own END AS reason FROM t LEFT JOIN f ON t.id = f.id"""
 add("P03_usability_gate", "predictions", lambda p: I.usability(_tracker(p), "id", "position", "text", "label", "evidence", P.LABELS).select("claim_id", "position", "reason"), _TRACKER)
 add("P02_alias_fallback", "", lambda c: c.select("c_custkey", I.filled(F.when(F.col("c_custkey") % 2 == 0, F.lit(" ")), F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit(" "), "c_name", F.lit(" "))), F.col("c_mktsegment")).alias("name")), "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN trim(c_name) ELSE trim(c_mktsegment) END AS name FROM customer", tables="customer")
 add("P04_balance_gate", "predictions", lambda p: p.groupBy("model", "cond").agg(F.count("*").alias("n"), F.count_if(F.col("gold") == "Supported").alias("n_supported"), F.count_distinct("claim_id").alias("claims")).withColumn("one_row_a_claim", F.col("n") == F.col("claims")), "SELECT model, cond, count(*) AS n, count(*) FILTER (gold = 'Supported') AS n_supported, count(DISTINCT claim_id) AS claims, count(*) = count(DISTINCT claim_id) AS one_row_a_claim FROM predictions GROUP BY ALL")

@@ -12,13 +12,13 @@ from pairscope.plans.book import Book
 book = Book()
 add = book.add
 LABELS = [*N.VERDICTS, "Unresolved"]
-CATEGORIES = ["persistently_nondecisive", "decisiveness_lost", "panel_disagrees_with_reference", "sufficient_from_the_start", "reversed_to_reference", "resolved_by_titles", "resolved_by_structure"]
+CATEGORIES = N.CATEGORIES
 
 
 def _consensus(source: str = "judgments", name: str = "cons") -> str:
     """The consensus in SQL, by another way: a list of votes in judge order."""
     return f"""{name}0 AS (SELECT item_id, stage, min(gold) AS gold, list(verdict ORDER BY judge_no) AS vs, list(sufficiency ORDER BY judge_no) AS ss, avg(confidence) AS mean_confidence, stddev_pop(confidence) AS sd_confidence FROM {source} GROUP BY item_id, stage),
-    {name}1 AS (SELECT *, len(list_filter(vs, lambda x: x = 'Supported')) AS n_supported, len(list_filter(vs, lambda x: x = 'Refuted')) AS n_refuted, len(list_filter(vs, lambda x: x = 'Ambiguous')) AS n_ambiguous, len(list_filter(ss, lambda x: x IN ('insufficient', 'probably_insufficient', 'unclear'))) AS n_weak FROM {name}0),
+    {name}1 AS (SELECT *, len(list_filter(vs, lambda x: x = 'Supported')) AS n_supported, len(list_filter(vs, lambda x: x = 'Refuted')) AS n_refuted, len(list_filter(vs, lambda x: x = 'Ambiguous')) AS n_ambiguous, len(list_filter(ss, lambda x: x IN ('partial_or_ambiguous', 'probably_insufficient', 'clearly_insufficient'))) AS n_weak FROM {name}0),
     {name}2 AS (SELECT *, list_filter(vs, lambda x: len(list_filter(vs, lambda y: y = x)) = greatest(n_supported, n_refuted, n_ambiguous))[1] AS modal_verdict,
       list_filter(ss, lambda x: len(list_filter(ss, lambda y: y = x)) = list_max([len(list_filter(ss, lambda y: y = z)) FOR z IN ss]))[1] AS modal_sufficiency,
       len(list_distinct(list_filter(vs, lambda x: len(list_filter(vs, lambda y: y = x)) = greatest(n_supported, n_refuted, n_ambiguous)))) > 1 AS tied FROM {name}1),
@@ -28,7 +28,7 @@ def _consensus(source: str = "judgments", name: str = "cons") -> str:
 
 _WIDE = "wide AS (SELECT item_id, min(gold) AS gold, min(consensus) FILTER (stage = 'A') AS a, min(consensus) FILTER (stage = 'B') AS b, min(consensus) FILTER (stage = 'C') AS c FROM cons GROUP BY item_id)"
 _D = lambda x: f"{x} IN ('Supported', 'Refuted')"
-_TAX = f"""CASE WHEN NOT ({_D('c')}) THEN CASE WHEN {_D('a')} OR {_D('b')} THEN 'decisiveness_lost' ELSE 'persistently_nondecisive' END WHEN c <> gold THEN 'panel_disagrees_with_reference' WHEN a = gold THEN 'sufficient_from_the_start' WHEN {_D('a')} THEN 'reversed_to_reference' WHEN {_D('b')} THEN 'resolved_by_titles' ELSE 'resolved_by_structure' END"""
+_TAX = f"""CASE WHEN NOT ({_D('c')}) THEN 'final_nondecisive' WHEN c <> gold THEN 'decisive_judge_fever_disagreement' WHEN ({_D('a')} AND a <> b) OR ({_D('b')} AND b <> c) THEN 'nonmonotonic_judge_path' WHEN a = gold THEN 'sentence_only_gold_agreeing' WHEN NOT ({_D('a')}) AND {_D('b')} THEN 'title_disclosure_gold_agreeing' WHEN item_id % 3 = 0 THEN 'additional_evidence_gold_agreeing' ELSE 'structured_disclosure_gold_agreeing' END"""
 _C = "WITH " + _consensus()
 _CW = f"{_C}, {_WIDE}"
 
@@ -40,7 +40,7 @@ def wide(j):
 
 def classified(j):
     gold, a, b, c = F.col("gold"), F.col("a"), F.col("b"), F.col("c")
-    return wide(j).withColumn("category", N.taxonomy(gold, a, b, c)).withColumn("legacy", N.taxonomy_legacy(gold, a, b, c))
+    return wide(j).withColumn("category", N.taxonomy(gold, a, b, c, F.col("item_id") % 3 == 0)).withColumn("legacy", N.taxonomy_legacy(a, b, c, F.when(F.col("item_id") % 2 == 0, "regression").otherwise("robust")))
 
 
 add("A17_consensus", "judgments", lambda j: N.consensus(j).select("item_id", "stage", "n_supported", "n_refuted", "n_ambiguous", "n_weak", "rule", "consensus"), f"{_C} SELECT item_id, stage, n_supported, n_refuted, n_ambiguous, n_weak, rule, consensus FROM cons")
@@ -68,7 +68,7 @@ add(
     f"""{_C}, r AS (SELECT flags, unnest(['all', CASE WHEN {_D('consensus')} THEN 'resolved' ELSE 'persistent' END]) AS scope FROM judgments JOIN cons USING (item_id, stage) WHERE stage = 'C'), s AS (SELECT scope, count(*) AS size FROM r GROUP BY scope)
     SELECT scope, flag, count(*) AS n, 100 * count(*) / min(size) AS pct FROM (SELECT scope, unnest(string_split(flags, ';')) AS flag FROM r) x JOIN s USING (scope) WHERE flag <> 'none' GROUP BY ALL""",
 )
-_AL = "al AS (SELECT item_id, judge_no, min(verdict) FILTER (stage = 'A') AS v_a, min(verdict) FILTER (stage = 'B') AS v_b, min(verdict) FILTER (stage = 'C') AS v_c, min(sufficiency) FILTER (stage = 'A') AS s_a, min(sufficiency) FILTER (stage = 'B') AS s_b, min(sufficiency) FILTER (stage = 'C') AS s_c FROM judgments GROUP BY ALL), al2 AS (SELECT *, list_position(o, s_b) > list_position(o, s_a) AS improved_ab, list_position(o, s_c) > list_position(o, s_b) AS improved_bc FROM (SELECT *, ['insufficient', 'probably_insufficient', 'unclear', 'probably_sufficient', 'sufficient'] AS o FROM al) x)"
+_AL = "al AS (SELECT item_id, judge_no, min(verdict) FILTER (stage = 'A') AS v_a, min(verdict) FILTER (stage = 'B') AS v_b, min(verdict) FILTER (stage = 'C') AS v_c, min(sufficiency) FILTER (stage = 'A') AS s_a, min(sufficiency) FILTER (stage = 'B') AS s_b, min(sufficiency) FILTER (stage = 'C') AS s_c FROM judgments GROUP BY ALL), al2 AS (SELECT *, list_position(o, s_b) < list_position(o, s_a) AS improved_ab, list_position(o, s_c) < list_position(o, s_b) AS improved_bc FROM (SELECT *, ['clearly_sufficient', 'probably_sufficient', 'partial_or_ambiguous', 'probably_insufficient', 'clearly_insufficient'] AS o FROM al) x)"
 add("J11_judge_alignment", "judgments", lambda j: N.aligned(j).select("item_id", "judge_no", "v_a", "v_b", "v_c"), f"WITH {_AL} SELECT item_id, judge_no, v_a, v_b, v_c FROM al2")
 add("F26_sufficiency_improved", "judgments", lambda j: N.aligned(j).select("item_id", "judge_no", "improved_ab", "improved_bc"), f"WITH {_AL} SELECT item_id, judge_no, improved_ab, improved_bc FROM al2")
 add("F25_judge_suffix", "judgments", lambda j: j.select(F.concat(F.lit("panel_"), "judge_no").alias("raw")).distinct().select("raw", F.concat(F.lit("judge_"), F.regexp_extract("raw", r"_(\d+)$", 1)).alias("judge_id")), "SELECT DISTINCT 'panel_' || judge_no AS raw, judge_id FROM judgments")
@@ -89,24 +89,24 @@ add(
 add("P16_legacy_flags", "judgments", lambda j: wide(j).select("item_id", (~F.col("a_decisive") & F.col("c_decisive")).alias("resolved_only_by_structure"), F.col("reversed_ac").alias("reversed_after_structure")), f"{_CW} SELECT item_id, NOT ({_D('a')}) AND {_D('c')} AS resolved_only_by_structure, {_D('a')} AND {_D('c')} AND a <> c AS reversed_after_structure FROM wide")
 add("A29_resolution_rates", "judgments", lambda j: wide(j).agg(*((100 * F.avg(F.col(x).cast("double"))).alias(x) for x in ("title_resolved", "structure_resolved", "reversed_ac", "lost_ab", "never_decisive"))), f"{_CW} SELECT 100 * avg((NOT ({_D('a')}) AND {_D('b')})::int) AS title_resolved, 100 * avg((NOT ({_D('a')}) AND NOT ({_D('b')}) AND {_D('c')})::int) AS structure_resolved, 100 * avg(({_D('a')} AND {_D('c')} AND a <> c)::int) AS reversed_ac, 100 * avg(({_D('a')} AND NOT ({_D('b')}))::int) AS lost_ab, 100 * avg((NOT ({_D('a')}) AND NOT ({_D('b')}) AND NOT ({_D('c')}))::int) AS never_decisive FROM wide")
 add("P17_taxonomy_v2", "judgments", lambda j: classified(j).select("item_id", "gold", "category", F.when(F.col("a_decisive"), "A").when(F.col("b_decisive"), "B").when(F.col("c_decisive"), "C").alias("first_decisive_stage"), F.when(F.col("a") == F.col("gold"), "A").when(F.col("b") == F.col("gold"), "B").when(F.col("c") == F.col("gold"), "C").alias("first_agreeing_stage")), f"{_CW} SELECT item_id, gold, {_TAX} AS category, CASE WHEN {_D('a')} THEN 'A' WHEN {_D('b')} THEN 'B' WHEN {_D('c')} THEN 'C' END AS first_decisive_stage, CASE WHEN a = gold THEN 'A' WHEN b = gold THEN 'B' WHEN c = gold THEN 'C' END AS first_agreeing_stage FROM wide")
-_LEG = f"CASE WHEN NOT ({_D('c')}) THEN 'persistent_ambiguity' WHEN NOT ({_D('a')}) THEN 'representation_dependent' WHEN a <> c THEN 'reversal' WHEN c = gold THEN 'utilization_failure' ELSE 'reference_disagreement' END"
+_LEG = f"CASE WHEN NOT ({_D('c')}) THEN 'silver_partial_or_ambiguous_warrant' WHEN NOT ({_D('a')}) OR a <> c THEN 'silver_structured_evidence_sensitive' WHEN {_D('b')} AND a <> b THEN 'silver_title_context_sensitive' WHEN item_id % 2 = 0 THEN 'silver_clear_evidence_utilization_failure' ELSE 'silver_unresolved' END"
 add("P18_taxonomy_v1", "judgments", lambda j: classified(j).select("item_id", "legacy"), f"{_CW} SELECT item_id, {_LEG} AS legacy FROM wide")
-add("P19_broad_class", "judgments", lambda j: classified(j).groupBy(F.create_map(*(F.lit(x) for c in CATEGORIES for x in (c, "open" if c in CATEGORIES[:2] else "against" if c == CATEGORIES[2] else "with_reference")))[F.col("category")].alias("broad")).agg(F.count("*").alias("n")), f"{_CW} SELECT CASE WHEN NOT ({_D('c')}) THEN 'open' WHEN c <> gold THEN 'against' ELSE 'with_reference' END AS broad, count(*) AS n FROM wide GROUP BY ALL")
+add("P19_broad_class", "judgments", lambda j: classified(j).groupBy(F.create_map(*(F.lit(x) for c in CATEGORIES for x in (c, "open" if c == CATEGORIES[6] else "against" if c == CATEGORIES[5] else "with_reference")))[F.col("category")].alias("broad")).agg(F.count("*").alias("n")), f"{_CW} SELECT CASE WHEN NOT ({_D('c')}) THEN 'open' WHEN c <> gold THEN 'against' ELSE 'with_reference' END AS broad, count(*) AS n FROM wide GROUP BY ALL")
 add("A30_mechanism_proportions", "judgments", lambda j: N.proportions(classified(j), "category", CATEGORIES), f"{_CW}, x AS (SELECT {_TAX} AS category FROM wide), t AS (SELECT count(*) AS total FROM x) SELECT total, d.category, count(x.category) AS n, count(x.category) / total AS share FROM t CROSS JOIN (VALUES {', '.join(f'''('{c}')''' for c in CATEGORIES)}) AS d(category) LEFT JOIN x ON x.category = d.category GROUP BY total, d.category")
 add("A31_moves", "judgments", lambda j: wide(j).filter("a <> c").groupBy("a", "c").agg(F.count("*").alias("n")), f"{_CW} SELECT a, c, count(*) AS n FROM wide WHERE a <> c GROUP BY ALL")
 add("A16_stage_crosstab", "judgments", lambda j: P.crosstab(wide(j), "a", "c", LABELS), f"{_CW} SELECT o.position, o.a, {', '.join(f'''count(*) FILTER (w.c = '{v}') AS c_{v}''' for v in LABELS)} FROM (VALUES {', '.join(f'''('{v}', {i})''' for i, v in enumerate(LABELS))}) AS o(a, position) LEFT JOIN wide w ON w.a = o.a GROUP BY o.position, o.a")
-_CB = f"WITH {_consensus()}, {_consensus('judgments_b', 'consb')}, both_ AS (SELECT item_id, stage, cons.gold, cons.consensus AS one, consb.consensus AS two FROM cons JOIN consb USING (item_id, stage))"
+_CB = f"WITH {_consensus()}, {_consensus('judgments_b', 'consb')}, both_ AS (SELECT item_id, stage, cons.gold, cons.consensus AS one, consb.consensus AS two, consb.rule AS two_rule FROM cons JOIN consb USING (item_id, stage))"
 
 
 def two_panels(j, b):
     """Both panels' consensus an item and stage, with the reference label."""
     gold = j.groupBy("item_id").agg(F.min("gold").alias("gold"))
     one = N.consensus(j).select("item_id", "stage", F.col("consensus").alias("one"))
-    two = N.consensus(b).select("item_id", "stage", F.col("consensus").alias("two"))
+    two = N.consensus(b).select("item_id", "stage", F.col("consensus").alias("two"), F.col("rule").alias("two_rule"))
     return one.join(two, ["item_id", "stage"]).join(gold, "item_id")
 
 
-add("P20_cross_family_taxonomy", "judgments judgments_b", lambda j, b: two_panels(j, b).filter("stage = 'C'").select("item_id", N.taxonomy_residual(F.col("gold"), F.col("one"), F.col("two")).alias("category"), F.when(N.decisive(F.col("two")), F.col("two") == F.col("gold")).alias("agrees")), f"{_CB} SELECT item_id, CASE WHEN {_D('one')} THEN 'not_residual' WHEN NOT ({_D('two')}) THEN 'shared_nondecisive' WHEN two = gold THEN 'resolved_as_reference' ELSE 'resolved_against_reference' END AS category, CASE WHEN {_D('two')} THEN two = gold END AS agrees FROM both_ WHERE stage = 'C'")
+add("P20_cross_family_taxonomy", "judgments judgments_b", lambda j, b: two_panels(j, b).filter("stage = 'C'").select("item_id", N.taxonomy_residual(F.col("one"), F.col("two"), F.col("two_rule")).alias("category"), F.when(N.decisive(F.col("two")), F.col("two") == F.col("gold")).alias("agrees")), f"{_CB} SELECT item_id, CASE WHEN NOT ({_D('one')}) AND NOT ({_D('two')}) THEN 'cross_family_persistent_ambiguity' WHEN {_D('two')} AND two_rule = 'high_consensus' THEN 'first_panel_only_ambiguity' ELSE 'second_panel_internal_disagreement' END AS category, CASE WHEN {_D('two')} THEN two = gold END AS agrees FROM both_ WHERE stage = 'C'")
 add("T35_residual", "judgments judgments_b", lambda j, b: two_panels(j, b).filter("stage = 'C'").filter(~N.decisive(F.col("one"))).groupBy("two").agg(F.count("*").alias("n"), P.n_if(F.col("two") == F.col("gold")).alias("as_reference")), f"{_CB} SELECT two, count(*) AS n, count(*) FILTER (two = gold) AS as_reference FROM both_ WHERE stage = 'C' AND NOT ({_D('one')}) GROUP BY two")
 add("A32_stage_comparison", "judgments judgments_b", lambda j, b: two_panels(j, b).groupBy("stage").agg(F.count("*").alias("n"), P.n_if(~N.decisive(F.col("one"))).alias("open_one"), P.n_if(~N.decisive(F.col("two"))).alias("open_two"), P.n_if(~N.decisive(F.col("one")) & N.decisive(F.col("two"))).alias("one_only"), P.n_if(N.decisive(F.col("one")) & ~N.decisive(F.col("two"))).alias("two_only")).withColumn("delta_pp", 100 * (F.col("open_two") - F.col("open_one")) / F.col("n")), f"{_CB} SELECT stage, count(*) AS n, count(*) FILTER (NOT ({_D('one')})) AS open_one, count(*) FILTER (NOT ({_D('two')})) AS open_two, count(*) FILTER (NOT ({_D('one')}) AND {_D('two')}) AS one_only, count(*) FILTER ({_D('one')} AND NOT ({_D('two')})) AS two_only, 100 * (count(*) FILTER (NOT ({_D('two')})) - count(*) FILTER (NOT ({_D('one')}))) / count(*) AS delta_pp FROM both_ GROUP BY stage")
 add("A33_overlap_subgroups", "predictions", lambda p: N.overlapping(P.paired(P.judged(p)), {"either": (F.col("large_transition") == "regression") | (F.col("small_transition") == "regression"), "shared": (F.col("large_transition") == "regression") & (F.col("small_transition") == "regression"), "large": F.col("large_transition") == "regression", "small": F.col("small_transition") == "regression"}, {"supported": F.col("gold") == "Supported", "many_sets": F.col("n_sets") > 2}), "SELECT g AS \"group\", m AS measure, count(*) FILTER (inside) AS n, count(*) FILTER (inside AND hit) AS hits, count(*) FILTER (inside AND hit) / nullif(count(*) FILTER (inside), 0) AS rate FROM (SELECT unnest([{g: 'either', inside: l OR s}, {g: 'shared', inside: l AND s}, {g: 'large', inside: l}, {g: 'small', inside: s}], recursive := true), gold, n_sets FROM (SELECT gold, n_sets, large_transition = 'regression' AS l, small_transition = 'regression' AS s FROM paired) y) x, (VALUES ('supported'), ('many_sets')) AS k(m), LATERAL (SELECT CASE WHEN m = 'supported' THEN gold = 'Supported' ELSE n_sets > 2 END AS hit) h GROUP BY ALL", views="paired")

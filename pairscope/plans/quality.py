@@ -14,21 +14,21 @@ book = Book()
 add = book.add
 _WS = r"[ \t\n\x0b\f\r]"
 _NORM = lambda c: f"trim(regexp_replace(lower({c}), '{_WS}+', ' ', 'g'))"
-_PLAIN = lambda c: f"regexp_replace(lower({c}), '[^\\x00-\\x7F]', ' ', 'g')"
+_PLAIN = lambda c: f"regexp_replace({c}, '[^\\x00-\\x7F]', ' ', 'g')"
 _TOK = lambda c: f"regexp_extract_all(lower({c}), '[A-Za-z0-9'']+')"
 _STOP = "[" + ", ".join(f"'{w}'" for w in T.STOP) + "]"
 _CON = lambda c: f"list_distinct(list_filter({_TOK(c)}, lambda x: NOT list_contains({_STOP}, x)))"
-_NUM = lambda c: f"list_distinct(regexp_extract_all({c}, '[0-9]+'))"
+_NUM = lambda c: f"list_distinct(regexp_extract_all({c}, '{T.PATTERNS['number']}'))"
 
 add("F10_normalize", "", lambda d: d.select("doc_id", F.md5(T.normalized(F.col("text"))).alias("digest")), f"SELECT doc_id, md5({_NORM('text')}) AS digest FROM documents", tables="documents")
 add("F11_tokens", "texts", lambda t: t.select("claim_id", F.size(T.tokens(F.col("text"))).alias("n_tokens"), F.size(F.array_distinct(T.tokens(F.col("text")))).alias("n_distinct")), f"SELECT claim_id, len({_TOK('text')}) AS n_tokens, len(list_distinct({_TOK('text')})) AS n_distinct FROM texts")
-add("F12_regex_counts", "texts", lambda t: t.select("claim_id", *(F.regexp_count(T.plain(F.col("text")), F.lit(p)).alias(n) for n, p in T.PATTERNS.items())), "SELECT claim_id, " + ", ".join(f"len(regexp_extract_all({_PLAIN('text')}, '{p}')) AS {n}" for n, p in T.PATTERNS.items()) + " FROM texts")
+add("F12_regex_counts", "texts", lambda t: t.select("claim_id", *(F.regexp_count(T.plain(F.col("text")), F.lit(p)).alias(n) for n, p in T.PATTERNS.items())), "SELECT claim_id, " + ", ".join(f"""len(regexp_extract_all({_PLAIN('text')}, '{p.replace("'", "''")}')) AS {n}""" for n, p in T.PATTERNS.items()) + " FROM texts")
 add(
     "F13_overlap",
     "texts",
     lambda t: t.select("claim_id", *(c.alias(n) for n, c in T.overlap(F.col("claim"), F.col("evidence")).items())),
     f"""SELECT claim_id, len(list_intersect(a, b)) / greatest(1, len(a)) AS lexical_overlap, len(list_intersect(a, b)) / greatest(1, len(list_distinct(a || b))) AS jaccard, CASE WHEN len(na) = 0 THEN 1.0 ELSE len(list_intersect(na, nb)) / greatest(1, len(na)) END AS numeric_overlap,
-    ta / greatest(1, tb) AS length_ratio, regexp_matches(claim, '{T.PATTERNS['date']}') AND NOT regexp_matches(evidence, '{T.PATTERNS['date']}') AS date_missing FROM (SELECT claim_id, claim, evidence, {_CON('claim')} AS a, {_CON('evidence')} AS b, {_NUM('claim')} AS na, {_NUM('evidence')} AS nb, len({_TOK('claim')}) AS ta, len({_TOK('evidence')}) AS tb FROM texts) x""",
+    ta / greatest(1, tb) AS length_ratio, regexp_matches({_PLAIN('claim')}, '{T.PATTERNS['date']}') AND NOT regexp_matches({_PLAIN('evidence')}, '{T.PATTERNS['date']}') AS date_missing FROM (SELECT claim_id, claim, evidence, {_CON('claim')} AS a, {_CON('evidence')} AS b, {_NUM('claim')} AS na, {_NUM('evidence')} AS nb, len({_TOK('claim')}) AS ta, len({_TOK('evidence')}) AS tb FROM texts) x""",
 )
 add("F01_title_nfc", "", lambda p: p.select("p_partkey", T.page_key(F.concat("p_name", F.lit(" é "))).alias("key")), "SELECT p_partkey, replace(nfc_normalize(trim(p_name || ' é ')), ' ', '_') AS key FROM part", tables="part")
 
@@ -92,21 +92,25 @@ add("P25_quality_flags", "texts", quality_flags, f"WITH x AS (SELECT claim_id, l
 add("P26_shared_failure", "predictions", lambda p: P.paired(P.judged(p)).select("claim_id", F.coalesce((F.col("large_with_evidence") == F.col("small_with_evidence")) & (F.col("large_with_evidence") != F.col("gold")), F.lit(False)).alias("shared_failure")), "SELECT claim_id, coalesce(large_with_evidence = small_with_evidence AND large_with_evidence <> gold, false) AS shared_failure FROM paired", views="paired")
 
 
+def _same_failure():
+    return F.coalesce((F.col("large_with_evidence") == F.col("small_with_evidence")) & (F.col("large_with_evidence") != F.col("gold")), F.lit(False))
+
+
 def priority(p):
     rows = scored(p)
     a, b = F.col("large_transition"), F.col("small_transition")
-    terms = [(8, (a == "regression") & (b == "regression")), (6, (a == "regression") | (b == "regression")), (4, (a == "resistant") & (b == "resistant")), (3, F.col("disagrees")), (2, F.col("weak")), (2, ~F.col("agree_ev")), (1, F.col("n_sets") > 2), (1, ~F.col("agree_co"))]
+    terms = [(8, (a == "regression") & (b == "regression")), (6, (a == "regression") != (b == "regression")), (4, (a == "resistant") & (b == "resistant")), (3, F.col("disagrees")), (2, F.col("weak")), (2, _same_failure()), (1, F.col("n_sets") >= 2), (1, ~F.col("agree_co"))]
     return rows.withColumn("score", sum((n * c.cast("int") for n, c in terms), F.lit(0)))
 
 
-_PR = "8 * (large_transition = 'regression' AND small_transition = 'regression')::int + 6 * (large_transition = 'regression' OR small_transition = 'regression')::int + 4 * (large_transition = 'resistant' AND small_transition = 'resistant')::int + 3 * disagrees::int + 2 * weak::int + 2 * (NOT agree_ev)::int + (n_sets > 2)::int + (NOT agree_co)::int"
+_PR = "8 * (large_transition = 'regression' AND small_transition = 'regression')::int + 6 * ((large_transition = 'regression') <> (small_transition = 'regression'))::int + 4 * (large_transition = 'resistant' AND small_transition = 'resistant')::int + 3 * disagrees::int + 2 * weak::int + 2 * coalesce(large_with_evidence = small_with_evidence AND large_with_evidence <> gold, false)::int + (n_sets >= 2)::int + (NOT agree_co)::int"
 add("P27_priority_topk", "predictions", lambda p: priority(p).orderBy(F.desc("score"), "claim_id").limit(100).select("claim_id", "score"), f"WITH {_SC} SELECT claim_id, {_PR} AS score FROM sc ORDER BY score DESC, claim_id LIMIT 100", views="paired")
 add("W10_topk_top_up", "predictions", lambda p: priority(p).orderBy((F.col("score") == 0).asc(), F.when(F.col("score") > 0, -F.col("score")).asc(), F.when(F.col("score") > 0, F.col("claim_id")), F.md5(F.concat(F.lit("top"), F.col("claim_id").cast("string")))).limit(300).select("claim_id", "score"), f"WITH {_SC} SELECT claim_id, score FROM (SELECT claim_id, {_PR} AS score FROM sc) x ORDER BY score = 0, CASE WHEN score > 0 THEN -score END, CASE WHEN score > 0 THEN claim_id END, md5('top' || claim_id) LIMIT 300", views="paired")
 
 
 def categories(p):
     a, b = F.col("large_transition"), F.col("small_transition")
-    ordered = [("shared_regression", (a == "regression") & (b == "regression")), ("regression", (a == "regression") != (b == "regression")), ("resistant", (a == "resistant") | (b == "resistant")), ("label_noise", F.col("disagrees")), ("weak_warrant", F.col("weak")), ("split", ~F.col("agree_ev"))]
+    ordered = [("shared_regression", (a == "regression") & (b == "regression")), ("weakly_warranted_or_ambiguous", F.col("disagrees") & (F.col("margin") < 0.3)), ("multi_sentence_integration_or_title_context", F.col("n_sets") >= 2), ("possible_representation_failure", F.col("weak")), ("possible_benchmark_annotation_issue", _same_failure())]
     found = F.array_join(F.filter(F.array(*(F.when(c, F.lit(n)) for n, c in ordered)), lambda x: x.isNotNull()), ";")
     return scored(p).select("claim_id", F.when(found == "", "unexplained").otherwise(found).alias("category"))
 
@@ -115,8 +119,8 @@ add(
     "P28_category_string",
     "predictions",
     categories,
-    f"""WITH {_SC} SELECT claim_id, coalesce(nullif(concat_ws(';', CASE WHEN large_transition = 'regression' AND small_transition = 'regression' THEN 'shared_regression' END, CASE WHEN (large_transition = 'regression') <> (small_transition = 'regression') THEN 'regression' END, CASE WHEN large_transition = 'resistant' OR small_transition = 'resistant' THEN 'resistant' END,
-    CASE WHEN disagrees THEN 'label_noise' END, CASE WHEN weak THEN 'weak_warrant' END, CASE WHEN NOT agree_ev THEN 'split' END), ''), 'unexplained') AS category FROM sc""",
+    f"""WITH {_SC} SELECT claim_id, coalesce(nullif(concat_ws(';', CASE WHEN large_transition = 'regression' AND small_transition = 'regression' THEN 'shared_regression' END, CASE WHEN disagrees AND margin < 0.3 THEN 'weakly_warranted_or_ambiguous' END, CASE WHEN n_sets >= 2 THEN 'multi_sentence_integration_or_title_context' END,
+    CASE WHEN weak THEN 'possible_representation_failure' END, CASE WHEN large_with_evidence = small_with_evidence AND large_with_evidence <> gold THEN 'possible_benchmark_annotation_issue' END), ''), 'unexplained') AS category FROM sc""",
     views="paired",
 )
-add("P29_linguistic_flags", "texts", lambda t: t.select("claim_id", F.array_join(F.filter(F.array(*(F.when(T.plain(F.col("claim")).rlike(p), F.lit(n)) for n, p in T.PATTERNS.items())), lambda x: x.isNotNull()), ";").alias("flags")), "SELECT claim_id, concat_ws(';', " + ", ".join(f"CASE WHEN regexp_matches({_PLAIN('claim')}, '{p}') THEN '{n}' END" for n, p in T.PATTERNS.items()) + ") AS flags FROM texts")
+add("P29_linguistic_flags", "texts", lambda t: t.select("claim_id", F.array_join(F.filter(F.array(*(F.when(T.plain(F.col("claim")).rlike(p), F.lit(n)) for n, p in T.PATTERNS.items())), lambda x: x.isNotNull()), ";").alias("flags")), "SELECT claim_id, concat_ws(';', " + ", ".join(f"""CASE WHEN regexp_matches({_PLAIN('claim')}, '{p.replace("'", "''")}') THEN '{n}' END""" for n, p in T.PATTERNS.items()) + ") AS flags FROM texts")

@@ -33,9 +33,9 @@ ADAPTERS: dict[str, tuple[list[str], str]] = {
         """
         SELECT item_id, stage, judge_no, 'judge_' || cast(judge_no AS string) AS judge_id, gold,
           CASE WHEN d < 72 THEN v0 ELSE CASE d % 3 WHEN 0 THEN 'Supported' WHEN 1 THEN 'Refuted' ELSE 'Ambiguous' END END AS verdict,
-          CASE s % 5 WHEN 0 THEN 'sufficient' WHEN 1 THEN 'probably_sufficient' WHEN 2 THEN 'unclear' WHEN 3 THEN 'probably_insufficient' ELSE 'insufficient' END AS sufficiency,
+          CASE s % 5 WHEN 0 THEN 'clearly_sufficient' WHEN 1 THEN 'probably_sufficient' WHEN 2 THEN 'partial_or_ambiguous' WHEN 3 THEN 'probably_insufficient' ELSE 'clearly_insufficient' END AS sufficiency,
           cast(s % 101 AS int) AS confidence,
-          CASE s % 7 WHEN 0 THEN 'none' WHEN 1 THEN 'missing_context' WHEN 2 THEN 'missing_context;temporal' WHEN 3 THEN 'entity' WHEN 4 THEN 'temporal' WHEN 5 THEN 'entity;numeric' ELSE 'none' END AS flags
+          CASE s % 7 WHEN 0 THEN 'none' WHEN 1 THEN 'partial_warrant' WHEN 2 THEN 'partial_warrant;negation_or_scope' WHEN 3 THEN 'multi_sentence_integration' WHEN 4 THEN 'negation_or_scope' WHEN 5 THEN 'other;numerical_or_temporal_reasoning' ELSE 'none' END AS flags
         FROM (
           SELECT o_orderkey AS item_id, stage, judge_no,
             CASE WHEN @H['g' || cast(o_orderkey AS string)] % 2 = 0 THEN 'Supported' ELSE 'Refuted' END AS gold,
@@ -72,7 +72,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         ["predictions"],
         r"""
         SELECT *, prediction = gold AS correct,
-          CASE WHEN prediction IS NULL THEN 'invalid_model_output:' || model_output WHEN prediction <> gold THEN lower(prediction) || '_instead_of_' || lower(gold) ELSE '' END AS error_type
+          CASE WHEN prediction IS NULL THEN 'invalid_model_output' WHEN prediction <> gold THEN lower(gold) || '_to_' || lower(prediction) ELSE '' END AS error_type, CASE WHEN prediction IS NULL THEN 'invalid_model_output:' || model_output ELSE '' END AS notes
         FROM (SELECT *, CASE lower(regexp_extract(model_output, '(?i)\b(supported|refuted)\b', 1)) WHEN 'supported' THEN 'Supported' WHEN 'refuted' THEN 'Refuted' END AS prediction FROM predictions) p
         """,
     ),

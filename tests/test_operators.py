@@ -33,7 +33,7 @@ def test_consensus_sweep(spark):
     rows, want = [], {}
     for item, (votes, weak) in enumerate(itertools.product(itertools.product(N.VERDICTS, repeat=5), (0, 3, 5))):
         want[item] = rule(list(votes), weak)
-        rows += [(item, "A", j + 1, v, "insufficient" if j < weak else "sufficient", 50) for j, v in enumerate(votes)]
+        rows += [(item, "A", j + 1, v, "clearly_insufficient" if j < weak else "clearly_sufficient", 50) for j, v in enumerate(votes)]
     df = spark.createDataFrame(rows[::-1], "item_id int, stage string, judge_no int, verdict string, sufficiency string, confidence int").repartition(7)
     got = {r.item_id: (r.consensus, r["rule"]) for r in N.consensus(df).collect()}
     assert len(got) == 729 and got == want
@@ -48,7 +48,7 @@ def test_usability_first_reason(spark):
     rows = [("1", 1, "t", "Bad", "e"), ("1", 2, "t", "Supported", "e"), ("1", 3, "", "Supported", "e"), (None, 4, "t", "Supported", "e"), ("2", 5, " ", "Refuted", "e"), ("3", 6, "t", "Refuted", "")]
     df = spark.createDataFrame(rows, "id string, p int, text string, label string, ev string")
     got = {r.p: r.reason for r in I.usability(df, "id", "p", "text", "label", "ev", P.LABELS).collect()}
-    assert got == {1: "invalid_label", 2: None, 3: "duplicate_id", 4: "missing_id", 5: "missing_text", 6: "missing_evidence"}
+    assert got == {1: "invalid_true_label:Bad", 2: None, 3: "duplicate_claim_id", 4: "missing_claim_id", 5: "missing_claim_text", 6: "missing_gold_evidence"}
 
 
 def test_bh(spark):
