@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from pairscope.plans.measures import MEASURES
 from pairscope.sources.adapters import adapter, twin
 from pairscope.session import table
 
@@ -20,8 +22,12 @@ class Book:
 
         def query(spark: SparkSession, sf_dir: str) -> DataFrame:
             frames = [adapter(spark, sf_dir, n) for n in adapters.split()] + [table(spark, sf_dir, n) for n in tables.split()]
-            return plan(*frames)
+            out = plan(*frames)
+            return out.select(*(F.round(F.col(f"`{c}`").cast("double"), 6).alias(c) if c in doubles else F.col(f"`{c}`") for c in out.columns))
 
+        doubles = MEASURES.get(name, [])
         self.queries[name] = query
         if sql:
-            self.oracles[name] = twin(f"{adapters} {views}", sql)
+            body = twin(f"{adapters} {views}", sql)
+            rounded = ", ".join(f'round(CAST("{c}" AS DOUBLE), 6) AS "{c}"' for c in doubles)
+            self.oracles[name] = f"SELECT * REPLACE ({rounded}) FROM ({body}) rounded" if doubles else body
