@@ -203,7 +203,8 @@ def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
 def redact(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs with personal data replaced by its kind; a column n_chars, if there is one, is counted anew."""
     scanned = settle(scan(docs, text, key))
-    more = discovered(scanned).groupBy("doc_id", "print").agg(F.collect_set(F.struct("start", "kind", "end")).alias("__more")).select(F.col("doc_id").alias("__id"), F.col("print").alias("__print"), "__more")
+    # settled, so that the planner knows its size: texts are only shuffled where much was discovered
+    more = settle(discovered(scanned).groupBy("doc_id", "print").agg(F.collect_set(F.struct("start", "kind", "end")).alias("__more")).select(F.col("doc_id").alias("__id"), F.col("print").alias("__print"), "__more"))
     joined = docs.join(more, F.col(key).eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("__print")), "left").select(*docs.columns, "__more")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
