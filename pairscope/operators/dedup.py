@@ -25,18 +25,27 @@ def buckets(grams: DataFrame, bands: int, width: int) -> DataFrame:
     return rows.select("id", "band", F.xxhash64("k").alias("bucket"))
 
 
-def near_pairs(rows: DataFrame, text: str, key: str, bands: int = 20, width: int = 5, least: float = 0.85) -> DataFrame:
+def bucket_pairs(held: DataFrame, part: int = 1000) -> DataFrame:
+    """Distinct pairs (a < b) of ids that share a band's bucket: all of them.
+
+    A bucket of more than `part` ids is dealt to several tasks: its ids are split, and each part meets all ids.
+    """
+    parts = held.groupBy("band", "bucket").agg(F.count("*").alias("n")).filter("n > 1").select("band", "bucket", F.ceil(F.col("n") / part).cast("int").alias("parts"))
+    rows = held.join(parts, ["band", "bucket"])
+    left = rows.select("band", "bucket", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.col("id").alias("a"))
+    right = rows.select("band", "bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("id").alias("b"))
+    return left.join(right, ["band", "bucket", "part"]).filter("a < b").select("a", "b").distinct()
+
+
+def near_pairs(rows: DataFrame, text: str, key: str, bands: int = 20, width: int = 5, least: float = 0.85, part: int = 1000) -> DataFrame:
     """Pairs (a < b) of distinct normalized texts with shingle Jaccard of `least` or more that meet in a band.
 
-    Exact copies are represented by the least key first. Within a bucket every text is paired with the bucket's least key
-    and verified, so a bucket of n texts makes n - 1 pairs; two texts that only match each other meet where one of them
-    leads a bucket.
+    Exact copies are represented by the least key first. Every two texts of a bucket are verified, so a group of n near
+    duplicates makes up to n (n - 1) / 2 pairs, as many as there are links.
     """
     single = rows.filter(F.col(text).isNotNull()).groupBy(normalized(F.col(text)).alias("t")).agg(F.min(key).alias("id"))
     grams = single.select("id", F.transform(shingles(F.col("t")), lambda g: F.xxhash64(g)).alias("g"))
-    held = buckets(grams, bands, width)
-    heads = held.groupBy("band", "bucket").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1").select("band", "bucket", "a")
-    pairs = held.join(heads, ["band", "bucket"]).filter("id > a").select("a", F.col("id").alias("b")).distinct()
+    pairs = bucket_pairs(buckets(grams, bands, width), part)
     left = grams.select(F.col("id").alias("a"), F.col("g").alias("ga"))
     right = grams.select(F.col("id").alias("b"), F.col("g").alias("gb"))
     scored = pairs.join(left, "a").join(right, "b").select("a", "b", (F.size(F.array_intersect("ga", "gb")) / F.greatest(F.lit(1), F.size(F.array_union("ga", "gb")))).alias("jaccard"))

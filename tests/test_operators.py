@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import itertools
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from pairscope.functions import special
 from pairscope.functions import text as T
+from pairscope.operators import dedup as D
 from pairscope.operators import evidence as E
 from pairscope.operators import intake as I
 from pairscope.operators import paired as P
@@ -104,3 +106,23 @@ def test_overlap_and_nfc(spark):
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "item_id int, stage string, judge_no int, verdict string, sufficiency string, confidence int, flags string")
     assert N.consensus(empty).count() == 0 and N.flag_counts(empty).count() == 0
+
+
+@pytest.mark.parametrize("part", [1000, 3])
+def test_near_pairs_are_whole(spark, part):
+    """Every link of a group, not only those to the least key of a bucket, against brute force."""
+    rng = random.Random(2)
+    rows = []
+    for g in range(4):
+        base = [rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(400)]
+        for _ in range(9):
+            text = list(base)
+            for at in rng.sample(range(400), rng.randint(2, 7)):
+                text[at] = rng.choice("0123456789")
+            rows.append((len(rows) * 17 % 37, "".join(text)))
+    rows += [(100, rows[0][1]), (101, None), (102, "")]
+    grams = {i: {t[k : k + 3] for k in range(len(t) - 2)} for i, t in ((i, " ".join(t.split())) for i, t in rows[:36])}
+    jaccard = {(a, b): len(x & y) / len(x | y) for a, x in grams.items() for b, y in grams.items() if a < b}
+    want = {k: round(v, 9) for k, v in jaccard.items() if v >= 0.85}
+    got = D.near_pairs(spark.createDataFrame(rows, "id int, text string"), "text", "id", part=part).collect()
+    assert len(want) > 60 and len(got) == len(want) and {(r.a, r.b): round(r.jaccard, 9) for r in got} == want
