@@ -1,146 +1,152 @@
 """Cross-entropy difference between two n-gram models of one vocabulary.
 
-Both models are interpolated bigram models over the same hashed vocabulary, counted over every document: the target over
+Both models are interpolated bigram models over the same vocabulary, counted over every document: the target over
 documents of good quality, the background over all others. They are matched: one vocabulary, one smoothing, and the
 larger corpus is scaled to the tokens of the smaller. A document's own counts are left out of the model it helped to
 count, so that every document is scored as one not seen. Its score is the mean over its tokens of the target's loss
 less the background's; lower means nearer to the target.
+
+Counts are held by word and by (word before, word), each word told apart by 64 bits, in tables that grow with the
+corpus. A document brings its distinct pairs with its own counts, and is joined with the counts they need.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairscope.llm.common import LOWER_BYTES, WordHashes, read, settle, spread_hash
+from pairscope.llm.common import LOWER_BYTES, WordHashes, read, settle
 
 #: Weight of the bigram against the unigram estimate; mass added to a unigram.
 LAMBDA = 0.7
 ADD = 0.5
-#: Cells of the tables: two to this power at least and at most. The size follows the tokens counted; at its bound the
-#: tables take 64 MB on each Python worker, and cells are shared by more words.
-LEAST_BITS = 16
-MOST_BITS = 22
-TOKENS_A_CELL = 4
+#: What stands before the first word of a text.
+START = 1
 #: Ids of target documents that are broadcast, at most (16 MB); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
 
-def table_bits(tokens: int) -> int:
-    return int(min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, tokens) / TOKENS_A_CELL)))))
-
-
 def token_hashes(text: bytes | None, hashes: WordHashes) -> np.ndarray:
     return hashes.of((text or b"").translate(LOWER_BYTES).split())
 
 
-def pair_hashes(words: np.ndarray) -> np.ndarray:
-    """A hash a token of it and the token before; the first follows the start of the text."""
+def own_pairs(words: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct pairs of a text: word before, word, and how often the text has the pair, the word and the one before."""
     if not len(words):
-        return words
-    with np.errstate(over="ignore"):
-        before = np.r_[np.uint64(1), words[:-1]]
-        return spread_hash(before * np.uint64(0x9E3779B97F4A7C15) + words)
-
-
-def _cells(values: np.ndarray, bits: int) -> np.ndarray:
-    return (spread_hash(values) >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def _own(cells: np.ndarray) -> np.ndarray:
-    """How often each entry's cell occurs among all entries."""
-    _, place, n = np.unique(cells, return_inverse=True, return_counts=True)
-    return n[place].astype(np.float32)
+        return words, words, *[np.empty(0, np.int32)] * 3
+    kinds, place, times = np.unique(words, return_inverse=True, return_counts=True)
+    n = len(kinds)
+    before = np.r_[n, place[:-1]]  # n: the start of the text
+    codes, count = np.unique(before * (n + 1) + place, return_counts=True)
+    b, w = np.divmod(codes, n + 1)
+    return np.r_[kinds, np.uint64(START)][b], kinds[w], count.astype(np.int32), times[w].astype(np.int32), np.r_[times, 0][b].astype(np.int32)
 
 
 @dataclass
 class Model:
-    """Scaled counts by cell of words and of word pairs, a column a corpus: 0 the target, 1 the background."""
+    """Counts of all documents; the first of two is the target's, the second the background's.
+
+    singles: (word, target, background); pairs: (prev, word, target, background). size: words of the vocabulary and one
+    for those not seen. tokens: scaled tokens by corpus.
+    """
 
-    bits: int
-    words: np.ndarray
-    pairs: np.ndarray
+    singles: DataFrame
+    pairs: DataFrame
+    size: int
     tokens: np.ndarray
     scale: np.ndarray
 
-    def losses(self, words: np.ndarray, target: bool | None = None) -> np.ndarray:
-        """Nats a token under the two models, a row a token; target: the corpus that counted this text, if any did."""
-        w, p = _cells(words, self.bits), _cells(pair_hashes(words), self.bits)
-        single, pair, tokens = self.words[w], self.pairs[p], self.tokens.copy()
-        if target is not None:
-            k = 0 if target else 1
-            single[:, k] -= _own(w) * self.scale[k]
-            pair[:, k] -= _own(p) * self.scale[k]
-            tokens[k] -= len(words) * self.scale[k]
-        np.maximum(single, 0, out=single)
-        np.maximum(pair, 0, out=pair)
-        np.maximum(tokens, 0, out=tokens)
-        before = np.zeros_like(single)  # times the word before was seen; the first word has none
-        before[1:] = single[:-1]
-        np.maximum(before[1:], pair[1:], out=before[1:])
-        seen = before > 0
-        share = np.divide(pair, before, out=np.zeros_like(pair), where=seen)
-        weight = np.where(seen, np.float32(LAMBDA), np.float32(0))
-        return -np.log(weight * share + (1 - weight) * (single + ADD) / (tokens + ADD * (1 << self.bits)))
-
-
-def count_tokens(docs: DataFrame) -> int:
-    """Tokens of all texts."""
-    words = F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), "")
-    return int(docs.agg(F.sum(F.size(words))).first()[0] or 0)
-
-
-def gather(docs: DataFrame, bits: int) -> DataFrame:
-    """(kind, cell, target, background): counts of every word (0) and pair (1) of all documents.
-
-    Each task counts what it reads into a table and sends its cells that hold anything; Spark adds them up.
-    """
+    @property
+    def words(self) -> np.ndarray:
+        """Scaled counts of all words, by corpus."""
+        return self.tokens
+
+
+_ENTRY = pa.struct([("prev", pa.int64()), ("word", pa.int64()), ("n", pa.int32()), ("own", pa.int32()), ("own_prev", pa.int32())])
+
+
+def spelled(docs: DataFrame, text: str, keep: list[str], target: str | None) -> DataFrame:
+    """row, keep columns, __target, n_tokens and __pairs (own_pairs of the text): a row a row of docs."""
+    chosen = docs.select(*keep, (F.col(target) if target else F.lit(None)).cast("boolean").alias("__target"), F.col(text).alias("__text"))
+    schema = "__row bigint, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]) + ", n_tokens bigint, __pairs array<struct<prev:bigint,word:bigint,n:int,own:int,own_prev:int>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        counts = np.zeros((2, 2, 1 << bits), np.int32)
-        for batch in batches:
-            for target, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
-                words = token_hashes(text.as_py(), hashes)
-                for kind, values in enumerate((words, pair_hashes(words))):
-                    np.add.at(counts[kind, 0 if target else 1], _cells(values, bits), 1)
-        for kind in range(2):
-            used = np.flatnonzero(counts[kind].any(axis=0))
-            for at in range(0, len(used), 100_000):
-                cell = used[at : at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32) * 2 + kind), *(pa.array(counts[kind, i, cell].astype(np.int64)) for i in (0, 1))], ["cell", "target", "background"])
-
-    rows = docs.select("target", "text").mapInArrow(run, "cell int, target bigint, background bigint")
-    return rows.groupBy("cell").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+        row, hashes = TaskContext.get().partitionId() << 40, WordHashes()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                n = batch.num_columns - 1
+                found, tokens = [], []
+                for value in batch.column(n).cast(pa.binary()):
+                    words = token_hashes(value.as_py(), hashes)
+                    tokens.append(len(words))
+                    found.append(own_pairs(words))
+                prev, word, *counts = (np.concatenate(x) for x in zip(*found, strict=True))
+                entries = pa.StructArray.from_arrays([pa.array(x) for x in (prev.astype(np.uint64).view(np.int64), word.astype(np.uint64).view(np.int64), *counts)], fields=list(_ENTRY))
+                ends = np.cumsum([0, *(len(x[0]) for x in found)]).astype(np.int32)
+                rows = pa.array(np.arange(row, row + batch.num_rows, dtype=np.int64))
+                row += batch.num_rows
+                yield pa.RecordBatch.from_arrays([rows, *(batch.column(i) for i in range(n)), pa.array(tokens, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), entries)], ["__row", *batch.schema.names[:n], "n_tokens", "__pairs"])
+
+    return settle(chosen.mapInArrow(run, schema))
+
+
+def _entries(held: DataFrame) -> DataFrame:
+    return held.select("__row", "__target", "n_tokens", F.explode("__pairs").alias("x")).select("__row", "__target", "n_tokens", "x.*")
+
+
+def gather(held: DataFrame) -> Model:
+    """The exact counts of all rows of spelled(); what is no target is background."""
+    good = F.coalesce("__target", F.lit(False))
+    by = lambda c, which: F.sum(F.when(which, F.col(c)).otherwise(0).cast("bigint"))
+    pairs = settle(_entries(held).groupBy("prev", "word").agg(by("n", good).alias("target"), by("n", ~good).alias("background")))
+    singles = settle(pairs.groupBy("word").agg(F.sum("target").alias("target"), F.sum("background").alias("background")))
+    row = singles.agg(F.count("*").alias("n"), F.sum("target").alias("t"), F.sum("background").alias("b")).first()
+    tokens = np.array([row["t"] or 0, row["b"] or 0], np.float64)
+    least = tokens[tokens > 0].min() if (tokens > 0).any() else 0
+    scale = np.where(tokens > 0, least / np.maximum(tokens, 1), 1)
+    return Model(singles, pairs, row["n"] + 1, tokens * scale, scale)
 
 
 def train(docs: DataFrame) -> Model:
-    """docs: (target boolean, text). The tables are bounded by MOST_BITS, whatever the corpus."""
-    bits = table_bits(count_tokens(docs))
-    tables = np.zeros((2, 1 << bits, 2), np.float32)
-    for batch in _arrow_batches(settle(gather(docs, bits))):
-        cell, target, background = (batch.column(i).to_numpy() for i in range(3))
-        tables[cell & 1, cell >> 1, 0] = target
-        tables[cell & 1, cell >> 1, 1] = background
-    tokens = tables[0].sum(axis=0, dtype=np.float64).astype(np.float32)
-    least = tokens[tokens > 0].min() if (tokens > 0).any() else 0
-    scale = np.where(tokens > 0, least / np.maximum(tokens, 1), 1).astype(np.float32)
-    tables *= scale
-    return Model(bits, tables[0], tables[1], tokens * scale, scale)
+    """docs: (target boolean, text)."""
+    return gather(spelled(docs, "text", [], "target"))
+
+
+def _looked_up(pairs: DataFrame, model: Model) -> DataFrame:
+    """pairs (prev, word, target, background) with the counts of the word and of the word before; 0 where not seen."""
+    of = lambda key, name: model.singles.select(F.col("word").alias(key), F.col("target").alias(f"{name}_target"), F.col("background").alias(f"{name}_background"))
+    found = pairs.join(of("word", "word"), "word", "left").join(of("prev", "prev"), "prev", "left")
+    counts = ["target", "background", "word_target", "word_background", "prev_target", "prev_background"]
+    return settle(found.select("prev", "word", *(F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in counts)))
 
 
-def _arrow_batches(df: DataFrame) -> Iterator[pa.RecordBatch]:
-    """The rows in parts of a bounded size, so the driver never holds more than its table and one part."""
-    parts = 16
-    for k in range(parts):
-        table = df.filter(F.pmod(F.col("cell"), F.lit(parts)) == k).toArrow()
-        yield from table.to_batches()
+def _loss(corpus: str, model: Model) -> Column:
+    """Nats of one occurrence of an entry's pair under a corpus, without the counts of its own document."""
+    k = 0 if corpus == "target" else 1
+    counted = F.col("__target") == (k == 0)  # null: the document was not counted
+    rest = lambda all_, own: F.greatest(F.col(all_) - F.when(counted, F.col(own)).otherwise(0), F.lit(0)) * float(model.scale[k])
+    pair, single = rest(corpus, "n"), rest(f"word_{corpus}", "own")
+    before = F.when(F.col("prev") == START, 0.0).otherwise(F.greatest(rest(f"prev_{corpus}", "own_prev"), pair))
+    tokens = F.greatest(F.lit(float(model.tokens[k])) - F.when(counted, F.col("n_tokens")).otherwise(0) * float(model.scale[k]), F.lit(0.0))
+    plain = (single + ADD) / (tokens + ADD * model.size)
+    return -F.log(F.when(before > 0, LAMBDA * pair / before + (1 - LAMBDA) * plain).otherwise(plain))
+
+
+def weighed(held: DataFrame, model: Model, keep: list[str], counted: bool = False) -> DataFrame:
+    """score() of rows of spelled(); counted: the model counted just these rows, so it has all their pairs."""
+    entries = _entries(held)
+    pairs = model.pairs if counted else entries.select("prev", "word").distinct().join(model.pairs, ["prev", "word"], "left")
+    each = entries.join(_looked_up(pairs, model), ["prev", "word"])
+    mean = lambda c: (F.sum(F.col("n") * _loss(c, model)) / F.max("n_tokens")).alias(f"{c}_loss")
+    sums = each.groupBy("__row").agg(mean("target"), mean("background"))
+    return held.select("__row", *keep, "n_tokens").join(sums, "__row", "left").drop("__row").withColumn("difference", F.col("target_loss") - F.col("background_loss"))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, target: str | None = None) -> DataFrame:
@@ -150,22 +156,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
     and null losses. Texts are read whole.
     """
     keep = keep if keep is not None else ["doc_id"]
-    chosen = docs.select(*keep, (F.col(target) if target else F.lit(None).cast("boolean")).alias("__target"), F.col(text).alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-2]) + ", n_tokens bigint, target_loss double, background_loss double"
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, hashes = shared.value, WordHashes()
-        for batch in batches:
-            n = batch.num_columns - 2
-            tokens, losses = [], []
-            for counted, value in zip(batch.column(n).to_pylist(), batch.column(n + 1).cast(pa.binary()), strict=True):
-                words = token_hashes(value.as_py(), hashes)
-                tokens.append(len(words))
-                losses.append(own.losses(words, counted).mean(axis=0, dtype=np.float64) if len(words) else (None, None))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n)), pa.array(tokens, pa.int64()), *(pa.array([x[i] for x in losses], pa.float64()) for i in (0, 1))], [*batch.schema.names[:n], "n_tokens", "target_loss", "background_loss"])
-
-    return chosen.mapInArrow(run, schema).withColumn("difference", F.col("target_loss") - F.col("background_loss"))
+    return weighed(spelled(docs, text, keep, target), model, keep)
 
 
 def targets(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality") -> DataFrame:
@@ -178,4 +169,5 @@ def targets(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = targets(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "labels", "doc_id", "quality"))
-    return score(docs, train(docs), target="target")
+    held = spelled(docs, "text", ["doc_id"], "target")
+    return weighed(held, gather(held), ["doc_id"], counted=True)

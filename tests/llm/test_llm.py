@@ -298,6 +298,50 @@ def test_lm_scores(spark):
     assert one.n_tokens in (0, 50)
 
 
+def brute_losses(rows, good, size_of=lambda words: len(words) + 1):
+    """By place of the row: the two mean losses, by dictionaries of exact counts, each row left out of its own model."""
+    texts = [(t or "").lower().split() for _, t in rows]
+    side = [0 if d in good else 1 for d, _ in rows]
+    single, pair = [Counter(), Counter()], [Counter(), Counter()]
+    for k, w in zip(side, texts, strict=True):
+        single[k].update(w)
+        pair[k].update(zip(w, w[1:], strict=False))
+    total = [sum(c.values()) for c in single]
+    size = size_of(set(single[0]) | set(single[1]))
+    out = []
+    for own, w in zip(side, texts, strict=True):
+        losses = []
+        for k in (0, 1):
+            scale = min(total) / total[k]
+            s, p, t = single[k], pair[k], total[k]
+            if own == k:
+                s, p, t = s - Counter(w), p - Counter(zip(w, w[1:], strict=False)), t - len(w)
+            sum_ = 0.0
+            for i, x in enumerate(w):
+                plain = (s[x] * scale + 0.5) / (t * scale + 0.5 * size)
+                before = max(s[w[i - 1]], p[w[i - 1], x]) if i else 0
+                sum_ -= np.log(0.7 * p[w[i - 1], x] / before + 0.3 * plain if before else plain)
+            losses.append(sum_ / len(w) if w else None)
+        out.append((len(w), *losses))
+    return out
+
+
+def test_lm_counts_are_exact(spark):
+    """More distinct pairs than cells of a hashed table once had: no two of them share a count."""
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"w{rng.randrange(12) if rng.random() < 0.5 else rng.randrange(9000)}" for _ in range(rng.randint(1, 900)))) for i in range(90)]
+    rows += [(3, "w1 w2 w1"), (None, "w1 w2 W3"), (200, ""), (201, None)]
+    good = {i for i in range(0, 90, 3)}
+    docs = lmscore.targets(table(spark, rows), spark.createDataFrame([(i, 1) for i in good], "doc_id bigint, quality int"))
+    model = lmscore.train(docs)
+    assert model.pairs.count() > 1 << 14
+    got = sorted(((r.doc_id, r.n_tokens, r.target_loss, r.background_loss) for r in lmscore.score(docs, model, target="target").collect()), key=repr)
+    want = sorted(((d, *x) for (d, _), x in zip(rows, brute_losses(rows, good), strict=True)), key=repr)
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    for g, w in zip(got, want, strict=True):
+        assert g[2:] == w[2:] if w[2] is None else np.allclose(g[2:], w[2:], rtol=1e-9), (g, w)
+
+
 # 4: quotes
 
 
