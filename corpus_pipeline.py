@@ -16,7 +16,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash class, the least id."""
+    """One document of each SimHash class, the least id; null ids come last."""
     return simhash.keep_one(docs)
 
 

@@ -15,7 +15,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairscope.llm.common import LOWER_BYTES, read, settle
@@ -251,12 +251,23 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def _row_hash(docs: DataFrame) -> Column:
+    """64 bits that tell rows apart by all their columns; a null counts as a value of its own."""
+    return F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns), *(F.col(f"`{c}`").isNull() for c in docs.columns))
+
+
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: int = THRESHOLD) -> DataFrame:
-    """The rows of docs that stand for their class: the least id, and of rows with that id one. Rows without an id go."""
-    found = classes(docs, text, key, threshold)
-    stay = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__stay")).distinct()
-    kept = docs.join(stay, docs[key] == F.col("__stay"), "left_semi")
-    return kept.dropDuplicates([key])
+    """One row of docs for each class: the least id, a null id after all others, and of rows with that id the least hash.
+
+    Rows are told apart by a hash of all columns, so ids may repeat or be null. Equal rows stand for one.
+    """
+    rows = docs.withColumn("__row", _row_hash(docs))
+    prints = settle(fingerprints(rows.select(F.col(key).alias("doc_id"), "__row", F.col(text).alias("text")), keep=["doc_id", "__row"]))
+    points = settle(prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("first")))
+    member = components(near_links(points, threshold))
+    root = points.join(member.select(F.col("node").alias("fp"), "root"), "fp", "left").select(F.coalesce("root", "fp").alias("root"), "first")
+    stay = root.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.__row").alias("__row"))
+    return rows.join(stay, "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,6 +87,20 @@ def test_simhash(spark, rows):
     assert got == sorted(((d, int(np.uint64(p).view(np.int64)), c) for (d, _), p, c in zip(rows, prints, roots, strict=True)), key=repr)
 
 
+def test_keep_one_of_each_class(spark):
+    """Null ids, repeated ids and null columns: every class of texts keeps one row, whichever way the rows are dealt."""
+    rng = random.Random(6)
+    texts = [" ".join(f"t{k}w{rng.randrange(50)}" for _ in range(60)) for k in range(7)]
+    rows = [(1, texts[0]), (None, texts[1]), (None, texts[2]), (None, texts[2]), (5, texts[3]), (5, texts[4]), (None, texts[5]), (9, texts[5]), (8, texts[5]), (5, texts[3]), (6, None), (None, None), (5, texts[6])]
+    assert len({root for root in brute_components([(i, t) for i, (_, t) in enumerate(rows)])[1]}) == 8
+    want = sorted([(1, texts[0]), (None, texts[1]), (None, texts[2]), (5, texts[3]), (5, texts[4]), (8, texts[5]), (5, texts[6]), (6, None)], key=repr)
+    for order in (rows, rows[::-1]):
+        docs = table(spark, order).repartition(5)
+        kept = simhash.keep_one(docs)
+        assert kept.columns == docs.columns
+        assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == want
+
+
 def test_fingerprint_by_hand():
     import xxhash
 
