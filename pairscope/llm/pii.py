@@ -146,7 +146,8 @@ def discovered(scanned: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT,
     """(row, start, end, kind): identifiers beyond the base, from the pattern-instance graph of all rows."""
     each = scanned.select("row", "doc_id", "print", F.explode("mentions").alias("m")).select("row", "doc_id", "print", "m.*")
     edges = each.select("instance", "kind", F.explode(F.array("left", "around")).alias("pattern")).filter("pattern <> ''").groupBy("pattern", "instance").agg(F.max("kind").alias("kind"))
-    # a pattern with fewer instances than the support can never be believed, so it is left out from the start
+    # a pattern with fewer instances than the support can never be believed, so it is left out from the start; it does
+    # not count among an instance's patterns (`of`) either, which raises the score of an instance with rare contexts
     wide = edges.groupBy("pattern").agg(F.count("*").alias("degree"), F.max("kind").alias("some")).filter(F.col("degree") >= support)
     graph = settle(edges.join(wide.select("pattern", "degree"), "pattern"))
     degree = graph.groupBy("instance").agg(F.count("*").alias("of"), F.max("kind").alias("seed"))
