@@ -1,10 +1,11 @@
 """Quotation linking: quoted passages are joined to the messages they came from.
 
-A line's quote level is the number of `>` marks before it. A run of lines of one level is a quoted passage; passages and
-the messages' own paragraphs are normalised (white space and case) and hashed. A passage links to the earliest message
-of its conversation that has the same line of its own; the message's parent is the latest message that its outermost
-quotes link to. Threads are followed to their roots by doubling, and messages are ordered root, depth, turn, without
-their quotes.
+A line's quote level is the number of `>` marks before it. A run of lines of one level, up to a blank line, is a
+passage: a quoted one, or at level 0 a paragraph of the message's own. Passages are normalised as a whole (white space,
+line ends included, and case) and hashed. A quoted passage links to the earliest message of its conversation that has
+the same passage of its own; only if there is none, its single lines link to the earliest message with that line. The
+message's parent is the latest message that its outermost quotes link to. Threads are followed to their roots by
+doubling, and messages are ordered root, depth, turn, without their quotes.
 """
 
 from __future__ import annotations
@@ -27,11 +28,33 @@ def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), r"[\x20\x09-\x0D]+", " "))
 
 
+def _passages(lines: Column) -> Column:
+    """The runs of lines of one level without a blank line: (level, hash of the whole, hashes of the lines)."""
+    at = F.when(F.size(lines) > 0, F.sequence(F.lit(0), F.size(lines) - 1)).otherwise(F.array().cast("array<int>"))
+
+    def edge(step: int) -> Column:
+        """Places whose neighbour at step is not of the same run."""
+
+        def is_edge(i: Column) -> Column:
+            here, other = F.get(lines, i), F.get(lines, i + step)
+            return here["hash"].isNotNull() & (other["hash"].isNull() | (other["level"] != here["level"]))
+
+        return F.filter(at, is_edge)
+
+    def passage(run: Column) -> Column:
+        held = F.slice(lines, run["first"] + 1, run["last"] - run["first"] + 1)
+        whole = normalised(F.array_join(F.transform(held, lambda x: x["body"]), " "))
+        return F.struct(F.get(lines, run["first"])["level"].alias("level"), F.xxhash64(whole).alias("hash"), F.transform(held, lambda x: x["hash"]).alias("lines"))
+
+    return F.transform(F.arrays_zip(edge(-1).alias("first"), edge(1).alias("last")), passage)
+
+
 def parsed(messages: DataFrame) -> DataFrame:
-    """messages with lines: an array of (level, body, hash of the normalised body or null where that is empty), and clean."""
+    """messages with lines: an array of (level, body, hash of the normalised body or null where that is empty), passages of
+    them, and clean."""
     lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.struct(_marks(x).alias("level"), F.when(_marks(x) > 0, F.ltrim(F.regexp_replace(x, MARK, ""))).otherwise(x).alias("body")))
     hashed = F.transform("__lines", lambda x: F.struct(x["level"].alias("level"), x["body"].alias("body"), F.when(normalised(x["body"]) != "", F.xxhash64(normalised(x["body"]))).alias("hash")))
-    return messages.withColumn("__lines", lines).withColumn("lines", hashed).drop("__lines").withColumn("clean", F.array_join(F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: x["body"]), "\n"))
+    return messages.withColumn("__lines", lines).withColumn("lines", hashed).drop("__lines").withColumn("passages", _passages(F.col("lines"))).withColumn("clean", F.array_join(F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: x["body"]), "\n"))
 
 
 def link(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", most_depth: int = 40) -> DataFrame:
@@ -45,11 +68,20 @@ def link(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: s
     """
     base = messages.select(F.col(conv).cast("bigint").alias("conv_id"), F.col(turn).cast("bigint").alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
     held = settle(parsed(base))
-    line = held.select("conv_id", "turn", F.explode("lines").alias("x")).select("conv_id", "turn", "x.level", "x.hash").filter("conv_id is not null and turn is not null and hash is not null")
-    # each quoted line once a message, and only where the conversation has quotes at all, before anything is joined
-    quoted = settle(line.filter("level > 0").groupBy("conv_id", "turn", "hash").agg(F.min("level").alias("level"), F.count("*").alias("n")))
-    origin = line.filter("level = 0").join(quoted.select("conv_id", "hash").distinct(), ["conv_id", "hash"], "left_semi").groupBy("conv_id", "hash").agg(F.min("turn").alias("origin"))
-    linked = quoted.join(origin, ["conv_id", "hash"]).filter("origin < turn")
+    passage = held.select("conv_id", "turn", F.explode("passages").alias("x")).select("conv_id", "turn", "x.*").filter("conv_id is not null and turn is not null")
+    # each quoted passage once a message, and only where the conversation has quotes at all, before anything is joined
+    quoted = settle(passage.filter("level > 0").groupBy("conv_id", "turn", "hash").agg(F.min("level").alias("level"), F.count("*").alias("n"), F.first("lines").alias("lines")))
+    own = passage.filter("level = 0")
+
+    def linked_to(quotes: DataFrame, source: DataFrame) -> DataFrame:
+        """quotes and origin: the earliest turn with the same hash of its own, null where there is none before."""
+        origin = source.join(quotes.select("conv_id", "hash").distinct(), ["conv_id", "hash"], "left_semi").groupBy("conv_id", "hash").agg(F.min("turn").alias("origin"))
+        return quotes.join(origin, ["conv_id", "hash"], "left").withColumn("origin", F.when(F.col("origin") < F.col("turn"), F.col("origin")))
+
+    whole = settle(linked_to(quoted, own))
+    single = whole.filter("origin is null").select("conv_id", "turn", "level", F.col("n").alias("times"), F.explode("lines").alias("hash")).groupBy("conv_id", "turn", "hash").agg(F.min("level").alias("level"), F.sum("times").alias("n"))
+    by_line = linked_to(single, own.select("conv_id", "turn", F.explode("lines").alias("hash")))
+    linked = whole.select("conv_id", "turn", "level", "origin", (F.col("n") * F.size("lines")).alias("n")).unionByName(by_line.select("conv_id", "turn", "level", "origin", "n")).filter("origin is not null")
     parent = linked.groupBy("conv_id", "turn").agg(F.max_by("origin", F.struct(-F.col("level"), "origin")).alias("parent_turn"), F.sum("n").alias("n_linked_lines"))
     parent = settle(parent)
     # roots: every linked message points up; pointers double until none moves

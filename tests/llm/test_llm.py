@@ -371,6 +371,13 @@ def test_quotes(spark):
     assert got[1, 5].max_level == 3 and got[2, 0].clean_text == ""
 
 
+def test_rewrapped_quotes(spark):
+    rows = [(1, 0, "Thanks!"), (1, 1, "The quick brown fox jumps\nover the lazy dog.\n\nThanks!\nBest, A"), (1, 2, "> The quick brown\n> fox jumps over the\n> lazy dog.\n>\n> Thanks!\n> Best, A\nyes"), (1, 3, ">> the quick brown fox\n>> jumps over the lazy dog.\n> yes\nno"), (1, 4, "> over the lazy dog.\n> unknown")]
+    df = spark.createDataFrame([(c, t, "u", x) for c, t, x in rows], "conv_id bigint, turn bigint, role string, text string")
+    got = {r.turn: (r.parent_turn, r.n_linked_lines, r.root_turn, r.depth) for r in quotes.link(df).collect()}
+    assert got == {0: (None, 0, 0, 0), 1: (None, 0, 1, 0), 2: (1, 5, 1, 1), 3: (2, 3, 1, 2), 4: (1, 1, 1, 1)}
+
+
 # registry, empty tables, pipeline
 
 
