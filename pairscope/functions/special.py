@@ -13,21 +13,58 @@ def log_choose(n: float, k: float) -> float:
     return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
 
 
+def beta_ratio(a: float, b: float, x: float) -> float:
+    """The regularized incomplete beta function, by its continued fraction (Lentz); about sqrt(a + b) steps."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - beta_ratio(b, a, 1 - x)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    tiny, c = 1e-300, 1.0
+    d = 1 / ((1 - (a + b) * x / (a + 1)) or tiny)
+    out = d
+    for m in range(1, 100_000):
+        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / ((1 + step * d) or tiny)
+            c = (1 + step / c) or tiny
+            out *= c * d
+        if abs(c * d - 1) < 1e-15:
+            break
+    return front * out
+
+
 def binomial_half(b: int, c: int) -> float:
     """Two-sided exact p of b against c at one half; 1 where both are 0."""
     n, k = int(b + c), int(min(b, c))
-    if n == 0:
+    if 2 * k >= n:
         return 1.0
-    return min(1.0, 2 * math.fsum(math.exp(log_choose(n, i) - n * math.log(2)) for i in range(k + 1)))
+    return min(1.0, 2 * beta_ratio(n - k, k + 1, 0.5))
 
 
 def fisher(a: int, b: int, c: int, d: int) -> float:
-    """Two-sided exact p of a 2x2 table: tables no likelier than the one seen."""
+    """Two-sided exact p of a 2x2 table: tables no likelier than the one seen.
+
+    Weights are taken relative to the likeliest table, step by step away from it until they no longer count.
+    """
     a, b, c, d = int(a), int(b), int(c), int(d)
     row, col, n = a + b, a + c, a + b + c + d
-    weigh = lambda x: math.exp(log_choose(col, x) + log_choose(n - col, row - x) - log_choose(n, row))
-    seen = weigh(a)
-    return min(1.0, math.fsum(p for x in range(max(0, row + col - n), min(row, col) + 1) if (p := weigh(x)) <= seen * (1 + 1e-7)))
+    low, high = max(0, row + col - n), min(row, col)
+    mode = min(high, max(low, (row + 1) * (col + 1) // (n + 2)))
+    weigh = lambda x: log_choose(col, x) + log_choose(n - col, row - x)
+    bar = math.exp(weigh(a) - weigh(mode)) * (1 + 1e-7)
+    total = tail = 0.0
+    for step, stop in ((1, high), (-1, low)):
+        x, w = mode, 1.0
+        while True:
+            if step == 1 or x != mode:
+                total += w
+                tail += w if w <= bar else 0.0
+            if x == stop or w < 1e-20 * total:
+                break
+            w *= (col - x) * (row - x) / ((x + 1) * (n - col - row + x + 1)) if step == 1 else x * (n - col - row + x) / ((col - x + 1) * (row - x + 1))
+            x += step
+    # beyond where weights count, the table seen itself may lie: its own weight is the least to report
+    return min(1.0, max(tail, bar / (1 + 1e-7)) / total)
 
 
 def chi2_tail(x: float, dof: int) -> float:

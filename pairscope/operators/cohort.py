@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pairscope.operators.intake import draw
+from pairscope.operators.ranks import placed
 
 
 def cohort_class(first: Column, second: Column) -> Column:
@@ -20,16 +20,25 @@ def regression_type(first: Column, second: Column) -> Column:
     return F.when(a & b, "both").when(a, "first_only").when(b, "second_only").otherwise("")
 
 
-def terciles(rows: DataFrame, value: str, key: str, within: str) -> DataFrame:
-    """Bin 1 to 3 by rank within a group; ties broken by key, edges as quantiles of the ranks."""
-    w = W.partitionBy(within)
-    r = F.row_number().over(w.orderBy(value, key)).cast("bigint")
-    n = F.count("*").over(w)
-    return rows.withColumn("__r", r).withColumn("__n", n).withColumn("tercile", F.when(3 * (F.col("__r") - 1) < F.col("__n") - 1, 1).when(3 * (F.col("__r") - 1) < 2 * (F.col("__n") - 1), 2).otherwise(3)).drop("__r", "__n")
+def terciles(rows: DataFrame, value: str, key: str, within: str | None = None, name: str = "tercile") -> DataFrame:
+    """rows with a bin 1 to 3 by rank (of the whole table, or within a group); ties broken by key, edges as quantiles of the ranks."""
+    held = placed(rows, [within] if within else [], [value, key])
+    r, n = F.col("position"), F.col("size")
+    return held.select(*rows.columns, F.when(3 * (r - 1) < n - 1, 1).when(3 * (r - 1) < 2 * (n - 1), 2).otherwise(3).alias(name))
 
 
-def matched(targets: DataFrame, pool: DataFrame, keys: list[str], key: str, seed: str) -> DataFrame:
-    """As many controls of each stratum as it has targets, in md5 order; strata may run short."""
-    wanted = targets.groupBy(*keys).agg(F.count("*").alias("wanted"))
-    place = F.row_number().over(W.partitionBy(*keys).orderBy(draw(seed, key), key))
-    return pool.join(wanted, keys).withColumn("pick", place.cast("bigint")).filter("pick <= wanted").drop("wanted")
+def opaque_ids(rows: DataFrame, key: str, salt: str, prefix: str = "SA-", digits: int = 6) -> DataFrame:
+    """rows with opaque: sequential ids over the whole table in the order of salted md5; every row has its own."""
+    held = placed(rows, [], [F.md5(F.concat(F.lit(salt), F.col(key).cast("string"))), F.col(key)])
+    return held.select(*rows.columns, F.format_string(f"{prefix}%0{digits}d", F.col("position")).alias("opaque"))
+
+
+def matched(targets: DataFrame, pool: DataFrame, keys: list[str], key: str, seed: str, most: int = 250) -> DataFrame:
+    """`most` controls at most: as many of each stratum as it has targets, in md5 order, topped up from the rest of the
+    pool in md5 order where that gives fewer; pick tells stratum or top_up."""
+    wanted = targets.groupBy(*(F.col(k).alias(f"__{k}") for k in keys)).agg(F.count("*").alias("wanted"))
+    order = [draw(seed, key), F.col(key)]
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    dealt = placed(pool, keys, order).join(F.broadcast(wanted) if wanted.count() <= 100_000 else wanted, same, "left")
+    ranked = dealt.select(*pool.columns, F.when(F.col("position") <= F.col("wanted"), "stratum").otherwise("top_up").alias("pick"))
+    return ranked.orderBy((F.col("pick") == "top_up").cast("int"), *order).limit(most)

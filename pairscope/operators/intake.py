@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pairscope.operators.ranks import placed
+
 
 def filled(*columns: Column) -> Column:
     """The first that is not blank, trimmed; an empty string counts as missing."""
@@ -20,8 +22,11 @@ def usability(rows: DataFrame, key: str, position: str, text: str, label: str, e
     """
     own = F.when(filled(F.col(text)).isNull(), "missing_claim_text").when(~F.coalesce(F.col(label).isin(labels), F.lit(False)), F.concat(F.lit("invalid_true_label:"), F.coalesce(F.col(label), F.lit("")))).when(filled(F.col(evidence)).isNull(), "missing_gold_evidence")
     marked = rows.withColumn("__id", filled(F.col(key).cast("string"))).withColumn("__own", own)
-    first = F.min(F.when(F.col("__own").isNull(), F.col(position))).over(W.partitionBy("__id"))
-    return marked.withColumn("reason", F.when(F.col("__id").isNull(), "missing_claim_id").when(F.col(position) > first, "duplicate_claim_id").otherwise(F.col("__own"))).drop("__id", "__own")
+    # rows without an id meet no other, so they are kept from the join
+    first = marked.filter(F.col("__id").isNotNull() & F.col("__own").isNull()).groupBy(F.col("__id").alias("__of")).agg(F.min(position).alias("__first"))
+    known = marked.filter(F.col("__id").isNotNull()).join(first, F.col("__id") == F.col("__of"), "left")
+    found = known.withColumn("reason", F.when(F.col(position) > F.col("__first"), "duplicate_claim_id").otherwise(F.col("__own")))
+    return found.select(*rows.columns, "reason").unionByName(marked.filter(F.col("__id").isNull()).select(*rows.columns, F.lit("missing_claim_id").alias("reason")))
 
 
 def remaining(runs: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
@@ -46,15 +51,12 @@ def key_difference(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 def batches(rows: DataFrame, by: str, order: list[str], size: int) -> DataFrame:
     """rows with position in their group and batch number from 1."""
-    place = F.row_number().over(W.partitionBy(by).orderBy(*order)).cast("bigint")
-    return rows.withColumn("position", place).withColumn("batch", F.floor((F.col("position") - 1) / size) + 1)
+    return placed(rows, [by], order).select(*rows.columns, "position", (F.floor((F.col("position") - 1) / size) + 1).alias("batch"))
 
 
 def shards(rows: DataFrame, by: str, order: list[str], k: int) -> DataFrame:
     """k contiguous shards of ceil(n / k) rows a group."""
-    place = F.row_number().over(W.partitionBy(by).orderBy(*order)).cast("bigint")
-    n = F.count("*").over(W.partitionBy(by))
-    return rows.withColumn("position", place).withColumn("shard", F.floor((F.col("position") - 1) / F.ceil(n / k)) + 1)
+    return placed(rows, [by], order).select(*rows.columns, "position", (F.floor((F.col("position") - 1) / F.ceil(F.col("size") / k)) + 1).alias("shard"))
 
 
 def draw(seed: str, key: str) -> Column:

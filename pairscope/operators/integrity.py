@@ -11,15 +11,25 @@ from pyspark.sql import functions as F
 
 def checks(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """A row a rule: violations and PASS or FAIL, all in one scan. A rule is true where a row violates it."""
-    sums = rows.agg(*(F.count_if(rule).alias(name) for name, rule in rules.items()))
-    return sums.select(F.inline(F.array(*(F.struct(F.lit(n).alias("check"), F.col(n).alias("violations")) for n in rules)))).withColumn("status", F.when(F.col("violations") == 0, "PASS").otherwise("FAIL"))
+    return _verdicts(rows.agg(*(F.count_if(rule).alias(name) for name, rule in rules.items())), list(rules))
+
+
+def _verdicts(sums: DataFrame, names: list[str]) -> DataFrame:
+    return sums.select(F.inline(F.array(*(F.struct(F.lit(n).alias("check"), F.col(n).cast("bigint").alias("violations")) for n in names)))).withColumn("status", F.when(F.col("violations") == 0, "PASS").otherwise("FAIL"))
+
+
+def id_checks(rows: DataFrame, key: str, pattern: str) -> DataFrame:
+    """Two checks of ids: how many rows break the format, and how many repeat an id."""
+    kinds = rows.groupBy(key).agg(F.count("*").alias("n"))
+    sums = kinds.agg(F.coalesce(F.sum(F.when(~F.col(key).rlike(pattern), F.col("n"))), F.lit(0)).alias("bad_format"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("repeated"))
+    return _verdicts(sums, ["bad_format", "repeated"])
 
 
 def headlines(metrics: DataFrame, registry: list[tuple[str, float, float]]) -> DataFrame:
     """metrics(id, value) against (id, expected, tolerance): a metric that is missing fails."""
     spark = metrics.sparkSession
     wanted = spark.createDataFrame(registry, "id string, expected double, tol double")
-    return F.broadcast(wanted).join(metrics, "id", "left").select("id", "expected", "value", F.coalesce(F.abs(F.col("value") - F.col("expected")) <= F.col("tol"), F.lit(False)).alias("ok"))
+    return wanted.join(metrics, "id", "left").select("id", "expected", "value", F.coalesce(F.abs(F.col("value") - F.col("expected")) <= F.col("tol"), F.lit(False)).alias("ok"))
 
 
 def difference(left: DataFrame, right: DataFrame, ignore: list[str] = []) -> DataFrame:  # noqa: B006

@@ -163,7 +163,7 @@ def crosstab(rows: DataFrame, left: str, right: str, values: list[str]) -> DataF
     spark = rows.sparkSession
     order = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "value string, position int")
     counts = rows.groupBy(F.col(left).alias("value")).agg(*(n_if(F.col(right) == v).alias(f"{right}_{v}") for v in values))
-    return F.broadcast(order).join(counts, "value", "left").select("position", F.col("value").alias(left), *(F.coalesce(f"{right}_{v}", F.lit(0)).cast("bigint").alias(f"{right}_{v}") for v in values))
+    return order.join(counts, "value", "left").select("position", F.col("value").alias(left), *(F.coalesce(f"{right}_{v}", F.lit(0)).cast("bigint").alias(f"{right}_{v}") for v in values))
 
 
 def concordance(wide: DataFrame) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pairscope.functions import text as T
 from pairscope.operators import dedup as D
 from pairscope.operators import paired as P
+from pairscope.operators import ranks as R
 from pairscope.plans.book import Book
 
 book = Book()
@@ -34,9 +34,10 @@ add("F01_title_nfc", "", lambda p: p.select("p_partkey", T.page_key(F.concat("p_
 
 
 def lagged_cosine(e):
-    """Cosine of each vector with the one before it of its label."""
-    before = F.lag("embedding").over(W.partitionBy("label").orderBy("vec_id"))
-    return e.withColumn("before", before).filter("before is not null").select("vec_id", F.round(T.cosine(F.col("embedding"), F.col("before")), 6).alias("cosine"))
+    """Cosine of each vector with the one before it of its label: numbered by ranges, joined with its neighbour's number."""
+    held = R.placed(e.select("vec_id", "label", "embedding"), ["label"], ["vec_id"]).select("vec_id", "label", "embedding", "position")
+    before = held.select("label", (F.col("position") + 1).alias("position"), F.col("embedding").alias("before"))
+    return held.join(before, ["label", "position"]).select("vec_id", F.round(T.cosine(F.col("embedding"), F.col("before")), 6).alias("cosine"))
 
 
 _COS = "WITH x AS (SELECT vec_id, label, embedding::double[] AS e, lag(embedding::double[]) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM embeddings), c AS (SELECT vec_id, label, list_inner_product(e, b) / nullif(sqrt(list_inner_product(e, e)) * sqrt(list_inner_product(b, b)), 0) AS cosine FROM x WHERE b IS NOT NULL)"

@@ -24,7 +24,7 @@ def _w(h: str, n: str) -> str:
 
 
 add("T07_wilson", "predictions", lambda p: S.rate(P.judged(p), F.col("correct"), "model", "cond").drop("status"), f"SELECT model, cond, n, hits, hits / n AS rate, {_w('hits', 'n')} FROM (SELECT model, cond, count(correct) AS n, count(*) FILTER (correct) AS hits FROM judged GROUP BY ALL) x", views="judged")
-add("T08_rate_contract", "predictions", lambda p: S.rate(P.judged(p).withColumn("correct", F.when(F.col("n_sets") > 1, F.col("correct"))), F.col("correct"), "n_sets"), f"SELECT n_sets, n, hits, CASE WHEN n = 0 THEN 'empty_denominator' ELSE 'ok' END AS status, hits / nullif(n, 0) AS rate, CASE WHEN n > 0 THEN ci_low END AS ci_low, CASE WHEN n > 0 THEN ci_high END AS ci_high FROM (SELECT *, {_w('hits', 'nullif(n, 0)')} FROM (SELECT n_sets, count(correct) FILTER (n_sets > 1) AS n, count(*) FILTER (correct AND n_sets > 1) AS hits FROM judged GROUP BY ALL) x) y", views="judged")
+add("T08_rate_contract", "predictions", lambda p: S.rate(P.judged(p).withColumn("correct", F.when(F.col("n_sets") > 1, F.col("correct"))), F.col("correct"), "n_sets", status=S.REPORTED), f"SELECT n_sets, n, hits, CASE WHEN n = 0 THEN 'not_estimable_empty_denominator' ELSE 'estimated' END AS status, hits / nullif(n, 0) AS rate, CASE WHEN n > 0 THEN ci_low END AS ci_low, CASE WHEN n > 0 THEN ci_high END AS ci_high FROM (SELECT *, {_w('hits', 'nullif(n, 0)')} FROM (SELECT n_sets, count(correct) FILTER (n_sets > 1) AS n, count(*) FILTER (correct AND n_sets > 1) AS hits FROM judged GROUP BY ALL) x) y", views="judged")
 _BC = "SELECT model, gold, count(*) AS n, count(*) FILTER (co AND NOT ev) AS b, count(*) FILTER (NOT co AND ev) AS c FROM transitions GROUP BY ALL"
 add("T09_mcnemar_cc", "predictions", lambda p: S.discordant(long(p), F.col("co"), F.col("ev"), "model", "gold"), f"SELECT *, greatest(abs(b - c) - 1, 0) ** 2 / nullif(b + c, 0) AS chi2 FROM ({_BC}) x", views="transitions")
 _EX = "least(1.0, 2 * (SELECT sum(exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2))) FROM (SELECT unnest(generate_series(0, least(b, c))) AS i) s))"
@@ -73,7 +73,14 @@ _MW = f"m AS (SELECT count(*)::double AS n, count(*) FILTER (pos)::double AS n1,
 add("T18_mann_whitney", "", lambda li: S.mann_whitney(li.withColumn("returned", F.col("l_returnflag") == "R"), "l_quantity", "returned"), f"WITH src AS (SELECT l_quantity AS v, l_returnflag = 'R' AS pos FROM lineitem), {_RK}, {_MW} SELECT n::bigint AS n, n1::bigint AS n1, u, greatest(abs(u - n1 * n2 / 2) - 0.5, 0) / sqrt(n1 * n2 / 12 * ((n + 1) - {_TIES} / (n * (n - 1)))) AS z, u / (n1 * n2) AS auc FROM u", tables="lineitem")
 add("T27_auc_ap_brier", "", lambda li: S.curves(li.select((F.col("l_quantity") / 50).alias("score"), (F.col("l_returnflag") == "R").alias("pos")), "score", "pos"), f"WITH src AS (SELECT l_quantity / 50 AS v, l_returnflag = 'R' AS pos FROM lineitem), {_RK}, {_MW}, h AS (SELECT v, count(*) AS n, count(*) FILTER (pos) AS p FROM src GROUP BY v), c AS (SELECT p, sum(n) OVER w AS cn, sum(p) OVER w AS cp FROM h WINDOW w AS (ORDER BY v DESC)) SELECT u / (n1 * n2) AS auc, (SELECT sum(p * cp / cn) / sum(p) FROM c) AS average_precision, (SELECT avg((v - pos::int) ** 2) FROM src) AS brier FROM u", tables="lineitem")
 _DRAWN = " ".join(f"WHEN u < {b!r} THEN {k}" for k, b in enumerate([0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253]))
-add("T06_bootstrap", "predictions", lambda p: S.bootstrap(long(p).filter("model = 'large'"), "claim_id", "ev"), f"WITH d AS (SELECT i, ev, CASE {_DRAWN} ELSE 8 END AS w FROM (SELECT i, ev, @H[i || ':' || claim_id] / 4294967296.0 AS u FROM transitions CROSS JOIN (SELECT unnest(generate_series(1, 200)) AS i) g WHERE model = 'large') x), m AS (SELECT i, sum(w * ev::int) / sum(w) AS m FROM d GROUP BY i) SELECT count(*) AS replicates, quantile_cont(m, 0.025) AS ci_low, quantile_cont(m, 0.975) AS ci_high FROM m", views="transitions")
+add(
+    "T06_bootstrap",
+    "predictions",
+    lambda p: S.bootstrap(long(p), "claim_id", "ev", "model"),
+    f"""WITH b AS (SELECT model, @H[claim_id::varchar] % 1024 AS b, count(*) AS n, count(*) FILTER (ev) AS h FROM transitions GROUP BY ALL), d AS (SELECT model, i, n, h, CASE {_DRAWN} ELSE 8 END AS w FROM (SELECT model, i, n, h, @H[i || ':' || b] / 4294967296.0 AS u FROM b CROSS JOIN (SELECT unnest(generate_series(1, 2000)) AS i) g) x),
+    m AS (SELECT model, i, sum(w * h) / sum(w * n) AS m FROM d GROUP BY model, i) SELECT model, count(m) AS replicates, quantile_cont(m, 0.025) AS ci_low, quantile_cont(m, 0.975) AS ci_high FROM m GROUP BY model""",
+    views="transitions",
+)
 
 
 def _family(o):

@@ -84,9 +84,32 @@ add("P21_cohort", "predictions", lambda p: classed(p).select("claim_id", "cohort
 add("P22_regression_type", "predictions", lambda p: classed(p).filter("cohort = 'regression'").groupBy(C.regression_type(F.col(L), F.col(S)).alias("kind")).agg(F.count("*").alias("n")), f"SELECT CASE WHEN {L} = 'regression' AND {S} = 'regression' THEN 'both' WHEN {L} = 'regression' THEN 'first_only' ELSE 'second_only' END AS kind, count(*) AS n FROM paired WHERE {L} = 'regression' OR {S} = 'regression' GROUP BY 1", views="paired")
 add("A35_balance", "predictions", lambda p: classed(p).groupBy("cohort").agg(F.count("*").alias("n"), F.avg(F.col("n_sets").cast("double")).alias("mean_sets"), F.avg((F.col("gold") == "Supported").cast("double")).alias("supported")), f"SELECT {_CC} AS cohort, count(*) AS n, avg(n_sets) AS mean_sets, avg((gold = 'Supported')::int) AS supported FROM paired GROUP BY 1", views="paired")
 add("W01_tercile", "", lambda o: C.terciles(o, "o_totalprice", "o_orderkey", "o_orderpriority").select("o_orderkey", "tercile"), "SELECT o_orderkey, CASE WHEN 3 * (r - 1) < n - 1 THEN 1 WHEN 3 * (r - 1) < 2 * (n - 1) THEN 2 ELSE 3 END AS tercile FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey) AS r, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders) x", tables="orders")
-add("W04_opaque_ids", "", lambda o: o.select("o_orderkey", F.format_string("SA-%06d", F.expr("row_number() over (partition by o_orderpriority order by md5(concat('salt', cast(o_orderkey as string))))")).alias("opaque")), "SELECT o_orderkey, printf('SA-%06d', row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5('salt' || o_orderkey))) AS opaque FROM orders", tables="orders")
-add("P34_opaque_format", "", lambda o: V.checks(o.select(F.format_string("SA-%06d", F.col("o_orderkey")).alias("id"), "o_orderkey"), {"bad_format": ~F.col("id").rlike(r"^SA-\d{6}$"), "empty": F.col("id") == ""}), "WITH x AS (SELECT printf('SA-%06d', o_orderkey) AS id FROM orders) SELECT 'bad_format' AS \"check\", count(*) FILTER (NOT regexp_matches(id, '^SA-\\d{6}$')) AS violations, CASE WHEN count(*) FILTER (NOT regexp_matches(id, '^SA-\\d{6}$')) = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM x UNION ALL SELECT 'empty', count(*) FILTER (id = ''), CASE WHEN count(*) FILTER (id = '') = 0 THEN 'PASS' ELSE 'FAIL' END FROM x", tables="orders")
-add("T32_matched_controls", "predictions", lambda p: C.matched(classed(p).filter("cohort = 'regression'"), classed(p).filter("cohort = 'robust'"), ["gold", "n_sets"], "claim_id", "match:").select("claim_id", "gold", "n_sets", "pick"), f"WITH c AS (SELECT claim_id, gold, n_sets, {_CC} AS cohort FROM paired), w AS (SELECT gold, n_sets, count(*) AS wanted FROM c WHERE cohort = 'regression' GROUP BY ALL) SELECT claim_id, gold, n_sets, pick FROM (SELECT c.*, wanted, row_number() OVER (PARTITION BY gold, n_sets ORDER BY md5('match:' || claim_id), claim_id) AS pick FROM c JOIN w USING (gold, n_sets) WHERE cohort = 'robust') x WHERE pick <= wanted", views="paired")
+_OP = "op AS (SELECT o_orderkey, printf('SA-%06d', row_number() OVER (ORDER BY md5('salt' || o_orderkey), o_orderkey)) AS opaque FROM orders)"
+blinded = lambda o: C.opaque_ids(o.select("o_orderkey"), "o_orderkey", "salt")
+add("W04_opaque_ids", "", blinded, f"WITH {_OP} SELECT * FROM op", tables="orders")
+add("P34_opaque_format", "", lambda o: V.id_checks(blinded(o), "opaque", r"^SA-\d{6}$"), f"WITH {_OP}, u AS (SELECT opaque, count(*) AS n FROM op GROUP BY 1), v AS (SELECT coalesce(sum(n) FILTER (NOT regexp_matches(opaque, '^SA-\\d{{6}}$')), 0) AS bad, coalesce(sum(n - 1), 0) AS repeated FROM u) SELECT 'bad_format' AS \"check\", bad::bigint AS violations, CASE WHEN bad = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM v UNION ALL SELECT 'repeated', repeated::bigint, CASE WHEN repeated = 0 THEN 'PASS' ELSE 'FAIL' END FROM v", tables="orders")
+
+
+def strata(p):
+    """Claims with what controls are matched on: label, sets, pages and the terciles of two lengths."""
+    number = lambda salt: F.conv(F.substring(F.md5(F.concat(F.lit(salt), F.col("claim_id").cast("string"))), 1, 8), 16, 10).cast("bigint")
+    rows = classed(p).select("claim_id", "gold", "n_sets", "cohort", (1 + F.pmod(number("pages"), F.lit(3))).alias("n_pages"), F.pmod(number("claim"), F.lit(40)).alias("claim_words"), F.pmod(number("text"), F.lit(300)).alias("evidence_words"))
+    return C.terciles(C.terciles(rows, "claim_words", "claim_id", name="claim_tercile"), "evidence_words", "claim_id", name="evidence_tercile")
+
+
+MATCH_ON = ["gold", "n_sets", "n_pages", "claim_tercile", "evidence_tercile"]
+_M = ", ".join(MATCH_ON)
+_TER = lambda c: f"CASE WHEN 3 * (row_number() OVER (ORDER BY {c}, claim_id) - 1) < n - 1 THEN 1 WHEN 3 * (row_number() OVER (ORDER BY {c}, claim_id) - 1) < 2 * (n - 1) THEN 2 ELSE 3 END"
+add(
+    "T32_matched_controls",
+    "predictions",
+    lambda p: (lambda c: C.matched(c.filter("cohort IN ('regression', 'resistant')"), c.filter("cohort = 'robust'"), MATCH_ON, "claim_id", "match:"))(strata(p)).select("claim_id", *MATCH_ON, "pick"),
+    f"""WITH c0 AS (SELECT claim_id, gold, n_sets, {_CC} AS cohort, 1 + @H['pages' || claim_id] % 3 AS n_pages, @H['claim' || claim_id] % 40 AS cw, @H['text' || claim_id] % 300 AS ew, count(*) OVER () AS n FROM paired),
+    c AS (SELECT *, {_TER('cw')} AS claim_tercile, {_TER('ew')} AS evidence_tercile FROM c0), w AS (SELECT {_M}, count(*) AS wanted FROM c WHERE cohort IN ('regression', 'resistant') GROUP BY ALL),
+    d AS (SELECT c.*, coalesce(row_number() OVER (PARTITION BY {_M} ORDER BY md5('match:' || claim_id), claim_id) <= wanted, false) AS inside FROM c LEFT JOIN w USING ({_M}) WHERE cohort = 'robust')
+    SELECT claim_id, {_M}, CASE WHEN inside THEN 'stratum' ELSE 'top_up' END AS pick FROM d ORDER BY NOT inside, md5('match:' || claim_id), claim_id LIMIT 250""",
+    views="paired",
+)
 
 add("S11_event_summary", "attempts", lambda a: V.event_summary(a, "job_id"), "SELECT job_id, " + ", ".join(f"count(*) FILTER (status = '{k}') AS n_{k}" for k in ("accepted", "error", "invalid", "blocked")) + ", count(DISTINCT agent) AS agents, arg_max(event_id, (ts, event_id)) FILTER (status = 'error') AS last_error FROM attempts GROUP BY job_id")
 add("S12_log_carry", "attempts", lambda a: V.carried(a, F.when(F.col("status") == "accepted", F.col("event_id")), "job_id", ["attempt"]).select("event_id", "job"), "SELECT event_id, last_value(CASE WHEN status = 'accepted' THEN event_id END IGNORE NULLS) OVER (PARTITION BY job_id ORDER BY attempt ROWS UNBOUNDED PRECEDING) AS job FROM attempts")
