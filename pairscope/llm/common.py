@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from pairscope.storage import scratch, settle, shared_dir
+
+__all__ = ["scratch", "settle", "shared_dir"]
+
 #: White space that ends a word: space and the characters 0x09 to 0x0D. bytes.split() ends words at the same six.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -18,27 +19,6 @@ def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFram
     return df.select(*columns) if columns else df
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one set here where the session names none (tests)."""
-    sc = spark.sparkContext
-    found = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="pairscope-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(found)
-    return sc.getCheckpointDir().rstrip("/")
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """df written to the shared folder as Parquet and read again: cuts lineage, outlives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bounded_sample(rows: DataFrame, by: str, order: Column, columns: list[str], most: int) -> tuple[list[Row], dict]:
     """At most `most` rows of each value of `by`, and the number of rows of each value in all.
 
