@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
 
 import pandas as pd
@@ -85,3 +86,25 @@ def nfc(c: Column) -> Column:
 
 def page_key(title: Column) -> Column:
     return F.replace(nfc(F.trim(title)), F.lit(" "), F.lit("_"))
+
+
+def entities(c: Column) -> Column:
+    """Distinct runs of capitalized words: a stand-in for a model of named entities, and not equal to one."""
+    return F.array_distinct(F.regexp_extract_all(plain(c), F.lit(r"\b[A-Z][a-z]+(?: [A-Z][a-z]+)*"), F.lit(0)))
+
+
+def seeds(n: int) -> list[int]:
+    """n fixed 32-bit masks, from the md5 of their numbers."""
+    return [int(hashlib.md5(f"mask{i}".encode()).hexdigest()[:8], 16) for i in range(n)]
+
+
+def minhash(grams: Column, n: int = 200) -> Column:
+    """The least of a shingle's 32-bit md5 hash under each of n masks; null for no shingle."""
+    hashes = F.transform(grams, lambda g: F.conv(F.substring(F.md5(g), 1, 8), 16, 10).cast("bigint"))
+    return F.transform(F.array(hashes), lambda h: F.transform(F.array(*(F.lit(s).cast("bigint") for s in seeds(n))), lambda s: F.array_min(F.transform(h, lambda x: x.bitwiseXOR(s)))))[0]
+
+
+def digest_status(now: Column, recorded: Column, recorded_lf: Column) -> Column:
+    """Whether bytes are the recorded ones, the same but for line ends (CRLF for LF), or changed."""
+    lf = F.sha2(F.replace(now, F.lit("\r\n"), F.lit("\n")), 256)
+    return F.when(F.sha2(now, 256) == recorded, "exact_recorded_bytes").when(lf == recorded_lf, "eol_only_equivalent").otherwise("changed")

@@ -88,11 +88,16 @@ def metrics_long(rows: DataFrame) -> DataFrame:
     )
 
 
+def error_kind(recorded: Column, prediction: Column, gold: Column) -> Column:
+    """The recorded kind of an error, else one worked out from output and label; for rows known to be wrong."""
+    turned = F.when((gold == "Supported") & (prediction == "Refuted"), "supported_to_refuted").when((gold == "Refuted") & (prediction == "Supported"), "refuted_to_supported").otherwise("other_error")
+    return F.coalesce(F.nullif(F.trim(recorded), F.lit("")), F.when(prediction.isNull(), "invalid_or_missing_output").otherwise(turned))
+
+
 def error_counts(rows: DataFrame) -> DataFrame:
-    """Errors by model and kind: the recorded kind, else one worked out from output and gold; right rows are left out."""
-    worked = F.when(F.col("prediction").isNull(), "invalid_or_missing_output").when(~F.col("correct"), F.concat_ws("_", F.lower("gold"), F.lit("to"), F.lower("prediction")))
-    taxonomy = F.coalesce(F.nullif(F.trim("error_type"), F.lit("")), worked)
-    return rows.select("model", taxonomy.alias("taxonomy")).filter("taxonomy is not null").groupBy("model", "taxonomy").agg(F.count("*").alias("n"))
+    """Errors by model and kind; right rows are left out."""
+    wrong = rows.filter(~F.coalesce(F.col("correct"), F.lit(False)))
+    return wrong.select("model", error_kind(F.col("error_type"), F.col("prediction"), F.col("gold")).alias("taxonomy")).groupBy("model", "taxonomy").agg(F.count("*").alias("n"))
 
 
 def label_rollup(rows: DataFrame, value: str, labels: list[str]) -> DataFrame:

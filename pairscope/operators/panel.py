@@ -27,6 +27,8 @@ LEGACY = [
     "silver_clear_evidence_utilization_failure",
     "silver_unresolved",
 ]
+#: The broad classes of the legacy categories.
+BROAD = dict(zip(LEGACY, ["residual_ambiguity", "representation_sensitive", "representation_sensitive", "evidence_utilization_failure", "other"], strict=True))
 DECISIVE = ["Supported", "Refuted"]
 
 
@@ -46,9 +48,11 @@ def deduplicated(judgments: DataFrame, policy: str = "first") -> DataFrame:
     return held.select(*keys, F.when(bad, F.raise_error(F.lit("conflicting judgments"))).otherwise(F.col("r")).alias("r")).select(*keys, "r.*")
 
 
-def consensus(judgments: DataFrame, *keys: str, high: int = 4, weak_needed: int = 3) -> DataFrame:
+def consensus(judgments: DataFrame, *keys: str, high: int = 4, weak_needed: int = 3, slots: int | None = None) -> DataFrame:
     """Consensus by four rules, in order, with diagnostics; one aggregate, any order of rows.
 
+    With slots, a panel that lacks a slot or holds one twice is an error.
+
     A label with `high` votes wins; else Ambiguous if it is the modal verdict (ties go to the verdict of the least judge
     number) with two votes or more; else Ambiguous if enough ratings are weak; else Unresolved.
     """
@@ -56,7 +60,11 @@ def consensus(judgments: DataFrame, *keys: str, high: int = 4, weak_needed: int
     counts = [n_if(F.col("verdict") == v).alias(f"n_{v.lower()}") for v in VERDICTS]
     firsts = [F.min(F.when(F.col("verdict") == v, F.col("judge_no"))).alias(f"first_{v.lower()}") for v in VERDICTS]
     rated = [F.struct(n_if(F.col("sufficiency") == s).alias("n"), (-F.min(F.when(F.col("sufficiency") == s, F.col("judge_no")))).alias("at"), F.lit(s).alias("v")) for s in SUFFICIENCY]
-    held = judgments.groupBy(*keys).agg(*counts, *firsts, n_if(F.col("sufficiency").isin(WEAK)).alias("n_weak"), F.avg("confidence").alias("mean_confidence"), F.stddev_pop("confidence").alias("sd_confidence"), F.array_max(F.array(*rated))["v"].alias("modal_sufficiency"))
+    held = judgments.groupBy(*keys).agg(*counts, *firsts, n_if(F.col("sufficiency").isin(WEAK)).alias("n_weak"), F.avg("confidence").alias("mean_confidence"), F.stddev_pop("confidence").alias("sd_confidence"), F.array_max(F.array(*rated))["v"].alias("modal_sufficiency"), F.count("*").alias("n_rows"), F.bit_count(F.bit_or(F.expr("shiftleft(1L, cast(judge_no AS int))"))).alias("n_slots"))
+    if slots is not None:
+        broken = (F.col("n_rows") != slots) | (F.col("n_slots") != slots)
+        held = held.withColumn("n_supported", F.when(broken, F.raise_error(F.lit("consensus needs each judge slot once"))).otherwise(F.col("n_supported")))
+    held = held.drop("n_rows", "n_slots")
     modal = F.array_max(F.array(*(F.struct(F.col(f"n_{v.lower()}").alias("n"), (-F.coalesce(F.col(f"first_{v.lower()}"), F.lit(99))).alias("at"), F.lit(v).alias("v")) for v in VERDICTS)))
     most = F.greatest("n_supported", "n_refuted")
     top = F.greatest("n_supported", "n_refuted", "n_ambiguous")
@@ -135,13 +143,28 @@ def taxonomy_legacy(a: Column, b: Column, c: Column, cohort: Column) -> Column:
     )
 
 
-def taxonomy_residual(first: Column, second: Column, second_rule: Column) -> Column:
+#: What a second panel makes of an item (the panels' names fill the gaps), and how a decisive one stands to the reference.
+RESIDUAL = ["cross_family_persistent_ambiguity", "{first}_only_ambiguity", "{second}_internal_disagreement"]
+AGREEING, DIFFERING = "cross_family_decisive_feversame", "cross_family_decisive_feverdifferent"
+
+
+def residual_codes(panels: tuple[str, str] = ("first_panel", "second_panel")) -> list[str]:
+    return [code.format(first=panels[0], second=panels[1]) for code in RESIDUAL]
+
+
+def taxonomy_residual(first: Column, second: Column, second_rule: Column, panels: tuple[str, str] = ("first_panel", "second_panel")) -> Column:
     """What a second panel says of an item the first left open."""
-    return (
-        F.when(~decisive(second) & ~decisive(first), "cross_family_persistent_ambiguity")
-        .when(decisive(second) & (second_rule == "high_consensus"), "first_panel_only_ambiguity")
-        .otherwise("second_panel_internal_disagreement")
-    )
+    codes = residual_codes(panels)
+    return F.when(~decisive(second) & ~decisive(first), codes[0]).when(decisive(second) & (second_rule == "high_consensus"), codes[1]).otherwise(codes[2])
+
+
+def taxonomy_residual_by_reference(category: Column, second: Column, gold: Column, panels: tuple[str, str] = ("first_panel", "second_panel")) -> Column:
+    """taxonomy_residual() with what only the first panel left open split by whether the second agrees with the reference."""
+    return F.when(category != residual_codes(panels)[1], category).when(second == gold, AGREEING).when(second != gold, DIFFERING).otherwise(category)
+
+
+def broad(category: Column) -> Column:
+    return F.create_map(*(F.lit(x) for pair in BROAD.items() for x in pair))[category]
 
 
 def judge_behavior(judgments: DataFrame) -> DataFrame:

@@ -52,5 +52,7 @@ MEASURES = {
     "A26_two_diagnostics": ["disagrees", "weak"],
     "A27_agreement_bucket": ["rate"],
     "A35_balance": ["mean_sets", "supported"],
+    "T20_endpoint_battery": ["rate_pct", "wilson_low", "wilson_high", "odds_ratio", "ci_low", "ci_high", "delta_pp", "statistic", "p", "p_bh"],
+    "T21_cross_family_battery": ["rate_pct", "wilson_low", "wilson_high", "odds_ratio", "ci_low", "ci_high", "delta_pp", "statistic", "p", "p_bh"],
     "V02_headlines": ["expected", "value"],
 }

@@ -43,10 +43,10 @@ def classified(j):
     return wide(j).withColumn("category", N.taxonomy(gold, a, b, c, F.col("item_id") % 3 == 0)).withColumn("legacy", N.taxonomy_legacy(a, b, c, F.when(F.col("item_id") % 2 == 0, "regression").otherwise("robust")))
 
 
-add("A17_consensus", "judgments", lambda j: N.consensus(j).select("item_id", "stage", "n_supported", "n_refuted", "n_ambiguous", "n_weak", "rule", "consensus"), f"{_C} SELECT item_id, stage, n_supported, n_refuted, n_ambiguous, n_weak, rule, consensus FROM cons")
+add("A17_consensus", "judgments", lambda j: N.consensus(j, slots=5).select("item_id", "stage", "n_supported", "n_refuted", "n_ambiguous", "n_weak", "rule", "consensus"), f"{_C} SELECT item_id, stage, n_supported, n_refuted, n_ambiguous, n_weak, rule, consensus FROM cons")
 add("A18_tie_diagnostics", "judgments", lambda j: N.consensus(j).select("item_id", "stage", "modal_verdict", "tied", "order_sensitive"), f"{_C} SELECT item_id, stage, modal_verdict, tied, greatest(n_supported, n_refuted) < 4 AND tied AND n_ambiguous = greatest(n_supported, n_refuted, n_ambiguous) AND n_ambiguous >= 2 AND n_weak < 3 AS order_sensitive FROM cons")
 add("A19_confidence_stats", "judgments", lambda j: N.consensus(j).select("item_id", "stage", "mean_confidence", F.round("sd_confidence", 6).alias("sd_confidence"), "modal_sufficiency"), f"{_C} SELECT item_id, stage, mean_confidence, round(sd_confidence, 6) AS sd_confidence, modal_sufficiency FROM cons")
-add("A20_panel_completeness", "judgments", lambda j: N.complete(j.filter("NOT (item_id % 97 = 0 AND judge_no = 2)")), "SELECT item_id, stage, count(*) AS n, count(DISTINCT judge_no) AS judges, count(*) = 5 AND count(DISTINCT judge_no) = 5 AS complete FROM judgments WHERE NOT (item_id % 97 = 0 AND judge_no = 2) GROUP BY ALL")
+add("A20_panel_completeness", "judgments", N.complete, "SELECT item_id, stage, count(*) AS n, count(DISTINCT judge_no) AS judges, count(*) = 5 AND count(DISTINCT judge_no) = 5 AS complete FROM judgments GROUP BY ALL")
 _pct = ", ".join(f"100 * avg((verdict = '{v}')::int) AS pct_{v.lower()}" for v in N.VERDICTS)
 add("A21_judge_behavior", "judgments", N.judge_behavior, f"SELECT stage, judge_id, count(*) AS n, {_pct}, avg(confidence) AS mean_confidence FROM judgments GROUP BY ALL")
 add("A22_flag_counts", "judgments", N.flag_counts, "SELECT stage, flag, count(*) AS n FROM (SELECT stage, unnest(string_split(flags, ';')) AS flag FROM judgments) x WHERE flag <> 'none' GROUP BY ALL")
@@ -91,7 +91,8 @@ add("A29_resolution_rates", "judgments", lambda j: wide(j).agg(*((100 * F.avg(F.
 add("P17_taxonomy_v2", "judgments", lambda j: classified(j).select("item_id", "gold", "category", F.when(F.col("a_decisive"), "A").when(F.col("b_decisive"), "B").when(F.col("c_decisive"), "C").alias("first_decisive_stage"), F.when(F.col("a") == F.col("gold"), "A").when(F.col("b") == F.col("gold"), "B").when(F.col("c") == F.col("gold"), "C").alias("first_agreeing_stage")), f"{_CW} SELECT item_id, gold, {_TAX} AS category, CASE WHEN {_D('a')} THEN 'A' WHEN {_D('b')} THEN 'B' WHEN {_D('c')} THEN 'C' END AS first_decisive_stage, CASE WHEN a = gold THEN 'A' WHEN b = gold THEN 'B' WHEN c = gold THEN 'C' END AS first_agreeing_stage FROM wide")
 _LEG = f"CASE WHEN NOT ({_D('c')}) THEN 'silver_partial_or_ambiguous_warrant' WHEN NOT ({_D('a')}) OR a <> c THEN 'silver_structured_evidence_sensitive' WHEN {_D('b')} AND a <> b THEN 'silver_title_context_sensitive' WHEN item_id % 2 = 0 THEN 'silver_clear_evidence_utilization_failure' ELSE 'silver_unresolved' END"
 add("P18_taxonomy_v1", "judgments", lambda j: classified(j).select("item_id", "legacy"), f"{_CW} SELECT item_id, {_LEG} AS legacy FROM wide")
-add("P19_broad_class", "judgments", lambda j: classified(j).groupBy(F.create_map(*(F.lit(x) for c in CATEGORIES for x in (c, "open" if c == CATEGORIES[6] else "against" if c == CATEGORIES[5] else "with_reference")))[F.col("category")].alias("broad")).agg(F.count("*").alias("n")), f"{_CW} SELECT CASE WHEN NOT ({_D('c')}) THEN 'open' WHEN c <> gold THEN 'against' ELSE 'with_reference' END AS broad, count(*) AS n FROM wide GROUP BY ALL")
+_BROAD = f"CASE {' '.join(f"WHEN legacy = '{k}' THEN '{v}'" for k, v in N.BROAD.items())} END"
+add("P19_broad_class", "judgments", lambda j: classified(j).groupBy(N.broad(F.col("legacy")).alias("broad")).agg(F.count("*").alias("n")), f"{_CW} SELECT {_BROAD} AS broad, count(*) AS n FROM (SELECT {_LEG} AS legacy FROM wide) x GROUP BY ALL")
 add("A30_mechanism_proportions", "judgments", lambda j: N.proportions(classified(j), "category", CATEGORIES), f"{_CW}, x AS (SELECT {_TAX} AS category FROM wide), t AS (SELECT count(*) AS total FROM x) SELECT total, d.category, count(x.category) AS n, count(x.category) / total AS share FROM t CROSS JOIN (VALUES {', '.join(f'''('{c}')''' for c in CATEGORIES)}) AS d(category) LEFT JOIN x ON x.category = d.category GROUP BY total, d.category")
 add("A31_moves", "judgments", lambda j: wide(j).filter("a <> c").groupBy("a", "c").agg(F.count("*").alias("n")), f"{_CW} SELECT a, c, count(*) AS n FROM wide WHERE a <> c GROUP BY ALL")
 add("A16_stage_crosstab", "judgments", lambda j: P.crosstab(wide(j), "a", "c", LABELS), f"{_CW} SELECT o.position, o.a, {', '.join(f'''count(*) FILTER (w.c = '{v}') AS c_{v}''' for v in LABELS)} FROM (VALUES {', '.join(f'''('{v}', {i})''' for i, v in enumerate(LABELS))}) AS o(a, position) LEFT JOIN wide w ON w.a = o.a GROUP BY o.position, o.a")
@@ -106,7 +107,15 @@ def two_panels(j, b):
     return one.join(two, ["item_id", "stage"]).join(gold, "item_id")
 
 
-add("P20_cross_family_taxonomy", "judgments judgments_b", lambda j, b: two_panels(j, b).filter("stage = 'C'").select("item_id", N.taxonomy_residual(F.col("one"), F.col("two"), F.col("two_rule")).alias("category"), F.when(N.decisive(F.col("two")), F.col("two") == F.col("gold")).alias("agrees")), f"{_CB} SELECT item_id, CASE WHEN NOT ({_D('one')}) AND NOT ({_D('two')}) THEN 'cross_family_persistent_ambiguity' WHEN {_D('two')} AND two_rule = 'high_consensus' THEN 'first_panel_only_ambiguity' ELSE 'second_panel_internal_disagreement' END AS category, CASE WHEN {_D('two')} THEN two = gold END AS agrees FROM both_ WHERE stage = 'C'")
+def cross_family(j, b):
+    """Both panels' labels at the last stage as a category, plain and split by the reference."""
+    rows = two_panels(j, b).filter("stage = 'C'").withColumn("category", N.taxonomy_residual(F.col("one"), F.col("two"), F.col("two_rule")))
+    return rows.select("item_id", "category", N.taxonomy_residual_by_reference(F.col("category"), F.col("two"), F.col("gold")).alias("by_reference"), F.when(N.decisive(F.col("two")), F.col("two") == F.col("gold")).alias("agrees"))
+
+
+_CODES = N.residual_codes()
+_RES = f"CASE WHEN NOT ({_D('one')}) AND NOT ({_D('two')}) THEN '{_CODES[0]}' WHEN {_D('two')} AND two_rule = 'high_consensus' THEN '{_CODES[1]}' ELSE '{_CODES[2]}' END"
+add("P20_cross_family_taxonomy", "judgments judgments_b", cross_family, f"{_CB} SELECT item_id, category, CASE WHEN category <> '{_CODES[1]}' THEN category WHEN two = gold THEN '{N.AGREEING}' ELSE '{N.DIFFERING}' END AS by_reference, CASE WHEN {_D('two')} THEN two = gold END AS agrees FROM (SELECT *, {_RES} AS category FROM both_ WHERE stage = 'C') x")
 add("T35_residual", "judgments judgments_b", lambda j, b: two_panels(j, b).filter("stage = 'C'").filter(~N.decisive(F.col("one"))).groupBy("two").agg(F.count("*").alias("n"), P.n_if(F.col("two") == F.col("gold")).alias("as_reference")), f"{_CB} SELECT two, count(*) AS n, count(*) FILTER (two = gold) AS as_reference FROM both_ WHERE stage = 'C' AND NOT ({_D('one')}) GROUP BY two")
 add("A32_stage_comparison", "judgments judgments_b", lambda j, b: two_panels(j, b).groupBy("stage").agg(F.count("*").alias("n"), P.n_if(~N.decisive(F.col("one"))).alias("open_one"), P.n_if(~N.decisive(F.col("two"))).alias("open_two"), P.n_if(~N.decisive(F.col("one")) & N.decisive(F.col("two"))).alias("one_only"), P.n_if(N.decisive(F.col("one")) & ~N.decisive(F.col("two"))).alias("two_only")).withColumn("delta_pp", 100 * (F.col("open_two") - F.col("open_one")) / F.col("n")), f"{_CB} SELECT stage, count(*) AS n, count(*) FILTER (NOT ({_D('one')})) AS open_one, count(*) FILTER (NOT ({_D('two')})) AS open_two, count(*) FILTER (NOT ({_D('one')}) AND {_D('two')}) AS one_only, count(*) FILTER ({_D('one')} AND NOT ({_D('two')})) AS two_only, 100 * (count(*) FILTER (NOT ({_D('two')})) - count(*) FILTER (NOT ({_D('one')}))) / count(*) AS delta_pp FROM both_ GROUP BY stage")
 add("A33_overlap_subgroups", "predictions", lambda p: N.overlapping(P.paired(P.judged(p)), {"either": (F.col("large_transition") == "regression") | (F.col("small_transition") == "regression"), "shared": (F.col("large_transition") == "regression") & (F.col("small_transition") == "regression"), "large": F.col("large_transition") == "regression", "small": F.col("small_transition") == "regression"}, {"supported": F.col("gold") == "Supported", "many_sets": F.col("n_sets") > 2}), "SELECT g AS \"group\", m AS measure, count(*) FILTER (inside) AS n, count(*) FILTER (inside AND hit) AS hits, count(*) FILTER (inside AND hit) / nullif(count(*) FILTER (inside), 0) AS rate FROM (SELECT unnest([{g: 'either', inside: l OR s}, {g: 'shared', inside: l AND s}, {g: 'large', inside: l}, {g: 'small', inside: s}], recursive := true), gold, n_sets FROM (SELECT gold, n_sets, large_transition = 'regression' AS l, small_transition = 'regression' AS s FROM paired) y) x, (VALUES ('supported'), ('many_sets')) AS k(m), LATERAL (SELECT CASE WHEN m = 'supported' THEN gold = 'Supported' ELSE n_sets > 2 END AS hit) h GROUP BY ALL", views="paired")
@@ -117,7 +126,7 @@ add("T01_pairwise_agreement", "judgments", lambda j: G.pairwise(j, 5, "stage"),
 add("T02_decisive_agreement", "judgments", lambda j: G.pairwise(j.join(j.filter("verdict = 'Ambiguous'").select("item_id", "stage").distinct(), ["item_id", "stage"], "left_anti"), 5, "stage"), f"WITH d AS (SELECT item_id, stage FROM judgments GROUP BY ALL HAVING count(*) FILTER (verdict = 'Ambiguous') = 0), dj AS (SELECT j.* FROM judgments j JOIN d USING (item_id, stage)), {_PAIRS.replace('FROM judgments l JOIN judgments r', 'FROM dj l JOIN dj r')} SELECT stage, avg(same / n) AS mean_agreement, min(same / n) AS min_agreement FROM pairs GROUP BY stage")
 _IC = "ic AS (SELECT stage, item_id, count(*) FILTER (verdict = 'Supported') AS s, count(*) FILTER (verdict = 'Refuted') AS r, count(*) FILTER (verdict = 'Ambiguous') AS a, count(*) AS m FROM judgments GROUP BY ALL)"
 add("T03_fleiss", "judgments", lambda j: G.fleiss(G.item_counts(j, N.VERDICTS, "stage"), 3, "stage"), f"WITH {_IC}, f AS (SELECT stage, count(*) AS items, avg((s * (s - 1) + r * (r - 1) + a * (a - 1)) / (m * (m - 1))) AS observed, (sum(s) / sum(m)) ** 2 + (sum(r) / sum(m)) ** 2 + (sum(a) / sum(m)) ** 2 AS expected FROM ic GROUP BY stage) SELECT *, (observed - expected) / (1 - expected) AS kappa FROM f")
-add("T04_krippendorff", "judgments", lambda j: G.krippendorff(G.item_counts(j.filter("NOT (item_id % 3 = 0 AND judge_no > 3)"), N.VERDICTS, "stage"), 3, "stage"), f"WITH {_IC.replace('FROM judgments', 'FROM judgments WHERE NOT (item_id % 3 = 0 AND judge_no > 3)')}, f AS (SELECT stage, sum(m) AS n, sum((s * (m - s) + r * (m - r) + a * (m - a)) / (m - 1)) AS o, sum(s) AS ts, sum(r) AS tr, sum(a) AS ta FROM ic WHERE m >= 2 GROUP BY stage) SELECT stage, n AS votes, 1 - o / ((n * n - ts * ts - tr * tr - ta * ta) / (n - 1)) AS alpha FROM f")
+add("T04_krippendorff", "judgments", lambda j: G.krippendorff(G.item_counts(j, N.VERDICTS, "stage"), 3, "stage"), f"WITH {_IC}, f AS (SELECT stage, sum(m) AS n, sum((s * (m - s) + r * (m - r) + a * (m - a)) / (m - 1)) AS o, sum(s) AS ts, sum(r) AS tr, sum(a) AS ta FROM ic WHERE m >= 2 GROUP BY stage) SELECT stage, n AS votes, 1 - o / ((n * n - ts * ts - tr * tr - ta * ta) / (n - 1)) AS alpha FROM f")
 _K = "count(*) AS n, count(*) FILTER (one = two) / count(*) AS observed, ({e}) / (count(*) * count(*)) AS expected"
 _e = " + ".join(f"count(*) FILTER (one = '{v}') * count(*) FILTER (two = '{v}')" for v in LABELS)
 add("T05_cohen_kappa", "judgments judgments_b", lambda j, b: G.cohen(two_panels(j, b), "one", "two", LABELS, "stage"), f"{_CB}, k AS (SELECT stage, {_K.format(e=_e)} FROM both_ GROUP BY stage) SELECT *, CASE WHEN expected < 1 THEN (observed - expected) / (1 - expected) END AS kappa FROM k")

@@ -6,11 +6,10 @@ from pyspark.sql import functions as F
 
 from pairscope.functions import special
 from pairscope.operators import paired as P
-from pairscope.operators import panel as N
 from pairscope.operators import stats as S
 from pairscope.plans.behavioral import long
 from pairscope.plans.book import Book
-from pairscope.plans.panel import _CB, _D, two_panels
+from pairscope.plans.panel import _CB, two_panels
 
 book = Book()
 add = book.add
@@ -92,23 +91,3 @@ _BH = "b AS (SELECT family, test, p, count(*) OVER (PARTITION BY family) AS m, r
 add("W02_bh", "", lambda o: S.adjusted(_family(o)), f"WITH f AS (SELECT o_orderpriority AS family, o_orderkey AS test, CASE WHEN o_orderkey % 10 <> 0 THEN @H[o_orderkey::varchar] / 4294967296.0 END AS p FROM orders), {_BH} SELECT f.*, CASE WHEN f.p IS NOT NULL THEN least(1.0, min(b.p * m / r) OVER (PARTITION BY f.family, f.p IS NULL ORDER BY r DESC)) END AS p_bh, coalesce(m, 0) AS family_size FROM f LEFT JOIN b USING (family, test)", tables="orders")
 add("T19_bh_family", "", lambda o: S.adjusted(_family(o)).groupBy("family").agg(F.count("p").alias("defined"), F.max("family_size").alias("family_size"), F.count_if(F.col("p_bh") < 0.05).alias("found")), f"WITH f AS (SELECT o_orderpriority AS family, o_orderkey AS test, CASE WHEN o_orderkey % 10 <> 0 THEN @H[o_orderkey::varchar] / 4294967296.0 END AS p FROM orders), {_BH}, x AS (SELECT family, m, min(p * m / r) OVER (PARTITION BY family ORDER BY r DESC) AS q FROM b) SELECT family, count(*) AS defined, max(m) AS family_size, count(*) FILTER (q < 0.05) AS found FROM x GROUP BY family", tables="orders")
 add("T31_id_neutrality", "predictions", lambda p: S.chi_squared(p.select("claim_id", "gold").distinct().withColumn("half", F.ascii(F.md5(F.concat(F.lit("blind"), "claim_id"))) < 56), "half", "gold"), f"WITH src AS (SELECT DISTINCT ascii(md5('blind' || claim_id)) < 56 AS l, gold AS r, claim_id FROM predictions), {_CHI}")
-
-
-def endpoints(p):
-    """A battery of paired tests by model and label, adjusted within each model."""
-    tests = S.with_p(S.discordant(long(p), F.col("co"), F.col("ev"), "model", "gold", "n_sets"))
-    return S.adjusted(tests.withColumn("family", F.col("model")).withColumn("test", F.concat_ws("/", "gold", "n_sets")).withColumn("p", F.col("p_exact")))
-
-
-def cross_family(j, b):
-    """Exact paired tests of seven measures between two panels, adjusted over all of them."""
-    rows = two_panels(j, b)
-    one, two, gold = F.col("one"), F.col("two"), F.col("gold")
-    measures = {"open": (~N.decisive(one), ~N.decisive(two)), "supported": (one == "Supported", two == "Supported"), "refuted": (one == "Refuted", two == "Refuted"), "ambiguous": (one == "Ambiguous", two == "Ambiguous"), "unresolved": (one == "Unresolved", two == "Unresolved"), "as_reference": (one == gold, two == gold), "against": (N.decisive(one) & (one != gold), N.decisive(two) & (two != gold))}
-    sums = rows.groupBy("stage").agg(F.count("*").alias("n"), *(x for m, (l, r) in measures.items() for x in (F.count_if(l & ~r).alias(f"b_{m}"), F.count_if(~l & r).alias(f"c_{m}"))))
-    tests = sums.select("stage", "n", F.inline(F.array(*(F.struct(F.lit(m).alias("test"), F.col(f"b_{m}").alias("b"), F.col(f"c_{m}").alias("c")) for m in measures))))
-    return S.adjusted(tests.withColumn("p", special.apply(special.binomial_half, F.col("b"), F.col("c"))).withColumn("family", F.col("stage")))
-
-
-add("T20_endpoint_battery", "predictions", endpoints)
-add("T21_cross_family_battery", "judgments judgments_b", cross_family)

@@ -56,6 +56,26 @@ ADAPTERS: dict[str, tuple[list[str], str]] = {
         FROM events
         """,
     ),
+    "records": (
+        ["attempts"],
+        """
+        SELECT job_id, attempt, event_id, status, agent, d, CASE WHEN d % 13 = 0 THEN NULL ELSE 'why' END AS reason, CASE WHEN d % 17 = 0 THEN ' ' ELSE 's' || cast(agent AS string) END AS session_id,
+          d % 5 <> 0 AS has_raw, d % 3 = 0 AS explained, d % 31 <> 0 AS raw_intact, d % 37 = 0 AS raw_valid, 'locked' AS requested_model, CASE WHEN d % 19 = 0 THEN 'other' ELSE 'locked' END AS resolved_model,
+          d % 23 <> 0 AS fresh_context, d % 67 = 0 AS inherited_context, d % 29 = 0 AS web_browse, d % 71 = 0 AS external_retrieval, CASE WHEN d % 41 = 0 THEN '0.7' ELSE 'provider_default' END AS temperature,
+          CASE WHEN d % 43 = 0 THEN '' ELSE 'reviewer' END AS reviewer, d % 47 <> 0 AS reviewed, d % 500 AS started, d % 500 + d % 11 - 1 AS completed, CASE d % 3 WHEN 0 THEN 'available' ELSE 'not_exposed' END AS version_status,
+          CASE WHEN d % 3 = 0 AND d % 7 <> 0 THEN 'v1' WHEN d % 59 = 0 THEN 'v2' END AS version, d % 53 <> 0 AS packet_intact, d % 61 <> 0 AS output_intact
+        FROM (SELECT *, @H['r' || cast(event_id AS string)] AS d FROM attempts) x
+        """,
+    ),
+    "job_items": (
+        ["orders"],
+        """
+        SELECT 'p01_j' || cast(judge_no AS string) || '_b' || cast(cast(floor(o_orderkey / 400) AS bigint) AS string) AS job_id, 'p01' AS panel, judge_no, o_orderkey AS item_id,
+          CASE WHEN judge_no = 3 AND @H['slot' || cast(o_orderkey AS string)] % 499 = 0 THEN 'judge_2' ELSE 'judge_' || cast(judge_no AS string) END AS judge_id,
+          'locked' AS model, 'SA-' || cast(o_orderkey AS string) AS source_id
+        FROM orders CROSS JOIN (VALUES (1), (2), (3), (4), (5)) AS j(judge_no)
+        """,
+    ),
     "texts": (
         ["documents", "labels"],
         """

@@ -1 +1 @@
-"""Streaming of the paired-evaluation engine."""
+"""Ingest of event tables by Structured Streaming."""
