@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pairscope.operators import intake as I
 from pairscope.operators import paired as P
+from pairscope.operators import ranks as R
 from pairscope.plans.book import Book
 
 book = Book()
@@ -118,6 +119,6 @@ add("J12_set_equality", "", lambda c, o: I.key_difference(c.select(F.col("c_cust
 add("J14_cross_grid", "", lambda c: c.select("c_custkey", F.explode(F.array(*(F.struct(F.lit(m).alias("model"), F.lit(k).alias("cond")) for m in ("large", "small") for k in ("claim_only", "with_evidence")))).alias("g")).select("c_custkey", "g.model", "g.cond"), "SELECT c_custkey, model, cond FROM customer CROSS JOIN (VALUES ('large'), ('small')) AS m(model) CROSS JOIN (VALUES ('claim_only'), ('with_evidence')) AS k(cond)", tables="customer")
 add("W05_batching", "", lambda o: I.batches(o, "o_orderpriority", ["o_orderkey"], 100).select("o_orderkey", "position", "batch"), "SELECT o_orderkey, row_number() OVER w AS position, (row_number() OVER w - 1) // 100 + 1 AS batch FROM orders WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_orderkey)", tables="orders")
 add("W06_shards", "", lambda o: I.shards(o, "o_orderpriority", ["o_orderkey"], 7).select("o_orderkey", "position", "shard"), "SELECT o_orderkey, row_number() OVER w AS position, CAST((row_number() OVER w - 1) // CAST(ceil(count(*) OVER (PARTITION BY o_orderpriority) / 7) AS BIGINT) + 1 AS BIGINT) AS shard FROM orders WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_orderkey)", tables="orders")
-add("W08_natural_sort", "", lambda c: c.select(F.when(F.col("c_custkey") % 5 == 0, F.col("c_name")).otherwise(F.col("c_custkey").cast("string")).alias("key")).orderBy(*I.natural_order(F.col("key"))).limit(50), "SELECT key FROM (SELECT CASE WHEN c_custkey % 5 = 0 THEN c_name ELSE cast(c_custkey AS varchar) END AS key FROM customer) ORDER BY try_cast(key AS bigint) IS NULL, try_cast(key AS bigint), key LIMIT 50", tables="customer")
+add("W08_natural_sort", "", lambda c: R.placed(c.select("c_custkey", F.when(F.col("c_custkey") % 5 == 0, F.col("c_name")).otherwise(F.col("c_custkey").cast("string")).alias("key")), [], [*I.natural_order(F.col("key")), "c_custkey"]).select("position", "key"), "WITH x AS (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN c_name ELSE cast(c_custkey AS varchar) END AS key FROM customer) SELECT row_number() OVER (ORDER BY try_cast(key AS bigint) IS NULL, try_cast(key AS bigint), key, c_custkey) AS position, key FROM x", tables="customer")
 add("W11_examples", "predictions", lambda p: P.judged(p).filter(~F.col("correct")).orderBy("claim_id", "model", "cond").limit(max(2, min(4, 9))).select("claim_id", "model", "cond"), "SELECT claim_id, model, cond FROM judged WHERE NOT correct ORDER BY claim_id, model, cond LIMIT 4", views="judged")
 add("T33_balanced_sample", "predictions", lambda p: I.balanced_sample(p.select("claim_id", "gold").distinct(), "gold", "claim_id", 200, "seed42:").select("claim_id", "gold", "pick"), "SELECT claim_id, gold, row_number() OVER (PARTITION BY gold ORDER BY md5('seed42:' || claim_id), claim_id) AS pick FROM (SELECT DISTINCT claim_id, gold FROM predictions) QUALIFY pick <= 200")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pairscope.functions import text as T
 from pairscope.operators import dedup as D
+from pairscope.operators import flags as X
 from pairscope.operators import paired as P
 from pairscope.operators import ranks as R
 from pairscope.plans.book import Book
@@ -82,14 +83,16 @@ add("A27_agreement_bucket", "predictions", lambda p: scored(p).groupBy(F.when(F.
 
 
 def quality_flags(t):
-    """Low overlap, length ratio under its 2nd percentile, and both, a text."""
+    """Low overlap, low similarity (Jaccard here), and a diagnostic that disagrees by a small margin, a text."""
     o = T.overlap(F.col("claim"), F.col("evidence"))
-    rows = t.select("claim_id", o["lexical_overlap"].alias("overlap"), o["length_ratio"].alias("ratio"))
-    bar = rows.agg(F.percentile("ratio", 0.02).alias("bar"))
-    return rows.crossJoin(F.broadcast(bar)).select("claim_id", (F.col("overlap") < 0.2).alias("low_overlap"), (F.col("ratio") < F.col("bar")).alias("low_ratio"))
+    u = lambda k: F.conv(F.substring(F.md5(F.concat(F.lit(k), F.col("claim_id").cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0
+    rows = t.select("claim_id", o["lexical_overlap"].alias("overlap"), o["jaccard"].alias("similarity"), (u("q") < 0.5).alias("disagrees"), u("m").alias("margin"))
+    return X.with_quality_flags(rows, "overlap", "similarity", "disagrees", "margin").select("claim_id", "low_overlap", "low_similarity", "diagnostic_disagreement")
 
 
-add("P25_quality_flags", "texts", quality_flags, f"WITH x AS (SELECT claim_id, len(list_intersect(a, b)) / greatest(1, len(a)) AS overlap, ta / greatest(1, tb) AS ratio FROM (SELECT claim_id, {_CON('claim')} AS a, {_CON('evidence')} AS b, len({_TOK('claim')}) AS ta, len({_TOK('evidence')}) AS tb FROM texts) y) SELECT claim_id, overlap < 0.2 AS low_overlap, ratio < (SELECT quantile_cont(ratio, 0.02) FROM x) AS low_ratio FROM x")
+_QF = f"""qx AS (SELECT claim_id, len(list_intersect(a, b)) / greatest(1, len(a)) AS overlap, len(list_intersect(a, b)) / greatest(1, len(list_distinct(a || b))) AS similarity, @H['q' || claim_id] / 4294967296.0 < 0.5 AS disagrees, @H['m' || claim_id] / 4294967296.0 AS margin FROM (SELECT claim_id, {_CON('claim')} AS a, {_CON('evidence')} AS b FROM texts) y),
+  qf AS (SELECT claim_id, overlap < 0.2 AS low_overlap, similarity < (SELECT quantile_cont(similarity, 0.02) FROM qx) AS low_similarity, disagrees AND margin < 0.3 AS diagnostic_disagreement FROM qx)"""
+add("P25_quality_flags", "texts", quality_flags, f"WITH {_QF} SELECT * FROM qf")
 add("P26_shared_failure", "predictions", lambda p: P.paired(P.judged(p)).select("claim_id", F.coalesce((F.col("large_with_evidence") == F.col("small_with_evidence")) & (F.col("large_with_evidence") != F.col("gold")), F.lit(False)).alias("shared_failure")), "SELECT claim_id, coalesce(large_with_evidence = small_with_evidence AND large_with_evidence <> gold, false) AS shared_failure FROM paired", views="paired")
 
 
@@ -109,19 +112,25 @@ add("P27_priority_topk", "predictions", lambda p: priority(p).orderBy(F.desc("sc
 add("W10_topk_top_up", "predictions", lambda p: priority(p).orderBy((F.col("score") == 0).asc(), F.when(F.col("score") > 0, -F.col("score")).asc(), F.when(F.col("score") > 0, F.col("claim_id")), F.md5(F.concat(F.lit("top"), F.col("claim_id").cast("string")))).limit(300).select("claim_id", "score"), f"WITH {_SC} SELECT claim_id, score FROM (SELECT claim_id, {_PR} AS score FROM sc) x ORDER BY score = 0, CASE WHEN score > 0 THEN -score END, CASE WHEN score > 0 THEN claim_id END, md5('top' || claim_id) LIMIT 300", views="paired")
 
 
-def categories(p):
+def categories(p, t):
+    """All eight predicates over claims and, where there is one, the text of their id."""
     a, b = F.col("large_transition"), F.col("small_transition")
-    ordered = [("shared_regression", (a == "regression") & (b == "regression")), ("weakly_warranted_or_ambiguous", F.col("disagrees") & (F.col("margin") < 0.3)), ("multi_sentence_integration_or_title_context", F.col("n_sets") >= 2), ("possible_representation_failure", F.col("weak")), ("possible_benchmark_annotation_issue", _same_failure())]
-    found = F.array_join(F.filter(F.array(*(F.when(c, F.lit(n)) for n, c in ordered)), lambda x: x.isNotNull()), ";")
-    return scored(p).select("claim_id", F.when(found == "", "unexplained").otherwise(found).alias("category"))
+    counted = lambda n: F.regexp_count(T.plain(F.col("claim")), F.lit(T.PATTERNS[n]))
+    marks = quality_flags(t).select("claim_id", (F.col("low_overlap") | F.col("low_similarity")).alias("poor"))
+    texts = t.select("claim_id", (counted("pronoun") >= 1).alias("pronouns"), ((counted("number") > 0) | (counted("comparative") > 0)).alias("figures"), (counted("negation") >= 1).alias("negated")).join(marks, "claim_id")
+    rows = scored(p).join(texts, "claim_id", "left")
+    predicates = [(a == "regression") & (b == "regression"), F.col("disagrees") & (F.col("margin") < 0.3), F.col("n_sets") >= 2, F.col("pronouns"), F.col("figures"), F.col("negated"), F.col("poor"), _same_failure()]
+    return rows.select("claim_id", X.listed(predicates).alias("category"))
 
 
+_COUNTED = lambda n: f"""len(regexp_extract_all({_PLAIN('claim')}, '{T.PATTERNS[n].replace("'", "''")}'))"""
+_HOLDS = ["large_transition = 'regression' AND small_transition = 'regression'", "disagrees AND margin < 0.3", "n_sets >= 2", "pronouns", "figures", "negated", "poor", "large_with_evidence = small_with_evidence AND large_with_evidence <> gold"]
 add(
     "P28_category_string",
-    "predictions",
+    "predictions texts",
     categories,
-    f"""WITH {_SC} SELECT claim_id, coalesce(nullif(concat_ws(';', CASE WHEN large_transition = 'regression' AND small_transition = 'regression' THEN 'shared_regression' END, CASE WHEN disagrees AND margin < 0.3 THEN 'weakly_warranted_or_ambiguous' END, CASE WHEN n_sets >= 2 THEN 'multi_sentence_integration_or_title_context' END,
-    CASE WHEN weak THEN 'possible_representation_failure' END, CASE WHEN large_with_evidence = small_with_evidence AND large_with_evidence <> gold THEN 'possible_benchmark_annotation_issue' END), ''), 'unexplained') AS category FROM sc""",
+    f"""WITH {_SC}, {_QF}, tx AS (SELECT claim_id, {_COUNTED('pronoun')} >= 1 AS pronouns, {_COUNTED('number')} > 0 OR {_COUNTED('comparative')} > 0 AS figures, {_COUNTED('negation')} >= 1 AS negated, low_overlap OR low_similarity AS poor FROM texts JOIN qf USING (claim_id))
+    SELECT claim_id, coalesce(nullif(concat_ws(';', {', '.join(f"CASE WHEN {c} THEN '{n}' END" for n, c in zip(X.REVIEW, _HOLDS, strict=True))}), ''), '{X.UNEXPLAINED}') AS category FROM sc LEFT JOIN tx USING (claim_id)""",
     views="paired",
 )
 add("P29_linguistic_flags", "texts", lambda t: t.select("claim_id", F.array_join(F.filter(F.array(*(F.when(T.plain(F.col("claim")).rlike(p), F.lit(n)) for n, p in T.PATTERNS.items())), lambda x: x.isNotNull()), ";").alias("flags")), "SELECT claim_id, concat_ws(';', " + ", ".join(f"""CASE WHEN regexp_matches({_PLAIN('claim')}, '{p.replace("'", "''")}') THEN '{n}' END""" for n, p in T.PATTERNS.items()) + ") AS flags FROM texts")
