@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairscope.storage import scratch, settle, shared_dir
-
-__all__ = ["scratch", "settle", "shared_dir"]
+from pairscope.storage import scratch, settle, shared_dir  # noqa: F401
 
 #: White space that ends a word: space and the characters 0x09 to 0x0D. bytes.split() ends words at the same six.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,31 +17,61 @@ def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFram
     return df.select(*columns) if columns else df
 
 
-def bounded_sample(rows: DataFrame, by: str, order: Column, columns: list[str], most: int) -> tuple[list[Row], dict]:
-    """At most `most` rows of each value of `by`, and the number of rows of each value in all.
+def bars(rows: DataFrame, by: str, most: int) -> tuple[DataFrame, dict]:
+    """(__value, __bar) for rows of a uniform long under which there are `most` of each value of `by`, or somewhat more,
+    and the rows of each value."""
+    counts = {r[by]: r["n"] for r in rows.groupBy(by).agg(F.count("*").alias("n")).collect()}
+    held = [(value, 2**63 - 1 if (share := 1.5 * most / n + 50 / n) >= 1 else int(-(2**63) + share * 2**64)) for value, n in counts.items()]
+    return rows.sparkSession.createDataFrame(held, f"__value {rows.schema[by].dataType.simpleString()}, __bar bigint"), counts
 
-    The rows taken have the least hashes `order` (a uniform long), so the choice does not depend on how rows are dealt.
-    One pass counts the values without reading `columns`; a second reads the rows under each value's threshold.
-    """
-    counts = {r[by]: r["n"] for r in rows.groupBy(by).agg(F.count("*").alias("n")).orderBy(F.desc("n"), by).limit(1000).collect()}
-    if not counts:
-        return [], {}
-    under = F.lit(False)
-    for value, n in counts.items():
-        share = min(1.0, 1.5 * most / n + 50 / n)
-        bar = 2**63 - 1 if share == 1.0 else int(-(2**63) + share * 2**64)
-        under = under | ((F.col(by) == value) & (F.col("__order") <= bar))
-    drawn = rows.select(*columns, by, order.alias("__order")).filter(under).limit(3 * (most + 50) * len(counts)).collect()
-    drawn.sort(key=lambda r: (r["__order"], *(str(r[c]) for c in columns)))
-    taken: dict = {value: 0 for value in counts}
+
+def least(rows: DataFrame, by: str, order: Column, key: str, most: int) -> tuple[list[tuple[object, object]], dict]:
+    """(key, value of `by`) of `most` rows of each value, those of the least hashes, and the rows of each value in all."""
+    under, counts = bars(rows, by, most)
+    near = rows.select(key, by, order.alias("o")).join(F.broadcast(under), F.col(by) == F.col("__value")).filter(F.col("o") <= F.col("__bar")).select(key, by, "o").collect()
+    taken: dict = dict.fromkeys(counts, 0)
     out = []
-    for r in drawn:
+    for r in sorted(near, key=lambda r: (r["o"], str(r[key]))):
         taken[r[by]] += 1
         if taken[r[by]] <= most:
-            out.append(r)
+            out.append((r[key], r[by]))
     return out, counts
 
 
+#: Bytes of text that a sample brings to the driver, at most.
+SAMPLE_BYTES = 64_000_000
+
+
+def bounded_sample(rows: DataFrame, by: str, order: Column, text: str, most: int, most_bytes: int = SAMPLE_BYTES) -> tuple[list[tuple[str, object]], dict]:
+    """(text, value of `by`) of at most `most` rows of each value and `most_bytes` in all, and the rows of each value in all.
+
+    The rows taken have the least hashes (`order`, a uniform long, then the text's), so the choice does not depend on how
+    rows are dealt; rows equal in both stand for one. One pass counts the values without reading texts, a second settles
+    the rows under each value's threshold, somewhat more than are wanted. Every value is counted and learned from.
+    """
+    spark = rows.sparkSession
+    under, counts = bars(rows, by, most)
+    if not counts:
+        return [], {}
+    ordered = rows.select(F.col(text).alias("text"), F.col(by).alias("value"), order.alias("o"))
+    near = settle(ordered.join(F.broadcast(under), F.col("value") == F.col("__value")).filter(F.col("o") <= F.col("__bar")).withColumn("h", F.xxhash64("text")).drop("__value", "__bar"))
+    drawn = sorted(near.groupBy("value", "o", "h").agg(F.max(F.octet_length("text")).alias("bytes")).collect(), key=lambda r: (r["o"], r["h"], str(r["value"])))
+    taken: dict = dict.fromkeys(counts, 0)
+    chosen, size = [], 0
+    for r in drawn:
+        if taken[r["value"]] < most and size + r["bytes"] <= most_bytes:
+            taken[r["value"]] += 1
+            size += r["bytes"]
+            chosen.append((r["value"], r["o"], r["h"]))
+    if not chosen:
+        return [], counts
+    keys = spark.createDataFrame(chosen, f"__v {rows.schema[by].dataType.simpleString()}, __o bigint, __h bigint")
+    same = (F.col("value") == F.col("__v")) & (F.col("o") == F.col("__o")) & (F.col("h") == F.col("__h"))
+    found = near.join(F.broadcast(keys), same).groupBy("value", "o", "h").agg(F.min("text").alias("text")).collect()
+    found.sort(key=lambda r: (r["o"], r["h"], str(r["value"])))
+    return [(r["text"], r["value"]) for r in found], counts
+
+
 def held_out(key: str, of: int, value: int) -> Column:
     """Whether crc32 of the id's text leaves this remainder (a null id has the empty text)."""
     return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(of)) == value

@@ -6,7 +6,6 @@ the codeword nearest to its bit scores under a loss weighted by how well each cl
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,10 +16,11 @@ from pyspark.sql import functions as F
 
 from pairscope.llm.common import bounded_sample, held_out, read
 
-#: log2 of the hashed n-grams; n-gram lengths; training rows a language at most; rounds of gradient descent.
+#: log2 of the hashed n-grams; n-gram lengths; training rows a language and in all, at most; rounds of gradient descent.
 BITS = 13
 ORDERS = (1, 2, 3)
 SAMPLE = 600
+SAMPLE_ROWS = 6000
 ROUNDS = 120
 UNKNOWN = "und"
 
@@ -123,17 +123,22 @@ def fit(texts: list[str], langs: list[str], rounds: int = ROUNDS) -> Model:
     return Model(names, code, w, b, trust / trust.sum(axis=1, keepdims=True))
 
 
-def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = SAMPLE) -> Model:
-    """A model from a bounded sample of the rows given (per_lang rows a language)."""
+def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = SAMPLE, in_all: int = SAMPLE_ROWS) -> Model:
+    """A model from a bounded sample of the rows given: per_lang rows a language, fewer of each where there are so many
+    languages that all would exceed in_all (ten at least). Rows without text or language are not learned from; repeated
+    rows count once; every language is learned."""
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    got, _ = bounded_sample(rows, "lang", F.xxhash64("id"), ["text"], per_lang)
-    return fit([r["text"] for r in got], [r["lang"] for r in got])
+    kinds = rows.agg(F.count_distinct("lang")).first()[0]
+    got, _ = bounded_sample(rows, "lang", F.xxhash64("id"), "text", min(per_lang, max(10, in_all // max(1, kinds))))
+    return fit([t for t, _ in got], [v for _, v in got])
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """keep columns, lang_pred, score, ambiguous, a row for each row of docs. Texts are read whole.
 
-    A null text, or one with no letter, is `und` with score 0; so is every text if nothing was learned.
+    A null text, or one with no letter, is `und` with score 0; so is every text if nothing was learned. Codewords equally
+    near give the language first by name and are ambiguous. Repeated rows and null ids each get a row; columns that are
+    not kept are not read; empty in, empty out.
     """
     keep = keep if keep is not None else ["doc_id"]
     chosen = docs.select(*keep, F.col(text).alias("__text"))
@@ -156,6 +161,3 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = learn(docs.filter(~held_out("doc_id", 4, 2)))
     return identify(docs.select("doc_id", "text", held_out("doc_id", 4, 2).alias("held_out")), model, keep=["doc_id", "held_out"])
 
-
-def crc(doc_id: object) -> int:
-    return zlib.crc32(str(doc_id).encode())

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairscope.llm.common import bounded_sample, held_out, read
+from pairscope.llm.common import bounded_sample, held_out, least, read, settle
 
 #: Labelled rows of each class that are learned from, at most.
 SAMPLE = 2000
@@ -36,7 +36,10 @@ SECOND_PERSON = {
 }
 
 _PUNCT = {i: " " for i in range(128) if not chr(i).isalnum()}
-_OBFUSCATED = re.compile(r"[A-Za-z][A-Za-z0-9@$*!|+]*[0-9@$*!|+][A-Za-z0-9@$*!|+]*[A-Za-z]|(?<![A-Za-z])(?:[A-Za-z][.\-_* ]){3,}[A-Za-z](?![A-Za-z])")
+#: Letters broken by digits or signs; letters set apart. Each starts at the first letter of a run and never goes back over
+#: one, so time grows with the text alone.
+_BROKEN = re.compile(r"(?<![A-Za-z])[A-Za-z]++(?:[0-9@$*!|+]++[A-Za-z]++)++")
+_SPACED = re.compile(r"(?<![A-Za-z])(?:[A-Za-z][.\-_* ]){3,}[A-Za-z](?![A-Za-z])")
 _PLAIN = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l", "+": "t", ".": None, "-": None, "_": None, " ": None})
 NAMES = ["abuse", "abuse_count", "abuse_near_you", "learned", "learned_count", "learned_top", "learned_near_you", "capitals", "capital_words", "exclaims", "questions", "runs", "obfuscated", "obfuscated_abuse", "log_words"]
 
@@ -80,7 +83,7 @@ def features(text: str, lexicon: dict[str, float]) -> list[float]:
     raw = text.split()
     letters = sum(map(len, words)) or 1
     upper = sum(w.isupper() and len(w) > 1 for w in raw)
-    odd = _OBFUSCATED.findall(text)
+    odd = _BROKEN.findall(text) + _SPACED.findall(text)
     hidden = sum(_undone(w) in ABUSE or _undone(w) in lexicon for w in odd)
     scores = [lexicon[words[i]] for i in learned_at]
     capitals = sum(1 for c in text if "A" <= c <= "Z") if len(text) < 200 else len(text) - len(text.translate(_NO_CAPITALS))
@@ -207,21 +210,27 @@ def fit(texts: list[str], toxic: list[int], counts: dict[int, int]) -> Model:
 
 
 def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", most: int = SAMPLE) -> Model:
-    """A model from at most `most` labelled rows of each class (rows without text or label are not learned from)."""
-    marked = labels.select(F.col(key).alias("id"), F.col(label).cast("int").alias("toxic")).filter("toxic in (0, 1)").dropDuplicates(["id"])
-    ids, counts = bounded_sample(marked, "toxic", F.xxhash64("id"), ["id"], most)
+    """A model from at most `most` labelled rows of each class.
+
+    Rows without text, id or label are not learned from. An id whose labels differ is toxic; repeated rows count once, and
+    of rows that share an id but not the text each is learned from.
+    """
+    marked = labels.select(F.col(key).alias("id"), F.col(label).cast("int").alias("toxic")).filter("toxic in (0, 1) and id is not null").groupBy("id").agg(F.max("toxic").alias("toxic"))
+    ids, counts = least(marked, "toxic", F.xxhash64("id"), "id", most)
     if not ids:
         return Model({}, None, None, 0.0)
-    chosen = docs.sparkSession.createDataFrame([(r["id"], r["toxic"]) for r in ids], "id bigint, toxic int")
-    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).filter("text is not null").join(F.broadcast(chosen), "id").limit(4 * most + 200).collect()
-    rows.sort(key=lambda r: (r["id"], r["text"]))
-    order = {r["id"]: i for i, r in enumerate(ids)}
-    rows.sort(key=lambda r: order[r["id"]])
-    return fit([r["text"] for r in rows], [r["toxic"] for r in rows], counts)
+    chosen = docs.sparkSession.createDataFrame(ids, marked.select("id", "toxic").schema)
+    rows = settle(docs.select(F.col(key).alias("id"), F.col(text).alias("text")).filter("text is not null").join(F.broadcast(chosen), "id"))
+    found, _ = bounded_sample(rows, "toxic", F.xxhash64("id"), "text", most)
+    return fit([t for t, _ in found], [v for _, v in found], counts)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """keep columns, score, predicted, a row for each row of docs. A null text is scored as empty; texts are read whole."""
+    """keep columns, score, predicted, a row for each row of docs. A null text is scored as empty; texts are read whole.
+
+    Repeated rows and null ids each get a row; columns that are not kept are not read, and a kept column called score or
+    predicted is an error of the caller (name it otherwise). Empty in, empty out.
+    """
     keep = keep if keep is not None else ["doc_id"]
     chosen = docs.select(*keep, F.col(text).alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]) + ", score double, predicted int"
