@@ -35,7 +35,7 @@ START = 1
 #: Ids of target documents that are broadcast, at most (16 MB); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 #: Bytes of text in a chunk (or one longer text); tokens whose n-grams one part of the key space holds, on average.
-CHUNK_BYTES = 8_000_000
+CHUNK_BYTES = 4_000_000
 PART_TOKENS = 2_000_000
 #: The chunk that a part's number of words is filed under.
 SUMS = -1
