@@ -1,17 +1,23 @@
 """Personal data: bootstrapped contextual extraction.
 
 One scan finds the base entities (e-mail, IP, card, phone) by their forms and, around them and around other tokens that
-look like identifiers, the words beside them. Seeds (base entities) induce patterns (the words beside); a graph of
-patterns and instances is scored in rounds, each an aggregate over its distinct edges: a pattern by the share of its
-instances believed to be of a kind, an instance by its patterns. High-confidence patterns name further identifiers,
-which are then marked wherever they occur.
+look like identifiers, their contexts. A context gives patterns: the two words before, the word before, the word after,
+both words beside, and the token's shape with either. Seeds (base entities) induce patterns; a graph of patterns and
+instances is scored in rounds, each a few aggregates over its distinct edges. High-confidence patterns name further
+identifiers, which are then marked wherever they occur.
+
+A pattern is judged for an instance by its other instances only: the share of them believed to be of a kind, where that
+is CONFIDENCE or more and they weigh SUPPORT or more. A context is worth its best pattern. An instance's score is the mean
+over its distinct contexts; a context none of whose patterns has more than SUPPORT instances says little, and counts RARE.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -21,11 +27,15 @@ from pyspark.sql import functions as F
 from pairscope.llm.common import read, settle
 
 KINDS = ["email", "ip", "card", "phone"]
-#: Rounds; instances a pattern needs; confidence a pattern and an instance need.
+#: Rounds; other instances a pattern needs; confidence a pattern and an instance need; weight of a context of rare patterns.
 ROUNDS = 3
 SUPPORT = 3
 CONFIDENCE = 0.8
 BELIEF = 0.6
+RARE = 0.25
+#: Patterns or instances that are broadcast, at most (16 bytes each); more are joined, hot patterns dealt to SALTS tasks.
+BROADCAST = 500_000
+SALTS = 16
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # Runs of digits that were passed over cannot start a match in their middle, so a match may start a run only.
@@ -77,20 +87,53 @@ def shown(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def _beside(text: str, start: int, end: int) -> tuple[str, str]:
-    """The two patterns of a mention: two words to the left; one to the left and one to the right."""
-    left = re.sub(r"[0-9]+", "0", text[max(0, start - 80) : start].lower()).split()[-2:]
-    right = re.sub(r"[0-9]+", "0", text[end : end + 40].lower()).split()[:1]
-    return ("L " + " ".join(left) if len(left) == 2 else "", "M " + left[-1] + " _ " + right[0] if left and right else "")
-
-
-def mentions(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str, str, str]]:
-    """(start, end, kind's number or -1, instance, pattern, pattern) of base entities and other identifier-like tokens."""
-    out = []
-    for s, k, e in spans:
-        out.append((s, e, k, text[s:e].lower(), *_beside(text, s, e)))
-    taken = sorted((s, e) for s, _, e in spans)
-    end = i = 0
+def _shape(token: str) -> str:
+    return re.sub(r"[0-9]+", "0", re.sub(r"[^\W\d_]+", "a", token))
+
+
+class Contexts:
+    """The words of one text, to look up what stands beside a mention."""
+
+    def __init__(self, text: str):
+        self.text = text
+        found = [m.span() for m in re.finditer(r"\S+", text)]
+        self.starts, self.ends = [s for s, _ in found], [e for _, e in found]
+
+    def word(self, s: int, e: int) -> str:
+        return re.sub(r"[0-9]+", "0", self.text[s:e].lower())
+
+    def patterns(self, start: int, end: int) -> list[str]:
+        """Patterns of the mention text[start:end]; what is joined to it on either side counts as a word."""
+        i = bisect_left(self.ends, start + 1)  # the word the mention starts in
+        left = [self.word(self.starts[k], self.ends[k]) for k in range(max(0, i - 2), i)]
+        if self.starts[i] < start:
+            left.append(self.word(self.starts[i], start))
+        j = bisect_right(self.starts, end - 1) - 1  # the word it ends in
+        if end < self.ends[j]:
+            right = self.word(end, self.ends[j])
+        else:
+            right = self.word(self.starts[j + 1], self.ends[j + 1]) if j + 1 < len(self.starts) else ""
+        before, shape = left[-1] if left else "", _shape(self.text[start:end])
+        out = ["L2 " + " ".join(left[-2:])] if len(left) > 1 else []
+        if before:
+            out += ["L1 " + before, f"SL {shape} {before}"]
+        if right:
+            out += ["R1 " + right, f"SR {shape} {right}"]
+        if before and right:
+            out.append(f"M {before} _ {right}")
+        return out
+
+
+def mentions(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, list[int]]]:
+    """(start, end, kind's number or -1, hash of the token, hashes of its patterns) of base entities and other
+    identifier-like tokens: five characters or more with four digits or an at sign, outside every base entity."""
+    import xxhash
+
+    hashed = lambda x: xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63)
+    found = [(s, e, k) for s, k, e in spans]
+    taken = sorted((s, e) for s, e, _ in found)
+    begins, reach = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
+    end = 0
     for m in _CANDIDATE.finditer(text):
         start = m.start()
         while start > end and not text[start - 1].isspace():
@@ -102,17 +145,18 @@ def mentions(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, in
         while e > s and not text[e - 1].isalnum():
             e -= 1
         token = text[s:e]
-        if not 5 <= len(token) <= 128 or sum(map(str.isdigit, token)) < 4 and "@" not in token:
-            continue
-        while i < len(taken) and taken[i][1] <= s:
-            i += 1
-        if any(a < e and b > s for a, b in taken[i : i + 4]):
+        if e - s < 5 or "@" not in token and sum(map(str.isdigit, token)) < 4:
             continue
-        out.append((s, e, -1, token.lower(), *_beside(text, s, e)))
-    return out
+        before = bisect_left(begins, e)
+        if not before or reach[before - 1] <= s:
+            found.append((s, e, -1))
+    if not found:
+        return []
+    contexts = Contexts(text)
+    return [(s, e, k, hashed(text[s:e].lower()), [hashed(p) for p in contexts.patterns(s, e)]) for s, e, k in found]
 
 
-_MENTION = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.int32()), ("instance", pa.string()), ("left", pa.string()), ("around", pa.string())]))
+_MENTION = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.int32()), ("instance", pa.int64()), ("patterns", pa.list_(pa.int64()))]))
 
 
 def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -129,7 +173,7 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
                     spans = base_spans(body)
                     text_form = shown(spans)
                     kinds = [k for _, k, _ in spans]
-                    found = [dict(zip(("start", "end", "kind", "instance", "left", "around"), m, strict=True)) for m in mentions(body, spans)]
+                    found = [dict(zip(("start", "end", "kind", "instance", "patterns"), m, strict=True)) for m in mentions(body, spans)]
                     for column, v in zip(columns, (row, *(kinds.count(i) for i in range(4)), hashlib.sha256(text_form.encode()).hexdigest(), text_form, found), strict=True):
                         column.append(v)
                     row += 1
@@ -139,41 +183,59 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
 
     kind = docs.schema[key].dataType.simpleString()
     chosen = docs.select(F.col(key).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("print"), F.col(text).alias("text"))
-    return chosen.mapInArrow(run, f"row bigint, doc_id {kind}, print bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, mentions array<struct<start:int,end:int,kind:int,instance:string,left:string,around:string>>")
-
-
-def discovered(scanned: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE, belief: float = BELIEF) -> DataFrame:
-    """(row, start, end, kind): identifiers beyond the base, from the pattern-instance graph of all rows."""
-    each = scanned.select("row", "doc_id", "print", F.explode("mentions").alias("m")).select("row", "doc_id", "print", "m.*")
-    edges = each.select("instance", "kind", F.explode(F.array("left", "around")).alias("pattern")).filter("pattern <> ''").groupBy("pattern", "instance").agg(F.max("kind").alias("kind"))
-    # a pattern with fewer instances than the support can never be believed, so it is left out from the start; it does
-    # not count among an instance's patterns (`of`) either, which raises the score of an instance with rare contexts
-    wide = edges.groupBy("pattern").agg(F.count("*").alias("degree"), F.max("kind").alias("some")).filter(F.col("degree") >= support)
-    graph = settle(edges.join(wide.select("pattern", "degree"), "pattern"))
-    degree = graph.groupBy("instance").agg(F.count("*").alias("of"), F.max("kind").alias("seed"))
-    believed = degree.filter("seed >= 0").select("instance", F.col("seed").alias("kind"), F.lit(1.0).alias("score"))
-    patterns = None
+    return chosen.mapInArrow(run, f"row bigint, doc_id {kind}, print bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, mentions array<struct<start:int,end:int,kind:int,instance:bigint,patterns:array<bigint>>>")
+
+
+def _known(edges: DataFrame, patterns: DataFrame) -> DataFrame:
+    """edges joined with what is known of their patterns; a pattern with very many edges is dealt to several tasks."""
+    if patterns.count() <= BROADCAST:
+        return edges.join(F.broadcast(patterns), "pattern")
+    salted = patterns.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return edges.withColumn("salt", F.pmod(F.xxhash64("instance"), F.lit(SALTS)).cast("int")).join(salted, ["pattern", "salt"]).drop("salt")
+
+
+def instances(scanned: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE, belief: float = BELIEF, rare: float = RARE) -> DataFrame:
+    """(instance, kind): tokens beyond the base that the graph of all rows' patterns and instances names.
+
+    Equal scores of two kinds go to the kind listed first. No mention or no seed gives none.
+    """
+    each = scanned.select(F.explode("mentions").alias("m")).select("m.instance", "m.kind", "m.patterns")
+    contexts = settle(each.groupBy("instance", F.xxhash64("patterns").alias("context")).agg(F.max("kind").alias("kind"), F.first("patterns").alias("patterns")))
+    edges = contexts.select("instance", "kind", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.max("kind").alias("kind"))
+    seeds = [F.count_if(F.col("kind") == k).alias(f"seeds{k}") for k in range(len(KINDS))]
+    known = edges.groupBy("pattern").agg(F.count("*").alias("degree"), F.count_if(F.col("kind") < 0).alias("others"), *seeds).filter((F.col("degree") > support) & (F.col("others") > 0))
+    known = settle(known.withColumn("seeds", F.array(*(F.col(f"seeds{k}") for k in range(len(KINDS))))).select("pattern", "degree", "seeds"))
+    # candidates only from here on: their contexts, and in each the known patterns
+    graph = settle(_known(contexts.filter("kind < 0").select("instance", "context", F.explode("patterns").alias("pattern")), known))
+    weight = contexts.filter("kind < 0").select("instance", "context").join(graph.select("instance", "context").distinct().withColumn("shared", F.lit(1.0)), ["instance", "context"], "left")
+    weights = settle(weight.groupBy("instance").agg(F.sum(F.coalesce("shared", F.lit(rare))).alias("whole")).join(graph.select("instance").distinct(), "instance"))
+    stats = known
+    believed = None
     for _ in range(rounds):
-        patterns = (
-            graph.select("pattern", "instance", "degree")
-            .join(believed, "instance")
-            .groupBy("pattern", "kind")
-            .agg((F.sum("score") / F.max("degree")).alias("sure"), F.sum("score").alias("weight"))
-            .filter((F.col("sure") >= confidence) & (F.col("weight") >= support))
-        )
-        named = (
-            graph.filter("kind < 0")
-            .select("pattern", "instance")
-            .join(patterns.select("pattern", "kind", "sure"), "pattern")
-            .groupBy("instance", "kind")
-            .agg(F.sum("sure").alias("sum"))
-            .join(degree.filter("seed < 0").select("instance", "of"), "instance")
-            .select("instance", "kind", (F.col("sum") / F.col("of")).alias("score"))
-        )
-        found = settle(named.filter(F.col("score") >= belief))
-        believed = degree.filter("seed >= 0").select("instance", F.col("seed").alias("kind"), F.lit(1.0).alias("score")).unionByName(found)
-    best = found.groupBy("instance").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("new"))
-    return each.filter("kind < 0").join(best, "instance").select("row", "doc_id", "print", "start", "end", F.col("new").alias("kind"))
+        if believed is not None:  # what the last round named counts for its patterns
+            more = graph.select("pattern", "instance").distinct().join(believed, "instance").groupBy("pattern").agg(*(F.sum(F.when(F.col("kind") == k, F.col("score")).otherwise(0.0)).alias(f"m{k}") for k in range(len(KINDS))))
+            stats = settle(known.join(more.select("pattern", F.array(*(F.col(f"m{k}") for k in range(len(KINDS)))).alias("more")), "pattern", "left"))
+        sums = F.transform("seeds", lambda x: x.cast("double")) if believed is None else F.zip_with("seeds", F.coalesce("more", F.array_repeat(F.lit(0.0), len(KINDS))), lambda x, y: x + y)
+        # a pattern can serve an instance only if all others together reach the support and, less one, the confidence
+        hopeful = stats.withColumn("sums", sums).filter(F.array_max("sums") >= F.greatest(F.lit(float(support)), confidence * (F.col("degree") - 1) - 1e-9)).select("pattern", "degree", "sums")
+        edge = _known(graph.select("instance", "context", "pattern"), settle(hopeful))
+        if believed is not None:
+            edge = edge.join(believed.select("instance", F.col("kind").alias("own"), F.col("score").alias("own_score")), "instance", "left")
+        else:
+            edge = edge.withColumn("own", F.lit(-1)).withColumn("own_score", F.lit(0.0))
+        rest = edge.select("instance", "context", "degree", "own", "own_score", F.posexplode("sums").alias("to", "sum")).withColumn("rest", F.col("sum") - F.when(F.col("own") == F.col("to"), F.col("own_score")).otherwise(0.0))
+        sure = rest.withColumn("sure", F.col("rest") / (F.col("degree") - 1)).filter((F.col("rest") >= support - 1e-9) & (F.col("sure") >= confidence - 1e-9))
+        best = sure.groupBy("instance", "context", "to").agg(F.max("sure").alias("sure")).groupBy("instance", "to").agg(F.sum("sure").alias("sum"))
+        scored = best.join(weights, "instance").select("instance", F.col("to").alias("kind"), (F.col("sum") / F.col("whole")).alias("score")).filter(F.col("score") >= belief - 1e-9)
+        believed = settle(scored.groupBy("instance").agg(F.max(F.struct("score", (-F.col("kind")).alias("k"))).alias("b")).select("instance", (-F.col("b.k")).alias("kind"), F.col("b.score").alias("score")))
+    return believed.select("instance", "kind")
+
+
+def discovered(scanned: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """(row, doc_id, print, start, end, kind): every mention of the instances found."""
+    found = instances(scanned) if found is None else found
+    each = scanned.select("row", "doc_id", "print", F.explode(F.filter("mentions", lambda m: m["kind"] < 0)).alias("m")).select("row", "doc_id", "print", "m.start", "m.end", "m.instance")
+    return each.join(found, "instance").select("row", "doc_id", "print", "start", "end", "kind")
 
 
 def extract(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -202,30 +264,40 @@ def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def redact(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs with personal data replaced by its kind; a column n_chars, if there is one, is counted anew."""
+    """docs with personal data replaced by its kind; a column n_chars, if there is one, is counted anew.
+
+    Every row stays: null ids, repeated rows, null texts (as they are) and columns of any name. What was discovered is
+    broadcast up to BROADCAST instances, so that texts are not moved; beyond, its spans are joined by id and text.
+    """
     scanned = settle(scan(docs, text, key))
-    # settled, so that the planner knows its size: texts are only shuffled where much was discovered
-    more = settle(discovered(scanned).groupBy("doc_id", "print").agg(F.collect_set(F.struct("start", "kind", "end")).alias("__more")).select(F.col("doc_id").alias("__id"), F.col("print").alias("__print"), "__more"))
-    joined = docs.join(more, F.col(key).eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("__print")), "left").select(*docs.columns, "__more")
+    found = instances(scanned)
+    names, schema = docs.columns, docs.schema
+    if found.count() <= BROADCAST:
+        kinds = {r["instance"]: r["kind"] for r in found.collect()}
+        shared = docs.sparkSession.sparkContext.broadcast(kinds)
+        joined, extra_of = docs, lambda batch, body, spans, i: [(s, shared.value[h], e) for s, e, k, h, _ in mentions(body, spans) if k < 0 and h in shared.value] if kinds else []
+    else:
+        more = settle(discovered(scanned, found).groupBy("doc_id", "print").agg(F.collect_set(F.struct("start", "kind", "end")).alias("__more")).select(F.col("doc_id").alias("__id"), F.col("print").alias("__print"), "__more"))
+        joined = docs.join(more, F.col(key).eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("__print")), "left").select(*(F.col(f"`{c}`") for c in names), "__more")
+        extra_of = lambda batch, body, spans, i: [(x["start"], x["kind"], x["end"]) for x in batch.column(len(names))[i].as_py() or []]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index(text)
-            n = batch.num_columns - 1
+            at = names.index(text)
             out = []
-            for value, extra in zip(batch.column(at), batch.column(n), strict=True):
+            for i, value in enumerate(batch.column(at)):
                 body = value.as_py()
                 spans = base_spans(body) if body else []
-                if extra.is_valid:
-                    spans = spans + [(x["start"], x["kind"], x["end"]) for x in extra.as_py()]
+                if body:
+                    spans = spans + extra_of(batch, body, spans, i)
                 out.append(redacted(body, spans) if spans else body)
-            columns = [pa.array(out, batch.column(i).type) if i == at else batch.column(i) for i in range(n)]
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:n])
+            columns = [pa.array(out, batch.column(i).type) if i == at else batch.column(i) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    done = joined.mapInArrow(run, docs.schema)
-    if "n_chars" in docs.columns and text == "text":
-        done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return done.select(*docs.columns)
+    done = joined.mapInArrow(run, schema)
+    if "n_chars" in names and text == "text":
+        done = done.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType))
+    return done.select(*(F.col(f"`{c}`") for c in names))
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
