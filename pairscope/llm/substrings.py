@@ -1,17 +1,17 @@
 """Repeated-phrase automata: words inside a 20-word window that also starts earlier are removed.
 
 1. A scan deals a document's windows to their least 8-gram (the leftmost of equal hashes), the seed; consecutive windows
-   with one seed make a stretch. Equal windows have equal seeds, so all occurrences of a window meet at its seed. Only
-   hashes are dealt out, and of stretches that repeat within a batch of documents only the first.
-2. By seed, equal stretches are confirmed as recurring passages: all but the first go. Where a seed has several different
-   stretches, they may still share windows: their first occurrences are asked for.
-3. A second scan cuts the stretches asked for out of the texts and deals them to shards by seed (a seed with very many to
-   several parts). A shard compiles the recurring windows into an Aho-Corasick automaton over word numbers and streams
-   its stretches through it to locate every occurrence. Parts of one hot seed also report where each window starts first;
-   the least of these is settled by an aggregate.
+   with one seed make a stretch. Equal windows have equal seeds, so all occurrences of a window meet at its seed. Seeds are
+   counted, each once a batch of documents with its number: those that occur twice or more may hold recurring passages.
+2. A second scan streams all documents and deals every stretch of such a seed, with its words, to a shard of the seeds; a
+   seed with very many stretches is dealt to several parts of it, which the scan itself knows, before anything is moved.
+3. A shard confirms what recurs (whole stretches, and windows that different stretches share), compiles it into an
+   Aho-Corasick automaton over word numbers and streams its stretches through it to locate every occurrence: of each
+   phrase all but the first go. Parts of a hot seed also report where each window starts first; the least of these is
+   settled by an aggregate.
 4. The ranges are gathered by document and taken out of its words.
 
-Stretches are told apart by two 64-bit hashes, of the seed and of the whole; windows inside a shard by their words.
+Only words are compared in a shard; hashes route (a seed that two 8-grams share by chance costs work and changes nothing).
 """
 
 from __future__ import annotations
@@ -29,18 +29,19 @@ from pairscope.llm.common import WordHashes, bitmap, in_bitmap, read, rolling, s
 
 WINDOW = 20
 GRAM = 8
-#: Stretches of one seed in one part; words of stretches that one automaton is built for.
+#: Stretches of one seed in one part, or more where the corpus would have more hot seeds than may be broadcast (12 MB);
+#: words of stretches that one automaton is built for.
 PART = 5_000
+HOT_SEEDS = 1_000_000
 SHARD_WORDS = 150_000
 NO_ID = 2**63 - 1
 
 
-def stretches(words: list[bytes], hashes: WordHashes, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(seed hash, hash of the whole, first window, windows) of each stretch of one document."""
+def stretches(words: list[bytes], hashes: WordHashes, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(seed hash, first window, windows) of each stretch of one document."""
     if len(words) < window:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-    coded = hashes.of(words)
-    grams = rolling(coded, gram)
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    grams = rolling(hashes.of(words), gram)
     n = len(words) - window + 1
     span = window - gram + 1
     place = np.empty(n, np.int64)
@@ -56,147 +57,75 @@ def stretches(words: list[bytes], hashes: WordHashes, window: int = WINDOW, gram
             least = np.minimum(least[: -(span - reach)], least[span - reach :])
         place[at : at + 500_000] = (least & low).astype(np.int64) + at
     first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-    count = np.diff(np.r_[first, n])
-    # the whole, by sums of powers: the hash of words a..b is (S[b] - S[a]) / base**a, here kept exact modulo 2**64
-    with np.errstate(over="ignore"):
-        powers = np.cumprod(np.full(len(words), _BASE, np.uint64))
-        sums = np.r_[np.uint64(0), np.cumsum(spread_hash(coded) * powers)]
-        inverse = np.cumprod(np.r_[np.uint64(1), np.full(len(words), _INVERSE, np.uint64)])
-        whole = spread_hash((sums[first + count + window - 1] - sums[first]) * inverse[first] + count.astype(np.uint64))
-    return grams[place[first]], whole, first, count
-
-
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-
-
-def asked(doc: np.ndarray | int, start: np.ndarray) -> np.ndarray:
-    """A hash of an occurrence, for the bitmap of those asked for."""
-    with np.errstate(over="ignore"):
-        return spread_hash(np.asarray(doc, np.int64).view(np.uint64) * _BASE + np.asarray(start).astype(np.uint64)).view(np.int64)
-
-
-def packed(start: np.ndarray, count: np.ndarray, mark: np.ndarray | int) -> np.ndarray:
-    """start, windows and 28 bits of the text's hash in one long that sorts by start."""
-    return (start.astype(np.int64) << 33) | (count.astype(np.int64) << 28) | mark
+    return grams[place[first]], first, np.diff(np.r_[first, n])
 
 
 MARK = (1 << 28) - 1
 
 
-def _scan(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(seed, whole, doc, at, again): each stretch; again: it repeats one before it of the same batch of documents."""
+def _seeds(docs: DataFrame, window: int, gram: int) -> DataFrame:
+    """(seed, n): how many stretches each seed has in a batch of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        held: list[tuple[np.ndarray, ...]] = []
+        held: list[np.ndarray] = []
         size = 0
 
         def out() -> pa.RecordBatch:
-            seed, whole, doc, at = (np.concatenate([h[i] for h in held]) for i in range(4))
-            order = np.lexsort((at, doc, whole, seed))
-            seed, whole, doc, at = seed[order], whole[order], doc[order], at[order]
-            again = np.r_[False, (seed[1:] == seed[:-1]) & (whole[1:] == whole[:-1])]
-            # a repeat of the very place of the first (a repeated row) is no repeat
-            first = np.maximum.accumulate(np.where(again, 0, np.arange(len(seed))))
-            again &= (doc != doc[first]) | (at >> 33 != at[first] >> 33)
-            seed = np.where(again, asked(doc, at), seed.view(np.int64))  # goes with no seed
-            return pa.RecordBatch.from_arrays([pa.array(seed), pa.array(whole.view(np.int64)), pa.array(doc), pa.array(at), pa.array(again)], ["seed", "whole", "doc", "at", "again"])
+            seed, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), pa.array(n)], ["seed", "n"])
 
         for batch in batches:
-            for doc, mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), strict=True):
-                seed, whole, first, count = stretches((text.as_py() or b"").split(), hashes, window, gram)
+            for text in batch.column(0).cast(pa.binary()):
+                seed, _, _ = stretches((text.as_py() or b"").split(), hashes, window, gram)
                 if len(seed):
-                    held.append((seed, whole, np.full(len(seed), doc, np.int64), packed(first, count, mark)))
+                    held.append(seed)
                     size += len(seed)
-                if size >= 400_000:
+                if size >= 1_000_000:
                     yield out()
                     held.clear()
                     size = 0
         if held:
             yield out()
 
-    return docs.mapInArrow(run, "seed bigint, whole bigint, doc bigint, at bigint, again boolean")
+    return docs.select("text").mapInArrow(run, "seed bigint, n bigint")
 
 
-def _confirm(found: DataFrame) -> DataFrame:
-    """(kind, seed, doc, at, key): kind 0 a range to remove, kind 2 a stretch to ask for, key its hash for the bitmap."""
+def _cut(docs: DataFrame, recurring: np.ndarray, hot: tuple[np.ndarray, np.ndarray], window: int, gram: int) -> DataFrame:
+    """(seed, part, parts, doc, mark, start, words): the stretches of all seeds that the bitmap lets through."""
+    shared = docs.sparkSession.sparkContext.broadcast((recurring, *hot))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first: tuple[int, int, int, int] | None = None  # seed, whole, doc, start of the last different stretch
-        waiting: list[np.ndarray] | None = None  # the seed's only stretch so far, not yet asked for
-
-        for batch in batches:
-            seed, whole, doc, at, again = (batch.column(i).to_numpy(zero_copy_only=i < 4) for i in range(5))
-            n = len(seed)
-            if not n:
-                continue
-            new = np.r_[first is None or again[0] or (seed[0], whole[0]) != first[:2], (seed[1:] != seed[:-1]) | (whole[1:] != whole[:-1]) | again[1:] | again[:-1]]
-            head = np.maximum.accumulate(np.where(new, np.arange(n), -1))
-            start = at >> 33
-            d0 = np.where(head >= 0, doc[head], first[2] if first else 0)
-            s0 = np.where(head >= 0, start[head], first[3] if first else 0)
-            gone = again | ~((doc == d0) & (start == s0))
-            lead = np.flatnonzero(~gone & ~again)  # first occurrences (and repeated rows of them)
-            same_seed = np.zeros(len(lead), bool)  # another stretch of the seed stands before or after
-            if len(lead):
-                s, w = seed[lead], whole[lead]
-                apart = (s[1:] == s[:-1]) & (w[1:] != w[:-1])
-                same_seed[1:] |= apart
-                same_seed[:-1] |= apart
-                # repeated rows stand beside their like: spread over them
-                for i in np.flatnonzero((s[1:] == s[:-1]) & (w[1:] == w[:-1])):
-                    same_seed[i + 1] |= same_seed[i]
-                for i in np.flatnonzero((s[1:] == s[:-1]) & (w[1:] == w[:-1]))[::-1]:
-                    same_seed[i] |= same_seed[i + 1]
-            rows = [(0, seed[gone], doc[gone], at[gone])]
-            if waiting is not None and len(lead):
-                if seed[lead[0]] == waiting[0][0]:
-                    rows.append((2, *waiting))
-                    edge = (seed[lead] == seed[lead[0]])
-                    same_seed |= edge & (whole[lead] != first[1])
-                waiting = None
-            elif waiting is None and first is not None and len(lead) and seed[lead[0]] == first[0]:
-                same_seed |= seed[lead] == first[0]
-            ask = lead[same_seed]
-            rows.append((2, seed[ask], doc[ask], at[ask]))
-            if len(lead):
-                k = lead[-1]
-                first = (int(seed[k]), int(whole[k]), int(doc[k]), int(start[k]))
-                waiting = None if same_seed[-1] else [seed[k : k + 1], doc[k : k + 1], at[k : k + 1]]
-            for kind, s, d, a in rows:
-                if len(s):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), kind, np.int32)), pa.array(s), pa.array(d), pa.array(a), pa.array(asked(d, a >> 33))], ["kind", "seed", "doc", "at", "key"])
-
-    ordered = found.repartition("seed").sortWithinPartitions("seed", "whole", "doc", "at")
-    return ordered.mapInArrow(run, "kind int, seed bigint, doc bigint, at bigint, key bigint")
-
-
-def _cut(docs: DataFrame, wanted: np.ndarray, window: int, gram: int) -> DataFrame:
-    """(seed, doc, mark, start, words): the stretches that the bitmap lets through, cut from the texts."""
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
+        table, seeds_hot, parts_hot = shared.value
         hashes = WordHashes()
-        names = ["seed", "doc", "mark", "start", "words"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        names = ["seed", "part", "parts", "doc", "mark", "start", "words"]
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         for whole in batches:
             for at in range(0, whole.num_rows, 200):
                 batch = whole.slice(at, 200)
-                out: list[list] = [[] for _ in names]
+                columns: list[list] = [[] for _ in range(6)]
+                words_out: list[bytes] = []
                 for doc, mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), strict=True):
                     words = (text.as_py() or b"").split()
-                    seeds, _, first, n = stretches(words, hashes, window, gram)
+                    seeds, first, n = stretches(words, hashes, window, gram)
                     if not len(seeds):
                         continue
-                    chosen = np.flatnonzero(in_bitmap(table, asked(np.full(len(first), doc, np.int64), first)))
-                    for seed, a, k in zip(seeds[chosen].view(np.int64).tolist(), first[chosen].tolist(), n[chosen].tolist(), strict=True):
-                        for column, value in zip(out, (seed, doc, mark, a, b" ".join(words[a : a + k + window - 1])), strict=True):
-                            column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
-
-    return docs.mapInArrow(run, "seed bigint, doc bigint, mark bigint, start int, words binary")
+                    chosen = np.flatnonzero(in_bitmap(table, seeds.view(np.int64)))
+                    seeds, first, n = seeds[chosen].view(np.int64), first[chosen], n[chosen]
+                    parts = np.ones(len(seeds), np.int32)
+                    if len(seeds_hot) and len(seeds):
+                        place = np.searchsorted(seeds_hot, seeds)
+                        place[place == len(seeds_hot)] = 0
+                        known = seeds_hot[place] == seeds
+                        parts[known] = parts_hot[place[known]]
+                    dealt = int(spread_hash(np.array([doc ^ mark], np.int64).view(np.uint64))[0] >> np.uint64(33))
+                    for column, value in zip(columns, (seeds, dealt % parts, parts, np.full(len(seeds), doc), np.full(len(seeds), mark), first), strict=True):
+                        column.append(value)
+                    words_out += [b" ".join(words[a : a + k + window - 1]) for a, k in zip(first.tolist(), n.tolist(), strict=True)]
+                arrays = [pa.array(np.concatenate(c) if c else [], t) for c, t in zip(columns, types, strict=False)]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(words_out, pa.binary())], names)
+
+    return docs.mapInArrow(run, "seed bigint, part int, parts int, doc bigint, mark bigint, start int, words binary")
 
 
 class Shard:
@@ -210,8 +139,7 @@ class Shard:
 
     def add(self, seed: int, part: int, parts: int, doc: int, mark: int, start: int, passage: bytes) -> None:
         found = self.groups[seed, part, parts].setdefault(passage, [])
-        if not found:
-            self.size += passage.count(b" ") + 1
+        self.size += 4 if found else passage.count(b" ") + 1  # occurrences take memory too
         found.append((doc, start, mark))
 
     def located(self) -> Iterator[tuple[int, int, int, int, int, bytes | None]]:
@@ -222,22 +150,21 @@ class Shard:
         number = lambda w: numbers.setdefault(w, len(numbers) + 1)
         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
         coded = {}
-        phrases: list[tuple[int, ...]] = []
+        lengths: list[int] = []
         known: set[tuple[int, ...]] = set()
         for key, passages in self.groups.items():
-            own = {p: tuple(map(number, p.split())) for p in passages}
-            coded[key] = own
-            seen: dict[tuple[int, ...], int] = {}
-            if len(own) > 1:  # windows that two stretches share
+            own = coded[key] = {p: tuple(map(number, p.split())) for p in passages}
+            shared: dict[tuple[int, ...], int] = {}
+            if len(own) > 1:  # windows of two different stretches
                 for ids in own.values():
-                    for window_ids in {ids[j : j + window] for j in range(len(ids) - window + 1)}:
-                        seen[window_ids] = seen.get(window_ids, 0) + 1
-            for phrase in [ids for p, ids in own.items() if len(passages[p]) > 1] + [w for w, n in seen.items() if n > 1]:
+                    for piece in {ids[j : j + window] for j in range(len(ids) - window + 1)}:
+                        shared[piece] = shared.get(piece, 0) + 1
+            for phrase in [ids for p, ids in own.items() if len(passages[p]) > 1] + [w for w, n in shared.items() if n > 1]:
                 if phrase not in known:
                     known.add(phrase)
-                    automaton.add_word(phrase, len(phrases))
-                    phrases.append(phrase)
-        if phrases:
+                    automaton.add_word(phrase, len(lengths))
+                    lengths.append(len(phrase))
+        if lengths:
             automaton.make_automaton()
         for key, passages in self.groups.items():
             first: dict[int, tuple[int, int]] = {}
@@ -245,31 +172,23 @@ class Shard:
             for p, ids in coded[key].items():
                 passages[p].sort()
                 doc, start, _ = passages[p][0]
-                hits[p] = []
-                for end, n in automaton.iter(ids) if phrases else ():
-                    if len(phrases[n]) == window:
-                        at = end - window + 1
-                        hits[p].append((at, n))
-                        first[n] = min(first.get(n, (doc, start + at)), (doc, start + at))
+                hits[p] = [(end - lengths[n] + 1, n) for end, n in automaton.iter(ids)] if lengths else []
+                for at, n in hits[p]:
+                    first[n] = min(first.get(n, (doc, start + at)), (doc, start + at))
             for p, ids in coded[key].items():
-                windows = len(ids) - window + 1
-                (doc, start, mark), *later = passages[p]
-                for d, s, m in later:
-                    if (d, s) != (doc, start):
-                        yield 0, d, m, s, windows, None
-                    else:
-                        yield from self._once(p, hits[p], first, d, s, m, windows, key, ids)
-                yield from self._once(p, hits[p], first, doc, start, mark, windows, key, ids)
-
-    def _once(self, passage, hits, first, doc, start, mark, windows, key, ids):
-        gone = {at for at, n in hits if first[n] != (doc, start + at)}
-        for at in sorted(gone):
-            yield 0, doc, mark, start + at, 1, None
-        if key[2] > 1:
-            words = passage.split()
-            for at in range(windows):
-                if at not in gone:
-                    yield 1, doc, mark, start + at, 1, hashlib.blake2b(b" ".join(words[at : at + self.window]), digest_size=16).digest()
+                # the longest phrases come first, so that a whole stretch goes as one range
+                places = sorted(hits[p], key=lambda h: (-lengths[h[1]], h[0]))
+                for doc, start, mark in passages[p]:
+                    gone: set[int] = set()
+                    for at, n in places:
+                        if first[n] != (doc, start + at) and at not in gone:
+                            yield 0, doc, mark, start + at, lengths[n] - window + 1, None
+                            gone.update(range(at, at + lengths[n] - window + 1))
+                    if key[2] > 1 and len(gone) < len(ids) - window + 1:
+                        words = p.split()
+                        for at in range(len(ids) - window + 1):
+                            if at not in gone:
+                                yield 1, doc, mark, start + at, 1, hashlib.blake2b(b" ".join(words[at : at + window]), digest_size=16).digest()
 
 
 def _locate(cut: DataFrame, window: int) -> DataFrame:
@@ -300,7 +219,7 @@ def _locate(cut: DataFrame, window: int) -> DataFrame:
                 shard.add(*row)
         yield from out(shard)
 
-    ordered = cut.select("seed", "part", "parts", "doc", "mark", "start", "words").repartition("seed", "part").sortWithinPartitions("seed", "part")
+    ordered = cut.repartition("seed", "part").sortWithinPartitions("seed", "part")
     return ordered.mapInArrow(run, "kind int, doc bigint, mark bigint, start int, n int, digest binary")
 
 
@@ -336,23 +255,24 @@ def dedup_passages(docs: DataFrame, text: str = "text", key: str = "doc_id", win
     """(doc_id, n_words, n_removed, kept, kept_sha256): kept is the words left, joined by spaces, where some went, else null.
 
     A null text has no words. Repeated rows (same id and text) have the same result, as no window starts before itself.
-    A null id counts as the largest. Texts under `window` words keep all. Empty in, empty out. Extra columns are not read.
+    A null id counts as the largest. Texts under `window` words keep all. Of equal windows that start at one place of
+    rows with one id, none starts earlier. Empty in, empty out. Extra columns are not read.
     """
     if not 0 < window - gram + 1 < 32:
         raise ValueError("window - gram must be under 31")
     body = F.coalesce(F.col(text), F.lit(""))
     base = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(NO_ID)).alias("doc"), F.xxhash64(body).bitwiseAND(F.lit(MARK)).alias("mark"), body.alias("text"))
-    confirmed = settle(_confirm(_scan(base, window, gram)))
-    wanted = confirmed.filter("kind = 2")
-    hot = wanted.groupBy("seed").agg(F.count("*").alias("times")).filter(F.col("times") > part).select("seed", F.ceil(F.col("times") / part).alias("parts"))
-    cut = _cut(base, bitmap(wanted, "key"), window, gram).join(hot, "seed", "left")
-    cut = cut.withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")))
-    located = settle(_locate(cut, window))
-    at = F.shiftleft(F.col("start").cast("bigint"), 33).bitwiseOR(F.shiftleft(F.col("n").cast("bigint"), 28)).bitwiseOR(F.col("mark")).alias("at")
+    counted = settle(_seeds(base, window, gram).groupBy("seed").agg(F.sum("n").alias("n")).filter("n > 1"))
+    most = max(part, -(-(counted.agg(F.sum("n")).first()[0] or 0) // HOT_SEEDS))  # so that at most HOT_SEEDS seeds are hot
+    hot = counted.filter(F.col("n") > most).select("seed", F.ceil(F.col("n") / most).cast("int").alias("parts")).toArrow()
+    order = np.argsort(hot.column("seed").to_numpy())
+    hot_seeds = (hot.column("seed").to_numpy()[order], hot.column("parts").to_numpy()[order])
+    located = settle(_locate(_cut(base, bitmap(counted, "seed"), hot_seeds, window, gram), window))
+    at = F.shiftleft(F.col("start").cast("bigint"), 33).bitwiseOR(F.shiftleft(F.col("n").cast("bigint"), 28)).alias("at")
     firsts = located.filter("kind = 1").groupBy("digest").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("times")).filter("times > 1")
     late = located.filter("kind = 1").join(firsts, "digest").filter((F.col("doc") != F.col("first.doc")) | (F.col("start") != F.col("first.start")))
-    gone = confirmed.filter("kind = 0").select("doc", "at").unionByName(located.filter("kind = 0").select("doc", at)).unionByName(late.select("doc", at))
-    ranges = gone.groupBy("doc", F.col("at").bitwiseAND(F.lit(MARK)).alias("mark")).agg(F.collect_list("at").alias("ranges"))
+    gone = located.filter("kind = 0").select("doc", "mark", at).unionByName(late.select("doc", "mark", at))
+    ranges = gone.groupBy("doc", "mark").agg(F.collect_set("at").alias("ranges"))
     done = _removed(base.join(ranges, ["doc", "mark"], "left").select("doc", "text", "ranges"), window)
     return done.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "n_words", "n_removed", "kept", F.col("sha").alias("kept_sha256"))
 
