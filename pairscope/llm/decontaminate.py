@@ -1,15 +1,17 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, verified by exact shingle containment.
 
-An item of n word 5-shingles counts as contained if at least ceil(0.8 n) of them are in the document, so the document
-must hold one of any floor(0.2 n) + 1 of them. Items are partitioned by size (powers of two of n); each keeps as its
-sketch the shingles of the least hashes, as many as that bound asks of the item. A document that holds no shingle of
-the sketch cannot contain the item; every other candidate is verified on the shingles themselves. Nothing is missed,
-however long the document.
+An item of n word 5-shingles counts as contained if at least ceil(0.8 n) of them are in the document. Items are
+partitioned by size: class c holds those of 2**c to 2**(c + 1) - 1 shingles. A class has a sketch size of its own, what
+an item of its largest size may lack plus MATCHES, and every item keeps the MinHash sketch of that many least shingle
+hashes (all of them, if it has fewer). Of a sketch as many hashes must be in the document as the class's worst item cannot
+lack: that is the class's threshold, so a document under it cannot contain the item, however long the document is. All
+shingles of a document are looked up in each class's table; every candidate is verified on the shingles themselves.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -22,6 +24,8 @@ from pairscope.llm.common import LOWER_BYTES, WordHashes, read, rolling
 
 SHINGLE = 5
 SHARE = 0.8
+#: Sketch hashes that must match beyond what the largest item of a class may lack.
+MATCHES = 3
 #: Shingles of all items that one index holds; a larger benchmark is searched in several passes, each with such an index.
 INDEX_SHINGLES = 2_000_000
 
@@ -42,6 +46,44 @@ def shingles(words: list[bytes], k: int = SHINGLE) -> list[bytes]:
     return list(dict.fromkeys(b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))))
 
 
+class SizeClass:
+    """The sketches of the items of one size class and shingle length: hash -> items, and how many matches make a candidate."""
+
+    def __init__(self, size: int, share: float):
+        self.most = (2 << size) - 1
+        self.sketch = math.floor((1 - share) * self.most + 1e-9) + MATCHES
+        self.share = share
+        self.threshold = self.sketch
+        self.table: dict[int, list[int]] = defaultdict(list)
+
+    def add(self, item: int, n: int, keyed: list[int]) -> None:
+        own = keyed[: self.sketch]
+        lacking = n - math.ceil(self.share * n - 1e-9)
+        self.threshold = max(1, min(self.threshold, len(own) - lacking))
+        for h in own:
+            self.table[h].append(item)
+
+    def freeze(self) -> None:
+        self.keys = np.array(sorted(self.table), np.uint64)
+        self.owners = [np.array(self.table[int(h)], np.int64) for h in self.keys]
+        self.bits = np.zeros(1 << 20, bool)
+        self.bits[(self.keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+        self.table.clear()
+
+    def candidates(self, grams: np.ndarray) -> list[int]:
+        """Items with as many sketch hashes among a document's shingles as the threshold asks."""
+        near = grams[self.bits[(grams & np.uint64((1 << 20) - 1)).astype(np.int64)]]
+        if not len(near):
+            return []
+        at = np.searchsorted(self.keys, near)
+        at[at == len(self.keys)] = 0
+        found = np.unique(at[self.keys[at] == near])
+        if not len(found):
+            return []
+        items, matches = np.unique(np.concatenate([self.owners[i] for i in found]), return_counts=True)
+        return items[matches >= self.threshold].tolist()
+
+
 class Index:
     """The items of one pass: sketches by shingle length and size class, all shingles for verification."""
 
@@ -49,47 +91,30 @@ class Index:
         self.k, self.share = k, share
         self.items: list[tuple[int, list[bytes]]] = []
         hashes = WordHashes()
-        sketch: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))  # shingle length -> hash -> items
-        self.classes: dict[int, int] = defaultdict(int)
+        self.classes: dict[tuple[int, int], SizeClass] = {}  # by shingle length and size class
         for item, text in items:
             words = words_of(text)
             found = shingles(words, k)
             if not found:
                 continue
-            n = len(found)
-            self.classes[n.bit_length()] += 1
-            length = min(k, len(words))
+            length, size = min(k, len(words)), len(found).bit_length() - 1
             keyed = sorted({int(rolling(hashes.of(s.split()), length)[0]) for s in found})
-            need = math.ceil(share * n - 1e-9)
-            for h in keyed[: max(1, len(keyed) - need + 1)]:
-                sketch[length][h].append(len(self.items))
+            # shingles whose hashes fall together leave fewer to match
+            self.classes.setdefault((length, size), SizeClass(size, share)).add(len(self.items), len(found), keyed)
             self.items.append((item, found))
-        self.tables = {}
-        for length, table in sketch.items():
-            keys = np.array(sorted(table), np.uint64)
-            bits = np.zeros(1 << 20, bool)
-            bits[(keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-            self.tables[length] = (keys, bits, [table[int(h)] for h in keys])
+        for c in self.classes.values():
+            c.freeze()
 
     def contained(self, words: list[bytes], hashes: WordHashes) -> list[tuple[int, int, int]]:
         """(item, its shingles, those found) for the items that the document contains."""
         if not words or not self.items:
             return []
         coded = hashes.of(words)
-        candidates: set[int] = set()
-        for length, (keys, bits, owners) in self.tables.items():
-            grams = rolling(coded, length)
-            near = grams[bits[(grams & np.uint64((1 << 20) - 1)).astype(np.int64)]]
-            if len(near):
-                at = np.searchsorted(keys, near)
-                at[at == len(keys)] = 0
-                for i in np.unique(at[keys[at] == near]):
-                    candidates.update(owners[i])
-        if not candidates:
-            return []
+        grams = {length: rolling(coded, length) for length in {length for length, _ in self.classes}}
+        candidates = sorted(i for (length, _), c in self.classes.items() for i in c.candidates(grams[length]))
         own: dict[int, set[bytes]] = {}
         out = []
-        for c in sorted(candidates):
+        for c in candidates:
             item, found = self.items[c]
             length = found[0].count(b" ") + 1
             if length not in own:
@@ -100,6 +125,17 @@ class Index:
         return out
 
 
+_built: dict[str, Index] = {}
+
+
+def _index(name: str, items: list[tuple[int, bytes]], k: int, share: float) -> Index:
+    """The index of this worker process, built once for all its tasks; one is held at a time."""
+    if name not in _built:
+        _built.clear()
+        _built[name] = Index(items, k, share)
+    return _built[name]
+
+
 def _passes(items: DataFrame, item: str, text: str, limit: int) -> Iterator[list[tuple[int, bytes]]]:
     """The benchmark in bounded parts, in the order of its ids; streamed, so the driver holds one part at a time."""
     held: list[tuple[int, bytes]] = []
@@ -128,10 +164,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", kee
     spark = docs.sparkSession
     parts = []
     for items in _passes(benchmark, item, item_text, limit):
-        shared = spark.sparkContext.broadcast(items)
+        shared, name = spark.sparkContext.broadcast(items), uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Index(shared.value, k, share)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
+            index = _index(name, shared.value, k, share)
             hashes = WordHashes()
             for batch in batches:
                 n = batch.num_columns - 1
@@ -154,16 +190,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", kee
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
-    """The rows of docs that contain no item: contaminated rows are marked in place, with no join."""
+    """The rows of docs that contain no item: contaminated rows are marked in place, with no join.
+
+    Rows with a null or wordless text, null ids and repeated rows stay or go by their text alone; columns stay as they are.
+    An empty benchmark leaves all.
+    """
     kept = docs
     names = docs.columns
     spark = docs.sparkSession
     k, share, limit = options.get("k", SHINGLE), options.get("share", SHARE), options.get("limit", INDEX_SHINGLES)
     for items in _passes(benchmark, options.get("item", "item_id"), options.get("item_text", "text"), limit):
-        shared = spark.sparkContext.broadcast(items)
+        shared, name = spark.sparkContext.broadcast(items), uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Index(shared.value, k, share)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
+            index = _index(name, shared.value, k, share)
             hashes = WordHashes()
             for batch in batches:
                 at = batch.schema.get_field_index(text)
