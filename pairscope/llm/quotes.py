@@ -63,14 +63,15 @@ def link(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: s
 
     parent_turn is null, and root_turn the message's own turn, where no quote links. A quote links only to an earlier
     turn. A null text is empty. A null conversation or turn is grouped with no other message and links to none. Repeated
-    rows each get a row. Empty in, empty out; other columns are not read. Ordering a conversation by (root_turn, depth,
+    rows each get a row. Of quotes of one level the one from the latest turn names the parent; texts of any length are
+    read whole. Empty in, empty out; other columns are not read. Ordering a conversation by (root_turn, depth,
     turn) puts every reply after what it replies to.
     """
     base = messages.select(F.col(conv).cast("bigint").alias("conv_id"), F.col(turn).cast("bigint").alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
     held = settle(parsed(base))
     passage = held.select("conv_id", "turn", F.explode("passages").alias("x")).select("conv_id", "turn", "x.*").filter("conv_id is not null and turn is not null")
     # each quoted passage once a message, and only where the conversation has quotes at all, before anything is joined
-    quoted = settle(passage.filter("level > 0").groupBy("conv_id", "turn", "hash").agg(F.min("level").alias("level"), F.count("*").alias("n"), F.first("lines").alias("lines")))
+    quoted = settle(passage.filter("level > 0").groupBy("conv_id", "turn", "hash").agg(F.min("level").alias("level"), F.sum(F.size("lines")).alias("n")))
     own = passage.filter("level = 0")
 
     def linked_to(quotes: DataFrame, source: DataFrame) -> DataFrame:
@@ -79,9 +80,10 @@ def link(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: s
         return quotes.join(origin, ["conv_id", "hash"], "left").withColumn("origin", F.when(F.col("origin") < F.col("turn"), F.col("origin")))
 
     whole = settle(linked_to(quoted, own))
-    single = whole.filter("origin is null").select("conv_id", "turn", "level", F.col("n").alias("times"), F.explode("lines").alias("hash")).groupBy("conv_id", "turn", "hash").agg(F.min("level").alias("level"), F.sum("times").alias("n"))
+    lost = passage.filter("level > 0").join(whole.filter("origin is null").select("conv_id", "turn", "hash"), ["conv_id", "turn", "hash"], "left_semi")
+    single = lost.select("conv_id", "turn", "level", F.explode("lines").alias("hash")).groupBy("conv_id", "turn", "hash").agg(F.min("level").alias("level"), F.count("*").alias("n"))
     by_line = linked_to(single, own.select("conv_id", "turn", F.explode("lines").alias("hash")))
-    linked = whole.select("conv_id", "turn", "level", "origin", (F.col("n") * F.size("lines")).alias("n")).unionByName(by_line.select("conv_id", "turn", "level", "origin", "n")).filter("origin is not null")
+    linked = whole.select("conv_id", "turn", "level", "origin", "n").unionByName(by_line.select("conv_id", "turn", "level", "origin", "n")).filter("origin is not null")
     parent = linked.groupBy("conv_id", "turn").agg(F.max_by("origin", F.struct(-F.col("level"), "origin")).alias("parent_turn"), F.sum("n").alias("n_linked_lines"))
     parent = settle(parent)
     # roots: every linked message points up; pointers double until none moves
@@ -126,10 +128,22 @@ WITH RECURSIVE m AS (
   SELECT id, conv_id, turn, k, len(regexp_extract(line, '^([ \t]*>)+')) - len(replace(regexp_extract(line, '^([ \t]*>)+'), '>', '')) AS level,
     CASE WHEN regexp_matches(line, '^([ \t]*>)+') THEN ltrim(regexp_replace(line, '^([ \t]*>)+', ''), ' ') ELSE line END AS body FROM l
 ), h AS (SELECT *, trim(regexp_replace(lower(body), '[ \t\n\x0b\f\r]+', ' ', 'g')) AS norm FROM p
-), q AS (SELECT conv_id, turn, norm, min(level) AS level, count(*) AS n FROM h WHERE level > 0 AND norm <> '' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL
-), o AS (SELECT conv_id, norm, min(turn) AS origin FROM h WHERE level = 0 AND norm <> '' GROUP BY ALL
+), r AS (
+  SELECT *, sum(begins) OVER (PARTITION BY id ORDER BY k) AS run FROM (SELECT *, CASE WHEN norm <> '' AND (coalesce(lag(norm) OVER w, '') = '' OR lag(level) OVER w <> level) THEN 1 ELSE 0 END AS begins FROM h WINDOW w AS (PARTITION BY id ORDER BY k)) x
+), ps AS (
+  SELECT id, conv_id, turn, run, min(level) AS level, trim(regexp_replace(lower(string_agg(body, ' ' ORDER BY k)), '[ \t\n\x0b\f\r]+', ' ', 'g')) AS whole, count(*) AS n
+  FROM r WHERE norm <> '' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY id, conv_id, turn, run
+), q AS (SELECT conv_id, turn, whole, min(level) AS level, sum(n) AS n FROM ps WHERE level > 0 GROUP BY ALL
+), o AS (SELECT conv_id, whole, min(turn) AS origin FROM ps WHERE level = 0 GROUP BY ALL
+), w AS (SELECT q.*, CASE WHEN origin < turn THEN origin END AS origin FROM q LEFT JOIN o USING (conv_id, whole)
+), s AS (
+  SELECT r.conv_id, r.turn, r.norm, min(r.level) AS level, count(*) AS n FROM r JOIN ps USING (id, run) JOIN w ON w.conv_id = r.conv_id AND w.turn = r.turn AND w.whole = ps.whole
+  WHERE r.norm <> '' AND r.level > 0 AND w.origin IS NULL GROUP BY ALL
+), ol AS (SELECT conv_id, norm, min(turn) AS origin FROM r WHERE level = 0 AND norm <> '' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL
+), links AS (
+  SELECT conv_id, turn, level, origin, n FROM w WHERE origin IS NOT NULL UNION ALL SELECT conv_id, turn, level, origin, n FROM s JOIN ol USING (conv_id, norm) WHERE origin < turn
 ), pa AS (
-  SELECT conv_id, turn, arg_max(origin, (-level) * 1e9 + origin) AS parent_turn, sum(n) AS n_linked_lines FROM q JOIN o USING (conv_id, norm) WHERE origin < turn GROUP BY ALL
+  SELECT conv_id, turn, arg_max(origin, (-level) * 1e9 + origin) AS parent_turn, sum(n) AS n_linked_lines FROM links GROUP BY ALL
 ), up AS (
   SELECT conv_id, turn, parent_turn AS top, 1 AS steps FROM pa
   UNION ALL SELECT up.conv_id, up.turn, pa.parent_turn, steps + 1 FROM up JOIN pa ON pa.conv_id = up.conv_id AND pa.turn = up.top

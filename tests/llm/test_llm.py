@@ -424,3 +424,23 @@ def test_pipeline(spark):
 def test_rolling():
     a = np.arange(10, dtype=np.uint64)
     assert rolling(a, 3)[4] == rolling(a[4:7], 3)[0] and len(rolling(a, 11)) == 0
+
+
+def test_quotes_in_sql(spark):
+    """The SQL twin on quotes that the driver's table does not hold: re-wrapped, nested, repeated, by single lines."""
+    import duckdb
+    import pandas as pd
+
+    rng = random.Random(4)
+    rows = [(1, 0, "a", "Thanks!"), (1, 1, "b", "The quick brown fox jumps\nover the lazy dog.\n\nThanks!\nBest, A"), (1, 2, "a", "> The quick brown\n> fox jumps over the\n> lazy dog.\n>\n> Thanks!\n> Best, A\nyes"), (1, 3, "b", ">> the quick brown fox\n>> jumps over the lazy dog.\n> yes\nno"), (1, 4, "a", "> over the lazy dog.\n> unknown"), *((c, t, r, x) for c, t, r, x in QUOTES if c is not None)]
+    lines = [" ".join(rng.choice("abcde") * 3 for _ in range(rng.randint(1, 6))) for _ in range(12)]
+    for c in range(20, 50):
+        rows += [(c, t, "r", "\n".join(rng.choice(["", "> ", ">> ", "> > > "]) + rng.choice([*lines, ""]) for _ in range(rng.randint(0, 7)))) for t in range(rng.randint(1, 6))]
+    con = duckdb.connect()
+    con.register("held", pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]))
+    con.sql("CREATE VIEW conversations AS SELECT conv_id, turn, role, text FROM held")
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    want = con.sql(quotes.OP4_SQL)
+    got = quotes.link(df).drop("clean_text")
+    assert sorted(got.columns) == sorted(want.columns)
+    assert oracle.rows(got.columns, got.collect()) == oracle.rows(want.columns, want.fetchall())
