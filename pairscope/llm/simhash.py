@@ -3,7 +3,8 @@
 A fingerprint has 64 bits; two link at 4 or fewer differing bits. The bits are cut into blocks with a share of the
 threshold each, such that two fingerprints that link are within its share in one block at least (shares plus blocks
 less one add up to the threshold). On each block a linear covering code gives the anchors: every block value lies within
-the covering radius R of one. A fingerprint is at home at its nearest anchor and is copied to every anchor within
+the covering radius R of one (a Hamming code, R = 1; on a block without a share the trivial code, R = 0, every value an
+anchor of its own). A fingerprint is at home at its nearest anchor and is copied to every anchor within
 R + share; if x and y agree within the share, y has a copy at x's home. Per anchor, homes are compared with copies.
 """
 
@@ -60,13 +61,34 @@ class Block:
         return [np.array(x, np.uint64) for x in out]
 
 
-def layout(threshold: int = THRESHOLD) -> list[Block]:
-    """The default cut: two coded blocks that tolerate one bit each, and blocks that must agree, threshold - 1 in all."""
+#: What a copy dealt out and a comparison cost, in comparisons: a layout is chosen by their sum.
+COPY_COST = 500
+
+
+def layouts(threshold: int = THRESHOLD) -> list[list[Block]]:
+    """Ways to cut the bits. For 4: coded blocks that tolerate one bit each and one that must agree (33 copies, a pair in
+    8,000 compared), or two coded blocks that tolerate two and one (about 380 copies, a pair in 700,000)."""
     if threshold == 4:
-        return [Block(0, 22, 1, 15), Block(22, 22, 1, 15), Block(44, 20, 0, 0)]
+        return [[Block(0, 22, 1, 15), Block(22, 22, 1, 15), Block(44, 20, 0, 0)], [Block(0, 32, 2, 15), Block(32, 32, 1, 15)]]
     n = threshold + 1
     edges = [round(64 * i / n) for i in range(n + 1)]
-    return [Block(edges[i], edges[i + 1] - edges[i], 0, 0) for i in range(n)]
+    return [[Block(edges[i], edges[i + 1] - edges[i], 0, 0) for i in range(n)]]
+
+
+def cost(blocks: list[Block], points: int) -> float:
+    """Copies and comparisons of so many distinct fingerprints, if their bits are even."""
+    out = 0.0
+    for b in blocks:
+        masks = b.masks(b.radius + b.share)
+        copies = float(np.bincount(b.syndromes(), minlength=b.coded + 1) @ [len(m) for m in masks]) / (1 << b.coded)
+        anchors = 2.0**b.width / (b.coded + 1)
+        out += points * copies * (COPY_COST + points / anchors)
+    return out
+
+
+def layout(threshold: int = THRESHOLD, points: int = 0) -> list[Block]:
+    """The cut that costs least for so many distinct fingerprints; all of them find the same links."""
+    return min(layouts(threshold), key=lambda blocks: cost(blocks, points)) if points else layouts(threshold)[0]
 
 
 def check_layout(blocks: list[Block], threshold: int) -> None:
@@ -195,7 +217,7 @@ def near_links(points: DataFrame, threshold: int = THRESHOLD, blocks: list[Block
 
     An anchor with more than `hot` homes is dealt to several tasks: its homes are split, its copies go to each part.
     """
-    blocks = blocks or layout(threshold)
+    blocks = blocks or layout(threshold, points.count())
     check_layout(blocks, threshold)
     rows = anchored(points, blocks)
     homes = anchored(points, blocks, copies=False).groupBy("anchor").count().filter(F.col("count") > hot)

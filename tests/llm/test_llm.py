@@ -126,8 +126,8 @@ def test_links_of_planted_neighbours(spark):
     place = {int(v): i for i, v in enumerate(points.view(np.int64))}
     near = np.bitwise_count(points[:, None] ^ points[None, :]) <= 4
     want = simhash.merge(np.arange(len(points)), *np.nonzero(near))
-    for hot in (20_000, 10):
-        links = simhash.near_links(df, hot=hot).collect()
+    for hot, blocks in ((20_000, None), (10, None), (10, simhash.layouts()[1])):
+        links = simhash.near_links(df, hot=hot, blocks=blocks).collect()
         got = simhash.merge(np.arange(len(points)), np.array([place[x.a] for x in links]), np.array([place[x.b] for x in links]))
         assert (got == want).all()
 
