@@ -15,26 +15,27 @@ def exact_groups(rows: DataFrame, text: str, key: str, label: str) -> DataFrame:
 
 
 def buckets(grams: DataFrame, bands: int, width: int) -> DataFrame:
-    """(id, band, bucket) by MinHash in one permutation: the least hash of each of bands x width bins, hashed by band.
+    """(id, n, band, bucket) by MinHash in one permutation: the least hash of each of bands x width bins, hashed by band.
 
-    Every shingle is hashed once, with one hash for all texts; the minima are partial aggregates.
+    Every shingle is hashed once, with one hash for all texts; the minima are partial aggregates. n: shingles of the text.
     """
-    each = grams.select("id", F.explode("g").alias("h"))
-    least = each.groupBy("id", F.pmod("h", F.lit(bands * width)).alias("bin")).agg(F.min("h").alias("m"))
-    rows = least.groupBy("id", F.floor(F.col("bin") / width).alias("band")).agg(F.array_sort(F.collect_list(F.struct("bin", "m"))).alias("k"))
-    return rows.select("id", "band", F.xxhash64("k").alias("bucket"))
+    each = grams.select("id", F.size("g").alias("n"), F.explode("g").alias("h"))
+    least = each.groupBy("id", "n", F.pmod("h", F.lit(bands * width)).alias("bin")).agg(F.min("h").alias("m"))
+    rows = least.groupBy("id", "n", F.floor(F.col("bin") / width).alias("band")).agg(F.array_sort(F.collect_list(F.struct("bin", "m"))).alias("k"))
+    return rows.select("id", "n", "band", F.xxhash64("k").alias("bucket"))
 
 
-def bucket_pairs(held: DataFrame, part: int = 1000) -> DataFrame:
-    """Distinct pairs (a < b) of ids that share a band's bucket: all of them.
+def bucket_pairs(held: DataFrame, least: float, part: int = 1000) -> DataFrame:
+    """Distinct pairs (a < b) of ids that share a band's bucket and whose sizes allow a Jaccard of `least`: all of them.
 
     A bucket of more than `part` ids is dealt to several tasks: its ids are split, and each part meets all ids.
     """
-    parts = held.groupBy("band", "bucket").agg(F.count("*").alias("n")).filter("n > 1").select("band", "bucket", F.ceil(F.col("n") / part).cast("int").alias("parts"))
+    parts = held.groupBy("band", "bucket").agg(F.count("*").alias("c")).filter("c > 1").select("band", "bucket", F.ceil(F.col("c") / part).cast("int").alias("parts"))
     rows = held.join(parts, ["band", "bucket"])
-    left = rows.select("band", "bucket", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.col("id").alias("a"))
-    right = rows.select("band", "bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("id").alias("b"))
-    return left.join(right, ["band", "bucket", "part"]).filter("a < b").select("a", "b").distinct()
+    left = rows.select("band", "bucket", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.col("id").alias("a"), F.col("n").alias("na"))
+    right = rows.select("band", "bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("id").alias("b"), F.col("n").alias("nb"))
+    fit = F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9
+    return left.join(right, ["band", "bucket", "part"]).filter((F.col("a") < F.col("b")) & fit).select("a", "b").distinct()
 
 
 def near_pairs(rows: DataFrame, text: str, key: str, bands: int = 20, width: int = 5, least: float = 0.85, part: int = 1000) -> DataFrame:
@@ -45,8 +46,8 @@ def near_pairs(rows: DataFrame, text: str, key: str, bands: int = 20, width: int
     """
     single = rows.filter(F.col(text).isNotNull()).groupBy(normalized(F.col(text)).alias("t")).agg(F.min(key).alias("id"))
     grams = single.select("id", F.transform(shingles(F.col("t")), lambda g: F.xxhash64(g)).alias("g"))
-    pairs = bucket_pairs(buckets(grams, bands, width), part)
+    pairs = bucket_pairs(buckets(grams, bands, width), least, part)
     left = grams.select(F.col("id").alias("a"), F.col("g").alias("ga"))
     right = grams.select(F.col("id").alias("b"), F.col("g").alias("gb"))
-    scored = pairs.join(left, "a").join(right, "b").select("a", "b", (F.size(F.array_intersect("ga", "gb")) / F.greatest(F.lit(1), F.size(F.array_union("ga", "gb")))).alias("jaccard"))
-    return scored.filter(F.col("jaccard") >= least)
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", F.size("ga").alias("na"), F.size("gb").alias("nb"), F.size(F.array_intersect("ga", "gb")).alias("shared"))
+    return both.select("a", "b", (F.col("shared") / F.greatest(F.lit(1), F.col("na") + F.col("nb") - F.col("shared"))).alias("jaccard")).filter(F.col("jaccard") >= least)

@@ -48,9 +48,9 @@ add("F16_cosine", "", lagged_cosine, f"{_COS} SELECT vec_id, round(cosine, 6) AS
 def mad_outliers(li):
     """Rows far under the median of their group, by the median of absolute deviations."""
     middle = li.groupBy("l_returnflag").agg(F.median("l_discount").alias("med"))
-    near = li.join(F.broadcast(middle), "l_returnflag")
+    near = li.join(middle, "l_returnflag")
     spread = near.groupBy("l_returnflag").agg(F.median(F.abs(F.col("l_discount") - F.col("med"))).alias("mad"))
-    out = near.join(F.broadcast(spread), "l_returnflag").withColumn("low", F.col("med") - F.col("l_discount") > 1.2 * F.col("mad") + 1e-9)
+    out = near.join(spread, "l_returnflag").withColumn("low", F.col("med") - F.col("l_discount") > 1.2 * F.col("mad") + 1e-9)
     return out.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.count_if("low").alias("low"), F.max("med").alias("med"), F.max("mad").alias("mad"))
 
 
