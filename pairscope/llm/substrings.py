@@ -33,6 +33,9 @@ GRAM = 8
 #: words of stretches that one automaton is built for.
 PART = 5_000
 HOT_SEEDS = 1_000_000
+#: Stretches of a bucket, on average, which is read by one task at once; stretches a scan holds before it sends them off.
+BUCKET = 100_000
+CUT_ROWS = 400_000
 SHARD_WORDS = 150_000
 NO_ID = 2**63 - 1
 
@@ -91,41 +94,78 @@ def _seeds(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "seed bigint, n bigint")
 
 
-def _cut(docs: DataFrame, recurring: np.ndarray, hot: tuple[np.ndarray, np.ndarray], window: int, gram: int) -> DataFrame:
-    """(seed, part, parts, doc, mark, start, words): the stretches of all seeds that the bitmap lets through."""
+_FIELDS = ["seed", "part", "parts", "doc", "mark", "start"]
+
+
+def squeezed(columns: list[np.ndarray], passages: list[bytes]) -> bytes:
+    """The fields of some stretches and their words (which hold no line end), compressed together."""
+    import zstandard
+
+    body = b"".join([np.int64(len(passages)).tobytes(), *(c.astype("<i8").tobytes() for c in columns), b"\n".join(passages)])
+    return zstandard.ZstdCompressor(level=1).compress(body)
+
+
+def opened(blob: bytes) -> tuple[np.ndarray, list[bytes]]:
+    import zstandard
+
+    body = zstandard.ZstdDecompressor().decompress(blob)
+    n = int(np.frombuffer(body, "<i8", 1)[0])
+    head = 8 * (1 + len(_FIELDS) * n)
+    return np.frombuffer(body[8:head], "<i8").reshape(len(_FIELDS), n), body[head:].split(b"\n")
+
+
+def _cut(docs: DataFrame, recurring: np.ndarray, hot: tuple[np.ndarray, np.ndarray], buckets: int, window: int, gram: int) -> DataFrame:
+    """(bucket, blob): the stretches of all seeds that the bitmap lets through, those of a batch of documents that go to
+    one bucket of seeds (and of parts of a hot seed) together."""
     shared = docs.sparkSession.sparkContext.broadcast((recurring, *hot))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seeds_hot, parts_hot = shared.value
         hashes = WordHashes()
-        names = ["seed", "part", "parts", "doc", "mark", "start", "words"]
-        types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-        for whole in batches:
-            for at in range(0, whole.num_rows, 200):
-                batch = whole.slice(at, 200)
-                columns: list[list] = [[] for _ in range(6)]
-                words_out: list[bytes] = []
-                for doc, mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), strict=True):
-                    words = (text.as_py() or b"").split()
-                    seeds, first, n = stretches(words, hashes, window, gram)
-                    if not len(seeds):
-                        continue
-                    chosen = np.flatnonzero(in_bitmap(table, seeds.view(np.int64)))
-                    seeds, first, n = seeds[chosen].view(np.int64), first[chosen], n[chosen]
-                    parts = np.ones(len(seeds), np.int32)
-                    if len(seeds_hot) and len(seeds):
-                        place = np.searchsorted(seeds_hot, seeds)
-                        place[place == len(seeds_hot)] = 0
-                        known = seeds_hot[place] == seeds
-                        parts[known] = parts_hot[place[known]]
-                    dealt = int(spread_hash(np.array([doc ^ mark], np.int64).view(np.uint64))[0] >> np.uint64(33))
-                    for column, value in zip(columns, (seeds, dealt % parts, parts, np.full(len(seeds), doc), np.full(len(seeds), mark), first), strict=True):
-                        column.append(value)
-                    words_out += [b" ".join(words[a : a + k + window - 1]) for a, k in zip(first.tolist(), n.tolist(), strict=True)]
-                arrays = [pa.array(np.concatenate(c) if c else [], t) for c, t in zip(columns, types, strict=False)]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(words_out, pa.binary())], names)
-
-    return docs.mapInArrow(run, "seed bigint, part int, parts int, doc bigint, mark bigint, start int, words binary")
+        held: list[list] = [[] for _ in _FIELDS]
+        passages: list[bytes] = []
+
+        def out() -> pa.RecordBatch:
+            columns = [np.concatenate(c) for c in held]
+            spread = spread_hash(columns[0].view(np.uint64) + columns[1].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            bucket = (spread % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            ends = np.r_[np.flatnonzero(bucket[order][1:] != bucket[order][:-1]) + 1, len(order)]
+            rows, at = [], 0
+            for end in ends.tolist():
+                own = order[at:end]
+                rows.append((int(bucket[own[0]]), squeezed([c[own] for c in columns], [passages[i] for i in own.tolist()])))
+                at = end
+            for c in (*held, passages):
+                c.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "blob"])
+
+        for batch in batches:
+            for doc, mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), strict=True):
+                words = (text.as_py() or b"").split()
+                seeds, first, n = stretches(words, hashes, window, gram)
+                if not len(seeds):
+                    continue
+                chosen = np.flatnonzero(in_bitmap(table, seeds.view(np.int64)))
+                if not len(chosen):
+                    continue
+                seeds, first, n = seeds[chosen].view(np.int64), first[chosen], n[chosen]
+                parts = np.ones(len(seeds), np.int64)
+                if len(seeds_hot):
+                    place = np.searchsorted(seeds_hot, seeds)
+                    place[place == len(seeds_hot)] = 0
+                    known = seeds_hot[place] == seeds
+                    parts[known] = parts_hot[place[known]]
+                dealt = int(spread_hash(np.array([doc ^ mark], np.int64).view(np.uint64))[0] >> np.uint64(33))
+                for column, value in zip(held, (seeds, dealt % parts, parts, np.full(len(seeds), doc), np.full(len(seeds), mark), first), strict=True):
+                    column.append(value)
+                passages += [b" ".join(words[a : a + k + window - 1]) for a, k in zip(first.tolist(), n.tolist(), strict=True)]
+                if len(passages) >= CUT_ROWS:
+                    yield out()
+        if passages:
+            yield out()
+
+    return docs.mapInArrow(run, "bucket int, blob binary")
 
 
 class Shard:
@@ -191,36 +231,37 @@ class Shard:
                                 yield 1, doc, mark, start + at, 1, hashlib.blake2b(b" ".join(words[at : at + window]), digest_size=16).digest()
 
 
+_LOCATED = "kind int, doc bigint, mark bigint, start int, n int, digest binary"
+
+
 def _locate(cut: DataFrame, window: int) -> DataFrame:
-    """Streams the sorted stretches of each partition through one automaton after the other."""
+    """Streams the stretches of each bucket, seed by seed, through one automaton after the other."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(shard: Shard):
-            rows: list[list] = [[] for _ in range(6)]
+    def run(table: pa.Table) -> pa.Table:
+        found = [opened(blob.as_py()) for blob in table.column("blob")]
+        fields = np.concatenate([f for f, _ in found], axis=1)
+        passages = [p for _, ps in found for p in ps]
+        order = np.lexsort((fields[1], fields[0]))
+        rows: list[list] = [[] for _ in range(6)]
+
+        def finish(shard: Shard) -> None:
             for row in shard.located():
                 for column, value in zip(rows, row, strict=True):
                     column.append(value)
-                if len(rows[0]) >= 100_000:
-                    yield pack(rows)
-                    rows = [[] for _ in range(6)]
-            yield pack(rows)
-
-        def pack(rows):
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["kind", "doc", "mark", "start", "n", "digest"])
 
         shard, last = Shard(window), None
-        for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
-                if row[:2] != last:
-                    if shard.size >= SHARD_WORDS:
-                        yield from out(shard)
-                        shard = Shard(window)
-                    last = row[:2]
-                shard.add(*row)
-        yield from out(shard)
+        for i, row in zip(order.tolist(), fields[:, order].T.tolist(), strict=True):
+            if row[:2] != last:
+                if shard.size >= SHARD_WORDS:
+                    finish(shard)
+                    shard = Shard(window)
+                last = row[:2]
+            shard.add(*row, passages[i])
+        finish(shard)
+        types = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        return pa.table([pa.array(c, t) for c, t in zip(rows, types, strict=True)], ["kind", "doc", "mark", "start", "n", "digest"])
 
-    ordered = cut.repartition("seed", "part").sortWithinPartitions("seed", "part")
-    return ordered.mapInArrow(run, "kind int, doc bigint, mark bigint, start int, n int, digest binary")
+    return cut.groupBy("bucket").applyInArrow(run, _LOCATED)
 
 
 def _removed(held: DataFrame, window: int) -> DataFrame:
@@ -263,11 +304,12 @@ def dedup_passages(docs: DataFrame, text: str = "text", key: str = "doc_id", win
     body = F.coalesce(F.col(text), F.lit(""))
     base = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(NO_ID)).alias("doc"), F.xxhash64(body).bitwiseAND(F.lit(MARK)).alias("mark"), body.alias("text"))
     counted = settle(_seeds(base, window, gram).groupBy("seed").agg(F.sum("n").alias("n")).filter("n > 1"))
-    most = max(part, -(-(counted.agg(F.sum("n")).first()[0] or 0) // HOT_SEEDS))  # so that at most HOT_SEEDS seeds are hot
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    most = max(part, -(-total // HOT_SEEDS))  # so that at most HOT_SEEDS seeds are hot
     hot = counted.filter(F.col("n") > most).select("seed", F.ceil(F.col("n") / most).cast("int").alias("parts")).toArrow()
     order = np.argsort(hot.column("seed").to_numpy())
     hot_seeds = (hot.column("seed").to_numpy()[order], hot.column("parts").to_numpy()[order])
-    located = settle(_locate(_cut(base, bitmap(counted, "seed"), hot_seeds, window, gram), window))
+    located = settle(_locate(_cut(base, bitmap(counted, "seed"), hot_seeds, max(1, -(-total // BUCKET)), window, gram), window))
     at = F.shiftleft(F.col("start").cast("bigint"), 33).bitwiseOR(F.shiftleft(F.col("n").cast("bigint"), 28)).alias("at")
     firsts = located.filter("kind = 1").groupBy("digest").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("times")).filter("times > 1")
     late = located.filter("kind = 1").join(firsts, "digest").filter((F.col("doc") != F.col("first.doc")) | (F.col("start") != F.col("first.start")))
