@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pairscope.llm import decontaminate, langid, lmscore, packing, pii, quality, quotes, simhash, substrings, toxicity
+from pairscope.llm import decontaminate, langid, lmscore, packing, pii, quality, quotes, rolling, simhash, substrings, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_hierarchical_packing": packing.op8,
     "op9_language_codes": langid.op9,
     "op10_phrase_automata": substrings.op10,
+    "op11_rolling_users": rolling.op11,
 }
 
 ORACLES: dict[str, str] = {
     "op2_benchmark_decontamination": decontaminate.OP2_SQL,
     "op4_quotation_linking": quotes.OP4_SQL,
     "op5_quality_rules": quality.op5_sql(),
+    "op11_rolling_users": rolling.OP11_SQL,
 }
