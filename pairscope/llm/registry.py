@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pairscope.llm import decontaminate, langid, lmscore, packing, pii, quality, quotes, rolling, simhash, substrings, toxicity
+from pairscope.llm import decontaminate, langid, lmscore, packing, pii, quality, quotes, rolling, simhash, substrings, toxicity, whitening
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_language_codes": langid.op9,
     "op10_phrase_automata": substrings.op10,
     "op11_rolling_users": rolling.op11,
+    "op12_embedding_whitening": whitening.op12,
 }
 
 ORACLES: dict[str, str] = {
