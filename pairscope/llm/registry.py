@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pairscope.llm import decontaminate, langid, lmscore, packing, pii, quality, quotes, rolling, simhash, substrings, toxicity, whitening
+from pairscope.llm import decontaminate, langid, lmscore, mixing, packing, pii, quality, quotes, rolling, simhash, substrings, toxicity, whitening
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_phrase_automata": substrings.op10,
     "op11_rolling_users": rolling.op11,
     "op12_embedding_whitening": whitening.op12,
+    "op13_pareto_mixing": mixing.op13,
 }
 
 ORACLES: dict[str, str] = {
@@ -24,4 +25,5 @@ ORACLES: dict[str, str] = {
     "op4_quotation_linking": quotes.OP4_SQL,
     "op5_quality_rules": quality.op5_sql(),
     "op11_rolling_users": rolling.OP11_SQL,
+    "op13_pareto_mixing": mixing.OP13_SQL,
 }
