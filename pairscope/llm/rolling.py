@@ -27,8 +27,8 @@ from pairscope.llm.common import read, settle
 
 #: A user with so many minutes of clicks in a kind is heavy there.
 HEAVY = 1_000
-#: Rows of a dense matrix.
-USERS = 64
+#: Rows of a dense matrix, and minutes that are sent in one row on the way to it.
+USERS, PIECE = 64, 512
 
 #: Measure -> (minutes of its window, clicks that a user must have in it).
 MEASURES = {"users_short": (5, 1), "users_middle": (30, 1), "users_long": (10_080, 1), "hot_users": (10_080, 3)}
@@ -108,49 +108,45 @@ def sparse(light: DataFrame, measures: dict[str, tuple[int, int]], tile: int) ->
 def dense(heavy: DataFrame, measures: dict[str, tuple[int, int]], tile: int, users: int = USERS) -> DataFrame:
     """(kind, minute, held, measures): changes that the minutes (kind, user, minute, n) of heavy users bring.
 
-    A user's minutes go to the tile that holds them and to the next one. Rows come in the order of kind, tile and user;
-    `users` of them make a matrix, so a task holds one matrix at a time.
+    Minutes are packed, PIECE of a user's next to each other in a row, and go to the tile that holds them and to the next
+    one. Rows come in the order of kind, tile and user; `users` of them make a matrix, and a task holds one at a time.
     """
     own = floored(F.col("minute"), tile)
-    dealt = heavy.select("kind", "user", "minute", "n", F.explode(F.array(own, own + 1)).alias("tile"))
-    placed = dealt.select("kind", "tile", F.xxhash64("user").alias("row"), "user", (F.col("minute") - (F.col("tile") - 1) * tile).cast("int").alias("at"), "n")
-    together = placed.repartition("kind", "tile", "user").sortWithinPartitions("kind", "tile", "row", "user").select("kind", "tile", "user", "at", "n")
+    at = (F.col("minute") - F.col("tile") * tile).cast("int")
+    packed = heavy.withColumn("tile", own).withColumn("at", at).groupBy("kind", "user", "tile", F.floor(F.col("at") / PIECE).alias("piece")).agg(F.collect_list(F.struct("at", "n")).alias("clicks"))
+    dealt = packed.select("kind", "user", "clicks", "tile", F.explode(F.array(F.lit(0), F.lit(1))).alias("late")).withColumn("tile", F.col("tile") + F.col("late"))
+    together = dealt.repartition("kind", "tile", "user").sortWithinPartitions("kind", "tile", F.xxhash64("user"), "user").select("kind", "tile", "user", "late", "clicks")
     names = list(measures)
     kind_type = heavy.schema["kind"].dataType.simpleString()
 
-    def counted(kind: object, at_tile: int, row: np.ndarray, at: np.ndarray, n: np.ndarray, form: pa.DataType) -> pa.RecordBatch:
-        sums = np.zeros((int(row[-1]) + 1, 2 * tile), np.int32)
-        np.add.at(sums, (row, at), n)
+    def counted(sums: np.ndarray, kind: object, at_tile: int, form: pa.DataType) -> pa.RecordBatch:
         np.cumsum(sums, axis=1, out=sums)
         levels = [((sums[:, tile:] - sums[:, tile - w : 2 * tile - w]) >= t).sum(axis=0) for w, t in measures.values()]
         steps = np.diff(np.array(levels), axis=1, prepend=0)
         minute = np.flatnonzero(steps.any(axis=0))
-        return pa.RecordBatch.from_arrays(
-            [pa.array([kind], form).take(pa.array(np.zeros(len(minute), np.int32))), pa.array(minute + at_tile * tile), pa.array(np.zeros(len(minute), np.int32)), *(pa.array(s[minute].astype(np.int32)) for s in steps)],
-            ["kind", "minute", "held", *names],
-        )
+        none = np.zeros(len(minute), np.int32)
+        return pa.RecordBatch.from_arrays([pa.array([kind], form).take(pa.array(none)), pa.array(minute + at_tile * tile), pa.array(none), *(pa.array(s[minute].astype(np.int32)) for s in steps)], ["kind", "minute", "held", *names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_: tuple | None = None
-        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        last, rows, form = None, 0, pa.string()
+        matrix = np.zeros((users, 2 * tile), np.int32)
+        last, rows, form = None, 0, None
         for batch in batches:
-            if not batch.num_rows:
-                continue
             form = batch.schema.field(0).type
-            kinds, tiles, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            at, n = batch.column(3).to_numpy(), batch.column(4).to_numpy()
-            keys = list(zip(kinds, tiles, ids, strict=True))
-            cuts = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]] + [len(keys)]
-            for lo, hi in zip(cuts, cuts[1:], strict=False):
-                if keys[lo] != last:
-                    if open_ is not None and (keys[lo][:2] != open_ or rows == users):
-                        yield counted(*open_, *(np.concatenate(x) for x in zip(*parts, strict=True)), form)
-                        parts, rows = [], 0
-                    open_, last, rows = keys[lo][:2], keys[lo], rows + 1
-                parts.append((np.full(hi - lo, rows - 1), at[lo:hi], n[lo:hi]))
-        if parts:
-            yield counted(*open_, *(np.concatenate(x) for x in zip(*parts, strict=True)), form)
+            lists = batch.column(4)
+            ends, whole = lists.offsets.to_numpy(), lists.values
+            places, counts = whole.field(0).to_numpy(), whole.field(1).to_numpy()
+            keys = zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)
+            for k, (kind, at_tile, user, late) in enumerate(keys):
+                if last != (kind, at_tile, user):
+                    if last is not None and (last[:2] != (kind, at_tile) or rows == users):
+                        yield counted(matrix[:rows], *last[:2], form)
+                        matrix[:rows] = 0
+                        rows = 0
+                    last, rows = (kind, at_tile, user), rows + 1
+                part = slice(ends[k], ends[k + 1])
+                matrix[rows - 1, places[part] + (0 if late else tile)] = counts[part]
+        if last is not None:
+            yield counted(matrix[:rows], *last[:2], form)
 
     return together.mapInArrow(run, ", ".join([f"kind {kind_type}", "minute bigint", "held int", *(f"`{m}` int" for m in names)]))
 
