@@ -54,3 +54,22 @@ def cumulated(rows: DataFrame, order: list[Column | str], **values: Column) -> D
     inside = W.partitionBy("__part").orderBy("__at").rowsBetween(W.unboundedPreceding, -1)
     joined = held.join(F.broadcast(offsets(held, **values).withColumnsRenamed({n: f"__{n}" for n in values})), "__part")
     return joined.select(*rows.columns, *((F.col(f"__{n}") + F.coalesce(F.sum(v).over(inside), F.lit(0))).alias(n) for n, v in values.items()))
+
+
+def carried(held: DataFrame, within: list[str], **values: Column) -> DataFrame:
+    """held, of ranged() or placed(), with each value's last one that is not null at or before the row in its group.
+
+    Within a range it is the last of the rows before; what a range begins with is the last value of all earlier ranges,
+    taken from a table with a row a range. It counts only if it is of the same group.
+    """
+    kept = {n: F.when(v.isNotNull(), F.struct(*(F.col(k).alias(f"k{i}") for i, k in enumerate(within)), v.alias("value"))) for n, v in values.items()}
+    marked = held.select("*", *(v.alias(f"__own_{n}") for n, v in kept.items()))
+    ends = marked.groupBy("__part").agg(*(F.max_by(f"__own_{n}", F.when(F.col(f"__own_{n}").isNotNull(), F.col("__at"))).alias(f"__end_{n}") for n in values))
+    before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    starts = ends.select("__part", *(F.last(f"__end_{n}", ignorenulls=True).over(before).alias(f"__before_{n}") for n in values))
+    inside = W.partitionBy("__part").orderBy("__at").rowsBetween(W.unboundedPreceding, 0)
+    joined = marked.join(F.broadcast(starts), "__part")
+    found = {n: F.coalesce(F.last(f"__own_{n}", ignorenulls=True).over(inside), F.col(f"__before_{n}")) for n in values}
+    out = joined.select(*held.columns, *(c.alias(f"__found_{n}") for n, c in found.items()))
+    same = lambda n: reduce(lambda a, b: a & b, (F.col(f"__found_{n}.k{i}").eqNullSafe(F.col(k)) for i, k in enumerate(within)), F.lit(True))
+    return out.select(*held.columns, *(F.when(same(n), F.col(f"__found_{n}.value")).alias(n) for n in values))

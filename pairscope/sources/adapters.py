@@ -67,6 +67,19 @@ ADAPTERS: dict[str, tuple[list[str], str]] = {
         FROM (SELECT *, @H['r' || cast(event_id AS string)] AS d FROM attempts) x
         """,
     ),
+    "log_lines": (
+        ["attempts"],
+        """
+        SELECT CASE WHEN event_id % 3 = 0 THEN 0 ELSE event_id % 7 END AS log, event_id * 5 + k AS seq,
+          CASE k
+            WHEN 0 THEN CASE WHEN status = 'blocked' THEN '  3| pump: archive already contains j' || cast(job_id AS string) ELSE 'START j' || cast(job_id AS string) || ' panel=p1 attempt=' || cast(attempt AS string) END
+            WHEN 3 THEN CASE status WHEN 'accepted' THEN '12|ACCEPTED j' || cast(job_id AS string) WHEN 'error' THEN 'ATTEMPT_FAILED j' || cast(job_id AS string) || ' attempt=' || cast(attempt AS string) || ' code=' || cast(agent % 4 - 1 AS string)
+              WHEN 'invalid' THEN 'CHECKPOINT_FAILED j' || cast(job_id AS string) || ' attempt=' || cast(attempt AS string) || ' code=1' ELSE 'delivered output already exists ' END
+            WHEN 4 THEN CASE agent % 5 WHEN 0 THEN chr(123) || '"status":"pending_human_review","job_id":"j' || cast(job_id AS string) || '","attempt":' || cast(attempt AS string) || ',"agent_id":"a' || cast(agent AS string) || '"' || chr(125) WHEN 1 THEN '' ELSE 'waiting for START' END
+            ELSE lpad(cast(agent % 24 AS string), 2, '0') || ':' || lpad(cast(event_id % 60 AS string), 2, '0') || ':00.' || cast(k AS string) || ' INFO node up' END AS line
+        FROM attempts CROSS JOIN (VALUES (0), (1), (2), (3), (4)) AS n(k)
+        """,
+    ),
     "job_items": (
         ["orders"],
         """
