@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pairscope.functions import text as T
+from pairscope.operators import crossval as X
 from pairscope.operators import logs as G
 from pairscope.plans.book import Book
 from pairscope.plans.files import place
@@ -38,3 +40,35 @@ add(
     lambda x: G.exit_events(G.log_events(runner_logs(x))),
     f"WITH {_EVENTS}, x AS (SELECT job, attempt, CASE event WHEN 'START' THEN 'start' WHEN 'ATTEMPT_FAILED' THEN 'exit_' || code WHEN 'CHECKPOINT_FAILED' THEN 'checkpoint_failed' END AS event, line FROM ev) SELECT job, attempt, event, count(*) AS n, min(line) AS first_line, max(line) AS last_line FROM x WHERE event IS NOT NULL GROUP BY ALL",
 )
+
+
+# cross-validation with groups of equal texts
+
+FEATURES = ["words", "sentences", "digits", "symbols", "upper", "distinct_share"]
+groups = lambda: {"id": F.col("claim_id"), "text": T.normalized(F.col("text"))}
+targets = lambda: {"good": F.col("quality") == 1, "toxic": F.col("toxic") == 1}
+
+
+def measured(t):
+    """Labelled texts with measures of their surface, each in units near one."""
+    words = T.tokens(F.col("text"))
+    share = lambda p: F.regexp_count("text", F.lit(p)) / F.greatest(F.lit(1), F.length("text")) * 10
+    held = t.filter("quality >= 0 and toxic >= 0").select("claim_id", "text", "quality", "toxic", words.alias("w"), *(share(p).alias(n) for n, p in (("digits", "[0-9]"), ("symbols", "[^A-Za-z0-9 ]"), ("upper", "[A-Z]"), ("sentences", "[.!?]"))))
+    return held.withColumn("words", F.log1p(F.size("w"))).withColumn("distinct_share", F.size(F.array_distinct("w")) / F.greatest(F.lit(1), F.size("w"))).drop("w")
+
+
+def folded(t):
+    held = X.prepared(measured(t), "claim_id", targets(), FEATURES, groups())
+    return X.out_of_fold(held, X.fit_folds(held, 2, 2, len(FEATURES)), list(targets()), list(groups())).withColumnRenamed("key", "claim_id")
+
+
+def audited(t):
+    """AUC out of fold by id and by text for each target, their difference, and features that come from the outcome."""
+    by = X.grouped_auc(measured(t), "claim_id", targets(), FEATURES, groups())
+    wide = by.groupBy("target").agg(F.max("n").alias("n"), F.max("n_pos").alias("n_pos"), *(F.max(F.when(F.col("grouping") == g, F.col("auc"))).alias(f"auc_{g}") for g in groups()))
+    return wide.select("*", (F.col("auc_text") - F.col("auc_id")).alias("delta"), F.lit(len(X.outcome_derived(FEATURES))).alias("outcome_derived"))
+
+
+add("T26_out_of_fold", "texts", folded)
+add("T30_duplicate_aware_cv", "texts", audited)
+add("T24_penalties", "texts", lambda t: X.fits(measured(t), "claim_id", targets()["toxic"], FEATURES, {"l2": (1.0, True), "strong_l2": (0.1, True), "plain": (1.0, False)}))

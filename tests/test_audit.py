@@ -6,8 +6,10 @@ import json
 import random
 import re
 
+import numpy as np
 import pytest
 
+from pairscope.operators import crossval as X
 from pairscope.operators import logs as G
 from pairscope.operators import ranks as R
 from pyspark.sql import functions as F
@@ -91,3 +93,92 @@ def test_exit_codes(spark):
     rows = [("1", 1, "START", "a", 1, None), ("1", 5, "ATTEMPT_FAILED", "a", 1, -2), ("1", 9, "ATTEMPT_FAILED", "a", 1, -2), ("1", 11, "ATTEMPT_FAILED", "a", 1, 7), ("1", 12, "CHECKPOINT_FAILED", "a", 1, 1), ("1", 13, "message", "a", 1, None)]
     got = G.exit_events(spark.createDataFrame(rows, "log string, line bigint, event string, job string, attempt bigint, code bigint"))
     assert sorted(map(tuple, got.collect())) == [("a", 1, "checkpoint_failed", 1, 12, 12), ("a", 1, "exit_-2", 2, 5, 9), ("a", 1, "exit_7", 1, 11, 11), ("a", 1, "start", 1, 1, 1)]
+
+
+def plain_fit(x, y, c, balanced):
+    """Newton's method on whole arrays."""
+    x = np.c_[np.ones(len(x)), x]
+    w = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (1 - y).sum())) if balanced else np.ones(len(y))
+    beta, ridge = np.zeros(x.shape[1]), np.diag([0.0] + [1 / c] * (x.shape[1] - 1))
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-x @ beta))
+        step = np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (w * (y - p)) - ridge @ beta)
+        beta = beta + step
+        if abs(step).max() < 1e-12:
+            break
+    return beta
+
+
+def plain_auc(score, y):
+    pos, neg = score[y == 1], score[y == 0]
+    return ((pos[:, None] > neg[None, :]).sum() + 0.5 * (pos[:, None] == neg[None, :]).sum()) / (len(pos) * len(neg))
+
+
+def labelled(n=400):
+    rng = np.random.default_rng(3)
+    texts = [f"text {i % 150}" for i in range(n)]
+    x = rng.normal(size=(150, 2))[[i % 150 for i in range(n)]] + 0.01 * rng.normal(size=(n, 2))
+    y = (x[:, 0] + rng.normal(size=n) > 0.8).astype(int)
+    return [(i, texts[i], float(x[i, 0]), float(x[i, 1]), int(y[i]), int(i % 3 == 0)) for i in range(n)]
+
+
+TABLE = "id int, text string, a double, b double, y int, z int"
+
+
+def test_out_of_fold_scores_equal_plain_fits(spark):
+    rows = labelled()
+    df = spark.createDataFrame(rows, TABLE).repartition(4)
+    held = X.prepared(df, "id", {"y": F.col("y") == 1, "z": F.col("z") == 1}, ["a", "b"], {"id": F.col("id"), "text": F.col("text")})
+    beta = X.fit_folds(held, 2, 2, 2, c=0.1)
+    got = X.out_of_fold(held, beta, ["y", "z"], ["id", "text"]).collect()
+    assert len(got) == 4 * len(rows)
+    x = np.array([r[2:4] for r in rows])
+    for t, target in enumerate(["y", "z"]):
+        y = np.array([r[4 + t] for r in rows])
+        for grouping in ("id", "text"):
+            mine = {r["key"]: r for r in got if r["target"] == target and r["grouping"] == grouping}
+            fold = np.array([mine[i]["fold"] for i in range(len(rows))])
+            for f in range(5):
+                b = plain_fit(x[fold != f], y[fold != f], 0.1, True)
+                want = 1 / (1 + np.exp(-(b[0] + x[fold == f] @ b[1:])))
+                assert np.allclose([mine[i]["score"] for i in np.flatnonzero(fold == f)], want, atol=1e-8)
+            if grouping == "text":
+                assert len({(i % 150, fold[i]) for i in range(len(rows))}) == 150
+    by = {(r["target"], r["grouping"]): r["auc"] for r in X.grouped_auc(df, "id", {"y": F.col("y") == 1}, ["a", "b"], {"id": F.col("id"), "text": F.col("text")}, c=0.1).collect()}
+    y = np.array([r[4] for r in rows])
+    for grouping in ("id", "text"):
+        score = {r["key"]: r["score"] for r in got if r["target"] == "y" and r["grouping"] == grouping}
+        assert abs(by["y", grouping] - plain_auc(np.array([score[i] for i in range(len(rows))]), y)) < 1e-9
+
+
+def test_duplicates_flatter_a_model_that_can_remember(spark):
+    """Texts come five times with one label drawn at random: by id a copy is always in the other folds, by text never."""
+    rng = random.Random(5)
+    rows = [(i, f"t{i // 5}", i // 5) for i in range(200)]
+    drawn = [rng.randrange(2) for _ in range(40)]
+    df = spark.createDataFrame([(i, t, drawn[k], *(float(k == j) for j in range(40))) for i, t, k in rows], "id int, text string, y int, " + ", ".join(f"f{j} double" for j in range(40)))
+    got = {r["grouping"]: r["auc"] for r in X.grouped_auc(df, "id", {"y": F.col("y") == 1}, [f"f{j}" for j in range(40)], {"id": F.col("id"), "text": F.col("text")}).collect()}
+    assert got["id"] > 0.9 and got["text"] < 0.6
+
+
+def test_fits_and_awkward_rows(spark):
+    rows = labelled()
+    df = spark.createDataFrame([*rows, (900, None, None, 1.0, 1, 0), (901, "n", float("nan"), 1.0, 1, 0), (902, "n", 1.0, 1.0, None, 0)], TABLE)
+    got = {(r["setting"], r["term"]): r["coefficient"] for r in X.fits(df, "id", F.col("y") == 1, ["a", "b"], {"l2": (1.0, True), "plain": (0.5, False)}).collect()}
+    x, y = np.array([r[2:4] for r in rows]), np.array([r[4] for r in rows])
+    for setting, c, balanced in (("l2", 1.0, True), ("plain", 0.5, False)):
+        assert np.allclose([got[setting, t] for t in ("intercept", "a", "b")], plain_fit(x, y, c, balanced), atol=1e-8)
+    assert X.outcome_derived(["words", "agree_x", "gpt54_out", "semantic_outlier"]) == ["agree_x", "gpt54_out", "semantic_outlier"]
+    one = X.grouped_auc(df.filter("y = 1"), "id", {"y": F.col("y") == 1}, ["a", "b"], {"id": F.col("id")}).collect()
+    assert one == []
+    assert X.grouped_auc(df.limit(0), "id", {"y": F.col("y") == 1}, ["a"], {"id": F.col("id")}).collect() == []
+
+
+def test_auc_of_ties_by_key(spark):
+    rng = np.random.default_rng(1)
+    rows = [(k, float(rng.integers(0, 6)), int(rng.integers(0, 2))) for k in ("a", "b", "c") for _ in range(50)] + [("d", 1.0, 1), (None, 0.0, 1), (None, 1.0, 0)]
+    got = {r["k"]: r["auc"] for r in X.auc_by(spark.createDataFrame(rows, "k string, score double, y int"), "k").collect()}
+    for key in ("a", "b", "c", None):
+        mine = [r for r in rows if r[0] == key]
+        assert abs(got[key] - plain_auc(np.array([r[1] for r in mine]), np.array([r[2] for r in mine]))) < 1e-12
+    assert got["d"] is None
