@@ -72,6 +72,24 @@ def bounded_sample(rows: DataFrame, by: str, order: Column, text: str, most: int
     return [(r["text"], r["value"]) for r in found], counts
 
 
+def unused(names: list[str], wish: str) -> str:
+    """wish, or that with underscores added until no column has the name, whatever the case of letters."""
+    taken = {n.lower() for n in names}
+    while wish.lower() in taken:
+        wish += "_"
+    return wish
+
+
+def columns(names: list[str]) -> list[Column]:
+    """Columns by their whole names, dots and all."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
+def packed(docs: DataFrame) -> Column:
+    """A row of docs as one struct, so that no name of its columns can meet another."""
+    return F.struct(*columns(docs.columns))
+
+
 def held_out(key: str, of: int, value: int) -> Column:
     """Whether crc32 of the id's text leaves this remainder (a null id has the empty text)."""
     return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(of)) == value

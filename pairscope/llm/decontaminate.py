@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairscope.llm.common import LOWER_BYTES, WordHashes, read, rolling
+from pairscope.llm.common import LOWER_BYTES, WordHashes, columns, packed, read, rolling, unused
 
 SHINGLE = 5
 SHARE = 0.8
@@ -136,12 +136,12 @@ def _index(name: str, items: list[tuple[int, bytes]], k: int, share: float) -> I
     return _built[name]
 
 
-def _passes(items: DataFrame, item: str, text: str, limit: int) -> Iterator[list[tuple[int, bytes]]]:
+def _passes(items: DataFrame, item: str, text: str, limit: int) -> Iterator[list[tuple[int | None, bytes]]]:
     """The benchmark in bounded parts, in the order of its ids; streamed, so the driver holds one part at a time."""
     held: list[tuple[int, bytes]] = []
     size = 0
     for row in items.select(F.col(item).alias("i"), F.col(text).alias("t")).distinct().toLocalIterator():
-        if row["t"] is None or row["i"] is None:
+        if row["t"] is None:
             continue
         held.append((row["i"], row["t"].encode()))
         size += row["t"].count(" ") + 1
@@ -155,11 +155,11 @@ def _passes(items: DataFrame, item: str, text: str, limit: int) -> Iterator[list
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: list[str] | None = None, item: str = "item_id", item_text: str = "text", k: int = SHINGLE, share: float = SHARE, limit: int = INDEX_SHINGLES) -> DataFrame:
     """keep columns, item_id, n_item_shingles, n_found, containment: a row for each document row and item it contains.
 
-    A null or wordless item is in no document; a null text contains none; an item of fewer than k words must occur as a
-    whole. Items that share an id are each searched. Repeated document rows are each reported. Empty in, empty out.
+    An item with a null or wordless text is in no document; a null text contains none; an item of fewer than k words must
+    occur as a whole. Items that share an id, and items with a null id, are each searched. Repeated document rows are each reported. Empty in, empty out.
     """
     keep = keep if keep is not None else ["doc_id"]
-    chosen = docs.select(*keep, F.col(text).alias("__text"))
+    chosen = docs.select(*columns(keep), F.col(text).alias(unused(keep, "__text")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]) + (", " if keep else "") + "item_id bigint, n_item_shingles bigint, n_found bigint"
     spark = docs.sparkSession
     parts = []
@@ -193,10 +193,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options)
     """The rows of docs that contain no item: contaminated rows are marked in place, with no join.
 
     Rows with a null or wordless text, null ids and repeated rows stay or go by their text alone; columns stay as they are.
-    An empty benchmark leaves all.
+    Items without an id count like any other. An empty benchmark leaves all.
     """
-    kept = docs
-    names = docs.columns
+    kept = docs.select(packed(docs).alias("row"), F.col(text).alias("body"))
+    form = kept.schema
     spark = docs.sparkSession
     k, share, limit = options.get("k", SHINGLE), options.get("share", SHARE), options.get("limit", INDEX_SHINGLES)
     for items in _passes(benchmark, options.get("item", "item_id"), options.get("item_text", "text"), limit):
@@ -206,12 +206,11 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options)
             index = _index(name, shared.value, k, share)
             hashes = WordHashes()
             for batch in batches:
-                at = batch.schema.get_field_index(text)
-                stay = [not index.contained(words_of(v.as_py()), hashes) for v in batch.column(at).cast(pa.binary())]
+                stay = [not index.contained(words_of(v.as_py()), hashes) for v in batch.column(1).cast(pa.binary())]
                 yield batch.filter(pa.array(stay, pa.bool_()))
 
-        kept = kept.mapInArrow(run, docs.schema).select(*names)
-    return kept
+        kept = kept.mapInArrow(run, form)
+    return kept.select("row.*")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairscope.llm.common import bounded_sample, held_out, read
+from pairscope.llm.common import bounded_sample, columns, held_out, read, unused
 
 #: log2 of the hashed n-grams; n-gram lengths; training rows a language and in all, at most; rounds of gradient descent.
 BITS = 13
@@ -141,7 +141,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
     not kept are not read; empty in, empty out.
     """
     keep = keep if keep is not None else ["doc_id"]
-    chosen = docs.select(*keep, F.col(text).alias("__text"))
+    chosen = docs.select(*columns(keep), F.col(text).alias(unused(keep, "__text")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]) + ", lang_pred string, score double, ambiguous boolean"
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairscope.llm.common import LOWER_BYTES, WordHashes, read, settle, spread_hash
+from pairscope.llm.common import LOWER_BYTES, WordHashes, columns, read, settle, spread_hash, unused
 
 #: Weight of the bigram against the unigram estimate; mass added to a unigram.
 LAMBDA = 0.7
@@ -93,7 +93,7 @@ def chunks(docs: DataFrame, text: str, keep: list[str], target: str | None) -> D
     """(chunk, n_tokens, n_target, payload): all rows of docs, in bounded chunks, settled; payload holds keep columns,
     target and text."""
     size = CHUNK_BYTES
-    chosen = docs.select(*keep, (F.col(target) if target else F.lit(None)).cast("boolean").alias("__target"), F.col(text).cast("binary").alias("__text"))
+    chosen = docs.select(*columns(keep), (F.col(target) if target else F.lit(None)).cast("boolean").alias(unused(keep, "__target")), F.col(text).cast("binary").alias(unused(keep, "__text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -147,11 +147,11 @@ def asked(held: DataFrame, parts: int) -> DataFrame:
         for batch in batches:
             for chunk, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 table = _read(payload.as_py())
-                texts = Text.of(table.column("__text").to_pylist(), hashes)
+                texts = Text.of(table.column(table.num_columns - 1).to_pylist(), hashes)
                 keys, place = _grams(texts)
                 if not len(keys):
                     continue
-                good = np.array([bool(t) for t in table.column("__target").to_pylist()], bool)[texts.doc]
+                good = np.array([bool(t) for t in table.column(table.num_columns - 2).to_pylist()], bool)[texts.doc]
                 target = np.bincount(place, np.r_[good, good], len(keys)).astype(np.uint64)
                 background = np.bincount(place, minlength=len(keys)).astype(np.uint64) - target
                 part = part_of(keys, parts)
@@ -308,11 +308,11 @@ def _scored(held: DataFrame, answers: DataFrame, model: Model, keep: list[str],
 
     def run(chunk: pa.Table, found: pa.Table) -> pa.Table:
         table = _read(chunk.column("payload")[0].as_py())
-        texts = Text.of(table.column("__text").to_pylist(), hashes)
+        texts = Text.of(table.column(table.num_columns - 1).to_pylist(), hashes)
         _, place = _grams(texts)
         order = np.argsort(found.column("part").to_numpy())
         totals = [np.concatenate([np.empty(0, np.int64), *(opened(column[int(i)].as_py()).astype(np.int64) for i in order)]) for column in (found.column("target"), found.column("background"))]
-        counted = np.array([-1 if t is None else int(t) for t in table.column("__target").to_pylist()], np.int64)
+        counted = np.array([-1 if t is None else int(t) for t in table.column(table.num_columns - 2).to_pylist()], np.int64)
         none = texts.sizes == 0
         losses = _losses(texts, counted, place, totals, plain)
         columns = [pa.array(x, mask=none) for x in (*losses, losses[0] - losses[1])]
@@ -323,7 +323,7 @@ def _scored(held: DataFrame, answers: DataFrame, model: Model, keep: list[str],
 
 
 def _schema(docs: DataFrame, keep: list[str]) -> str:
-    return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema.fields) + "n_tokens bigint, target_loss double, background_loss double, difference double"
+    return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*columns(keep)).schema.fields) + "n_tokens bigint, target_loss double, background_loss double, difference double"
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, target: str | None = None) -> DataFrame:
@@ -358,12 +358,14 @@ def weigh(docs: DataFrame, text: str = "text", keep: list[str] | None = None, ta
     return _scored(held, answers.filter(F.col("chunk") != SUMS), Model.of(None, parts, size, tokens), keep, _schema(docs, keep))
 
 
-def targets(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality") -> DataFrame:
-    """docs and target: true where a label row of its id is 1; a null id or no label is background."""
-    good = settle(labels.filter(F.col(label) == 1).select(F.col(key).alias("__good")).distinct())
+def targets(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", name: str = "target") -> DataFrame:
+    """docs and `name`: true where a label row of its id is 1; a null id or no label is background. A column of docs with
+    that very name gives way to it; choose another name to keep it."""
+    mark = unused(docs.columns, "__good")
+    good = settle(labels.filter(F.col(label) == 1).select(F.col(key).alias(mark)).distinct())
     if good.count() <= BROADCAST_IDS:  # beyond, both sides are dealt out by id
         good = F.broadcast(good)
-    return docs.join(good, F.col(key) == F.col("__good"), "left").withColumn("target", F.col("__good").isNotNull()).drop("__good")
+    return docs.join(good, F.col(key) == F.col(mark), "left").withColumn(name, F.col(mark).isNotNull()).drop(mark)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

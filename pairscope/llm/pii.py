@@ -23,8 +23,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from pairscope.llm.common import read, settle
+from pairscope.llm.common import packed, read, settle
 
 KINDS = ["email", "ip", "card", "phone"]
 #: Rounds; other instances a pattern needs; confidence a pattern and an instance need; weight of a context of rare patterns.
@@ -156,6 +157,8 @@ def mentions(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, in
     return [(s, e, k, hashed(text[s:e].lower()), [hashed(p) for p in contexts.patterns(s, e)]) for s, e, k in found]
 
 
+#: Spans that were discovered in a row.
+_MORE = "array<struct<start:int,kind:int,end:int>>"
 _MENTION = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.int32()), ("instance", pa.int64()), ("patterns", pa.list_(pa.int64()))]))
 
 
@@ -271,33 +274,35 @@ def redact(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
     """
     scanned = settle(scan(docs, text, key))
     found = instances(scanned)
-    names, schema = docs.columns, docs.schema
+    held = docs.select(packed(docs).alias("row"), F.col(text).alias("body"))
     if found.count() <= BROADCAST:
-        kinds = {r["instance"]: r["kind"] for r in found.collect()}
-        shared = docs.sparkSession.sparkContext.broadcast(kinds)
-        joined, extra_of = docs, lambda batch, body, spans, i: [(s, shared.value[h], e) for s, e, k, h, _ in mentions(body, spans) if k < 0 and h in shared.value] if kinds else []
+        shared = docs.sparkSession.sparkContext.broadcast({r["instance"]: r["kind"] for r in found.collect()})
+        held = held.withColumn("more", F.lit(None).cast(_MORE))
     else:
-        more = settle(discovered(scanned, found).groupBy("doc_id", "print").agg(F.collect_set(F.struct("start", "kind", "end")).alias("__more")).select(F.col("doc_id").alias("__id"), F.col("print").alias("__print"), "__more"))
-        joined = docs.join(more, F.col(key).eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("__print")), "left").select(*(F.col(f"`{c}`") for c in names), "__more")
-        extra_of = lambda batch, body, spans, i: [(x["start"], x["kind"], x["end"]) for x in batch.column(len(names))[i].as_py() or []]
+        shared = None
+        more = settle(discovered(scanned, found).groupBy("doc_id", "print").agg(F.collect_set(F.struct("start", "kind", "end")).alias("more")).select(F.col("doc_id").alias("of"), "print", F.col("more").cast(_MORE).alias("more")))
+        keyed = docs.select(packed(docs).alias("row"), F.col(text).alias("body"), F.col(key).alias("id"))
+        held = keyed.join(more, F.col("id").eqNullSafe(F.col("of")) & (F.xxhash64(F.coalesce(F.col("body"), F.lit(""))) == F.col("print")), "left").select("row", "body", "more")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = shared.value if shared else {}
         for batch in batches:
-            at = names.index(text)
             out = []
-            for i, value in enumerate(batch.column(at)):
+            for value, more in zip(batch.column(1), batch.column(2), strict=True):
                 body = value.as_py()
                 spans = base_spans(body) if body else []
-                if body:
-                    spans = spans + extra_of(batch, body, spans, i)
+                if body and kinds:
+                    spans = spans + [(s, kinds[h], e) for s, e, k, h, _ in mentions(body, spans) if k < 0 and h in kinds]
+                elif body and more.is_valid:
+                    spans = spans + [(x["start"], x["kind"], x["end"]) for x in more.as_py()]
                 out.append(redacted(body, spans) if spans else body)
-            columns = [pa.array(out, batch.column(i).type) if i == at else batch.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, batch.column(1).type)], ["row", "body"])
 
-    done = joined.mapInArrow(run, schema)
-    if "n_chars" in names and text == "text":
-        done = done.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType))
-    return done.select(*(F.col(f"`{c}`") for c in names))
+    form = held.schema["row"].dataType
+    done = held.mapInArrow(run, StructType([StructField("row", form), StructField("body", docs.schema[text].dataType)]))
+    parts = [F.col("row").getField(n) for n in docs.columns]
+    new = {text: F.col("body")} | ({"n_chars": F.length("body").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns and text == "text" else {})
+    return done.select(*(new.get(n, p).alias(n) for n, p in zip(docs.columns, parts, strict=True)))
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairscope.llm.common import read
+from pairscope.llm.common import packed, read
 
 #: Frequent function words of the languages the rules know.
 STOP_WORDS = {
@@ -117,7 +117,7 @@ def assess(docs: DataFrame, text: str = "text", key: str = "doc_id", rules=RULES
 
 def filter_quality(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     """The rows of docs that keep to the rules, with the columns of docs."""
-    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), F.col(text).alias("text"))
+    held = docs.select(packed(docs).alias("__row"), F.col(text).alias("text"))
     found = measures(held, "text", ["__row"])
     return found.filter(~base_failed() & verdict(rules)).select("__row.*")
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairscope.llm.common import LOWER_BYTES, read, settle
+from pairscope.llm.common import LOWER_BYTES, columns, packed, read, settle, unused
 from pairscope.llm.graph import components
 
 SHINGLE = 4
@@ -119,7 +119,7 @@ def fingerprint(text: bytes | None) -> int:
 def fingerprints(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """keep columns and fp (a signed long with the fingerprint's bits). One pass, no shuffle; a null text is empty."""
     keep = keep if keep is not None else ["doc_id"]
-    chosen = docs.select(*keep, F.col(text).alias("__text"))
+    chosen = docs.select(*columns(keep), F.col(text).alias(unused(keep, "__text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -273,23 +273,27 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def _row_hash(docs: DataFrame) -> Column:
-    """64 bits that tell rows apart by all their columns; a null counts as a value of its own."""
-    return F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns), *(F.col(f"`{c}`").isNull() for c in docs.columns))
+def _row_hashes(docs: DataFrame) -> list[Column]:
+    """Twice 64 bits that tell rows apart by all their columns; a null counts as a value of its own, a map by its JSON."""
+    parts: list[Column] = []
+    for c, field in zip(columns(docs.columns), docs.schema.fields, strict=True):
+        parts += [F.to_json(F.struct(c)) if "map<" in field.dataType.simpleString() else c, c.isNull()]
+    return [F.xxhash64(*parts).alias("h1"), F.xxhash64(F.lit(1), *parts[::-1]).alias("h2")]
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: int = THRESHOLD) -> DataFrame:
     """One row of docs for each class: the least id, a null id after all others, and of rows with that id the least hash.
 
-    Rows are told apart by a hash of all columns, so ids may repeat or be null. Equal rows stand for one.
+    Rows are told apart by two hashes of all columns, so ids may repeat or be null. Equal rows stand for one. Columns of
+    any name and kind, maps as well, are returned as they are.
     """
-    rows = docs.withColumn("__row", _row_hash(docs))
-    prints = settle(fingerprints(rows.select(F.col(key).alias("doc_id"), "__row", F.col(text).alias("text")), keep=["doc_id", "__row"]))
-    points = settle(prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("first")))
+    hashes = _row_hashes(docs)
+    prints = settle(fingerprints(docs.select(F.col(key).alias("doc_id"), *hashes, F.col(text).alias("text")), keep=["doc_id", "h1", "h2"]))
+    points = settle(prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2")).alias("first")))
     member = components(near_links(points, threshold))
     root = points.join(member.select(F.col("node").alias("fp"), "root"), "fp", "left").select(F.coalesce("root", "fp").alias("root"), "first")
-    stay = root.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.__row").alias("__row"))
-    return rows.join(stay, "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns)
+    stay = root.groupBy("root").agg(F.min("first").alias("first")).select("first.h1", "first.h2")
+    return docs.select(packed(docs).alias("row"), *hashes).join(stay, ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"]).select("row.*")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

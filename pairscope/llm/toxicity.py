@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairscope.llm.common import bounded_sample, held_out, least, read, settle
+from pairscope.llm.common import bounded_sample, columns, held_out, least, read, settle, unused
 
 #: Labelled rows of each class that are learned from, at most.
 SAMPLE = 2000
@@ -232,7 +232,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
     predicted is an error of the caller (name it otherwise). Empty in, empty out.
     """
     keep = keep if keep is not None else ["doc_id"]
-    chosen = docs.select(*keep, F.col(text).alias("__text"))
+    chosen = docs.select(*columns(keep), F.col(text).alias(unused(keep, "__text")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]) + ", score double, predicted int"
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

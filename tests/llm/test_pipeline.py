@@ -9,7 +9,7 @@ import pytest
 
 import corpus_pipeline
 from conftest import SF
-from pairscope.llm import decontaminate, packing, pii, quality, simhash
+from pairscope.llm import decontaminate, langid, lmscore, packing, pii, quality, simhash, toxicity
 from pairscope.llm.common import read
 from test_llm import brute_components
 
@@ -65,7 +65,8 @@ def test_stages_on_awkward_rows(spark):
     texts = {r.row if False else r.fp: r for r in fourth.collect()}
     for r in third.collect():
         new = texts[r.fp]
-        assert new.text == (pii.redacted(r.text, pii.base_spans(r.text)) if not spans[r.doc_id].n_discovered else new.text)
+        parts = [s.split(":") for s in spans[r.doc_id].spans.split(",") if s]
+        assert new.text == pii.redacted(r.text, [(int(a), pii.KINDS.index(k), int(b)) for k, a, b in parts])
         assert new.n_chars == len(new.text) and (new.doc_id, new.lang, new.source, new.kind, new["a b"]) == (r.doc_id, r.lang, r.source, r.kind, r["a b"])
     assert any("<email>" in r.text and "<phone>" in r.text for r in texts.values())
     # packing: every token of every row, once
@@ -98,3 +99,43 @@ def test_near_copies_of_many_texts_keep_one_each(spark):
     want = len(set(brute_components([(i, t) for i, (_, t) in enumerate(rows)])[1]))
     for parts in (1, 6):
         assert simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(parts)).count() == want
+
+
+RESERVED = ["row", "__row", "__text", "__target", "__more", "__id", "__print", "__good", "h1", "h2", "id", "of", "body", "more", "print", "instance", "pattern", "fp", "kind", "first", "none", "root", "node", "anchor", "copy", "part", "item_id", "a.b", "a`b", "spans", "mentions", "n_words", "words", "lines"]
+
+
+@pytest.mark.parametrize("bound", [500_000, 0])
+def test_no_column_of_the_caller_is_lost(spark, bound, monkeypatch):
+    """Columns of every name that a stage uses inside, a map, a struct with a map and a null item id, through four stages."""
+    monkeypatch.setattr(pii, "BROADCAST", bound)
+    rng = random.Random(5)
+    texts = [prose(rng, 80) for _ in range(6)]
+    texts[3] = texts[3] + " write to a.b@c.org or call me at +1 (555) 010-1234 now"
+    item = prose(rng, 30)
+    rows = [(i, t, len(t)) for i, t in enumerate([*texts, texts[0], texts[5] + " " + item])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_chars int").repartition(3)
+    docs = docs.selectExpr("*", *(f"concat('keep {k} ', doc_id) AS `{n.replace('`', '``')}`" for k, n in enumerate(RESERVED)), "map('k', doc_id) AS m", "named_struct('x', map(1, 'v')) AS s")
+    bench = spark.createDataFrame([(None, item), (None, None), (4, "")], "item_id bigint, text string")
+    second = simhash.keep_one(quality.filter_quality(docs))
+    third = decontaminate.clean(second, bench)
+    fourth = pii.redact(third)
+    assert fourth.schema.fieldNames() == docs.columns and [f.dataType for f in fourth.schema] == [f.dataType for f in docs.schema]
+    got = {r[0]: r for r in fourth.collect()}
+    assert set(got) == {0, 1, 2, 3, 4, 5} and "<email>" in got[3][1] and "<phone>" in got[3][1]
+    for i, r in got.items():
+        assert r[2] == len(r[1]) and list(r[3:-2]) == [f"keep {k} {i}" for k in range(len(RESERVED))] and r[-2] == {"k": i} and r[-1][0] == {1: "v"}
+    hits = decontaminate.contamination(docs, bench, keep=["doc_id", "__text", "__row", "m"]).collect()
+    assert [(r[0], r[1], r[2], r[3], r["item_id"]) for r in hits] == [(7, "keep 2 7", "keep 1 7", {"k": 7}, None)]
+
+
+def test_kept_columns_of_scores(spark):
+    """Learned operators return kept columns as they are, whatever their names."""
+    docs = spark.createDataFrame([(1, "the text of one", "x", True), (2, None, "y", None)], "doc_id bigint, text string, __text string, __target boolean")
+    keep = ["doc_id", "__text", "__target"]
+    want = [(1, "x", True), (2, "y", None)]
+    assert sorted(tuple(r)[:3] for r in toxicity.score(docs, toxicity.fit([], [], {}), keep=keep).collect()) == want
+    assert sorted(tuple(r)[:3] for r in langid.identify(docs, langid.fit([], []), keep=keep).collect()) == want
+    assert sorted(tuple(r)[:3] for r in lmscore.score(docs, lmscore.train(docs.withColumn("target", docs.doc_id == 1)), keep=keep).collect()) == want
+    labels = spark.createDataFrame([(1, 1)], "doc_id bigint, quality int")
+    named = lmscore.targets(docs.withColumnRenamed("__text", "__good").withColumnRenamed("__target", "target"), labels, name="wanted").collect()
+    assert sorted((r.doc_id, r["__good"], r.target, r.wanted) for r in named) == [(1, "x", True, True), (2, "y", None, False)]
