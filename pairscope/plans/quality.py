@@ -9,6 +9,7 @@ from pairscope.operators import dedup as D
 from pairscope.operators import flags as X
 from pairscope.operators import paired as P
 from pairscope.operators import ranks as R
+from pairscope.operators.neardup import near_classes
 from pairscope.plans.book import Book
 
 book = Book()
@@ -60,6 +61,14 @@ add("A40_exact_duplicates", "texts", lambda t: D.exact_groups(t, "text", "claim_
 add("A41_duplicate_keys", "", lambda li: li.groupBy("l_partkey", "l_suppkey", "l_quantity").agg(F.count("*").alias("n")).agg(F.sum("n").alias("total_rows"), (F.sum("n") - F.count("*")).alias("duplicates")), "SELECT count(*) AS total_rows, count(*) - count(DISTINCT (l_partkey, l_suppkey, l_quantity)) AS duplicates FROM lineitem", tables="lineitem")
 add("J15_near_duplicates", "texts", lambda t: D.near_pairs(t, "text", "claim_id"))
 
+_NEAR = f"""
+x AS (SELECT claim_id, {_NORM('text')} AS t FROM texts), o AS (SELECT t, min(claim_id) AS id FROM x WHERE t IS NOT NULL GROUP BY t),
+w AS (SELECT id, list_filter(string_split(t, ' '), lambda v: v <> '') AS ws FROM o), g AS (SELECT DISTINCT id, unnest([array_to_string(ws[i : i + 4], ' ') FOR i IN generate_series(1, greatest(len(ws) - 4, 1))]) AS s FROM w WHERE len(ws) > 0),
+n AS (SELECT id, count(*) AS n FROM g GROUP BY id), p AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.id < b.id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n na ON na.id = a JOIN n nb ON nb.id = b WHERE c >= 0.8 * (na.n + nb.n - c) - 1e-9), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT id, id AS m FROM o UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.m), c AS (SELECT id, min(m) AS class_id FROM r GROUP BY id)"""
+add("J15_near_duplicate_classes", "texts", lambda t: near_classes(t, "text", "claim_id"), f"WITH RECURSIVE {_NEAR} SELECT claim_id, id AS copy_of, class_id FROM x JOIN o USING (t) JOIN c USING (id)")
+
 
 def scored(p):
     """Three class probabilities a claim, from md5 draws, with margin and disagreement."""

@@ -171,6 +171,7 @@ def twin(names: str, sql: str) -> str:
         need(name)
     heads = [f"{n} AS ({_engine(known[n][1], 'duckdb')})" for n in done]
     body = _engine(sql, "duckdb").strip()
-    if body.upper().startswith("WITH "):
-        return "WITH " + ", ".join(heads + [body[5:]]) if heads else body
+    for lead in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(lead):
+            return lead + ", ".join(heads + [body[len(lead) :]]) if heads else body
     return ("WITH " + ", ".join(heads) + " " if heads else "") + body
