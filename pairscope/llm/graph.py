@@ -1,49 +1,7 @@
-"""Connected components of a link table, by alternating large and small stars."""
+"""Connected components of a link table, as the rest of the library has them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pairscope.operators.graph import components
 
-from pairscope.llm.common import settle
-
-
-def _signature(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-    return row["n"], row["s"]
-
-
-def _large(edges: DataFrame) -> DataFrame:
-    """Every neighbour above a node moves to the node's least neighbour."""
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-
-
-def _small(edges: DataFrame) -> DataFrame:
-    """A node and its neighbours below it move to the least of them; edges have a > b."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-
-
-def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of a link: root is the least node reachable. Nodes without a link get no row.
-
-    Each round costs four shuffles of the links and is written to the shared folder, so a lost executor repeats a round
-    at most. A hub of any size is only aggregated and joined by key. Null ends are dropped; an empty table gives none.
-    """
-    edges = links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a is not null and b is not null and a <> b").distinct()
-    edges = settle(edges)
-    state = _signature(edges)
-    for _ in range(most_rounds):
-        if not state[0]:
-            break
-        edges = settle(_small(_large(edges)))
-        now = _signature(edges)
-        if now == state:
-            break
-        state = now
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+__all__ = ["components"]
