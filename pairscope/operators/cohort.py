@@ -28,9 +28,11 @@ def terciles(rows: DataFrame, value: str, key: str, within: str | None = None, n
 
 
 def opaque_ids(rows: DataFrame, key: str, salt: str, prefix: str = "SA-", digits: int = 6) -> DataFrame:
-    """rows with opaque: sequential ids over the whole table in the order of salted md5; every row has its own."""
+    """rows with opaque: sequential ids over the whole table in the order of salted md5; every row has its own.
+
+    An id has `digits` digits, or as many as the number of rows has, so ids sort as text as they do by number."""
     held = placed(rows, [], [F.md5(F.concat(F.lit(salt), F.col(key).cast("string"))), F.col(key)])
-    return held.select(*rows.columns, F.format_string(f"{prefix}%0{digits}d", F.col("position")).alias("opaque"))
+    return held.select(*rows.columns, F.concat(F.lit(prefix), F.lpad(F.col("position").cast("string"), F.greatest(F.lit(digits), F.length(F.col("size").cast("string"))), F.lit("0"))).alias("opaque"))
 
 
 def matched(targets: DataFrame, pool: DataFrame, keys: list[str], key: str, seed: str, most: int = 250) -> DataFrame:

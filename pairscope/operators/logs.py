@@ -19,11 +19,12 @@ INFO = r"^(\d\d:\d\d:\d\d\.\d+) INFO"
 PENDING = '{"status":"pending_human_review"'
 
 
-def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(log, place, line) of the text files under folders log=...; a log of several files is read in the order of their names."""
+def text_lines(spark: SparkSession, path: str, folder: str = "log") -> DataFrame:
+    """(log, place, line) of the text files under folders log=... (or another name); a log of several files is read in the
+    order of their names."""
     rows = spark.read.text(path)
     place = F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-    return rows.select(F.col("log").cast("string").alias("log"), place.alias("place"), F.col("value").alias("line"))
+    return rows.select(F.col(folder).cast("string").alias("log"), place.alias("place"), F.col("value").alias("line"))
 
 
 def log_events(lines: DataFrame) -> DataFrame:

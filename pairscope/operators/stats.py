@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pairscope.functions import special
 from pairscope.operators.paired import share
 from pairscope.operators.ranks import cumulated, placed
+from pairscope.storage import settle
 
 Z95 = 1.959963984540054
 
@@ -77,6 +78,7 @@ def adjusted(tests: DataFrame, p: str = "p", family: str = "family") -> DataFram
 
     The running minimum from the largest p down is one within each range of ranks and one over later ranges of the family.
     """
+    tests = settle(tests)
     held = placed(tests.filter(F.col(p).isNotNull()), [family], [F.col(p), F.col("test")]).withColumn("__q", F.col(p) * F.col("size") / F.col("position"))
     down = W.partitionBy(family).orderBy(F.col("__part").desc()).rowsBetween(W.unboundedPreceding, -1)
     later = held.groupBy(family, "__part").agg(F.min("__q").alias("__least")).select(F.col(family).alias("__family"), F.col("__part").alias("__range"), F.min("__least").over(down).alias("__later"))
@@ -92,7 +94,7 @@ def value_ranks(rows: DataFrame, value: str, *keys: str) -> DataFrame:
     """A row a distinct value: how often it occurs, in all and by key columns' sums, how many rows lie below it, and its
     average rank. What is ordered is the histogram, and that by ranges."""
     held = rows.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("times"), *(F.sum(F.col(k).cast("bigint")).alias(k) for k in keys))
-    below = cumulated(held, [value], below=F.col("times"), **{f"{k}_below": F.col(k) for k in keys})
+    below = cumulated(settle(held), [value], below=F.col("times"), **{f"{k}_below": F.col(k) for k in keys})
     return below.withColumn("avg_rank", F.col("below") + (F.col("times") + 1) / 2.0)
 
 

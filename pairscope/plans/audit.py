@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pairscope.functions import text as T
+from pairscope.operators import attempts as A
+from pairscope.operators import batches as B
 from pairscope.operators import crossval as X
 from pairscope.operators import logs as G
 from pairscope.plans.book import Book
@@ -72,3 +74,56 @@ def audited(t):
 add("T26_out_of_fold", "texts", folded)
 add("T30_duplicate_aware_cv", "texts", audited)
 add("T24_penalties", "texts", lambda t: X.fits(measured(t), "claim_id", targets()["toxic"], FEATURES, {"l2": (1.0, True), "strong_l2": (0.1, True), "plain": (1.0, False)}))
+
+
+# batches of judgments against what was asked for
+
+_delivered = lambda d: d.withColumn("issue_flags", F.split("flags", ";"))
+_field = lambda: B.record_error(F.concat(F.lit("judge_"), F.regexp_extract("job_id", "_j([0-9])_", 1)), F.lit("C"))
+_ORDER = """
+a AS (SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY place, item_id) AS position, item_id AS asked FROM asked_items), b AS (SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY place, item_id) AS position, item_id AS got FROM delivered_items),
+w AS (SELECT job_id, position, asked, got, EXISTS (SELECT 1 FROM b e WHERE e.job_id = z.job_id AND e.got = z.got AND e.position < z.position) AS again, EXISTS (SELECT 1 FROM a e WHERE e.job_id = z.job_id AND e.asked = z.got) AS known FROM (SELECT * FROM a FULL JOIN b USING (job_id, position) WHERE asked IS DISTINCT FROM got QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY position) = 1) z),
+o AS (SELECT job_id, position, asked, got, CASE WHEN got IS NULL THEN 'missing' WHEN again THEN 'repeated' WHEN asked IS NULL THEN 'extra' WHEN NOT known THEN 'unexpected' ELSE 'misplaced' END AS error FROM w)"""
+_FIELD = f"CASE WHEN judge_id <> 'judge_' || regexp_extract(job_id, '_j([0-9])_', 1) THEN 'judge_id' WHEN verdict NOT IN ('Supported', 'Refuted', 'Ambiguous') THEN 'verdict' WHEN confidence NOT BETWEEN 0 AND 100 THEN 'confidence' WHEN len(list_filter(string_split(flags, ';'), lambda f: f NOT IN ({', '.join(repr(f) for f in B.FLAGS)}))) > 0 THEN 'issue_flags' WHEN trim(brief_reason) = '' THEN 'brief_reason' END"
+add("P31_order_errors", "asked_items delivered_items", lambda a, d: B.order_errors(a, d, "job_id", "place", "item_id"), f"WITH {_ORDER} SELECT * FROM o")
+add("P30_record_errors", "delivered_items", lambda d: _delivered(d).select("job_id", "place", "item_id", _field().alias("field")), f"SELECT job_id, place, item_id, {_FIELD} AS field FROM delivered_items")
+add(
+    "P31_batch_verdicts",
+    "asked_items delivered_items",
+    lambda a, d: B.batch_verdicts(a, _delivered(d), "job_id", "place", "item_id", _field()),
+    f"""WITH {_ORDER}, f AS (SELECT job_id, place, item_id, {_FIELD} AS field FROM delivered_items), g AS (SELECT job_id, count(*) AS came, min((place, item_id::varchar, field)) FILTER (field IS NOT NULL) AS bad FROM f GROUP BY 1), j AS (SELECT DISTINCT job_id FROM asked_items)
+    SELECT job_id, CASE WHEN came IS NULL THEN 'missing' WHEN o.error IS NOT NULL THEN 'wrong_items' WHEN bad IS NOT NULL THEN 'invalid_record' ELSE 'valid' END AS status, CASE WHEN came IS NULL THEN '' WHEN o.error IS NOT NULL THEN o.error || ':' || o.position WHEN bad IS NOT NULL THEN bad[2] || ':' || bad[3] ELSE '' END AS reason FROM j LEFT JOIN g USING (job_id) LEFT JOIN o USING (job_id)""",
+)
+
+
+def read_batches(b):
+    """The lines as text files of a batch each, read again and parsed."""
+    path = place(b)
+    b.repartitionByRange("batch", "place").sortWithinPartitions("batch", "place").select("batch", F.col("line").alias("value")).write.partitionBy("batch").text(path)
+    lines = G.text_lines(b.sparkSession, path, "batch").withColumnRenamed("log", "batch")
+    return B.parsed_lines(lines, "batch", "place", "line", "item_id bigint, stage string, judge_id string, verdict string")
+
+
+add("A36_malformed_lines", "batch_lines", lambda b: read_batches(b).filter("record is null").select("batch", "line_number", "raw"), "WITH n AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY place) AS line_number FROM batch_lines) SELECT batch, line_number, line AS raw FROM n WHERE NOT good AND line <> ''")
+add("A36_missing_ids", "batch_lines", lambda b: B.missing_ids(b, read_batches(b).filter("record is not null").select("record.*"), ["stage", "judge_id", "item_id"]), "SELECT stage, judge_id, item_id FROM batch_lines GROUP BY ALL HAVING NOT bool_or(good)")
+
+# keys of nested JSON against an allow-list
+
+ALLOWED = ["k", "device", "device.os", "items", "items[].sku", "tags"]
+_TREE = "SELECT DISTINCT click_id, regexp_replace(replace(replace(fullkey, '$.', ''), '\"', ''), '\\[[0-9]+\\]', '[]', 'g') AS path FROM (SELECT click_id, t.fullkey, t.key FROM clicks, json_tree(CASE WHEN json_valid(props) THEN props END) t WHERE props IS NOT NULL) x WHERE key IS NOT NULL AND NOT regexp_matches(fullkey, '\\]$') UNION SELECT DISTINCT click_id, '!not_json' FROM clicks WHERE props IS NOT NULL AND NOT json_valid(props)"
+add("P33_allow_list", "", lambda c: B.not_allowed(c.select("click_id", "props").distinct(), "click_id", "props", ALLOWED).select("click_id", "path"), f"SELECT * FROM ({_TREE}) y WHERE path NOT IN ({', '.join(repr(a) for a in ALLOWED)})", tables="clicks")
+
+# attempts by three sources
+
+_SOURCES = "run_records run_staging run_inventory"
+_SLOTS = """
+u AS (SELECT job, attempt, 'r' AS source, NULL AS name, NULL AS sha256, NULL AS agent, NULL::boolean AS valid, status, session FROM run_records UNION ALL SELECT job, attempt, 's', name, sha256, agent, schema_valid, NULL, NULL FROM run_staging UNION ALL SELECT job, attempt, 'i', name, sha256, agent, schema_valid, NULL, NULL FROM run_inventory),
+d AS (SELECT s.job, s.attempt, string_agg(s.name, ',' ORDER BY s.name) AS mismatches FROM run_staging s JOIN run_inventory i ON s.job = i.job AND s.attempt = i.attempt AND s.name = i.name WHERE s.sha256 <> i.sha256 GROUP BY ALL),
+z AS (SELECT job, attempt, bool_or(source = 'r') AS in_records, bool_or(source = 's') AS in_staging, bool_or(source = 'i') AS in_inventory, max(status) AS status, max(session) AS session, coalesce(bool_or(valid), false) AS has_valid_output,
+  list_distinct(list(agent) FILTER (source = 's' AND agent IS NOT NULL)) AS staged, list_distinct(list(agent) FILTER (source = 'i' AND agent IS NOT NULL)) AS listed FROM u GROUP BY ALL),
+k AS (SELECT z.*, coalesce(mismatches, '') AS mismatches, concat_ws(',', CASE WHEN session <> 'unknown' AND len(staged) > 0 AND NOT list_contains(staged, session) THEN 'records/staging:session' END, CASE WHEN session <> 'unknown' AND len(listed) > 0 AND NOT list_contains(listed, session) THEN 'records/inventory:session' END,
+  CASE WHEN mismatches IS NOT NULL THEN 'staging/inventory:digest' END, CASE WHEN NOT in_records THEN 'records/files:missing_record' END, CASE WHEN NOT in_staging AND NOT in_inventory THEN 'files/records:no_files' END) AS contradictions,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(staged, []), coalesce(listed, [])))), ',') AS agents FROM z LEFT JOIN d USING (job, attempt))"""
+_lists = lambda e: e.select(*(F.array_join(F.col(c), ",").alias(c) if c in ("agents", "mismatches", "contradictions") else c for c in e.columns))
+add("A47_attempt_evidence", _SOURCES, lambda r, s, i: _lists(A.evidence(r, s, i)), f"WITH {_SLOTS} SELECT job, attempt, in_records, in_staging, in_inventory, status, session, agents, has_valid_output, mismatches, contradictions FROM k")
+add("A47_job_evidence", _SOURCES, lambda r, s, i: A.job_evidence(A.evidence(r, s, i)), f"WITH {_SLOTS}, j AS (SELECT job, count(*) AS slots, count(*) FILTER (in_records) AS records, count(*) FILTER (status = 'accepted') AS accepted, min(attempt) FILTER (status = 'accepted') AS first_accepted, min(attempt) FILTER (has_valid_output) AS first_valid, count(*) FILTER (contradictions <> '') AS contradicted FROM k GROUP BY job) SELECT *, coalesce(first_valid < first_accepted, false) AS earlier_valid FROM j")

@@ -123,7 +123,7 @@ def replaced(c):
     path = place(c)
     sinks.replace(c.select("c_custkey", F.lit("old").alias("c_name")), path)
     sinks.replace(c.select("c_custkey", "c_name"), path)
-    return c.sparkSession.read.parquet(path)
+    return sinks.current(c.sparkSession, path)
 
 
 def summary(p):

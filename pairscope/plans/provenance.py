@@ -75,8 +75,25 @@ add("U04_membership", "", lambda o, li: J.membership(o.select(F.col("o_custkey")
 _RESOLVED = {"stage": "stage", "resolver_outcome": "CASE WHEN confidence % 10 = 9 THEN 'Maybe' ELSE verdict END", "disagreement_type": "CASE confidence % 6 WHEN 0 THEN 'judge_error' WHEN 1 THEN 'partial_warrant' WHEN 2 THEN 'representation_sensitive' WHEN 3 THEN 'semantic_conflict' WHEN 4 THEN 'unresolved' ELSE 'other' END", "confidence": "CASE WHEN confidence = 7 THEN 101 ELSE confidence END", "brief_reason": "CASE WHEN confidence % 11 = 0 THEN ' ' WHEN confidence % 13 = 0 THEN NULL ELSE 'why' END"}
 add("P32_resolver_schema", "judgments", lambda j: j.select("item_id", F.col("stage").alias("asked"), "judge_no", *(F.expr(e).alias(n) for n, e in _RESOLVED.items())).select("item_id", "asked", "judge_no", Q.resolver_valid().alias("valid")), f"SELECT item_id, asked, judge_no, coalesce(stage = 'C' AND resolver_outcome IN ('Supported', 'Refuted', 'Ambiguous', 'Unresolved') AND disagreement_type <> 'other' AND confidence BETWEEN 0 AND 100 AND trim(coalesce(brief_reason, '')) <> '', false) AS valid FROM (SELECT item_id, stage AS asked, judge_no, {', '.join(f'{e} AS {n}' for n, e in _RESOLVED.items())} FROM judgments) x")
 #: Words that metadata shown to a judge may not hold.
-TOKENS = ["residual", "regression", "resistant", "rescue", "robust", "difficult subset", "prior judge", "ing th"]
-add("P35_prohibited_tokens", "", lambda d: d.select("doc_id", Q.prohibited(F.col("text"), TOKENS).alias("found")), "SELECT doc_id, concat_ws(';', " + ", ".join(f"CASE WHEN contains(lower(text), '{t}') THEN '{t}' END" for t in TOKENS) + ") AS found FROM documents", tables="documents")
+TOKENS = [
+    "cursor", "grok", "glm", "residual", "silver_taxonomy", "fever gold", "gpt-5.4", "gpt-5.4-mini",
+    "regression", "resistant", "rescue", "robust", "nli", "difficult subset", "prior judge", "utilization failure",
+]
+
+
+def with_tokens(d):
+    """Texts as metadata, one in two with a token of the list after it, in capitals."""
+    token = F.element_at(F.array(*map(F.lit, TOKENS)), (1 + F.pmod(F.floor(F.col("doc_id") / 2), F.lit(len(TOKENS)))).cast("int"))
+    return d.select("doc_id", F.concat_ws(" ", "text", F.when(F.col("doc_id") % 2 == 0, F.upper(token))).alias("text"))
+
+
+add(
+    "P35_prohibited_tokens",
+    "",
+    lambda d: with_tokens(d).select("doc_id", Q.prohibited(F.col("text"), TOKENS).alias("found")),
+    "WITH m AS (SELECT doc_id, concat_ws(' ', text, CASE WHEN doc_id % 2 = 0 THEN upper((" + repr(TOKENS) + f")[1 + (doc_id // 2) % {len(TOKENS)}]) END) AS text FROM documents) SELECT doc_id, concat_ws(';', " + ", ".join(f"CASE WHEN contains(lower(text), '{t}') THEN '{t}' END" for t in TOKENS) + ") AS found FROM m",
+    tables="documents",
+)
 _FAIL = """CASE WHEN NOT status IN ('invalid', 'error', 'blocked') OR reason IS NULL THEN 'status_or_reason' WHEN trim(session_id) = '' THEN 'session_id' WHEN NOT has_raw AND (status = 'invalid' OR NOT explained) THEN 'raw_response_unexplained' WHEN has_raw AND NOT raw_intact THEN 'evidence_changed' WHEN has_raw AND raw_valid THEN 'valid_response_discarded' END"""
 _ACC = """CASE WHEN attempt <> last THEN 'followed_by_another_attempt' WHEN resolved_model <> 'locked' THEN 'routing_not_attested' WHEN NOT fresh_context THEN 'setting_fresh_context' WHEN inherited_context THEN 'setting_inherited_context' WHEN web_browse THEN 'setting_web_browse' WHEN external_retrieval THEN 'setting_external_retrieval'
   WHEN temperature <> 'provider_default' THEN 'temperature_or_isolation' WHEN trim(session_id) = '' THEN 'missing_session_id' WHEN trim(reviewer) = '' THEN 'missing_reviewer' WHEN NOT reviewed THEN 'not_reviewed' WHEN started < 20 OR completed < started THEN 'dates'

@@ -75,7 +75,7 @@ def audited(conv):
 _AU = f"{_EV}, nw AS (SELECT conv_id, string_agg(coalesce(sentence, ''), ' ' ORDER BY position) AS text, count(failure) AS bad FROM rs WHERE set_index = 0 GROUP BY conv_id), so AS (SELECT regexp_extract(page, '(\\d+)$', 1)::bigint AS conv_id, coalesce(max(sentence) FILTER (sent_idx = 0), '') AS s0, coalesce(max(sentence) FILTER (sent_idx = 1), '') AS s1 FROM pg WHERE sent_idx <= 1 AND sentence IS NOT NULL GROUP BY 1), sd AS (SELECT conv_id, CASE conv_id % 4 WHEN 0 THEN s0 WHEN 1 THEN s0 || ' ' || s1 || ' more' ELSE s0 || ' ' || s1 END AS stored FROM so), au AS (SELECT conv_id, CASE WHEN stored = text THEN 'match' WHEN bad > 0 THEN 'unresolved_pointer' WHEN contains(stored, text) THEN 'stored_adds_text' WHEN contains(text, stored) THEN 'stored_lacks_text' ELSE 'different' END AS cause FROM nw JOIN sd USING (conv_id))"
 add("F29_repair_audit", "", audited, f"WITH {_AU} SELECT * FROM au", tables="conversations")
 add("A39_cause_counts", "", lambda c: audited(c).groupBy("cause").agg(F.count("*").alias("n")), f"WITH {_AU} SELECT cause, count(*) AS n FROM au GROUP BY cause", tables="conversations")
-add("S06_selective_page_scan", "", lambda c: pages(c).join(claims(c).select(F.concat(F.lit("page_"), F.col("conv_id").cast("string")).alias("page")).filter("page like '%7'"), "page", "left_semi").groupBy("page").agg(F.min_by(F.md5("sentence"), "sent_idx").alias("first")), "SELECT 'page_' || conv_id AS page, arg_min(md5(regexp_replace(text, '[\\t\\n]', ' ', 'g')), turn) AS first FROM conversations WHERE ('page_' || conv_id) LIKE '%7' GROUP BY conv_id", tables="conversations")
+add("S06_selective_page_scan", "", lambda c: pages(c).join(claims(c).select(F.concat(F.lit("page_"), F.col("conv_id").cast("string")).alias("page")), "page", "left_semi").groupBy("page").agg(F.min_by(F.md5("sentence"), "sent_idx").alias("first")), "SELECT 'page_' || conv_id AS page, arg_min(md5(regexp_replace(text, '[\\t\\n]', ' ', 'g')), turn) AS first FROM conversations GROUP BY conv_id", tables="conversations")
 
 L, S = "large_transition", "small_transition"
 _CC = f"CASE WHEN {L} = 'regression' OR {S} = 'regression' THEN 'regression' WHEN {L} = 'resistant' OR {S} = 'resistant' THEN 'resistant' WHEN {L} = 'rescue' OR {S} = 'rescue' THEN 'rescue' ELSE 'robust' END"
@@ -84,10 +84,10 @@ add("P21_cohort", "predictions", lambda p: classed(p).select("claim_id", "cohort
 add("P22_regression_type", "predictions", lambda p: classed(p).filter("cohort = 'regression'").groupBy(C.regression_type(F.col(L), F.col(S)).alias("kind")).agg(F.count("*").alias("n")), f"SELECT CASE WHEN {L} = 'regression' AND {S} = 'regression' THEN 'both' WHEN {L} = 'regression' THEN 'first_only' ELSE 'second_only' END AS kind, count(*) AS n FROM paired WHERE {L} = 'regression' OR {S} = 'regression' GROUP BY 1", views="paired")
 add("A35_balance", "predictions", lambda p: classed(p).groupBy("cohort").agg(F.count("*").alias("n"), F.avg(F.col("n_sets").cast("double")).alias("mean_sets"), F.avg((F.col("gold") == "Supported").cast("double")).alias("supported")), f"SELECT {_CC} AS cohort, count(*) AS n, avg(n_sets) AS mean_sets, avg((gold = 'Supported')::int) AS supported FROM paired GROUP BY 1", views="paired")
 add("W01_tercile", "", lambda o: C.terciles(o, "o_totalprice", "o_orderkey", "o_orderpriority").select("o_orderkey", "tercile"), "SELECT o_orderkey, CASE WHEN 3 * (r - 1) < n - 1 THEN 1 WHEN 3 * (r - 1) < 2 * (n - 1) THEN 2 ELSE 3 END AS tercile FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey) AS r, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders) x", tables="orders")
-_OP = "op AS (SELECT o_orderkey, printf('SA-%06d', row_number() OVER (ORDER BY md5('salt' || o_orderkey), o_orderkey)) AS opaque FROM orders)"
+_OP = "op AS (SELECT o_orderkey, 'SA-' || lpad((row_number() OVER (ORDER BY md5('salt' || o_orderkey), o_orderkey))::varchar, greatest(6, length((count(*) OVER ())::varchar))::int, '0') AS opaque FROM orders)"
 blinded = lambda o: C.opaque_ids(o.select("o_orderkey"), "o_orderkey", "salt")
 add("W04_opaque_ids", "", blinded, f"WITH {_OP} SELECT * FROM op", tables="orders")
-add("P34_opaque_format", "", lambda o: V.id_checks(blinded(o), "opaque", r"^SA-\d{6}$"), f"WITH {_OP}, u AS (SELECT opaque, count(*) AS n FROM op GROUP BY 1), v AS (SELECT coalesce(sum(n) FILTER (NOT regexp_matches(opaque, '^SA-\\d{{6}}$')), 0) AS bad, coalesce(sum(n - 1), 0) AS repeated FROM u) SELECT 'bad_format' AS \"check\", bad::bigint AS violations, CASE WHEN bad = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM v UNION ALL SELECT 'repeated', repeated::bigint, CASE WHEN repeated = 0 THEN 'PASS' ELSE 'FAIL' END FROM v", tables="orders")
+add("P34_opaque_format", "", lambda o: V.id_checks(blinded(o), "opaque", r"^SA-\d{6,}$"), f"WITH {_OP}, u AS (SELECT opaque, count(*) AS n FROM op GROUP BY 1), v AS (SELECT coalesce(sum(n) FILTER (NOT regexp_matches(opaque, '^SA-\\d{{6,}}$')), 0) AS bad, coalesce(sum(n - 1), 0) AS repeated FROM u) SELECT 'bad_format' AS \"check\", bad::bigint AS violations, CASE WHEN bad = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM v UNION ALL SELECT 'repeated', repeated::bigint, CASE WHEN repeated = 0 THEN 'PASS' ELSE 'FAIL' END FROM v", tables="orders")
 
 
 def strata(p):

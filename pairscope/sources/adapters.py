@@ -89,6 +89,35 @@ ADAPTERS: dict[str, tuple[list[str], str]] = {
         FROM orders CROSS JOIN (VALUES (1), (2), (3), (4), (5)) AS j(judge_no)
         """,
     ),
+    "asked_items": (["job_items"], "SELECT job_id, item_id, item_id AS place, judge_id, @H['d' || job_id] % 8 AS d, row_number() OVER (PARTITION BY job_id ORDER BY item_id) AS r, count(*) OVER (PARTITION BY job_id) AS n FROM job_items"),
+    "delivered_items": (
+        ["asked_items"],
+        """
+        SELECT job_id, CASE WHEN d = 2 AND r = 2 THEN place * 10 + 25 ELSE place * 10 + k END AS place, CASE WHEN d = 1 AND k = 1 THEN -7 WHEN d = 5 AND r = 1 THEN -item_id ELSE item_id END AS item_id, 'C' AS stage,
+          CASE WHEN d = 6 AND r = n THEN 'judge_9' ELSE judge_id END AS judge_id, CASE WHEN d = 4 AND r = 3 THEN 'Maybe' ELSE 'Supported' END AS verdict, 'clearly_sufficient' AS evidence_sufficiency,
+          CASE WHEN d = 4 AND r = 2 THEN 101 ELSE cast(item_id % 101 AS int) END AS confidence, CASE WHEN item_id % 997 = 0 THEN 'none;odd' ELSE 'none;other' END AS flags, CASE WHEN d = 7 AND r = 1 THEN '  ' ELSE 'why' END AS brief_reason
+        FROM asked_items CROSS JOIN (VALUES (0), (1)) AS twice(k)
+        WHERE NOT (d = 0 AND r = n) AND (k = 0 OR (d = 1 AND r = n) OR (d = 3 AND r = 2)) AND NOT (d = 0 AND n < 3)
+        """,
+    ),
+    "batch_lines": (
+        ["judgments"],
+        """
+        SELECT stage || '_' || judge_id || '_' || cast(cast(floor(item_id / 5000) AS bigint) AS string) AS batch, stage, judge_id, item_id, item_id * 2 + k AS place,
+          CASE WHEN k = 1 THEN '' WHEN h % 211 = 0 THEN '[1, 2]' WHEN h % 97 = 0 THEN substring(line, 1, 20) ELSE line END AS line, k = 0 AND h % 211 <> 0 AND h % 97 <> 0 AS good
+        FROM (SELECT *, @H['l' || cast(item_id AS string) || stage || judge_id] AS h, chr(123) || '"item_id":' || cast(item_id AS string) || ',"stage":"' || stage || '","judge_id":"' || judge_id || '","verdict":"' || verdict || '"' || chr(125) AS line FROM judgments) x
+        CROSS JOIN (VALUES (0), (1)) AS blank(k) WHERE k = 0 OR h % 5 = 0
+        """,
+    ),
+    "run_records": (["attempts"], "SELECT 'j' || cast(job_id AS string) AS job, attempt, status, CASE WHEN @H['s' || cast(event_id AS string)] % 9 = 0 THEN 'unknown' WHEN @H['s' || cast(event_id AS string)] % 9 = 1 THEN 'a-other' ELSE 'a' || cast(agent AS string) END AS session FROM attempts WHERE @H['q' || cast(event_id AS string)] % 11 <> 0"),
+    "run_staging": (
+        ["attempts"],
+        "SELECT 'j' || cast(job_id AS string) AS job, attempt, name, md5(name || cast(event_id AS string)) AS sha256, CASE WHEN name = 'events' THEN 'a' || cast(agent AS string) END AS agent, CASE WHEN name = 'output' THEN status IN ('accepted', 'error') END AS schema_valid FROM attempts CROSS JOIN (VALUES ('events'), ('output'), ('routing')) AS f(name) WHERE @H['t' || cast(event_id AS string)] % 6 <> 0",
+    ),
+    "run_inventory": (
+        ["attempts"],
+        "SELECT 'j' || cast(job_id AS string) AS job, attempt + CASE WHEN @H['u' || cast(event_id AS string)] % 13 = 0 THEN 1000 ELSE 0 END AS attempt, name, md5(name || cast(event_id AS string) || CASE WHEN @H['v' || cast(event_id AS string)] % 10 = 0 THEN 'x' ELSE '' END) AS sha256, CASE WHEN name = 'routing' THEN 'a' || cast(agent + CASE WHEN @H['w' || cast(event_id AS string)] % 12 = 0 THEN 1 ELSE 0 END AS string) END AS agent, CASE WHEN name = 'output' THEN false END AS schema_valid FROM attempts CROSS JOIN (VALUES ('output'), ('routing')) AS f(name) WHERE @H['t' || cast(event_id AS string)] % 5 <> 0",
+    ),
     "texts": (
         ["documents", "labels"],
         """

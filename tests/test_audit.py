@@ -9,6 +9,8 @@ import re
 import numpy as np
 import pytest
 
+from pairscope.operators import attempts as A
+from pairscope.operators import batches as B
 from pairscope.operators import crossval as X
 from pairscope.operators import logs as G
 from pairscope.operators import ranks as R
@@ -182,3 +184,79 @@ def test_auc_of_ties_by_key(spark):
         mine = [r for r in rows if r[0] == key]
         assert abs(got[key] - plain_auc(np.array([r[1] for r in mine]), np.array([r[2] for r in mine]))) < 1e-12
     assert got["d"] is None
+
+
+def first_error(asked, got):
+    """The first fault of one batch, by walking both lists."""
+    for at in range(max(len(asked), len(got))):
+        a, g = asked[at] if at < len(asked) else None, got[at] if at < len(got) else None
+        if a == g:
+            continue
+        kind = "missing" if g is None else "repeated" if g in got[:at] else "extra" if a is None else "misplaced" if g in asked else "unexpected"
+        return (at + 1, a, g, kind)
+    return None
+
+
+def test_every_fault_of_order_is_named(spark, many_ranges):
+    rng = random.Random(2)
+    cases = {"good": ([1, 2, 3], [1, 2, 3]), "missing": ([1, 2, 3], [1, 2]), "extra": ([1, 2], [1, 2, 9]), "swapped": ([1, 2, 3], [1, 3, 2]), "repeated": ([1, 2, 3], [1, 2, 2]), "again": ([1, 2, 3], [1, 2, 3, 1]), "wrong": ([1, 2, 3], [1, 8, 3]), "gap": ([1, 2, 3, 4], [1, 3, 4]), "none": ([1], [])}
+    for i in range(40):
+        asked = rng.sample(range(50), 12)
+        got = list(asked)
+        for _ in range(rng.randrange(3)):
+            at = rng.randrange(len(got))
+            rng.choice([lambda at=at: got.pop(at), lambda at=at: got.insert(at, rng.randrange(60)), lambda at=at: got.insert(0, got.pop(at))])()
+        cases[f"r{i}"] = (asked, got)
+    rows = lambda k: spark.createDataFrame([(j, p, x) for j, both in cases.items() for p, x in enumerate(both[k])], "job string, place int, item int").repartition(5)
+    got = {r["job"]: (r["position"], r["asked"], r["got"], r["error"]) for r in B.order_errors(rows(0), rows(1), "job", "place", "item").collect()}
+    assert got == {j: e for j, (a, g) in cases.items() if (e := first_error(a, g))}
+    assert [got[j][3] for j in ("missing", "extra", "swapped", "repeated", "again", "wrong", "none")] == ["missing", "extra", "misplaced", "repeated", "repeated", "unexpected", "missing"]
+
+
+def test_record_fields(spark):
+    good = {"judge_id": "judge_1", "stage": "C", "verdict": "Refuted", "evidence_sufficiency": "clearly_sufficient", "confidence": 0, "issue_flags": ["none"], "brief_reason": "why"}
+    breaks = [{}, {"judge_id": None}, {"stage": "A"}, {"verdict": "Unresolved"}, {"evidence_sufficiency": ""}, {"confidence": 101}, {"confidence": None}, {"issue_flags": []}, {"issue_flags": None}, {"issue_flags": ["none", "odd"]}, {"brief_reason": " \t"}, {"verdict": None, "confidence": -1}]
+    rows = [(i, *(good | b).values()) for i, b in enumerate(breaks)]
+    df = spark.createDataFrame(rows, "i int, judge_id string, stage string, verdict string, evidence_sufficiency string, confidence int, issue_flags array<string>, brief_reason string")
+    got = [r["e"] for r in df.select("i", B.record_error(F.lit("judge_1"), F.lit("C")).alias("e")).orderBy("i").collect()]
+    assert got == [None, "judge_id", "stage", "verdict", "evidence_sufficiency", "confidence", "confidence", "issue_flags", "issue_flags", "issue_flags", "brief_reason", "verdict"]
+
+
+def test_broken_lines_and_missing_ids(spark, tmp_path):
+    (tmp_path / "batch=a").mkdir()
+    (tmp_path / "batch=a" / "x.txt").write_text('{"id": 1}\n\n{"id": \n[3]\n{"id": "x"}\n{"id": 2, "more": 1}\nnull\n  {"id": 5}  \n')
+    got = B.parsed_lines(G.text_lines(spark, str(tmp_path), "batch"), "log", "place", "line", "id int")
+    assert sorted((r["line_number"], r["record"]["id"] if r["record"] else None) for r in got.collect()) == [(1, 1), (3, None), (4, None), (5, None), (6, 2), (7, None), (8, 5)]
+    frame = lambda ids: spark.createDataFrame([(i,) for i in ids], "id int")
+    assert sorted(r["id"] for r in B.missing_ids(frame([1, 2, 2, 3, 4]), frame([2, 4, 9]), ["id"]).collect()) == [1, 3]
+
+
+def test_keys_at_any_depth(spark):
+    deep = {"a": {"b": [{"c": {"d": {"e": 1}}}, [{"f": 2}]]}, "g": [1, "{\"h\": 1}"], "i": {}}
+    rows = [(1, json.dumps(deep)), (2, "{"), (3, None), (4, "[]"), (5, "7"), (6, json.dumps({"gold_label": 1})), (7, json.dumps([{"x": {"y": {"z": {"u": {"v": 1}}}}}]))]
+    got = {(r["k"], r["path"], r["depth"]) for r in B.key_paths(spark.createDataFrame(rows, "k int, j string"), "k", "j").collect()}
+    want = {(1, "a", 1), (1, "a.b", 2), (1, "a.b[].c", 3), (1, "a.b[].c.d", 4), (1, "a.b[].c.d.e", 5), (1, "a.b[][].f", 3), (1, "g", 1), (1, "i", 1), (2, "!not_json", 0), (6, "gold_label", 1)}
+    want |= {(7, "[].x", 1), (7, "[].x.y", 2), (7, "[].x.y.z", 3), (7, "[].x.y.z.u", 4), (7, "[].x.y.z.u.v", 5)}
+    assert got == want
+    bad = B.not_allowed(spark.createDataFrame(rows, "k int, j string"), "k", "j", [p for _, p, _ in want if p not in ("gold_label", "[].x.y.z", "a.b[].c.d.e", "!not_json")])
+    assert {(r["k"], r["path"]) for r in bad.collect()} == {(6, "gold_label"), (7, "[].x.y.z"), (1, "a.b[].c.d.e"), (2, "!not_json")}
+    with pytest.raises(ValueError):
+        B.key_paths(spark.createDataFrame(rows, "k int, j string"), "k", "j", most=3)
+
+
+def test_contradictions_of_three_sources(spark):
+    records = [("j", 1, "accepted", "a1"), ("j", 2, "error", "unknown"), ("j", 3, "error", "a9"), ("k", 1, "accepted", None)]
+    staging = [("j", 1, "events", "s1", "a1", None), ("j", 1, "output", "s2", None, True), ("j", 2, "output", "s3", "a2", False), ("j", 3, "events", "s4", "a3", None), ("m", 1, "output", "s5", None, True)]
+    inventory = [("j", 1, "events", "s1", "a1", None), ("j", 1, "output", "XX", None, None), ("j", 3, "routing", "s6", "a9", None), ("m", 1, "output", "s5", None, None)]
+    files = "job string, attempt int, name string, sha256 string, agent string, schema_valid boolean"
+    slots = A.evidence(spark.createDataFrame(records, "job string, attempt int, status string, session string"), spark.createDataFrame(staging, files), spark.createDataFrame(inventory, files))
+    got = {(r["job"], r["attempt"]): (r["in_records"], r["in_staging"], r["in_inventory"], r["agents"], r["mismatches"], r["contradictions"]) for r in slots.collect()}
+    assert got == {
+        ("j", 1): (True, True, True, ["a1"], ["output"], ["staging/inventory:digest"]),
+        ("j", 2): (True, True, False, ["a2"], [], []),
+        ("j", 3): (True, True, True, ["a3", "a9"], [], ["records/staging:session"]),
+        ("k", 1): (True, False, False, [], [], ["files/records:no_files"]),
+        ("m", 1): (False, True, True, [], [], ["records/files:missing_record"]),
+    }
+    jobs = {r["job"]: (r["slots"], r["records"], r["accepted"], r["first_accepted"], r["first_valid"], r["contradicted"], r["earlier_valid"]) for r in A.job_evidence(slots).collect()}
+    assert jobs == {"j": (3, 3, 1, 1, 1, 2, False), "k": (1, 1, 1, 1, None, 1, False), "m": (1, 0, 0, None, 1, 1, False)}
