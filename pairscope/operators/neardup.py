@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairscope.functions.text import normalized
@@ -128,27 +128,43 @@ def verified(pairs: DataFrame, single: DataFrame, k: int, least: float, part: in
     return together.mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def _alike(na: Column, nb: Column, least: float) -> Column:
+    """Whether two sets of these sizes can have the similarity."""
+    return F.least(na, nb) >= least * F.greatest(na, nb) - 1e-9
+
+
+def _needed(na: Column, nb: Column, least: float) -> Column:
+    """Shingles that two sets of these sizes must share."""
+    return least / (1 + least) * (na + nb) - 1e-9
+
+
 def _stars(tokens: DataFrame, labels: DataFrame, least: float, first: bool) -> DataFrame:
-    """Pairs of texts of an indexed shingle and of about one size with the first, or the last, of them."""
+    """Pairs of texts of an indexed shingle and of about one size with the first, or the last, of them, where sizes and
+    places allow the similarity."""
     size = F.floor(F.log(F.col("n").cast("double")) / math.log(1 / least))
     held = tokens.join(labels, "id").withColumn("size", size)
-    centre = held.groupBy("token", "size").agg((F.min if first else F.max)(F.struct("id", "label", "n")).alias("c"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("token", "size", "c")
+    centre = held.groupBy("token", "size").agg((F.min if first else F.max)(F.struct("id", "label", "n", "place")).alias("c"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("token", "size", "c")
     pairs = held.join(centre, ["token", "size"]).filter(F.col("label") != F.col("c.label"))
-    return pairs.filter(F.least("n", "c.n") >= least * F.greatest("n", "c.n") - 1e-9).select(F.col("c.id").alias("a"), F.col("id").alias("b")).distinct()
+    most = F.lit(1) + F.least(F.col("n") - F.col("place") - 1, F.col("c.n") - F.col("c.place") - 1) + F.least(F.col("place"), F.col("c.place"))
+    fit = _alike(F.col("n"), F.col("c.n"), least) & (most >= _needed(F.col("n"), F.col("c.n"), least))
+    return pairs.filter(fit).select(F.col("c.id").alias("a"), F.col("id").alias("b")).distinct()
 
 
 def _across(tokens: DataFrame, labels: DataFrame, least: float, part: int = PART) -> DataFrame:
-    """All pairs of texts of different classes that share an indexed shingle and can be similar by sizes and places.
+    """All pairs of texts of different classes that can be similar by their sizes and by the indexed shingles they share.
 
-    A shingle with more than `part` texts is dealt to several tasks: its texts are split, and each part meets all."""
+    Of two texts, the one whose index ends first in the order of all shingles can share, beyond indexed ones, only what it
+    has not indexed; so shared indexed shingles and the larger rest of the two are no fewer than what they share. A shingle
+    with more than `part` texts is dealt to several tasks: its texts are split, and each part meets all."""
     held = tokens.join(labels, "id")
     several = held.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(F.count("*") / part).cast("int").alias("parts")).filter("low <> high").select("token", "parts")
     rows = held.join(several, "token")
-    left = rows.select("token", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("label").alias("la"))
-    right = rows.select("token", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("label").alias("lb"))
-    most = F.lit(1) + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1) + F.least("pa", "pb")
-    fit = (F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9) & (most >= least / (1 + least) * (F.col("na") + F.col("nb")) - 1e-9)
-    return left.join(right, ["token", "part"]).filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & fit).select("a", "b").distinct()
+    left = rows.select("token", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
+    right = rows.select("token", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
+    met = left.join(right, ["token", "part"]).filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _alike(F.col("na"), F.col("nb"), least))
+    shared = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
+    rest = lambda n: F.ceil(F.lit(least) * F.col(n) - 1e-9) - 1
+    return shared.filter(F.col("shared") + F.greatest(rest("na"), rest("nb")) >= _needed(F.col("na"), F.col("nb"), least)).select("a", "b")
 
 
 def near_classes(rows: DataFrame, text: str, key: str, k: int = SHINGLE, least: float = LEAST) -> DataFrame:
