@@ -29,6 +29,8 @@ SHINGLE, LEAST = 5, 0.8
 SAMPLE, COMMON, OFTEN = 20_000, 100_000, 3
 #: Texts that are compared with one text in one task, and ids of a shingle that meet all its ids in one task.
 PART = 500
+#: Rows of the index that a task hands on together.
+ROWS = 100_000
 
 
 def mixed(values: np.ndarray) -> np.ndarray:
@@ -54,6 +56,23 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return np.unique(out)
 
 
+def among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which values are in an ordered array, by a search of each: its cost hardly grows with the ordered array."""
+    if not len(ordered):
+        return np.zeros(len(values), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
+def rows_of(ids: pa.Array, held: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+    """Index rows of several texts: (place of its id, shingles, indexed shingles) of each."""
+    lengths = np.array([len(own) for _, _, own in held])
+    each = lambda values: np.repeat(np.array(values), lengths)
+    starts = np.repeat(np.cumsum(lengths) - lengths, lengths)
+    columns = [np.concatenate([own for _, _, own in held]).view(np.int64), each([n for _, n, _ in held]).astype(np.int32), (np.arange(lengths.sum()) - starts).astype(np.int32)]
+    tokens, sizes, places = map(pa.array, columns)
+    return pa.RecordBatch.from_arrays([tokens, ids.take(pa.array(each([at for at, _, _ in held]))), sizes, places], ["token", "id", "n", "place"])
+
+
 def prefix_size(n: int, least: float) -> int:
     return n - math.ceil(least * n - 1e-9) + 1
 
@@ -83,15 +102,21 @@ def index(single: DataFrame, k: int, least: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            held, waiting = [], 0
             for at in range(batch.num_rows):
                 own = shingle_hashes(batch.column(1)[at].values.to_numpy().view(np.uint64), k)
                 n = len(own)
                 if not n:
                     continue
-                last = np.isin(own, common, assume_unique=True)
+                last = among(own, common)
                 own = np.concatenate([own[~last], own[last]])[: prefix_size(n, least)]
-                m = len(own)
-                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), batch.column(0).take(pa.array(np.full(m, at))), pa.array(np.full(m, n, np.int32)), pa.array(np.arange(m, dtype=np.int32))], ["token", "id", "n", "place"])
+                held.append((at, n, own))
+                waiting += len(own)
+                if waiting >= ROWS:
+                    yield rows_of(batch.column(0), held)
+                    held, waiting = [], 0
+            if held:
+                yield rows_of(batch.column(0), held)
 
     kind = single.schema["id"].dataType.simpleString()
     return _word_hashes(single).mapInArrow(run, f"token bigint, id {kind}, n int, place int")
