@@ -123,11 +123,14 @@ def index(single: DataFrame, k: int, least: float) -> DataFrame:
 
 
 def verified(pairs: DataFrame, single: DataFrame, k: int, least: float, part: int = PART) -> DataFrame:
-    """Those of the pairs (a, b) of ids whose texts have the similarity; b's text comes to a's, in parts of `part` texts."""
+    """Those of the pairs (a, b) of ids whose texts have the similarity; b's text comes to a's, in parts of `part` texts.
+    Texts of no pair are left where they are."""
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    texts = settle(single.select("id", "t").join(ids, "id", "left_semi"))
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
     kind = single.schema["id"].dataType.simpleString()
-    own = sizes.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).withColumn("b", F.lit(None).cast(kind)).join(single.select(F.col("id").alias("a"), "t"), "a")
-    other = pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b").join(single.select(F.col("id").alias("b"), "t"), "b")
+    own = sizes.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).withColumn("b", F.lit(None).cast(kind)).join(texts.select(F.col("id").alias("a"), "t"), "a")
+    other = pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b").join(texts.select(F.col("id").alias("b"), "t"), "b")
     together = own.select("a", "part", "b", "t").unionByName(other.select("a", "part", "b", "t")).repartition("a", "part").sortWithinPartitions("a", "part", "b")
 
     def shingles(text: str) -> set[str]:
@@ -163,33 +166,45 @@ def _needed(na: Column, nb: Column, least: float) -> Column:
     return least / (1 + least) * (na + nb) - 1e-9
 
 
+def _most(na: Column, pa: Column, nb: Column, pb: Column) -> Column:
+    """How many shingles two sets can share that share the ones at these places: no more before, nor after, than the lesser has."""
+    return F.lit(1) + F.least(na - pa - 1, nb - pb - 1) + F.least(pa, pb)
+
+
+def _plausible(shared: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) that can be similar, of a row a pair and indexed shingle that both have, with sizes na and nb.
+
+    Of two texts, the one whose index ends first in the order of all shingles can share, beyond indexed ones, only what it
+    has not indexed; so shared indexed shingles and the larger rest of the two are no fewer than what they share."""
+    counts = shared.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
+    rest = lambda n: F.ceil(F.lit(least) * F.col(n) - 1e-9) - 1
+    return counts.filter(F.col("shared") + F.greatest(rest("na"), rest("nb")) >= _needed(F.col("na"), F.col("nb"), least)).select("a", "b")
+
+
 def _stars(tokens: DataFrame, labels: DataFrame, least: float, first: bool) -> DataFrame:
-    """Pairs of texts of an indexed shingle and of about one size with the first, or the last, of them, where sizes and
-    places allow the similarity."""
+    """Pairs of texts of an indexed shingle and of about one size with the first, or the last, of them, where sizes, places
+    and the indexed shingles they share allow the similarity."""
     size = F.floor(F.log(F.col("n").cast("double")) / math.log(1 / least))
     held = tokens.join(labels, "id").withColumn("size", size)
     centre = held.groupBy("token", "size").agg((F.min if first else F.max)(F.struct("id", "label", "n", "place")).alias("c"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("token", "size", "c")
     pairs = held.join(centre, ["token", "size"]).filter(F.col("label") != F.col("c.label"))
-    most = F.lit(1) + F.least(F.col("n") - F.col("place") - 1, F.col("c.n") - F.col("c.place") - 1) + F.least(F.col("place"), F.col("c.place"))
-    fit = _alike(F.col("n"), F.col("c.n"), least) & (most >= _needed(F.col("n"), F.col("c.n"), least))
-    return pairs.filter(fit).select(F.col("c.id").alias("a"), F.col("id").alias("b")).distinct()
+    fit = _alike(F.col("n"), F.col("c.n"), least) & (_most(F.col("n"), F.col("place"), F.col("c.n"), F.col("c.place")) >= _needed(F.col("n"), F.col("c.n"), least))
+    met = pairs.filter(fit).select(F.col("c.id").alias("a"), F.col("id").alias("b"), F.col("c.n").alias("na"), F.col("n").alias("nb")).distinct()
+    ours, theirs = tokens.select(F.col("id").alias("a"), "token"), tokens.select(F.col("id").alias("b"), "token")
+    return _plausible(met.join(ours, "a").join(theirs, ["b", "token"]), least)
 
 
 def _across(tokens: DataFrame, labels: DataFrame, least: float, part: int = PART) -> DataFrame:
     """All pairs of texts of different classes that can be similar by their sizes and by the indexed shingles they share.
 
-    Of two texts, the one whose index ends first in the order of all shingles can share, beyond indexed ones, only what it
-    has not indexed; so shared indexed shingles and the larger rest of the two are no fewer than what they share. A shingle
-    with more than `part` texts is dealt to several tasks: its texts are split, and each part meets all."""
+    Places that leave too little room before or after rule a pair out where it meets. A shingle with more than `part` texts is dealt to several tasks: its texts are split, and each part meets all."""
     held = tokens.join(labels, "id")
     several = held.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(F.count("*") / part).cast("int").alias("parts")).filter("low <> high").select("token", "parts")
     rows = held.join(several, "token")
-    left = rows.select("token", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    right = rows.select("token", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    met = left.join(right, ["token", "part"]).filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _alike(F.col("na"), F.col("nb"), least))
-    shared = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
-    rest = lambda n: F.ceil(F.lit(least) * F.col(n) - 1e-9) - 1
-    return shared.filter(F.col("shared") + F.greatest(rest("na"), rest("nb")) >= _needed(F.col("na"), F.col("nb"), least)).select("a", "b")
+    left = rows.select("token", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("label").alias("la"))
+    right = rows.select("token", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("label").alias("lb"))
+    fit = _alike(F.col("na"), F.col("nb"), least) & (_most(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb")) >= _needed(F.col("na"), F.col("nb"), least))
+    return _plausible(left.join(right, ["token", "part"]).filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & fit), least)
 
 
 def near_classes(rows: DataFrame, text: str, key: str, k: int = SHINGLE, least: float = LEAST) -> DataFrame:
