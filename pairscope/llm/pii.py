@@ -9,6 +9,10 @@ identifiers, which are then marked wherever they occur.
 A pattern is judged for an instance by its other instances only: the share of them believed to be of a kind, where that
 is CONFIDENCE or more and they weigh SUPPORT or more. A context is worth its best pattern. An instance's score is the mean
 over its distinct contexts; a context none of whose patterns has more than SUPPORT instances says little, and counts RARE.
+
+Where many identifiers are not of a base form they are what keeps a pattern from CONFIDENCE. So before the last round a
+context also counts if AGREE of its patterns, more than see the words of one side alone, reach GROWTH each; what such
+rounds name makes patterns surer, and only what the last round names by full confidence is reported.
 """
 
 from __future__ import annotations
@@ -34,9 +38,12 @@ SUPPORT = 3
 CONFIDENCE = 0.8
 BELIEF = 0.6
 RARE = 0.25
-#: Patterns or instances that are broadcast, at most (16 bytes each); more are joined, hot patterns dealt to SALTS tasks.
+#: Before the last round: confidence of each pattern, and how many of a context's patterns must agree on it.
+GROWTH = 0.6
+AGREE = 3
+#: Patterns or instances that are broadcast, at most (16 bytes each); more are joined. Edges a pattern is called hot beyond.
 BROADCAST = 500_000
-SALTS = 16
+HOT = 100_000
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # Runs of digits that were passed over cannot start a match in their middle, so a match may start a run only.
@@ -190,46 +197,59 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
 
 
 def _known(edges: DataFrame, patterns: DataFrame) -> DataFrame:
-    """edges joined with what is known of their patterns; a pattern with very many edges is dealt to several tasks."""
-    if patterns.count() <= BROADCAST:
+    """edges joined with what is known of their patterns, whose column edges says how many each has at most.
+
+    Beyond BROADCAST patterns only hot ones are broadcast, and only edges of others are shuffled. Hot is a pattern with more
+    than HOT edges and more than one in BROADCAST of all, so there are fewer than BROADCAST of them.
+    """
+    counted = patterns.agg(F.count("*").alias("n"), F.sum("edges").alias("edges")).first()
+    if counted["n"] <= BROADCAST:
         return edges.join(F.broadcast(patterns), "pattern")
-    salted = patterns.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return edges.withColumn("salt", F.pmod(F.xxhash64("instance"), F.lit(SALTS)).cast("int")).join(salted, ["pattern", "salt"]).drop("salt")
+    hot = patterns.filter(F.col("edges") > max(HOT, counted["edges"] // max(1, BROADCAST)))
+    rest = edges.join(F.broadcast(hot.select("pattern")), "pattern", "left_anti")
+    return edges.join(F.broadcast(hot), "pattern").unionByName(rest.join(patterns, "pattern"))
 
 
-def instances(scanned: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE, belief: float = BELIEF, rare: float = RARE) -> DataFrame:
+def instances(scanned: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE, belief: float = BELIEF, rare: float = RARE, growth: float | None = None) -> DataFrame:
     """(instance, kind): tokens beyond the base that the graph of all rows' patterns and instances names.
 
+    growth, if given, is the confidence that AGREE patterns of a context need before the last round; without it one rule
+    holds in all rounds.
     Equal scores of two kinds go to the kind listed first. No mention or no seed gives none.
     """
     each = scanned.select(F.explode("mentions").alias("m")).select("m.instance", "m.kind", "m.patterns")
     contexts = settle(each.groupBy("instance", F.xxhash64("patterns").alias("context")).agg(F.max("kind").alias("kind"), F.first("patterns").alias("patterns")))
-    edges = contexts.select("instance", "kind", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.max("kind").alias("kind"))
+    edges = contexts.select("instance", "kind", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.max("kind").alias("kind"), F.count("*").alias("times"))
     seeds = [F.count_if(F.col("kind") == k).alias(f"seeds{k}") for k in range(len(KINDS))]
-    known = edges.groupBy("pattern").agg(F.count("*").alias("degree"), F.count_if(F.col("kind") < 0).alias("others"), *seeds).filter((F.col("degree") > support) & (F.col("others") > 0))
-    known = settle(known.withColumn("seeds", F.array(*(F.col(f"seeds{k}") for k in range(len(KINDS))))).select("pattern", "degree", "seeds"))
+    known = edges.groupBy("pattern").agg(F.count("*").alias("degree"), F.sum("times").alias("edges"), F.count_if(F.col("kind") < 0).alias("others"), *seeds).filter((F.col("degree") > support) & (F.col("others") > 0))
+    known = settle(known.withColumn("seeds", F.array(*(F.col(f"seeds{k}") for k in range(len(KINDS))))).select("pattern", "degree", "edges", "seeds"))
     # candidates only from here on: their contexts, and in each the known patterns
     graph = settle(_known(contexts.filter("kind < 0").select("instance", "context", F.explode("patterns").alias("pattern")), known))
     weight = contexts.filter("kind < 0").select("instance", "context").join(graph.select("instance", "context").distinct().withColumn("shared", F.lit(1.0)), ["instance", "context"], "left")
     weights = settle(weight.groupBy("instance").agg(F.sum(F.coalesce("shared", F.lit(rare))).alias("whole")).join(graph.select("instance").distinct(), "instance"))
     stats = known
     believed = None
-    for _ in range(rounds):
+    for turn in range(rounds):
+        grows = growth is not None and turn < rounds - 1
+        needed, trusted = (growth, belief * growth / confidence) if grows else (confidence, belief)
         if believed is not None:  # what the last round named counts for its patterns
             more = graph.select("pattern", "instance").distinct().join(believed, "instance").groupBy("pattern").agg(*(F.sum(F.when(F.col("kind") == k, F.col("score")).otherwise(0.0)).alias(f"m{k}") for k in range(len(KINDS))))
             stats = settle(known.join(more.select("pattern", F.array(*(F.col(f"m{k}") for k in range(len(KINDS)))).alias("more")), "pattern", "left"))
         sums = F.transform("seeds", lambda x: x.cast("double")) if believed is None else F.zip_with("seeds", F.coalesce("more", F.array_repeat(F.lit(0.0), len(KINDS))), lambda x, y: x + y)
         # a pattern can serve an instance only if all others together reach the support and, less one, the confidence
-        hopeful = stats.withColumn("sums", sums).filter(F.array_max("sums") >= F.greatest(F.lit(float(support)), confidence * (F.col("degree") - 1) - 1e-9)).select("pattern", "degree", "sums")
+        hopeful = stats.withColumn("sums", sums).filter(F.array_max("sums") >= F.greatest(F.lit(float(support)), needed * (F.col("degree") - 1) - 1e-9)).select("pattern", "degree", "edges", "sums")
         edge = _known(graph.select("instance", "context", "pattern"), settle(hopeful))
         if believed is not None:
             edge = edge.join(believed.select("instance", F.col("kind").alias("own"), F.col("score").alias("own_score")), "instance", "left")
         else:
             edge = edge.withColumn("own", F.lit(-1)).withColumn("own_score", F.lit(0.0))
         rest = edge.select("instance", "context", "degree", "own", "own_score", F.posexplode("sums").alias("to", "sum")).withColumn("rest", F.col("sum") - F.when(F.col("own") == F.col("to"), F.col("own_score")).otherwise(0.0))
-        sure = rest.withColumn("sure", F.col("rest") / (F.col("degree") - 1)).filter((F.col("rest") >= support - 1e-9) & (F.col("sure") >= confidence - 1e-9))
-        best = sure.groupBy("instance", "context", "to").agg(F.max("sure").alias("sure")).groupBy("instance", "to").agg(F.sum("sure").alias("sum"))
-        scored = best.join(weights, "instance").select("instance", F.col("to").alias("kind"), (F.col("sum") / F.col("whole")).alias("score")).filter(F.col("score") >= belief - 1e-9)
+        sure = rest.withColumn("sure", F.col("rest") / (F.col("degree") - 1)).filter((F.col("rest") >= support - 1e-9) & (F.col("sure") >= needed - 1e-9))
+        best = sure.groupBy("instance", "context", "to").agg(F.max("sure").alias("sure"), F.count("*").alias("agree"))
+        if grows:
+            best = best.filter((F.col("sure") >= confidence - 1e-9) | (F.col("agree") >= AGREE))
+        best = best.groupBy("instance", "to").agg(F.sum("sure").alias("sum"))
+        scored = best.join(weights, "instance").select("instance", F.col("to").alias("kind"), (F.col("sum") / F.col("whole")).alias("score")).filter(F.col("score") >= trusted - 1e-9)
         believed = settle(scored.groupBy("instance").agg(F.max(F.struct("score", (-F.col("kind")).alias("k"))).alias("b")).select("instance", (-F.col("b.k")).alias("kind"), F.col("b.score").alias("score")))
     return believed.select("instance", "kind")
 
@@ -238,7 +258,8 @@ def discovered(scanned: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """(row, doc_id, print, start, end, kind): every mention of the instances found."""
     found = instances(scanned) if found is None else found
     each = scanned.select("row", "doc_id", "print", F.explode(F.filter("mentions", lambda m: m["kind"] < 0)).alias("m")).select("row", "doc_id", "print", "m.start", "m.end", "m.instance")
-    return each.join(found, "instance").select("row", "doc_id", "print", "start", "end", "kind")
+    held = F.broadcast(found) if found.count() <= BROADCAST else found
+    return each.join(held, "instance").select("row", "doc_id", "print", "start", "end", "kind")
 
 
 def extract(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -247,7 +268,7 @@ def extract(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     A null text is empty. Repeated rows and null ids each get a row. Empty in, empty out; other columns are not read.
     """
     scanned = settle(scan(docs, text, key))
-    more = discovered(scanned).groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("more"))
+    more = discovered(scanned, instances(scanned, growth=GROWTH)).groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("more"))
     joined = scanned.drop("mentions").join(more, "row", "left")
     names = F.array(*(F.lit(k) for k in KINDS))
     parsed = F.transform(F.filter(F.split("spans", ","), lambda x: x != ""), lambda x: F.struct(F.split(x, ":")[1].cast("int").alias("start"), (F.array_position(names, F.split(x, ":")[0]) - 1).cast("int").alias("kind"), F.split(x, ":")[2].cast("int").alias("end")))
@@ -273,7 +294,7 @@ def redact(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
     broadcast up to BROADCAST instances, so that texts are not moved; beyond, its spans are joined by id and text.
     """
     scanned = settle(scan(docs, text, key))
-    found = instances(scanned)
+    found = instances(scanned, growth=GROWTH)
     held = docs.select(packed(docs).alias("row"), F.col(text).alias("body"))
     if found.count() <= BROADCAST:
         shared = docs.sparkSession.sparkContext.broadcast({r["instance"]: r["kind"] for r in found.collect()})
