@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairscope.operators.integrity import _verdicts
+from pairscope.operators.panel import CATEGORIES
 
 #: Outcomes and kinds of disagreement a resolver may give.
 OUTCOMES = ["Supported", "Refuted", "Ambiguous", "Unresolved"]
@@ -130,3 +131,30 @@ def consensus_again(judgments: DataFrame, high: int = 4, weak: list[str] | None
     weakly = F.size(F.filter("v", lambda x: x["sufficiency"].isin(weak)))
     label = F.when(times("Supported") >= high, "Supported").when(times("Refuted") >= high, "Refuted").when((modal == "Ambiguous") & (most >= 2), "Ambiguous").when(weakly >= 3, "Ambiguous").otherwise("Unresolved")
     return votes.select("item_id", "stage", label.alias("again"))
+
+
+#: The category of a path, a letter a stage: g as the reference, w against it, n not decisive. An entry ending in one letter
+#: stands for all paths with that end that are not listed before it.
+PATHS = {"ggg": 0, "ngg": 1, "nng": 2, "g": 4, "w": 5, "n": 6}
+
+
+def categories_again(judgments: DataFrame, adds_text: Column | None = None) -> DataFrame:
+    """(item_id, path, category) from raw judgments by another way than panel.taxonomy: the votes of consensus_again() make
+    a path of three letters, which is looked up. adds_text: whether an item's last stage showed sentences the others did
+    not. An item that lacks a stage has a null path and category."""
+    gold = judgments.groupBy("item_id").agg(F.min("gold").alias("gold"))
+    letter = F.when(F.col("again") == F.col("gold"), "g").when(F.col("again").isin("Supported", "Refuted"), "w").otherwise("n")
+    told = consensus_again(judgments).join(gold, "item_id").withColumn("letter", letter)
+    cell = lambda s: F.max(F.when(F.col("stage") == s, F.col("letter")))
+    paths = told.groupBy("item_id").agg(F.concat(cell("A"), cell("B"), cell("C")).alias("path"))
+    place = reduce(lambda c, p: c.when(F.endswith("path", F.lit(p)), PATHS[p]), PATHS, F.when(F.lit(False), -1))
+    if adds_text is not None:
+        place = F.when((F.col("path") == "nng") & adds_text, 3).otherwise(place)
+    return paths.select("item_id", "path", F.get(F.array(*(F.lit(c) for c in CATEGORIES)), place).alias("category"))
+
+
+def label_edits(stored: DataFrame, again: DataFrame, key: str, label: str, derived: str) -> DataFrame:
+    """(key, stored, derived, kind): rows whose stored label is not the derived one: edited, or on one side only."""
+    a, b = stored.select(key, F.col(label).alias("stored"), F.lit(True).alias("has_a")), again.select(key, F.col(derived).alias("derived"), F.lit(True).alias("has_b"))
+    kind = F.when(F.col("has_a").isNull(), "not_stored").when(F.col("has_b").isNull(), "not_derived").when(~F.col("stored").eqNullSafe(F.col("derived")), "edited")
+    return a.join(b, key, "full").select(key, "stored", "derived", kind.alias("kind")).filter("kind is not null")

@@ -9,6 +9,7 @@ from pairscope.operators import attempts as A
 from pairscope.operators import batches as B
 from pairscope.operators import crossval as X
 from pairscope.operators import logs as G
+from pairscope.operators import runs as E
 from pairscope.plans.book import Book
 from pairscope.plans.files import place
 
@@ -44,6 +45,42 @@ add(
 )
 
 
+# event streams of runs
+
+_RUN = """
+e AS (SELECT log::varchar AS log, seq, line->>'$.type' AS type, line->>'$.status' AS status, line->>'$.agent_id' AS agent_id, line->>'$.run_id' AS run_id, line->>'$.call_id' AS call_id, line->>'$.name' AS name, line->>'$.message' AS message
+  FROM (SELECT log, seq, line::json AS line FROM run_events WHERE trim(line) <> '') y)"""
+_events = lambda x: E.parsed(runner_logs(x))
+add(
+    "S11_run_totals",
+    "run_events",
+    lambda x: E.totals(_events(x)),
+    f"""WITH {_RUN}, f AS (SELECT log, 'type' AS field, type AS value FROM e UNION ALL SELECT log, 'status', status FROM e WHERE type = 'status'
+    UNION ALL SELECT log, 'completed_tool', name FROM e WHERE type = 'tool_call' AND status = 'completed') SELECT log, field, value, count(*) AS n FROM f GROUP BY ALL""",
+)
+add(
+    "S11_first_seen",
+    "run_events",
+    lambda x: E.first_seen(_events(x), ["agent_id", "run_id"]),
+    f"""WITH {_RUN}, f AS (SELECT log, 'agent_id' AS field, agent_id AS value, seq FROM e UNION ALL SELECT log, 'run_id', run_id, seq FROM e),
+    s AS (SELECT log, field, value, min(seq) AS first, count(*) AS n FROM f WHERE value <> '' GROUP BY ALL) SELECT log, field, row_number() OVER (PARTITION BY log, field ORDER BY first) AS position, value, n FROM s""",
+)
+add(
+    "S11_run_outcomes",
+    "run_events",
+    lambda x: E.outcomes(_events(x)),
+    f"""WITH {_RUN} SELECT log, count(*) AS n_events, arg_max(status, seq) FILTER (type = 'status') AS last_status, count(*) FILTER (type = 'status' AND status = 'ERROR') AS errors,
+    arg_max(message, seq) FILTER (type = 'status' AND status = 'ERROR') AS error_message FROM e GROUP BY log""",
+)
+add(
+    "S11_tool_calls",
+    "run_events",
+    lambda x: E.tool_calls(_events(x)),
+    f"""WITH {_RUN}, c AS (SELECT log, name, call_id, bool_or(status = 'started') AS started, bool_or(status = 'completed') AS completed FROM e WHERE type = 'tool_call' GROUP BY log, name, call_id, CASE WHEN call_id IS NULL THEN seq END)
+    SELECT log, name, count(*) AS calls, count(*) FILTER (completed) AS completed, count(*) FILTER (started AND NOT completed) AS unfinished, count(*) FILTER (completed AND NOT started) AS unopened FROM c GROUP BY ALL""",
+)
+
+
 # cross-validation with groups of equal texts
 
 FEATURES = ["words", "sentences", "digits", "symbols", "upper", "distinct_share"]

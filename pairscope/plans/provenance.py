@@ -13,7 +13,7 @@ from pairscope.operators import panel as N
 from pairscope.operators import provenance as Q
 from pairscope.operators import ranks as R
 from pairscope.plans.book import Book
-from pairscope.plans.panel import _C, _CB, _CW, _D, wide
+from pairscope.plans.panel import _C, _CB, _CW, _D, _TAX, classified, wide
 from pairscope.plans.quality import _SC, scored
 from pairscope.plans.studies import _CC, _GAP, _OP, L, S, blinded, classed
 
@@ -165,3 +165,25 @@ _CHECKS = {
 }
 add("V05_manifest_integrity", "job_items", lambda i: Q.manifest_checks(manifest_rows(i)), f"WITH {_JI} " + " UNION ALL ".join(f"SELECT '{k}' AS \"check\", {q} AS violations, CASE WHEN {q} = 0 THEN 'PASS' ELSE 'FAIL' END AS status" for k, q in _CHECKS.items()))
 add("V13_second_derivation", "judgments", lambda j: N.consensus(j).select("item_id", "stage", "consensus").join(Q.consensus_again(j), ["item_id", "stage"]).groupBy("stage").agg(F.count("*").alias("n"), F.count_if(F.col("consensus") != F.col("again")).alias("different")), "SELECT stage, count(DISTINCT item_id) AS n, 0 AS different FROM judgments GROUP BY stage")
+
+
+# stored labels against labels derived anew from raw judgments
+
+_STORED = "CASE WHEN item_id % 89 <> 0 THEN category WHEN category = 'final_nondecisive' THEN 'nonmonotonic_judge_path' ELSE 'final_nondecisive' END"
+
+
+def relabelled(j):
+    """Stored categories, some edited and some gone, and one item that was never judged, against a second derivation."""
+    kept = classified(j).filter("item_id % 83 <> 5").select("item_id", F.expr(_STORED).alias("category"))
+    stray = j.agg((F.max("item_id") + 1).alias("item_id")).select("item_id", F.lit("final_nondecisive").alias("category"))
+    return Q.label_edits(kept.unionByName(stray), Q.categories_again(j, F.col("item_id") % 3 == 0), "item_id", "category", "category")
+
+
+add(
+    "V13_label_edits",
+    "judgments",
+    relabelled,
+    f"""{_CW}, x AS (SELECT item_id, {_TAX} AS category FROM wide), y AS (SELECT item_id, CASE WHEN item_id % 83 <> 5 THEN {_STORED} END AS stored, category AS derived FROM x)
+    SELECT item_id, stored, derived, CASE WHEN stored IS NULL THEN 'not_stored' ELSE 'edited' END AS kind FROM y WHERE stored IS DISTINCT FROM derived
+    UNION ALL SELECT max(item_id) + 1, 'final_nondecisive', NULL, 'not_derived' FROM x""",
+)

@@ -109,6 +109,20 @@ ADAPTERS: dict[str, tuple[list[str], str]] = {
         CROSS JOIN (VALUES (0), (1)) AS blank(k) WHERE k = 0 OR h % 5 = 0
         """,
     ),
+    "run_events": (
+        ["attempts"],
+        """
+        SELECT CASE WHEN event_id % 3 = 0 THEN 0 ELSE event_id % 7 END AS log, event_id * 6 + k AS seq,
+          CASE k
+            WHEN 0 THEN chr(123) || '"type":"status","status":"RUNNING","agent_id":"a' || cast(agent AS string) || '","run_id":"r' || cast(job_id AS string) || '"' || chr(125)
+            WHEN 1 THEN chr(123) || '"type":"tool_call","status":"started","name":"' || tool || '","call_id":"c' || cast(event_id AS string) || '","agent_id":"a' || cast(agent AS string) || '"' || chr(125)
+            WHEN 2 THEN CASE WHEN agent % 4 = 0 THEN '' ELSE chr(123) || '"type":"tool_call","status":"completed","name":"' || tool || '","call_id":"' || CASE WHEN agent % 9 = 0 THEN 'x' ELSE 'c' END || cast(event_id AS string) || '"' || chr(125) END
+            WHEN 3 THEN CASE WHEN agent % 5 = 0 THEN '  ' ELSE chr(123) || '"agent_id":"","message":"said"' || chr(125) END
+            WHEN 4 THEN CASE WHEN status = 'error' THEN chr(123) || '"type":"status","status":"ERROR","message":"m' || cast(event_id AS string) || '"' || chr(125) ELSE chr(123) || '"type":"status","status":"FINISHED"' || chr(125) END
+            ELSE chr(123) || '"type":"tool_call","status":"completed","name":"finish"' || chr(125) END AS line
+        FROM (SELECT *, CASE event_type WHEN 'view' THEN 'read' WHEN 'click' THEN 'search' ELSE 'write' END AS tool FROM attempts) x CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5)) AS n(k)
+        """,
+    ),
     "run_records": (["attempts"], "SELECT 'j' || cast(job_id AS string) AS job, attempt, status, CASE WHEN @H['s' || cast(event_id AS string)] % 9 = 0 THEN 'unknown' WHEN @H['s' || cast(event_id AS string)] % 9 = 1 THEN 'a-other' ELSE 'a' || cast(agent AS string) END AS session FROM attempts WHERE @H['q' || cast(event_id AS string)] % 11 <> 0"),
     "run_staging": (
         ["attempts"],

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from functools import reduce
+from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,7 +110,40 @@ def log_events(lines: DataFrame, number: str = "number", line: str = "line") ->
     return held.groupBy("job", "attempt").agg(*(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col("at")))).alias(k) for k in LOG))
 
 
+#: Bytes of a file that is digested as one cell; the digest of a larger one is taken from a stream.
+WHOLE = 64 << 20
+
+
+def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(uri, size, sha256, mtime) of files read block by block, so that memory does not depend on their size."""
+    from pyarrow import fs
+
+    for batch in batches:
+        for path in batch.column(0).to_pylist():
+            local = path.startswith("file:")
+            store, name = (fs.LocalFileSystem(), "/" + path[5:].lstrip("/")) if local else fs.FileSystem.from_uri(path)
+            digest = hashlib.sha256()
+            with store.open_input_stream(name) as body:
+                while block := body.read(1 << 20):
+                    digest.update(block)
+            info = store.get_file_info(name)
+            changed = pa.array([info.mtime_ns // 1000], pa.timestamp("us", "UTC"))
+            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([info.size], pa.int64()), pa.array([digest.hexdigest()]), changed], ["uri", "size", "sha256", "mtime"])
+
+
 def inventory(spark: SparkSession, path: str) -> DataFrame:
-    """(path, size, sha256): every file under a folder. A store of objects has no symbolic links to flag."""
+    """(path, size, sha256, mtime): every file under a folder; mtime is when it was last changed.
+
+    Files up to WHOLE bytes are digested by the scan itself. Larger ones are never held: the scan gives their names alone,
+    and each is streamed by the task that has its name. Empty files, which scans pass over, come from the scan's listing,
+    which the driver holds. Both must be in a store that Arrow reads (local, HDFS, S3, GCS). A store of objects has no
+    symbolic links to flag; links of a local folder are followed.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.regexp_extract("path", r"([^/]+/[^/]+)$", 1).alias("path"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    found = files.select(F.col("path").alias("uri"), F.col("length").alias("size"))
+    listed = spark.createDataFrame([(unquote(f),) for f in files.inputFiles()], "uri string")
+    slashes = lambda c: F.regexp_replace(c, "^file:/+", "file:/")  # noqa: E731  a listing and a scan write local names apart
+    empty = listed.select(slashes("uri").alias("uri")).join(found.select(slashes("uri").alias("uri")), "uri", "left_anti")
+    streamed = found.filter(F.col("size") > WHOLE).select("uri").unionByName(empty).repartition("uri").mapInArrow(_streamed, "uri string, size bigint, sha256 string, mtime timestamp")
+    small = files.filter(F.col("length") <= WHOLE).select(F.col("path").alias("uri"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), F.col("modificationTime").alias("mtime"))
+    return small.unionByName(streamed).withColumn("path", F.regexp_extract("uri", r"([^/]+/[^/]+)$", 1)).select("path", "size", "sha256", "mtime")
