@@ -70,19 +70,30 @@ def batch_verdicts(expected: DataFrame, delivered: DataFrame, job: str, place: s
     return held.select(job, status.alias("status"), reason.alias("reason"))
 
 
-def parsed_lines(lines: DataFrame, group: str, place: str, line: str, schema: str) -> DataFrame:
-    """(group, line_number, raw, record): each line as a record, null where it is not the JSON of one; blank lines have no
-    row, but count. Numbers are from 1 within the group, whatever its size."""
-    held = placed(lines.select(group, place, F.col(line).alias("raw")), [group], [place])
-    body = F.trim(F.regexp_replace("raw", r"^\s+|\s+$", ""))
+def parsed(lines: DataFrame, line: str, schema: str, *more: str) -> DataFrame:
+    """(more, raw, record): each line as a record, null where it is not the JSON of one; blank lines have no row."""
+    body = F.btrim(F.col("raw"), F.lit(" \t\n\x0b\f\r"))
     record = F.from_json(body, f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    parsed = held.filter(body != "").select(group, F.col("position").alias("line_number"), "raw", record.alias("r"), body.startswith("{").alias("object"))
-    return parsed.select(group, "line_number", "raw", F.when(F.col("object") & F.col("r._corrupt").isNull(), F.col("r").dropFields("_corrupt")).alias("record"))
+    held = lines.select(*more, F.col(line).alias("raw")).filter(body != "")
+    # a generator, so that a line is parsed once; else each field that is used would parse it anew
+    fields = held.select(*more, "raw", body.startswith("{").alias("object"), F.inline(F.array(record)))
+    whole = F.struct(*(c for c in fields.columns[len(more) + 2 :] if c != "_corrupt"))
+    return fields.select(*more, "raw", F.when(F.col("object") & F.col("_corrupt").isNull(), whole).alias("record"))
+
+
+def parsed_lines(lines: DataFrame, group: str, place: str, line: str, schema: str) -> DataFrame:
+    """(group, line_number, raw, record) of parsed(); blank lines have no row, but count. Numbers are from 1 within the
+    group, whatever its size."""
+    held = placed(lines.select(group, place, line), [group], [place])
+    return parsed(held, line, schema, group, "position").withColumnRenamed("position", "line_number")
 
 
 def missing_ids(expected: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
-    """The expected keys that were not found, a row each, and never a list."""
-    return expected.select(*keys).distinct().join(found.select(*keys).distinct(), keys, "left_anti")
+    """The expected keys that were not found, a row each, and never a list; a key with a null is never found. Both sides go
+    through one aggregate."""
+    both = expected.select(*keys, F.lit(True).alias("__asked"), F.lit(False).alias("__found")).unionByName(found.select(*keys, F.lit(False).alias("__asked"), F.lit(True).alias("__found")).dropna(subset=keys))
+    held = both.groupBy(*keys).agg(F.max("__asked").alias("__asked"), F.max("__found").alias("__found"))
+    return held.filter("__asked and not __found").select(*keys)
 
 
 def key_paths(rows: DataFrame, key: str, json: str, most: int = 100) -> DataFrame:

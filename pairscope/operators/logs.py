@@ -5,9 +5,11 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pairscope.operators.ranks import carried, placed
+from pairscope.storage import settle
 
 #: What the lines of a runner's log look like.
 PREFIX = r"^\s*\d+\|"
@@ -27,6 +29,39 @@ def text_lines(spark: SparkSession, path: str, folder: str = "log") -> DataFrame
     return rows.select(F.col(folder).cast("string").alias("log"), place.alias("place"), F.col("value").alias("line"))
 
 
+def packed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(log, place, line) of text files of many small logs: a line is its log's name, a tab and what the log says; the lines
+    of a log are together and in order, in one file."""
+    rows = spark.read.text(path)
+    place = F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    value = F.split("value", "\t", 2)
+    return rows.select(value[0].alias("log"), place.alias("place"), value[1].alias("line"))
+
+
+def numbered(lines: DataFrame, whole: DataFrame | None = None) -> DataFrame:
+    """lines of text_lines() or packed_lines(), with their position in their log from 1, __part and __at as ranks.ranged().
+    Where lines are a choice, whole has all of them.
+
+    A block of a file is read in order by one task, so a line's place in it is its own number less the block's first; what
+    lies before the block is a sum over a table with a row a log and block. No line is moved.
+    """
+    marked = lambda x: x.select("*", F.col("place.file").alias("__file"), F.col("place.block").alias("__block"))
+    held = marked(lines)
+    order = [F.col("log"), F.col("file"), F.col("block")]
+    blocks = marked(lines if whole is None else whole).groupBy("log", F.col("__file").alias("file"), F.col("__block").alias("block")).agg(F.min("place.row").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("log").orderBy("file", "block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    known = blocks.select(F.col("log").alias("__log"), "file", "block", "first", before.alias("before"), F.row_number().over(W.orderBy(*order)).alias("__part"))
+    same = F.col("log").eqNullSafe(F.col("__log")) & (F.col("__file") == F.col("file")) & (F.col("__block") == F.col("block"))
+    at = (F.col("place.row") - F.col("first")).alias("__at")
+    return held.join(known, same).select(*lines.columns, "__part", at, (F.col("before") + at + 1).cast("bigint").alias("position"))
+
+
+def _in_order(lines: DataFrame) -> DataFrame:
+    """lines with position, __part and __at: by the blocks of their files, or by place where that is something else."""
+    kind = lines.schema["place"].dataType
+    return numbered(lines) if getattr(kind, "names", None) == ["file", "block", "row"] else placed(lines, ["log"], ["place"])
+
+
 def log_events(lines: DataFrame) -> DataFrame:
     """(log, line, event, job, attempt, code, text, clock, agent_id, run_id), a row an event, line from 1 within its log.
 
@@ -35,10 +70,10 @@ def log_events(lines: DataFrame) -> DataFrame:
     themselves. Other lines, and lines of no running job that would need one, are no events.
     """
     body = F.regexp_replace("line", PREFIX, "")
-    numbered = placed(lines.select("log", "place", body.alias("body")), ["log"], ["place"])
+    ordered = _in_order(lines.select("log", "place", body.alias("body"))).drop("place")
     starts = F.col("body").rlike(START)
     began = F.when(starts, F.struct(F.regexp_extract("body", START, 1).alias("job"), F.regexp_extract("body", START, 2).cast("bigint").alias("attempt")))
-    held = carried(numbered, ["log"], current=began)
+    held = carried(ordered, ["log"], current=began)
     running = F.col("current").isNotNull()
     failed, ended = F.col("body").rlike(FAILED), F.from_json("body", "job_id string, attempt bigint, agent_id string, run_id string")
     says = reduce(lambda a, b: a | b, (F.contains(F.col("body"), F.lit(m)) for m in MESSAGES))
@@ -65,6 +100,7 @@ def log_events(lines: DataFrame) -> DataFrame:
         F.col("ended.agent_id").alias("agent_id"),
         F.col("ended.run_id").alias("run_id"),
     )
+    events = settle(events)
     rest = [c for c in events.columns if c not in ("log", "job", "attempt")]
     first = events.filter("event = 'node_started'").groupBy("log", "job", "attempt").agg(F.min(F.struct(*rest)).alias("first")).select("log", "job", "attempt", *(F.col(f"first.{c}").alias(c) for c in rest))
     return events.filter("event <> 'node_started'").unionByName(first)
