@@ -326,3 +326,18 @@ def test_a_line_is_parsed_once(spark):
     assert plan.count("from_json(") == 1
     assert sorted(map(tuple, found.collect()), key=repr) == [(1, "x"), (None, None)]
     assert sorted(r["raw"] for r in got.filter("record is null").collect()) == [" \t{bad", "[1]"]
+
+
+def test_medians_of_histograms(spark, many_ranges):
+    """Odd and even numbers of values, ties over ranges, nulls, and a group of nulls alone, which has no median."""
+    rng = random.Random(3)
+    rows = [(g, None if rng.random() < 0.1 else rng.choice([0.5, 1.0, rng.random()]), rng.randrange(1, 4)) for g in (None, "a", "b", "c") for _ in range(rng.choice([1, 40, 41]))] + [("d", None, 3)]
+    want = {}
+    for g in (None, "a", "b", "c"):
+        values = [v for h, v, n in rows if h == g and v is not None for _ in range(n)]
+        if values:
+            want[g] = round(float(np.median(values)), 12)
+    cells = spark.createDataFrame(rows, "g string, v double, n int")
+    assert {r["g"]: round(r["median"], 12) for r in R.medians(cells, ["g"], "v", "n").collect()} == want
+    every = [v for _, v, n in rows if v is not None for _ in range(n)]
+    assert R.medians(cells, [], "v", "n").first()["median"] == pytest.approx(np.median(every))
