@@ -341,3 +341,20 @@ def test_medians_of_histograms(spark, many_ranges):
     assert {r["g"]: round(r["median"], 12) for r in R.medians(cells, ["g"], "v", "n").collect()} == want
     every = [v for _, v, n in rows if v is not None for _ in range(n)]
     assert R.medians(cells, [], "v", "n").first()["median"] == pytest.approx(np.median(every))
+
+
+def test_boosted_trees_fit_cells(spark, monkeypatch):
+    """A fit goes over cells, not rows; each row gets its cell's score, and the scores tell the classes apart."""
+    from pyspark.ml.classification import GBTClassifier
+
+    from pairscope.operators import models as M
+
+    rng = random.Random(4)
+    rows = [(i, float(rng.random() < (0.9 if (x := rng.random()) > 0.5 else 0.1)), x, float(i % 2), i % 2) for i in range(4000)]
+    sizes = []
+    fit = GBTClassifier.fit
+    monkeypatch.setattr(GBTClassifier, "fit", lambda self, held: (sizes.append(held.count()), fit(self, held))[1])
+    frame = spark.createDataFrame(rows, "id int, y double, x double, z double, fold int")
+    got = {r["id"]: r["score"] for r in M.boosted(frame, "y", ["x", "z"], "id", "fold", k=2, rounds=5).collect()}
+    assert len(got) == 4000 and max(sizes) <= 32 * 2 * 2
+    assert np.mean([(got[i] > 0.5) == (y > 0.5) for i, y, *_ in rows]) > 0.85
