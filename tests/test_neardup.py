@@ -83,3 +83,31 @@ def test_nothing(spark):
     assert N.near_classes(spark.createDataFrame([], "key int, text string"), "text", "key").count() == 0
     got = N.near_classes(spark.createDataFrame([(1, None), (2, None), (None, "a")], "key int, text string"), "text", "key").collect()
     assert sorted(map(tuple, got), key=repr) == [(1, 1, 1), (2, 2, 2), (None, None, None)]
+
+
+@pytest.mark.parametrize("part", [2048, 4])
+def test_alike_texts_are_one_class(spark, part):
+    """Classes of chains of texts alike in 3-grams, over blocks of any size, against all pairs; a row a row, never a pair."""
+    from pairscope.operators import dedup as D
+
+    rng = random.Random(5)
+    rows = []
+    for _ in range(7):
+        text = [rng.choice("abcdefghijklm ") for _ in range(rng.choice([60, 240, 250]))]
+        for _ in range(rng.choice([1, 5, 9])):
+            for at in rng.sample(range(len(text)), rng.randint(1, len(text) // 40)):
+                text[at] = rng.choice("0123456789é")
+            rows.append((len(rows) * 17 % 53, "".join(text)))
+    rows += [(60, rows[0][1].upper()), (61, None), (62, ""), (63, " "), (64, "ab"), (65, "AB"), (None, "ab")]
+    plain = {k: " ".join(t.lower().split()) for k, t in rows if k is not None and t is not None}
+    sets = {k: {t[i : i + 3] for i in range(max(1, len(t) - 2))} for k, t in plain.items()}
+    root = {k: k for k in plain}
+    for a in sorted(plain):
+        for b in sorted(plain):
+            if a < b and len(sets[a] & sets[b]) >= 0.85 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = {k: low if r == high else r for k, r in root.items()}
+    want = [(k, min(j for j in plain if plain[j] == plain[k]), root[k]) if k in plain else (k, k, k) for k, _ in rows]
+    got = D.near_texts(spark.createDataFrame(rows, "key int, text string"), "text", "key", part=part).collect()
+    assert len({r for r in root.values()}) < len(plain) - 12
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
