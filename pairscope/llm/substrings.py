@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairscope.llm.common import WordHashes, bitmap, in_bitmap, read, rolling, settle, spread_hash
+from pairscope.llm.common import bitmap, in_bitmap, read, rolling, settle, spread_hash
 
 WINDOW = 20
 GRAM = 8
@@ -40,27 +40,86 @@ SHARD_WORDS = 150_000
 NO_ID = 2**63 - 1
 
 
-def stretches(words: list[bytes], hashes: WordHashes, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(seed hash, first window, windows) of each stretch of one document."""
-    if len(words) < window:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-    grams = rolling(hashes.of(words), gram)
-    n = len(words) - window + 1
-    span = window - gram + 1
-    place = np.empty(n, np.int64)
-    low = np.uint64((1 << 20) - 1)
-    for at in range(0, n, 500_000):
-        part = grams[at : min(at + 500_000, n) + span - 1]
-        least = (part & ~low) | np.arange(len(part), dtype=np.uint64)  # of equal hashes the leftmost
-        reach = 1
-        while 2 * reach <= span:
-            least = np.minimum(least[:-reach], least[reach:])
-            reach *= 2
-        if reach < span:
-            least = np.minimum(least[: -(span - reach)], least[span - reach :])
-        place[at : at + 500_000] = (least & low).astype(np.int64) + at
-    first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-    return grams[place[first]], first, np.diff(np.r_[first, n])
+#: Weights of the bytes of a word by their place, which repeat in longer words.
+_WEIGHTS = spread_hash(np.arange(1, 4097, dtype=np.uint64)) | np.uint64(1)
+#: Words that are hashed at a time, and that a chunk of documents has at most (one document at least).
+TOGETHER = 100_000
+
+
+def hashed(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word of a text, of its bytes and their places: it depends on the word alone."""
+    out = np.empty(len(starts), np.uint64)
+    for at in range(0, len(starts), TOGETHER):
+        first, last = starts[at : at + TOGETHER], ends[at : at + TOGETHER]
+        own = np.diff(first, append=last[-1])  # with the gap behind it
+        offset = np.arange(last[-1] - first[0]) - np.repeat(first - first[0], own)
+        part = body[first[0] : last[-1]].astype(np.uint64)
+        part[last[:-1] - first[0]] = 0
+        sums = np.add.reduceat(part * _WEIGHTS[offset & 4095], first - first[0])
+        out[at : at + TOGETHER] = spread_hash(sums + (last - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return out
+
+
+class Chunk:
+    """Some documents, their words joined by one space, end to end; no document is empty."""
+
+    def __init__(self, docs: list[bytes]) -> None:
+        self.text = b" ".join(docs)
+        body = np.frombuffer(self.text, np.uint8)
+        gaps = np.flatnonzero(body == 32)
+        self.starts, self.ends = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(body)]])
+        self.words = hashed(body, self.starts, self.ends)
+        lengths = np.array([len(d) + 1 for d in docs])
+        self.first = np.searchsorted(self.starts, np.cumsum(lengths) - lengths)  # words before each document
+
+    def stretches(self, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(seed hash, document, first window, windows) of each stretch; windows that run over a document's end are left out."""
+        sizes = np.diff(self.first, append=len(self.words))
+        own = np.maximum(sizes - window + 1, 0)  # windows of each document
+        which = np.repeat(np.arange(len(own)), own)
+        if not len(which):
+            return np.empty(0, np.uint64), *(np.empty(0, np.int64) for _ in range(3))
+        grams = rolling(self.words, gram)
+        n = len(self.words) - window + 1
+        span = window - gram + 1
+        place = np.empty(n, np.int64)
+        low = np.uint64((1 << 20) - 1)
+        for at in range(0, n, 500_000):
+            part = grams[at : min(at + 500_000, n) + span - 1]
+            least = (part & ~low) | np.arange(len(part), dtype=np.uint64)  # of equal hashes the leftmost
+            reach = 1
+            while 2 * reach <= span:
+                least = np.minimum(least[:-reach], least[reach:])
+                reach *= 2
+            if reach < span:
+                least = np.minimum(least[: -(span - reach)], least[span - reach :])
+            place[at : at + 500_000] = (least & low).astype(np.int64) + at
+        within = np.arange(len(which)) - (np.cumsum(own) - own)[which]
+        place = place[within + self.first[which]]  # no two documents share a place
+        first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+        return grams[place[first]], which[first], within[first], np.diff(first, append=len(which))
+
+    def passages(self, which: np.ndarray, first: np.ndarray, n: np.ndarray, window: int) -> list[bytes]:
+        """The words of stretches."""
+        at = self.first[which] + first
+        return [self.text[a:z] for a, z in zip(self.starts[at].tolist(), self.ends[at + n + window - 2].tolist(), strict=True)]
+
+
+def chunks(rows: Iterator[tuple]) -> Iterator[tuple[list[tuple], Chunk]]:
+    """Rows that end with a text, less those without a word, and their texts, some documents at a time."""
+    held, docs, size = [], [], 0
+    for *row, text in rows:
+        words = (text.as_py() or b"").split()
+        if not words:
+            continue
+        held.append(tuple(row))
+        docs.append(b" ".join(words))
+        size += len(words)
+        if size >= TOGETHER:
+            yield held, Chunk(docs)
+            held, docs, size = [], [], 0
+    if docs:
+        yield held, Chunk(docs)
 
 
 MARK = (1 << 28) - 1
@@ -70,7 +129,6 @@ def _seeds(docs: DataFrame, window: int, gram: int) -> DataFrame:
     """(seed, n): how many stretches each seed has in a batch of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         held: list[np.ndarray] = []
         size = 0
 
@@ -79,8 +137,8 @@ def _seeds(docs: DataFrame, window: int, gram: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), pa.array(n)], ["seed", "n"])
 
         for batch in batches:
-            for text in batch.column(0).cast(pa.binary()):
-                seed, _, _ = stretches((text.as_py() or b"").split(), hashes, window, gram)
+            for _, docs in chunks((text,) for text in batch.column(0).cast(pa.binary())):
+                seed = docs.stretches(window, gram)[0]
                 if len(seed):
                     held.append(seed)
                     size += len(seed)
@@ -121,7 +179,6 @@ def _cut(docs: DataFrame, recurring: np.ndarray, hot: tuple[np.ndarray, np.ndarr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seeds_hot, parts_hot = shared.value
-        hashes = WordHashes()
         held: list[list] = [[] for _ in _FIELDS]
         passages: list[bytes] = []
 
@@ -141,25 +198,23 @@ def _cut(docs: DataFrame, recurring: np.ndarray, hot: tuple[np.ndarray, np.ndarr
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "blob"])
 
         for batch in batches:
-            for doc, mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), strict=True):
-                words = (text.as_py() or b"").split()
-                seeds, first, n = stretches(words, hashes, window, gram)
-                if not len(seeds):
-                    continue
+            for rows, docs in chunks(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), strict=True)):
+                seeds, which, first, n = docs.stretches(window, gram)
                 chosen = np.flatnonzero(in_bitmap(table, seeds.view(np.int64)))
                 if not len(chosen):
                     continue
-                seeds, first, n = seeds[chosen].view(np.int64), first[chosen], n[chosen]
+                seeds, which, first, n = seeds[chosen].view(np.int64), which[chosen], first[chosen], n[chosen]
+                doc, mark = np.array(rows, np.int64).T[:, which]
                 parts = np.ones(len(seeds), np.int64)
                 if len(seeds_hot):
                     place = np.searchsorted(seeds_hot, seeds)
                     place[place == len(seeds_hot)] = 0
                     known = seeds_hot[place] == seeds
                     parts[known] = parts_hot[place[known]]
-                dealt = int(spread_hash(np.array([doc ^ mark], np.int64).view(np.uint64))[0] >> np.uint64(33))
-                for column, value in zip(held, (seeds, dealt % parts, parts, np.full(len(seeds), doc), np.full(len(seeds), mark), first), strict=True):
+                dealt = (spread_hash((doc ^ mark).view(np.uint64)) >> np.uint64(33)).astype(np.int64)
+                for column, value in zip(held, (seeds, dealt % parts, parts, doc, mark, first), strict=True):
                     column.append(value)
-                passages += [b" ".join(words[a : a + k + window - 1]) for a, k in zip(first.tolist(), n.tolist(), strict=True)]
+                passages += docs.passages(which, first, n, window)
                 if len(passages) >= CUT_ROWS:
                     yield out()
         if passages:

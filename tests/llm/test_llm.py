@@ -444,3 +444,19 @@ def test_quotes_in_sql(spark):
     got = quotes.link(df).drop("clean_text")
     assert sorted(got.columns) == sorted(want.columns)
     assert oracle.rows(got.columns, got.collect()) == oracle.rows(want.columns, want.fetchall())
+
+
+def test_stretches_of_documents_end_to_end():
+    """Documents that are searched together have the stretches that each has alone, and no window runs over an end."""
+    rng = random.Random(3)
+    docs = [b" ".join(b"w%d" % rng.randrange(30) for _ in range(n)) for n in (19, 20, 1, 300, 45, 20, 19, 64)] + ["日本 é".encode() * 30, b"x" * 9000]
+    whole = substrings.Chunk(docs)
+    seeds, which, first, n = whole.stretches(20, 8)
+    got = sorted(zip(which.tolist(), first.tolist(), n.tolist(), seeds.tolist(), whole.passages(which, first, n, 20), strict=True))
+    want = []
+    for d, doc in enumerate(docs):
+        one = substrings.Chunk([doc])
+        s, w, f, k = one.stretches(20, 8)
+        want += zip([d] * len(s), f.tolist(), k.tolist(), s.tolist(), one.passages(w, f, k, 20), strict=True)
+        assert sum(k) == max(0, len(doc.split()) - 19) and all(p == b" ".join(doc.split()[a : a + m + 19]) for p, a, m in zip(one.passages(w, f, k, 20), f, k, strict=True))
+    assert got == sorted(want) and len(got) > 40
