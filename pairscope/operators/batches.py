@@ -21,6 +21,11 @@ def order_errors(expected: DataFrame, delivered: DataFrame, job: str, place: str
     missing (nothing delivered there any more), extra (nothing asked there any more), repeated (the id stood earlier in the
     batch), unexpected (the id is not in the job), misplaced. A job that was asked and delivered in order has no row.
     """
+    return _order_errors(settle(expected.select(job, place, item)), settle(delivered.select(job, place, item)), job, place, item)
+
+
+def _order_errors(expected: DataFrame, delivered: DataFrame, job: str, place: str, item: str) -> DataFrame:
+    """order_errors() of settled tables, which are read several times: to find ranges, to be ordered, to look ids up."""
     asked = placed(expected.select(job, place, F.col(item).alias("asked")), [job], [place, "asked"]).select(F.col(job).alias("j"), "position", "asked")
     came = placed(delivered.select(job, place, F.col(item).alias("got")), [job], [place, "got"]).select(F.col(job).alias("j"), "position", "got")
     both = asked.join(came, ["j", "position"], "full_outer").filter(~F.col("asked").eqNullSafe(F.col("got")) | F.col("asked").isNull())
@@ -61,9 +66,11 @@ def record_error(judge: Column, stage: Column) -> Column:
 def batch_verdicts(expected: DataFrame, delivered: DataFrame, job: str, place: str, item: str, error: Column) -> DataFrame:
     """(job, status, reason) of every job asked for: missing, wrong_items with the first position, invalid_record with the
     first record, or valid. A job that was not asked for is unexpected_job."""
+    expected, delivered = settle(expected.select(job, place, item)), settle(delivered.select(job, place, item, error.alias("__field")))
+    error = F.col("__field")
     asked = expected.groupBy(job).agg(F.count("*").alias("n"))
     there = delivered.groupBy(job).agg(F.count("*").alias("came"), F.min(F.when(error.isNotNull(), F.struct(F.col(place).alias("place"), F.col(item).cast("string").alias("item"), error.alias("field")))).alias("bad"))
-    order = order_errors(expected, delivered, job, place, item).select(job, F.concat_ws(":", "error", F.col("position").cast("string")).alias("wrong"))
+    order = _order_errors(expected, delivered, job, place, item).select(job, F.concat_ws(":", "error", F.col("position").cast("string")).alias("wrong"))
     held = asked.join(there, job, "full_outer").join(order, job, "left")
     status = F.when(F.col("n").isNull(), "unexpected_job").when(F.col("came").isNull(), "missing").when(F.col("wrong").isNotNull(), "wrong_items").when(F.col("bad").isNotNull(), "invalid_record").otherwise("valid")
     reason = F.when(F.col("n").isNull() | F.col("came").isNull(), "").when(F.col("wrong").isNotNull(), F.col("wrong")).when(F.col("bad").isNotNull(), F.concat_ws(":", "bad.item", "bad.field")).otherwise("")

@@ -358,3 +358,33 @@ def test_boosted_trees_fit_cells(spark, monkeypatch):
     got = {r["id"]: r["score"] for r in M.boosted(frame, "y", ["x", "z"], "id", "fold", k=2, rounds=5).collect()}
     assert len(got) == 4000 and max(sizes) <= 32 * 2 * 2
     assert np.mean([(got[i] > 0.5) == (y > 0.5) for i, y, *_ in rows]) > 0.85
+
+
+def test_batch_files_are_trimmed_once(spark, tmp_path):
+    """White space around a file's content, arrays, lines and blank files; no regex runs over a whole file."""
+    from pairscope.sources import files
+
+    for name, body in (("a", ' \n[{"i": 1}, {"i": 2}]\n\t'), ("b", '\r\n{"i": 3}\n\n {"i": 4} \n'), ("c", " \n\x0b"), ("d", "[]")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "x.txt").write_bytes(body.encode())
+    for whole_first in (True, False):
+        got = files.batch_files(spark, f"{tmp_path}/*", "i bigint", whole_first)
+        assert sorted(map(tuple, got.collect())) == [("a/x.txt", 1), ("a/x.txt", 2), ("b/x.txt", 3), ("b/x.txt", 4)]
+        assert "regexp_replace" not in got._jdf.queryExecution().toString()
+
+
+def test_batches_are_made_once(spark):
+    """What was asked and what came are read several times, but each row is made once."""
+    made = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame([(f"j{i % 4}", i, i, None) for i in range(40)], "job string, place int, item int, field string")
+    counted = rows.mapInArrow(run, rows.schema)
+    assert B.order_errors(counted, rows.filter("item <> 5"), "job", "place", "item").count() == 1 and made.value == 40
+    made.value = 0
+    got = B.batch_verdicts(rows, counted, "job", "place", "item", F.when(F.col("item") == 6, "verdict")).collect()
+    assert made.value == 40 and {r["job"]: (r["status"], r["reason"]) for r in got} == {"j0": ("valid", ""), "j1": ("valid", ""), "j2": ("invalid_record", "6:verdict"), "j3": ("valid", "")}
