@@ -35,13 +35,14 @@ def outcome_derived(features: list[str], prefixes: tuple[str, ...] = OUTCOME_PRE
 def prepared(rows: DataFrame, key: str, targets: dict[str, Column], features: list[str], groups: dict[str, Column], k: int = 5) -> DataFrame:
     """(key, x: features as doubles, y: targets as 0 or 1, fold: by way of grouping), settled; rows with a null among them go.
 
-    All rows of a group are in one fold, from the md5 of the group; a null group is a group of its own.
+    All rows of a group are in one fold, from the md5 of the group; a null group is a group of its own. Rows go after they are
+    settled: a filter before would be moved to where features are made, and would make them a second time to look at them.
     """
     x = F.array(*(F.col(f).cast("double") for f in features))
     y = F.array(*(t.cast("int") for t in targets.values()))
     fold = F.array(*(fold_of(F.coalesce(g.cast("string"), F.lit("")), k).cast("int") for g in groups.values()))
-    held = rows.select(F.col(key).alias("key"), x.alias("x"), y.alias("y"), fold.alias("fold"))
-    return settle(held.filter(~F.exists("x", lambda v: v.isNull() | F.isnan(v)) & ~F.exists("y", lambda v: v.isNull())))
+    held = settle(rows.select(F.col(key).alias("key"), x.alias("x"), y.alias("y"), fold.alias("fold")))
+    return held.filter(~F.exists("x", lambda v: v.isNull() | F.isnan(v)) & ~F.exists("y", lambda v: v.isNull()))
 
 
 def _matrices(batch: pa.RecordBatch, names: list[str]) -> list[np.ndarray]:

@@ -128,6 +128,21 @@ def labelled(n=400):
 TABLE = "id int, text string, a double, b double, y int, z int"
 
 
+def test_features_are_made_once_a_row(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def measure(v):
+        made.add(1)
+        return None if v % 7 == 0 else float(v)
+
+    rows = spark.range(60).select(F.col("id"), measure("id").alias("a"), (F.col("id") % 2).alias("y"))
+    held = X.prepared(rows, "id", {"y": F.col("y") == 1}, ["a"], {"id": F.col("id")})
+    assert made.value == 60
+    assert sorted(r["key"] for r in held.collect()) == [i for i in range(60) if i % 7]
+    assert made.value == 60
+
+
 def test_out_of_fold_scores_equal_plain_fits(spark):
     rows = labelled()
     df = spark.createDataFrame(rows, TABLE).repartition(4)
