@@ -30,6 +30,7 @@ END = 2
 ROUND_DOCS = 4096
 ROUND_TOKENS = 4_000_000
 STEP_TOKENS = 65_536
+#: Words and pieces of words whose ids a worker remembers, at most: the half met last, and the half before it.
 CACHED_WORDS = 400_000
 
 
@@ -49,7 +50,7 @@ class Tokens(dict):
         self.whole = Tokenizer.from_file(path)
         if self.whole.get_vocab_size() > 65_536:
             raise ValueError("ids beyond 16 bits")
-        self.pieces: dict[str, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
         letters = r"a-zß-öø-ÿ"
         self.latin = re.compile("[" + letters + r"0-9!-/:-@\[-`{-~]+\Z")
         self.split = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[0-9]|[^{letters}0-9]+")
@@ -63,21 +64,31 @@ class Tokens(dict):
         self.short = True
         self.short = expected == np.frombuffer(self.ids(probe.encode()), "<u2").tolist()
         self.clear()
+        self.before.clear()
+
+    def _keep(self, word: bytes, value: bytes) -> bytes:
+        if len(word) < 200:
+            if len(self) >= CACHED_WORDS // 2:
+                self.before = dict(self)
+                self.clear()
+            self[word] = value
+        return value
 
     def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
+        """The ids of a piece of a word; as a word by itself it has the same, so both are remembered once."""
+        key = piece.encode()
+        found = self.get(key)
         if found is None:
-            if len(self.pieces) >= CACHED_WORDS:
-                self.pieces.clear()
-            shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.shown)
-            found = self.pieces[piece] = np.array([t.id for t in self.whole.model.tokenize(shown)], "<u2").tobytes()
+            found = self.before.get(key)
+            if found is None:
+                shown = piece if piece.isascii() else key.decode("latin-1").translate(self.shown)
+                found = np.array([t.id for t in self.whole.model.tokenize(shown)], "<u2").tobytes()
+            self._keep(key, found)
         return found
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        value = None
-        if self.short and len(word) < 1000:
+        value = self.before.get(word)
+        if value is None and self.short and len(word) < 1000:
             if word.isalpha():
                 value = self._piece(word.lower().decode())
             elif not any(s in word for s in self.special):
@@ -87,9 +98,7 @@ class Tokens(dict):
                     value = b"".join(map(self._piece, self.split.findall(low)))
         if value is None:
             value = np.array(self.whole.encode(word.decode(), add_special_tokens=False).ids, "<u2").tobytes()
-        if len(word) < 200:
-            self[word] = value
-        return value
+        return self._keep(word, value)
 
     def ids(self, text: bytes) -> bytes:
         return b"".join(map(self.__getitem__, text.split()))

@@ -307,17 +307,18 @@ def redact(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = shared.value if shared else {}
-        for batch in batches:
-            out = []
-            for value, more in zip(batch.column(1), batch.column(2), strict=True):
-                body = value.as_py()
-                spans = base_spans(body) if body else []
-                if body and kinds:
-                    spans = spans + [(s, kinds[h], e) for s, e, k, h, _ in mentions(body, spans) if k < 0 and h in kinds]
-                elif body and more.is_valid:
-                    spans = spans + [(x["start"], x["kind"], x["end"]) for x in more.as_py()]
-                out.append(redacted(body, spans) if spans else body)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, batch.column(1).type)], ["row", "body"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch, out = whole.slice(at, 1000), []
+                for value, more in zip(batch.column(1), batch.column(2), strict=True):
+                    body = value.as_py()
+                    spans = base_spans(body) if body else []
+                    if body and kinds:
+                        spans = spans + [(s, kinds[h], e) for s, e, k, h, _ in mentions(body, spans) if k < 0 and h in kinds]
+                    elif body and more.is_valid:
+                        spans = spans + [(x["start"], x["kind"], x["end"]) for x in more.as_py()]
+                    out.append(redacted(body, spans) if spans else body)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, batch.column(1).type)], ["row", "body"])
 
     form = held.schema["row"].dataType
     done = held.mapInArrow(run, StructType([StructField("row", form), StructField("body", docs.schema[text].dataType)]))

@@ -460,3 +460,13 @@ def test_stretches_of_documents_end_to_end():
         want += zip([d] * len(s), f.tolist(), k.tolist(), s.tolist(), one.passages(w, f, k, 20), strict=True)
         assert sum(k) == max(0, len(doc.split()) - 19) and all(p == b" ".join(doc.split()[a : a + m + 19]) for p, a, m in zip(one.passages(w, f, k, 20), f, k, strict=True))
     assert got == sorted(want) and len(got) > 40
+
+
+def test_remembered_words_are_bounded_and_ids_stay_the_same(monkeypatch):
+    monkeypatch.setattr(packing, "CACHED_WORDS", 40)
+    coder = packing.Tokens(packing.default_path())
+    words = [f"{a}{b}" for a in ("Re", "un", "über", "x-", "don't", "7", "<|") for b in ("act", "Known", "mark,", "(9)", "s", "42", "é")]
+    for text in [" ".join(words[i::3]) for i in range(3)] * 2:
+        assert np.frombuffer(coder.ids(text.encode()), "<u2").tolist() == coder.whole.encode(text, add_special_tokens=False).ids
+        kept = [d for d in vars(coder).values() if isinstance(d, dict) and all(isinstance(v, bytes) for v in d.values())]
+        assert len(coder) + sum(map(len, kept)) <= 40
