@@ -79,6 +79,48 @@ def test_no_link_is_missed_by_the_index(spark, seed):
     assert all(len(own[i]) == N.prefix_size(len(shingles(t)), 0.8) for i, t in enumerate(texts) if shingles(t))
 
 
+def test_texts_that_share_a_passage_do_not_meet(spark, monkeypatch):
+    """Texts with a long passage in common share indexed shingles; their sketches keep them from being compared."""
+    rng = random.Random(6)
+    words = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for _ in range(40):
+        passage = words(120)
+        rows += [" ".join(words(40) + passage + words(40)) for _ in range(2)]
+    met, real = [], N.verified
+    monkeypatch.setattr(N, "verified", lambda pairs, *more: met.append(pairs.count()) or real(pairs, *more))
+    rows = list(enumerate([*rows, rows[0] + " end"]))
+    got = N.near_classes(spark.createDataFrame(rows, "key int, text string"), "text", "key").collect()
+    assert sorted(map(tuple, got)) == [(i, i, i) for i in range(80)] + [(80, 80, 0)]
+    assert sum(met) < 10
+
+
+def test_sketches_rule_out_no_similar_text():
+    rng = random.Random(7)
+    hashes = [h for n in (1, 3, 90, 700) for h in N.shingle_hashes([" ".join(f"w{rng.randrange(900)}" for _ in range(n)).encode() for _ in range(3)], 5)]
+    hashes += [h[: max(1, int(len(h) * 0.9))] for h in hashes]
+    for a in hashes:
+        for b in hashes:
+            assert N.differing(N.sketch(a), N.sketch(b)) <= len(set(a.tolist()) ^ set(b.tolist()))
+
+
+def test_hashes_do_not_depend_on_the_texts_beside():
+    texts = [b"", b"a", "abcdefgh ijklmnopq".encode(), "é ü ".encode() * 9 + b"x" * 70, b"a b c d e f a b c d e"]
+    together = [h.tolist() for h in N.shingle_hashes(texts, 5)]
+    assert together == [h.tolist() for t in texts for h in N.shingle_hashes([t], 5)]
+    assert [len(h) for h in together] == [len(shingles(t.decode())) for t in texts]
+
+
+def test_labels_repeat_rows_as_the_adapter_does(spark):
+    from pairscope.plans.quality import near_claims
+
+    documents = spark.createDataFrame([(1, "a b", 0), (2, "A  b", 0), (3, None, 0), (None, "c", 0)], "doc_id long, text string, n_chars long")
+    labels = spark.createDataFrame([(2, 1), (2, 0), (3, 1), (9, 1), (None, 1)], "doc_id long, quality int")
+    got = near_claims(documents, labels)
+    assert got.columns == ["claim_id", "copy_of", "class_id"]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([(1, 1, 1), (2, 1, 1), (2, 1, 1), (3, 3, 3), (None, None, None)], key=repr)
+
+
 def test_nothing(spark):
     assert N.near_classes(spark.createDataFrame([], "key int, text string"), "text", "key").count() == 0
     got = N.near_classes(spark.createDataFrame([(1, None), (2, None), (None, "a")], "key int, text string"), "text", "key").collect()
