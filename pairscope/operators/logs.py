@@ -31,7 +31,7 @@ def text_lines(spark: SparkSession, path: str, folder: str = "log") -> DataFrame
 
 def packed_lines(spark: SparkSession, path: str) -> DataFrame:
     """(log, place, line) of text files of many small logs: a line is its log's name, a tab and what the log says; the lines
-    of a log are together and in order, in one file."""
+    of a log are together and in order, in one file or in several of one order of names."""
     rows = spark.read.text(path)
     place = F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
     value = F.split("value", "\t", 2)

@@ -403,3 +403,26 @@ def test_batches_are_made_once(spark):
     made.value = 0
     got = B.batch_verdicts(rows, counted, "job", "place", "item", F.when(F.col("item") == 6, "verdict")).collect()
     assert made.value == 40 and {r["job"]: (r["status"], r["reason"]) for r in got} == {"j0": ("valid", ""), "j1": ("valid", ""), "j2": ("invalid_record", "6:verdict"), "j3": ("valid", "")}
+
+
+@pytest.mark.parametrize("lines", [700, 5_000_000])
+def test_lines_of_batches_are_written_where_they_are_made(spark, monkeypatch, lines):
+    """Files of batches are compressed and may end within a batch; lines come in order from the adapter, and none is moved."""
+    from pairscope.plans import audit
+    from pairscope.sources.adapters import ADAPTERS, _engine, adapter
+
+    monkeypatch.setattr(audit, "LINES", lines)
+    spark.sql("set spark.sql.adaptive.enabled=false")
+    try:
+        made = adapter(spark, SF, "batch_lines")
+        plan = made._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.sql("set spark.sql.adaptive.enabled=true")
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.rindex("Exchange hashpartitioning") > plan.index("inline(")
+    spark.sql(_engine(ADAPTERS["batch_lines"][1].replace("FROM judgments", "FROM {judgments}"), "spark"), judgments=adapter(spark, SF, "judgments")).createOrReplaceTempView("plain_lines")
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, spark.table("plain_lines").select(made.columns).collect()))
+    read = audit.batch_files(made)
+    assert all(f.endswith(".txt.gz") for f in read.inputFiles())
+    got = G.numbered(read).select("log", "position", "line")
+    want = spark.sql("select batch, row_number() over (partition by batch order by place) position, line from plain_lines")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
