@@ -97,10 +97,23 @@ def parsed_lines(lines: DataFrame, group: str, place: str, line: str, schema: st
 
 def missing_ids(expected: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
     """The expected keys that were not found, a row each, and never a list; a key with a null is never found. Both sides go
-    through one aggregate."""
-    both = expected.select(*keys, F.lit(True).alias("__asked"), F.lit(False).alias("__found")).unionByName(found.select(*keys, F.lit(False).alias("__asked"), F.lit(True).alias("__found")).dropna(subset=keys))
-    held = both.groupBy(*keys).agg(F.max("__asked").alias("__asked"), F.max("__found").alias("__found"))
-    return held.filter("__asked and not __found").select(*keys)
+    through one aggregate. Where a key is a whole number, what is moved is a row for 64 neighbours of it, a bit each."""
+    rank = {"tinyint": 1, "smallint": 2, "int": 3, "bigint": 4}
+    kind = lambda k: [df.schema[k].dataType.simpleString() for df in (expected, found)]
+    whole = next((k for k in reversed(keys) if all(t in rank for t in kind(k))), None)
+    near = F.lit(0).cast("bigint") if whole is None else F.col(whole).cast("bigint").bitwiseAND(F.lit(63))
+    tile = [] if whole is None else [F.shiftright(F.col(whole).cast("bigint"), 6).alias("__tile")]
+    rest = [k for k in keys if k != whole]
+    bit = F.coalesce(F.call_function("shiftleft", F.lit(1).cast("bigint"), near.cast("int")), F.lit(1).cast("bigint"))
+    none = F.lit(0).cast("bigint")
+    asked = expected.select(*rest, *tile, bit.alias("__asked"), none.alias("__found"))
+    both = asked.unionByName(found.dropna(subset=keys).select(*rest, *tile, none.alias("__asked"), bit.alias("__found")))
+    held = both.groupBy(*rest, *(["__tile"] if tile else [])).agg(F.bit_or("__asked").alias("__asked"), F.bit_or("__found").alias("__found"))
+    left = held.withColumn("__left", F.col("__asked").bitwiseAND(F.bitwise_not("__found"))).filter("__left <> 0")
+    if whole is None:
+        return left.select(*keys)
+    each = left.withColumn("__at", F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit("__left", i) == 1)))
+    return each.withColumn(whole, (F.col("__tile") * 64 + F.col("__at")).cast(max(kind(whole), key=rank.get))).select(*keys)
 
 
 def key_paths(rows: DataFrame, key: str, json: str, most: int = 100) -> DataFrame:

@@ -426,3 +426,18 @@ def test_lines_of_batches_are_written_where_they_are_made(spark, monkeypatch, li
     got = G.numbered(read).select("log", "position", "line")
     want = spark.sql("select batch, row_number() over (partition by batch order by place) position, line from plain_lines")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_missing_ids_move_a_bit_an_id(spark):
+    """64 neighbours of a whole number are a row; ends of the type, negative numbers, nulls and repeated keys."""
+    rng = random.Random(4)
+    ids = [*range(-200, 200), 63, 64, -64, -65, 2**63 - 1, -(2**63), None]
+    asked = [(rng.choice("ab"), i) for i in ids for _ in range(2)] + [(None, 5)]
+    found = [k for k in asked if rng.random() < 0.6] + [("a", 999), ("a", None)]
+    frame = lambda rows: spark.createDataFrame(rows, "s string, i bigint")
+    got = B.missing_ids(frame(asked), frame(found), ["s", "i"])
+    assert got.schema.simpleString() == "struct<s:string,i:bigint>"
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted({k for k in asked if None in k or k not in found}, key=repr)
+    moved = B.missing_ids(frame([("a", i) for i in range(6400)]), frame([]), ["s", "i"])
+    held = moved._jdf.queryExecution().executedPlan().toString()
+    assert moved.count() == 6400 and "__tile" in held and re.search(r"Exchange hashpartitioning\(s#\d+, __tile", held)
