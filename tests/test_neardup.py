@@ -153,3 +153,57 @@ def test_alike_texts_are_one_class(spark, part):
     got = D.near_texts(spark.createDataFrame(rows, "key int, text string"), "text", "key", part=part).collect()
     assert len({r for r in root.values()}) < len(plain) - 12
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+def two_languages(rng, texts=48):
+    """Texts of one size in two alphabets, a few of them near copies."""
+    rows = []
+    for k in range(texts):
+        letters = ("abcdef", "uvwxyz")[k % 2]
+        text = [rng.choice(letters) for _ in range(300)]
+        rows.append("".join(text))
+        if k % 6 < 2:
+            text[rng.randrange(300)] = letters[0] * 2
+            rows.append("".join(text))
+    return rows
+
+
+def test_blocks_of_two_languages_do_not_meet(spark):
+    from pairscope.operators import dedup as D
+
+    rows = two_languages(random.Random(3))
+    sets = [set(D.grams(t).tolist()) for t in rows]
+    single = settle(spark.createDataFrame(list(enumerate(rows)), "id int, t string"))
+    held = D.blocks(single, 0.85, 8, False)
+    language = {r["block"]: {rows[i][0] < "m" for i in r["ids"]} for r in held.collect()}
+    assert len(language) >= 8 and all(len(x) == 1 for x in language.values())
+    met = D.meeting(held, 0.85, False).select("block", "other").collect()
+    assert met and all(language[r["block"]] == language[r["other"]] for r in met)
+    want = {(i, j) for j in range(len(rows)) for i in range(j) if len(sets[i] & sets[j]) >= 0.85 * len(sets[i] | sets[j])}
+    got = D.links(D.blocks(single, 0.85, 8, True), 0.85, True).selectExpr("least(a, b) a", "greatest(a, b) b").collect()
+    assert len(want) == 16 and sorted(map(tuple, got)) == sorted(want)
+
+
+@pytest.mark.parametrize("bits", [1 << 16, 0])
+def test_sets_are_counted_exactly_and_only_when_sketches_are_near(bits, monkeypatch):
+    import numpy as np
+    from pairscope.operators import dedup as D
+
+    monkeypatch.setattr(D, "BITS", bits)
+    rng = random.Random(9)
+    vary = lambda base, k: np.unique(np.array([x if i % 40 >= k else rng.randrange(10**9) for i, x in enumerate(base)]))
+    bases = [[rng.randrange(10**9) for _ in range(rng.choice([40, 300, 1500]))] for _ in range(6)]
+    make = lambda: sorted((vary(b, rng.choice([0, 1, 3, 5])) for b in bases for _ in range(7)), key=len)
+    one, two = make(), make()
+    a, b = (D.Block.opened(*D.Block.of(x).packed()) for x in (one, two))
+    for x, y, left, right in ((a, b, one, two), (a, a, one, one)):
+        got = {(i, j): s for i, js, found in D.similar(x, y, 0.85, True) for j, s in zip(js.tolist(), found.tolist(), strict=True)}
+        want = {}
+        for i, p in enumerate(left):
+            for j, q in enumerate(right):
+                both = len(set(p.tolist()) & set(q.tolist()))
+                if (x is not y or i < j) and both >= 0.85 * (len(p) + len(q) - both):
+                    want[i, j] = both / (len(p) + len(q) - both)
+        assert want and got == pytest.approx(want)
+    far = D.Block.opened(*D.Block.of([np.unique([rng.randrange(10**9) for _ in range(300)]) for _ in range(20)]).packed())
+    assert not list(D.similar(b, far, 0.85, True)) and isinstance(far._sets, bytes)
